@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import quality, tokenize
+from claimloom.llm import mixing, quality, sharding, tokenize
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM p),
@@ -57,9 +57,42 @@ FROM b
 """
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(_documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         coalesce(greatest(0.05::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE * length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) / greatest(length(text), 1)), 1.0::DOUBLE) AS w,
+         ('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 13))::BIGINT AS bits
+  FROM documents),
+k AS (SELECT *, -ln((bits::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / w AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+s1 AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+s2 AS (SELECT *, 2.0::DOUBLE * source_size / weight AS ratio, sum(source_size) OVER ()::DOUBLE AS total, sum(weight) OVER () AS all_weight FROM s1),
+s3 AS (SELECT *, (1.5::DOUBLE * total - coalesce(sum(2.0::DOUBLE * source_size) OVER b, 0)) / (all_weight - coalesce(sum(weight) OVER b, 0)) AS level
+       FROM s2 WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(level, ratio) AS level FROM s3 WHERE level <= ratio),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(l.level * weight, 2.0::DOUBLE * source_size)) AS target FROM s3, l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+p AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+             coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       ((epochs + CASE WHEN rest > 0 AND ahead + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_sharding": op4_sharding, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL}
+    return {"op2_quality": OP2_SQL, "op7_mixing": OP7_SQL}
