@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import mixing, quality, sharding, tokenize
+from claimloom.llm import language, mixing, pii, quality, secrets, sharding, tokenize
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +57,41 @@ FROM b
 """
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    part = F.pmod(F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")), F.lit(3))
+    model = language.train(docs.where(part != 1))
+    return docs.select("doc_id", (part == 1).alias("held_out"), language.predict(docs["text"], model, docs).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(_documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = docs.select("doc_id", pii.detect(docs["text"], docs).alias("f"))
+    counts = [_count("f.base", k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("f.base")), 256).alias("base_sha256"), _joined(F.col("f.spans")).alias("spans"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = docs.select("doc_id", secrets.detect(docs["text"]).alias("f"))
+    counts = [_count("f.spans", k).alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    base = F.filter("f.spans", lambda s: s["kind"] != "guess")
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("f.spans")).alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -91,7 +121,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_sharding": op4_sharding, "op7_mixing": op7_mixing}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,153 @@
+"""Operator 8: secrets by patterns and by the guess cost of values in credential contexts.
+
+The patterns find assignments to credential names, access key ids and long hex strings. The
+method looks at values in further credential contexts (passphrase, pwd, bearer, private key,
+client secret and others) and asks what guessing each would cost: a dynamic program splits the
+value into words, dates, repeats, keyboard walks and brute-force spans at the least total cost
+(log10 of guesses). A value that costs at least THRESHOLD is a secret; its span is added as
+kind `guess` unless it overlaps one of the patterns'.
+
+Positions are code points, end exclusive. Texts are read whole. The dynamic program takes time
+in proportion to the value's length.
+
+Defined results: a null text counts as empty and has no spans. Repeated rows, null ids and extra
+columns pass through; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column
+
+from claimloom.llm.common import arrow_column
+
+BASE_KINDS = ("assign", "access", "hex")
+KINDS = (*BASE_KINDS, "guess")
+#: log10 of the guesses from which a value counts as secret.
+THRESHOLD = 8.0
+
+_ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"[0-9a-f]{24,}")
+_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_CONTEXT = re.compile(r"(?i:\b(?:passphrase|passcode|pass|pwd|auth|authorization|bearer|credentials?|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|encryption[_-]?key|pin|login)[\"']?\x20{0,4}(?:=>|:=|[:=])\x20{0,4}(?:bearer\x20|basic\x20)?[\"']?)([^\x00-\x20\"'<>,;]{6,})", re.ASCII)
+_CONTEXT_NAMES = ("pass", "pwd", "auth", "bearer", "credential", "key", "secret", "pin", "login")
+
+#: Common password words, most common first.
+WORDS = (
+    "password", "admin", "welcome", "letmein", "monkey", "dragon", "master", "login", "princess", "sunshine", "shadow", "football", "baseball", "superman", "batman", "trustno", "hello", "freedom", "whatever", "secret",
+    "love", "summer", "winter", "spring", "autumn", "monday", "friday", "january", "june", "july", "august", "december", "test", "guest", "user", "root", "pass", "changeme", "default", "example",
+    "sample", "demo", "the", "and", "you", "for", "this", "that", "with", "none", "null", "true", "false", "required", "string", "value", "token", "key", "your", "name",
+    "computer", "internet", "server", "database", "service", "system", "network", "cookie", "flower", "ginger", "hunter", "killer", "soccer", "hockey", "tiger", "eagle", "angel", "charlie", "michael", "jordan",
+)
+#: Rows of a keyboard.
+KEYS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
+_LONGEST = max(map(len, WORDS))
+_LEET = str.maketrans("4@31!0$57", "aaeiiosst")
+_BESIDE = {(row[i], row[i + d]) for row in KEYS for d in (-1, 1) for i in range(len(row)) if 0 <= i + d < len(row)} | {(a[i], b[j]) for a, b in zip(KEYS, KEYS[1:], strict=False) for i in range(len(a)) for j in (i - 1, i) if 0 <= j < len(b)}
+_BESIDE |= {(b, a) for a, b in _BESIDE}
+_DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-/._]?[01][0-9][-/._]?[0-3][0-9]|[0-3]?[0-9][-/._][01]?[0-9][-/._](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2})")
+_START = 0.5  # cost of one more segment
+
+
+def _alphabet(v: str) -> float:
+    size = 26 * any("a" <= c <= "z" for c in v) + 26 * any("A" <= c <= "Z" for c in v) + 10 * any("0" <= c <= "9" for c in v) + 33 * any(not c.isalnum() for c in v)
+    return math.log10(max(size, 10))
+
+
+def guess_cost(v: str) -> tuple[float, list[tuple[str, int, int]]]:
+    """The least log10 of guesses over segmentations of v, and that segmentation as (kind, start, end)."""
+    n, low = len(v), v.lower()
+    plain = low.translate(_LEET)
+    per_char = _alphabet(v)
+    cost, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
+
+    def reach(end: int, c: float, kind: str, start: int) -> None:
+        if c < cost[end]:
+            cost[end], back[end] = c, (kind, start)
+
+    in_brute = [math.inf] * (n + 1)  # least cost where a brute-force span goes on
+    brute_from = [0] * (n + 1)
+    walk = run = 0  # where the keyboard walk and the repeat that reach i began
+    for i in range(n):
+        began = cost[i] + _START
+        if began <= in_brute[i]:
+            in_brute[i], brute_from[i] = began, i
+        if in_brute[i] + per_char < in_brute[i + 1]:
+            in_brute[i + 1], brute_from[i + 1] = in_brute[i] + per_char, brute_from[i]
+        reach(i + 1, in_brute[i + 1], "brute", brute_from[i + 1])
+        for length in range(3, min(_LONGEST, n - i) + 1):
+            for form, extra in ((low, 0.0), (plain, 0.7)):
+                rank = _RANK.get(form[i : i + length])
+                if rank:
+                    cased = v[i : i + length] != low[i : i + length]
+                    reach(i + length, cost[i] + _START + math.log10(rank + 1) + extra + 0.3 * cased, "word", i)
+        m = _DATE.match(v, i)
+        if m:
+            reach(m.end(), cost[i] + _START + (2.1 if m.end() - i == 4 else 4.6), "date", i)
+        if i and v[i] != v[i - 1]:
+            run = i
+        if i and not ((low[i - 1], low[i]) in _BESIDE or ord(low[i]) - ord(low[i - 1]) in (1, -1)):
+            walk = i
+        if i + 1 - run >= 3:
+            reach(i + 1, cost[run] + _START + per_char + math.log10(i + 1 - run), "repeat", run)
+        if i + 1 - walk >= 3:
+            reach(i + 1, cost[walk] + _START + 1.5 + math.log10(i + 1 - walk) * 2, "walk", walk)
+        for period in (2, 3, 4):  # the same few characters over and over
+            if i + 1 >= 3 * period and v[i + 1 - period : i + 1] == v[i + 1 - 2 * period : i + 1 - period] == v[i + 1 - 3 * period : i + 1 - 2 * period]:
+                s = i + 1 - 3 * period
+                while s >= period and back[i + 1 - period][0] == "repeat" and s > back[i + 1 - period][1]:
+                    s = back[i + 1 - period][1]
+                reach(i + 1, cost[s] + _START + period * per_char + math.log10((i + 1 - s) / period), "repeat", s)
+    parts, at = [], n
+    while at:
+        kind, start = back[at]
+        parts.append((kind, start, at))
+        at = start
+    return cost[n], parts[::-1]
+
+
+def base_spans(t: str) -> dict[str, list[tuple[int, int]]]:
+    low = t.lower()
+    assign = [m.span() for m in _ASSIGN.finditer(t) if m.end(1) - m.start(1) >= 6] if any(x in low for x in _NAMES) else []
+    access = [m.span() for m in _ACCESS.finditer(t) if m.end() - m.start() >= 20] if "AKIA" in t else []
+    return {"assign": assign, "access": access, "hex": [m.span() for m in _HEX.finditer(t)]}
+
+
+def context_spans(t: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Values in credential contexts that cost at least the threshold."""
+    low = t.lower()
+    if not ("=" in t or ":" in t) or not any(x in low for x in _CONTEXT_NAMES):
+        return []
+    return [m.span(1) for m in _CONTEXT.finditer(t) if guess_cost(m[1])[0] >= threshold]
+
+
+def all_spans(t: str | None, threshold: float = THRESHOLD) -> tuple[dict, list[tuple[str, int, int]]]:
+    """Base spans by kind, and all spans as (kind, start, end), by start and then by kind."""
+    t = t or ""
+    base = base_spans(t)
+    taken = [x for v in base.values() for x in v]
+    more = [x for x in context_spans(t, threshold) if not any(a < x[1] and x[0] < b for a, b in taken)]
+    spans = [(k, s, e) for k in BASE_KINDS for s, e in base[k]] + [("guess", s, e) for s, e in more]
+    return base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
+
+
+_SPANS = "spans array<struct<kind: string, start: int, end: int>>"
+
+
+def detect(text: Column, threshold: float = THRESHOLD) -> Column:
+    """Struct with `spans`, all of them, by start and kind. Those not of kind `guess` are the patterns'."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(texts: pa.Array) -> pa.Array:
+        spans = []
+        for at in range(0, len(texts), 256):
+            for t in texts.slice(at, 256).to_pylist():
+                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in all_spans(t, threshold)[1]])
+        return pa.StructArray.from_arrays([pa.array(spans, kind)], ["spans"])
+
+    return arrow_column(run, _SPANS)(text)
