@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import language, mixing, pii, quality, secrets, sharding, tokenize
+from claimloom.llm import bpe, language, mixing, neardup, pii, quality, secretscan, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    r = docs.select("doc_id", tokenize.round_trip(docs["text"], tokenize.vocabulary_path()).alias("r"))
+    r = docs.select("doc_id", bpe.round_trip(docs["text"], bpe.vocabulary_path()).alias("r"))
     return r.select(
         "doc_id",
         (F.octet_length("r.ids") / 4).cast("bigint").alias("n_tokens"),
@@ -86,8 +86,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    found = docs.select("doc_id", secrets.detect(docs["text"]).alias("f"))
-    counts = [_count("f.spans", k).alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    found = docs.select("doc_id", secretscan.detect(docs["text"]).alias("f"))
+    counts = [_count("f.spans", k).alias(f"n_{k}") for k in secretscan.BASE_KINDS]
     base = F.filter("f.spans", lambda s: s["kind"] != "guess")
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("f.spans")).alias("spans"))
 
@@ -120,9 +120,30 @@ FROM p
 """
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), n=2)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(w[i], w[i + 1]) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) >= 2)
+  UNION SELECT doc_id, hash(w[1]) FROM d WHERE len(w) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.b AS component_id, m.b = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS b FROM r GROUP BY 1) m ON m.a = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op7_mixing": op7_mixing}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op7_mixing": op7_mixing, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op7_mixing": OP7_SQL}
+    return {"op2_quality": OP2_SQL, "op7_mixing": OP7_SQL, "op10_neardup": OP10_SQL}
