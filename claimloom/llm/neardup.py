@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_column, fresh, materialize, text_bytes
+from claimloom.llm.common import arrow_column, fresh, id_filter, materialize, text_bytes
 from claimloom.llm.components import components
 from claimloom.llm.sketch import band_keys, shingle_sets, sketch
 from claimloom.llm.words import mix
@@ -42,8 +42,6 @@ BANDS, ROWS = 64, 8
 LEFT, ALL = 512, 2_048
 #: Ids in the blocks of one task, on average.
 UNIT = 2_048
-#: Bits of the filter that keeps texts of non-candidates out of the second pass. It is 128 KB whatever the input; when full, it only keeps less out.
-FILTER_BITS = 1 << 20
 
 
 def _signatures(n: int, bands: int, rows: int):
@@ -166,17 +164,9 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
 
 
 def _candidate_sets(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    bit = lambda c: F.pmod(F.xxhash64(c.cast("bigint")), F.lit(FILTER_BITS)).cast("int")
-    on = np.zeros(FILTER_BITS, bool)
-    on[candidates.select(bit(F.col("id")).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(on).tobytes())
-
-    def run(bits: pa.Array) -> pa.Array:
-        table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        return pa.array(table[bits.to_numpy(zero_copy_only=False)], pa.bool_())
-
-    some = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).where("id IS NOT NULL")
-    some = some.where(arrow_column(run, "boolean")(bit(F.col("id"))))
+    maybe = id_filter(candidates)
+    some = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
+    some = some.where(maybe(F.col("id")))
     texts = some.join(candidates, "id", "left_semi")
     return texts.select("id", arrow_column(_sets_of(n), "binary")(F.col("text")).alias("set")).dropDuplicates(["id"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, language, mixing, neardup, pii, quality, secretscan, sharding
+from claimloom.llm import bpe, language, mixing, neardup, pii, quality, secretscan, sharding, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +120,27 @@ FROM p
 """
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.parse(_documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("parsed.factors", F.lit(0).cast("bigint"), lambda n, f: n + f["length"])
+    return rows.select("doc_id", "parsed.n_words", removed.alias("n_removed"), F.sha2(F.col("parsed.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY 1),
+m AS (SELECT h.doc_id, h.i FROM h JOIN f ON h.h = f.h WHERE h.doc_id > f.first),
+r AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i FROM m),
+x AS (SELECT doc_id, count(*) AS n, list(i) AS gone FROM r GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN x.n IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(x.gone, k)), lambda k: w[k]), ' ') END) AS kept_sha256
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), n=2)
 
@@ -142,8 +163,8 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS b FROM r GRO
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op7_mixing": op7_mixing, "op10_neardup": op10_neardup}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op7_mixing": op7_mixing, "op6_passages": op6_passages, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op7_mixing": OP7_SQL, "op10_neardup": OP10_SQL}
+    return {"op2_quality": OP2_SQL, "op6_passages": OP6_SQL, "op7_mixing": OP7_SQL, "op10_neardup": OP10_SQL}
