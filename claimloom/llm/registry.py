@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, language, mixing, neardup, pii, quality, secretscan, sharding, substring
+from claimloom.llm import bpe, language, mixing, neardup, neighbours, pii, quality, secretscan, sharding, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +141,11 @@ FROM d LEFT JOIN x ON d.doc_id = x.doc_id
 """
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.search(vectors, vectors["vec_id"] % 100 == 0)
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), n=2)
 
@@ -163,7 +168,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS b FROM r GRO
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op7_mixing": op7_mixing, "op6_passages": op6_passages, "op10_neardup": op10_neardup}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op7_mixing": op7_mixing, "op6_passages": op6_passages, "op9_neighbours": op9_neighbours, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
