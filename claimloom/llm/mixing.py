@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fresh, materialize
+from claimloom.llm.common import materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -67,48 +67,63 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return s.select("source", "source_size", "n_docs", "weight", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def _per_source(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
-    """rows with the columns of their source."""
-    right = sources.withColumnRenamed("source", "source_of")
-    joined = rows.join(F.broadcast(right) if few else right, rows["source"].eqNullSafe(F.col("source_of")), "inner")
-    return joined.drop("source_of")
+def _per_source(rows: DataFrame, table: DataFrame, few: bool, kind: str = "inner") -> DataFrame:
+    """rows with the columns of table, which has one row per source."""
+    right = table.withColumnRenamed("source", "mix_source")
+    return rows.join(F.broadcast(right) if few else right, rows["source"].eqNullSafe(F.col("mix_source")), kind).drop("mix_source")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, selected, taken): one row per row of docs.
+def _bucket() -> Column:
+    n = F.ceil(F.sqrt("n_docs"))
+    return F.least(n - 1, F.floor(n * (1 - F.exp(-F.col("key")))))
 
-    weight: the documents' quality weight, above 0 (default: quality_weight of the text).
-    """
-    w = quality_weight(docs[text_col]) if weight is None else weight
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), exponential_key(docs[id_col], w, seed).alias("key"))
-    rows = materialize(rows, "mix-rows")
+
+def _cuts(rows: DataFrame, weights: tuple, share: float, most: float) -> tuple[DataFrame, bool]:
+    """rows: (doc_id, source, size, key). One row per source: the columns of targets, and where its fraction of an epoch ends; and whether it can be broadcast."""
     sources = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, most), "mix-sources")
     few = sources.count() <= BROADCAST_SOURCES
-    buckets = F.ceil(F.sqrt("n_docs"))
-    row_key = F.struct("key", "doc_id", "size")
-    placed = _per_source(rows, sources, few).withColumn("bucket", F.least(buckets - 1, F.floor(buckets * (1 - F.exp(-F.col("key"))))))
+    placed = _per_source(rows, sources, few).withColumn("bucket", _bucket())
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     up_to = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
     crossing = sums.withColumn("before", up_to - F.col("words")).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
     crossing = crossing.select("source", F.col("bucket").alias("cut_bucket"), F.col("before").alias("cut_before"))
     near = _per_source(placed, crossing, few).where("bucket = cut_bucket")
     ahead = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = near.withColumn("ahead", F.col("cut_before") + ahead).where(F.col("ahead") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(row_key).alias("cut"))
-    cut_of = crossing.join(cuts.withColumnRenamed("source", "s"), crossing["source"].eqNullSafe(F.col("s")), "left").select("source", "cut_bucket", "cut")
-    right = cut_of.withColumnRenamed("source", "cut_source")
-    decided = placed.join(F.broadcast(right) if few else right, placed["source"].eqNullSafe(F.col("cut_source")), "left")
-    # No crossing bucket: the rest is 0 (nothing is selected) or all of the source.
-    selected = F.when(F.col("cut_bucket").isNull(), F.col("rest") > 0).when(F.col("bucket") != F.col("cut_bucket"), F.col("bucket") < F.col("cut_bucket")).otherwise(F.coalesce(row_key <= F.col("cut"), F.lit(False)))
-    out = decided.withColumn("selected", selected & (F.col("rest") > 0))
+    ends = near.withColumn("ahead", F.col("cut_before") + ahead).where(F.col("ahead") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("cut"))
+    cut_of = _per_source(crossing.select("source", "cut_bucket"), ends, few, "left")
+    return materialize(_per_source(sources, cut_of, few, "left"), "mix-cuts"), few
+
+
+def _copies(rows: DataFrame, cuts: DataFrame, few: bool) -> DataFrame:
+    """rows with the columns of their source's cut, and `selected`. No crossing bucket: the rest is 0, or all of the source."""
+    decided = _per_source(rows, cuts, few).withColumn("bucket", _bucket())
+    inside = F.coalesce(F.struct("key", "doc_id", "size") <= F.col("cut"), F.lit(False))
+    selected = F.when(F.col("cut_bucket").isNull(), F.lit(True)).when(F.col("bucket") != F.col("cut_bucket"), F.col("bucket") < F.col("cut_bucket")).otherwise(inside)
+    return decided.withColumn("selected", selected & (F.col("rest") > 0))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: str) -> list[Column]:
+    w = quality_weight(docs[text_col]) if weight is None else weight
+    return [docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), exponential_key(docs[id_col], w, seed).alias("key")]
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
+    """(doc_id, source, size, source_size, target, epochs, selected, taken): one row per row of docs.
+
+    weight: the documents' quality weight, above 0 (default: quality_weight of the text).
+    """
+    rows = materialize(docs.select(*_rows(docs, id_col, text_col, source_col, weight, seed)), "mix-rows")
+    out = _copies(rows, *_cuts(rows, weights, share, most))
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "selected", ((F.col("epochs") + F.col("selected").cast("bigint")) * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with their columns unchanged. Documents without words are dropped."""
-    copies = fresh(docs, "mix_copies")
-    key = fresh(docs, "mix_id")
-    chosen = plan(docs, id_col, text_col, source_col, **options)
-    times = chosen.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(F.col("epochs") + F.col("selected").cast("bigint")).cast("int").alias(copies))
-    out = docs.join(times, docs[id_col].eqNullSafe(F.col(key)), "inner").where(F.col(copies) > 0).where(word_count(docs[text_col]) > 0)
-    one = fresh(out, "mix_one")
-    return out.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(key, copies, one)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
+    """The rows of docs as often as the mix takes them, with their columns unchanged. Documents without words are dropped.
+
+    Each row is decided from its own columns and its source's cut, so texts are not shuffled.
+    """
+    own = _rows(docs, id_col, text_col, source_col, weight, seed)
+    cuts, few = _cuts(materialize(docs.select(*own), "mix-rows"), weights, share, most)
+    taken = _copies(docs.select(*own, F.struct(*[docs[c] for c in docs.columns]).alias("mix_row")), cuts, few)
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.col("selected").cast("bigint")).otherwise(F.lit(0)).cast("int")
+    return taken.select("mix_row", F.explode(F.array_repeat(F.lit(1), times))).select("mix_row.*")

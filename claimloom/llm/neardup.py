@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import arrow_column, fresh, id_filter, materialize, text_bytes
@@ -191,7 +191,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those that another document of their group stands for; columns unchanged. Of rows with equal ids one stays; all rows without an id stay."""
-    key = fresh(docs, "near_id")
-    gone = near_duplicates(docs, id_col, text_col, n, percent).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
-    rows = docs.join(gone, docs[id_col].cast("bigint") == F.col(key), "left_anti")
-    return rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(F.col(id_col).isNull()))
+    result = materialize(near_duplicates(docs, id_col, text_col, n, percent).where("doc_id IS NOT NULL").select("doc_id", "kept"), "near-result")
+    gone = result.where("NOT kept").select("doc_id").distinct()
+    repeated = result.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    key, place, maybe = fresh(docs, "near_id"), fresh(docs, "near_place"), fresh(docs, "near_maybe")
+    touched = id_filter(gone.unionByName(repeated))
+    marked = docs.withColumn(maybe, touched(docs[id_col].cast("bigint")))
+    near = marked.where(F.col(maybe)).withColumn(key, F.col(f"`{id_col}`").cast("bigint"))
+    near = near.join(gone.withColumnRenamed("doc_id", key), key, "left_anti")
+    near = near.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.col(f"`{text_col}`")))).where(F.col(place) == 1)
+    return marked.where(~F.col(maybe)).select(*docs.columns).unionByName(near.select(*docs.columns))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from claimloom.llm import bpe, language, mixing, neardup, neighbours, pii, quality, secretscan, sharding, substring
 
 
@@ -167,8 +168,23 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS b FROM r GRO
 """
 
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
+    "op4_sharding": op4_sharding,
+    "op5_pii": op5_pii,
+    "op6_passages": op6_passages,
+    "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
+    "op9_neighbours": op9_neighbours,
+    "op10_neardup": op10_neardup,
+    "pipeline": corpus_pipeline.run,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_language": op3_language, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op7_mixing": op7_mixing, "op6_passages": op6_passages, "op9_neighbours": op9_neighbours, "op10_neardup": op10_neardup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
