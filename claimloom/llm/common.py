@@ -42,8 +42,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Most bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches() -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES: texts are long, and each task holds a batch on either side."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != f"{BATCH_BYTES}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def arrow_column(fn: Callable, returns: str) -> Callable[..., Column]:
     """An Arrow UDF that Spark evaluates once, whatever filter or projection reads its result."""
+    bound_batches()
     return F.arrow_udf(fn, returnType=returns).asNondeterministic()
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_column
+from claimloom.llm.common import arrow_column, bound_batches
 
 BUCKETS = 1 << 16
 #: Training documents per language, in expectation: a language with more is sampled by a hash of the id.
@@ -121,6 +121,7 @@ class Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     """Learns from the labelled rows of docs: all of a language with up to per_language rows, else about that many by hash of id."""
+    bound_batches()
     rows = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(rows[lang_col].alias("l")).agg(F.count("*")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:

@@ -27,12 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_column, fresh, id_filter, materialize, text_bytes
+from claimloom.llm.common import arrow_column, bound_batches, fresh, id_filter, materialize, text_bytes
 from claimloom.llm.components import components
 from claimloom.llm.sketch import band_keys, shingle_sets, sketch
 from claimloom.llm.words import mix
@@ -96,17 +95,14 @@ def linked(a: Column, b: Column, percent: int) -> Column:
 def _compare(percent: int):
     """One task's blocks: links of each left-over id to ids under other hubs, one per hub."""
 
-    def one(part: pd.DataFrame) -> Iterator[tuple[int, int]]:
-        left, every = part[part["is_left"]], part[~part["is_left"]]
-        if not len(left) or not len(every):
-            return
-        sets = [np.frombuffer(x, np.uint64) for x in every["set"]]
+    def one(left: list[tuple], every: list[tuple]) -> Iterator[tuple[int, int]]:
+        sets = [np.frombuffer(x, np.uint64) for _, _, x in every]
         sizes = np.array([len(s) for s in sets])
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         terms, place = np.unique(np.concatenate(sets), return_inverse=True)
-        ids, hubs = every["id"].to_numpy(np.int64), every["hub"].to_numpy(np.int64)
+        ids, hubs = np.array([x[0] for x in every]), np.array([x[1] for x in every])
         held = np.zeros(len(terms), np.int32)
-        for i, hub, packed in zip(left["id"].tolist(), left["hub"].tolist(), left["set"], strict=True):
+        for i, hub, packed in left:
             s = np.frombuffer(packed, np.uint64)
             at = np.searchsorted(terms, s)
             at = at[terms[np.minimum(at, len(terms) - 1)] == s]
@@ -114,12 +110,15 @@ def _compare(percent: int):
             c = np.add.reduceat(held[place], first)
             held[at] = 0
             good = np.flatnonzero((100 * c >= percent * (len(s) + sizes - c)) & (hubs != hub) & (ids != i))
-            for _, k in {int(hubs[k]): k for k in good[::-1]}.items():
+            for k in {int(hubs[k]): k for k in good[::-1]}.values():
                 yield i, int(ids[k])
 
-    def run(unit: pd.DataFrame) -> pd.DataFrame:
-        found = [x for _, part in unit.groupby(["cluster", "i", "j"], sort=False) for x in one(part)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def run(unit: pa.Table) -> pa.Table:
+        blocks: dict[tuple, tuple[list, list]] = {}
+        for r in unit.to_pylist():
+            blocks.setdefault((r["cluster"], r["i"], r["j"]), ([], []))[0 if r["is_left"] else 1].append((r["id"], r["hub"], r["set"]))
+        found = [x for left, every in blocks.values() if left and every for x in one(left, every)]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
@@ -159,7 +158,7 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
     blocks = materialize(left.unionByName(every), "near-blocks")
     units = max(1, -(-blocks.count() // UNIT))
     unit = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(units)).alias("unit")
-    found = blocks.join(sets, "id").select("id", "cluster", "hub", "is_left", "i", "j", "set", unit).groupBy("unit").applyInPandas(_compare(percent), "a bigint, b bigint")
+    found = blocks.join(sets, "id").select("id", "cluster", "hub", "is_left", "i", "j", "set", unit).groupBy("unit").applyInArrow(_compare(percent), "a bigint, b bigint")
     return stars.select(F.col("id").alias("a"), F.col("hub").alias("b")).unionByName(found)
 
 
@@ -177,6 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n: words of a shingle. percent: least similarity of a link. Ids are integers; where rows
     share an id but not a text, one of their texts stands for the id in verification.
     """
+    bound_batches()
     schema = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>"
     rows_ = materialize(docs.select(docs[id_col].cast("bigint"), docs[text_col]).mapInArrow(_signatures(n, bands, rows), schema), "near-rows")
     filled = rows_.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_column, fresh, id_filter, materialize, text_bytes
+from claimloom.llm.common import arrow_column, bound_batches, fresh, id_filter, materialize, text_bytes
 from claimloom.llm.words import Words, inside, mix, windows, word_batches
 
 WINDOW = 13
@@ -146,6 +146,7 @@ _PARSED = "n_words bigint, factors array<struct<start: int, length: int>>, kept
 
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """docs with a column `parsed`: n_words, factors (removed spans, in words) and kept (the text left, words joined by one space)."""
+    bound_batches()
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
     known = rows.where("id IS NOT NULL")
     blocks = known.mapInArrow(_blocks(window, anchor), "id bigint, anchor bigint, block int")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 
