@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from claimloom.plans import queries as q
 
 FLAGSHIP = "b9_degree_all"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: lambda spark, d: spark.read.parquet(f"{d}/nation.parquet").groupBy("n_regionkey").agg(F.count("*").alias("n"))}
+def queries() -> dict[str, q.Query]:
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {FLAGSHIP: "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1"}
+    return dict(q.SQL)
