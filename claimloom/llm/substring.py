@@ -152,6 +152,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     blocks = known.mapInArrow(_blocks(window, anchor), "id bigint, anchor bigint, block int")
     index = blocks.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("block").alias("block_a"), F.max("block").alias("block_b"))
     index = index.where("first < last").select("anchor", "first", (F.col("block_a") != F.col("block_b")).alias("mixed"))
+    index = materialize(index, "passage-index")  # the joins below can split an anchor or window that many documents share only where both sides are shuffled for them
     hits = blocks.select("id", "anchor").join(index, "anchor").where("mixed OR id > first")
     lists = hits.groupBy("id").agg(F.collect_set(F.when(F.col("mixed"), F.col("anchor"))).alias("mixed"), F.collect_set(F.when(~F.col("mixed"), F.col("anchor"))).alias("whole"))
     lists = materialize(lists, "passage-blocks")
@@ -161,6 +162,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     edge_windows = known.where(edge_filter(F.col("id"))).join(at_edges, "id").select("id", "text", "mixed").mapInArrow(_boundary_windows(window, anchor), "id bigint, h1 bigint, h2 int")
     edge_windows = materialize(edge_windows, "passage-windows")
     first = edge_windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    first = materialize(first, "passage-shared")
     single = edge_windows.join(first, ["h1", "h2"]).where("id > first").groupBy("id").agg(F.collect_set("h1").alias("single"))
 
     key = fresh(docs, "passage_id")
