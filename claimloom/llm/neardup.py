@@ -125,9 +125,10 @@ def _compare(percent: int):
 
 def _hubs(shared: DataFrame) -> DataFrame:
     """shared: (id, key), keys with more than one id. Returns (id, hub, score) for each id of a key and the key's hub, another id."""
-    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
+    sized = shared.join(materialize(shared.groupBy("key").agg(F.count("*").alias("n")), "near-sizes"), "key")
     scored = materialize(sized.join(sized.groupBy("id").agg(F.sum("n").alias("score")), "id").select("id", "key", "score"), "near-scored")
     best = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("best"))
+    best = materialize(best, "near-hubs")
     pairs = scored.select("id", "key").join(best, "key").select("id", (-F.col("best.minus")).alias("hub"), F.col("best.score").alias("score"))
     return pairs.where("id != hub").distinct()
 
@@ -135,7 +136,8 @@ def _hubs(shared: DataFrame) -> DataFrame:
 def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """classes: (id, bands), one row per class. Returns verified links (a, b), enough of them for the components."""
     keys = classes.select("id", F.explode("bands").alias("key"))
-    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("id", "key")
+    several = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-keys")
+    shared = keys.join(several, "key").select("id", "key")
     pairs = materialize(_hubs(materialize(shared, "near-shared")), "near-pairs")
     candidates = pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
     sets = materialize(_candidate_sets(candidates, docs, id_col, text_col, n), "near-sets")
