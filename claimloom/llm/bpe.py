@@ -35,8 +35,8 @@ from claimloom.llm.common import arrow_column, text_bytes
 #: Fixed value: the pre-split pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that one task keeps encoded; beyond it the table starts anew, and results stay the same.
-CACHED_WORDS = 400_000
-CACHED_ARCS = 1_000_000
+CACHED_WORDS = 200_000
+CACHED_ARCS = 300_000
 LONGEST_CACHED = 64
 NEVER = 1 << 60
 

@@ -43,7 +43,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 #: Most bytes of rows that go to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches() -> None:
@@ -64,25 +64,35 @@ def text_bytes(column: pa.Array, rows: int = 256) -> Iterator[list[bytes | None]
     column = column.cast(pa.binary()) if not pa.types.is_binary(column.type) and not pa.types.is_large_binary(column.type) else column
     for at in range(0, len(column), rows):
         yield column.slice(at, rows).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 #: Bits of an id filter: 128 KB whatever the input. When more ids set more bits it only lets more rows through.
 FILTER_BITS = 1 << 20
 
 
+def id_bit(ids: Column) -> Column:
+    """An id's bit in a filter."""
+    return F.pmod(F.xxhash64(ids.cast("bigint")), F.lit(FILTER_BITS)).cast("int")
+
+
+def filter_bits(ids: DataFrame):
+    """A broadcast of packed bits, on for every id of the one column of ids."""
+    on = np.zeros(FILTER_BITS, bool)
+    on[ids.select(id_bit(F.col(ids.columns[0])).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(on).tobytes())
+
+
+def is_on(packed: bytes, bits: pa.Array) -> np.ndarray:
+    at = bits.to_numpy(zero_copy_only=False)
+    return (np.frombuffer(packed, np.uint8)[at >> 3] >> (7 - (at & 7))) & 1 == 1
+
+
 def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
     """A test that is true for every id of the one column of ids, and for some others; never true for null.
 
     It keeps rows that a later join would drop out of that join's shuffle.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c.cast("bigint")), F.lit(FILTER_BITS)).cast("int")
-    on = np.zeros(FILTER_BITS, bool)
-    on[ids.select(bit(F.col(ids.columns[0])).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
-    shared = ids.sparkSession.sparkContext.broadcast(np.packbits(on).tobytes())
-
-    def run(bits: pa.Array) -> pa.Array:
-        table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        return pa.array(table[bits.to_numpy(zero_copy_only=False)], pa.bool_())
-
-    test = arrow_column(run, "boolean")
-    return lambda c: c.isNotNull() & test(bit(c))
+    shared = filter_bits(ids)
+    test = arrow_column(lambda bits: pa.array(is_on(shared.value, bits), pa.bool_()), "boolean")
+    return lambda c: c.isNotNull() & test(id_bit(c))

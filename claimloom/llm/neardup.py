@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_column, bound_batches, fresh, id_filter, materialize, text_bytes
+from claimloom.llm.common import arrow_column, bound_batches, filter_bits, fresh, id_bit, id_filter, is_on, materialize, text_bytes
 from claimloom.llm.components import components
 from claimloom.llm.sketch import band_keys, shingle_sets, sketch
 from claimloom.llm.words import mix
@@ -64,9 +64,16 @@ def _signatures(n: int, bands: int, rows: int):
     return run
 
 
-def _sets_of(n: int):
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for rows in text_bytes(texts) for s in shingle_sets(rows, n)], pa.binary())
+def _maybe_sets(packed, n: int):
+    """Packed shingle sets of the texts whose bit (the last column) is on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(is_on(packed.value, batch.column(2))))
+            at = 0
+            for texts in text_bytes(some.column(1)):
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())], ["id", "set"])
+                at += len(texts)
 
     return run
 
@@ -165,11 +172,11 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
 
 
 def _candidate_sets(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    maybe = id_filter(candidates)
-    some = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    some = some.where(maybe(F.col("id")))
-    texts = some.join(candidates, "id", "left_semi")
-    return texts.select("id", arrow_column(_sets_of(n), "binary")(F.col("text")).alias("set")).dropDuplicates(["id"])
+    """(id, set) of the candidates. Only sets of candidates, and of few others, leave the pass over all texts."""
+    ids = docs[id_col].cast("bigint")
+    rows = docs.select(ids.alias("id"), docs[text_col].alias("text"), id_bit(ids).alias("bit")).where("id IS NOT NULL")
+    sets = rows.mapInArrow(_maybe_sets(filter_bits(candidates), n), "id bigint, set binary")
+    return sets.join(candidates, "id", "left_semi").dropDuplicates(["id"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
