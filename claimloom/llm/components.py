@@ -2,7 +2,8 @@
 
 Each round joins every node's edges with the least id around it (large star), then the same for
 smaller neighbours (small star), until the edges are stars around the least id of each
-component. Only minima are aggregated, so a node of any degree fits; each round is written to
+component. Only minima are aggregated, and they are written before they are joined to the edges,
+so that Spark can split the edges of a node of any degree over tasks. Each round is written to
 the shared folder, so lineage stays short. Rounds grow with the logarithm of the longest path.
 """
 
@@ -16,13 +17,13 @@ from claimloom.llm.common import materialize
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "large-star")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "small-star")
     return edges.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct()
 
 
@@ -31,7 +32,7 @@ def components(edges: DataFrame, label: str = "component") -> DataFrame:
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     seen = None
     while True:
-        now = materialize(_small(_large(now)), label)
+        now = materialize(_small(materialize(_large(now), "large-edges")), label)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
