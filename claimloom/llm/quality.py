@@ -29,7 +29,7 @@ RULES = (
     ("symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
     ("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
     ("long_words", lambda m: m["word_chars"] > 15 * m["n_words"]),
-    ("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    ("repeated_lines", lambda m: (m["n_dup_lines"] >= 4) & (100 * m["n_dup_lines"] > 30 * m["n_lines"])),  # one repeated line among three is no sign yet
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 #: Versioned policies: the rules that reject a document.

@@ -51,7 +51,7 @@ b AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
     + CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END
-    + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+    + CASE WHEN n_dup_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
        fail_bits = 0 AS kept, n_lines, fail_bits
 FROM b
