@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.order import row_numbers
+from claimloom.plans.scratch import materialize
+
 
 def row_key(prefix: str, *parts: Column) -> Column:
     """Prefix and SHA-256 of the parts as a JSON array."""
@@ -19,15 +22,20 @@ def merge_candidates(rows: DataFrame, key: str, order: list[str], flags: list[st
     return out.select(key, "first.*", *flags, "n_rows")
 
 
+def _firsts(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with `_first`: whether no row of the key comes earlier in order. An aggregate and a join, so a key of any size fits."""
+    least = materialize(rows.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order)).alias("_least")), "firsts")
+    return rows.join(least, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_first", F.struct(*order) == F.col("_least")).drop("_key", "_least")
+
+
 def merged_duplicates(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The rows that merge_candidates folds away."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n > 1").drop("_n")
+    """The rows that merge_candidates folds away. No two rows are equal in order."""
+    return _firsts(rows, key, order).where("NOT _first").drop("_first")
 
 
-def fair_order(rows: DataFrame, interval: str, host: str, tie: Column) -> DataFrame:
+def fair_order(rows: DataFrame, interval: str, host: str, tie: str) -> DataFrame:
     """rows with round, turn: hosts of an interval take turns, and intervals take turns. Order by turn, then interval."""
-    r = rows.withColumn("round", F.row_number().over(Window.partitionBy(interval, host).orderBy(tie)))
-    return r.withColumn("turn", F.row_number().over(Window.partitionBy(interval).orderBy("round", host)))
+    return row_numbers(row_numbers(rows, [interval, host], [tie], "round"), [interval], ["round", host], "turn")
 
 
 def interleave(rows: DataFrame, key: str, groups: str, pos: str, names: list[str]) -> DataFrame:
@@ -36,8 +44,8 @@ def interleave(rows: DataFrame, key: str, groups: str, pos: str, names: list[str
     Order by slot and lane, nulls last, then pos.
     """
     lane = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("g"))
-    picks = rows.select(key, pos, F.explode(groups).alias("g")).withColumn("lane", lane).withColumn("slot", F.row_number().over(Window.partitionBy("g").orderBy(pos)))
-    best = picks.groupBy(key).agg(F.min(F.struct("slot", "lane")).alias("b")).select(key, "b.slot", "b.lane")
+    picks = row_numbers(rows.select(F.col(key).alias("k"), F.col(pos).alias("p"), F.explode(groups).alias("g")), ["g"], ["p"], "slot").withColumn("lane", lane)
+    best = picks.groupBy(F.col("k").alias(key)).agg(F.min(F.struct("slot", "lane")).alias("b")).select(key, "b.slot", "b.lane")
     return rows.join(best, key, "left")
 
 
@@ -56,10 +64,10 @@ def eligibility(rules: list[tuple[Column, str]]) -> Column:
 
 
 def drop_duplicates_in_order(rows: DataFrame, first_key: str, second_key: str, order: list[str]) -> DataFrame:
-    """rows with `status`: DUPLICATE_URL after an earlier row of the first key, else DUPLICATE_BODY after an earlier row of the second key that isn't itself a duplicate, else SELECTED."""
-    a = rows.withColumn("_u", F.row_number().over(Window.partitionBy(first_key).orderBy(*order)))
-    b = a.withColumn("_b", F.row_number().over(Window.partitionBy(second_key, F.col("_u") == 1).orderBy(*order)))
-    return b.withColumn("status", F.when(F.col("_u") > 1, "DUPLICATE_URL").when(F.col("_b") > 1, "DUPLICATE_BODY").otherwise("SELECTED")).drop("_u", "_b")
+    """rows with `status`: DUPLICATE_URL after an earlier row of the first key, else DUPLICATE_BODY after an earlier row of the second key that isn't itself a DUPLICATE_URL, else SELECTED. No two rows are equal in order."""
+    a = _firsts(rows, first_key, order).withColumnRenamed("_first", "_url")
+    b = _firsts(a.where("_url"), second_key, order).withColumn("status", F.when(F.col("_first"), "SELECTED").otherwise("DUPLICATE_BODY")).drop("_first", "_url")
+    return b.unionByName(a.where("NOT _url").withColumn("status", F.lit("DUPLICATE_URL")).drop("_url"))
 
 
 def select_with_quota(rows: DataFrame, slots: list[str], need: int, total: int) -> DataFrame:

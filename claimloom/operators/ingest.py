@@ -7,23 +7,20 @@ that order. References are local to a payload.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import CLASSIFICATION_NAMES, capitalized, normalized_code
+from claimloom.operators.order import row_numbers
 
 DEFAULT_CLASSIFICATION, DEFAULT_RELATION = "GENERAL", "RELATED_TO"
 MOST_DOCUMENTS, MOST_CLAIMS = 1_000, 100
 
 
 def allocate_ids(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
-    """new with ids after the largest stored one, in order. The rows that a batch adds are numbered by range: counts per range, then places within."""
-    first = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    ranged = new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return ranged.join(F.broadcast(before), "_part").join(F.broadcast(first)).withColumn("id", (F.col("top") + F.col("_before") + F.col("_place")).cast("bigint")).drop("_part", "_place", "_before", "top")
+    """new with ids after the largest stored one, in order."""
+    top = stored.agg(F.max("id")).first()[0] or 0
+    return row_numbers(new, [], order, "_nth").withColumn("id", F.col("_nth") + F.lit(top)).drop("_nth")
 
 
 def new_codes(payload_codes: DataFrame, stored: DataFrame, default: str = DEFAULT_CLASSIFICATION, names: dict[str, str] = CLASSIFICATION_NAMES) -> DataFrame:

@@ -262,9 +262,9 @@ _RELATED = "r AS (SELECT o_orderkey AS seq, o_custkey AS source, (o_orderkey * 7
 @query("c12_unresolved_endpoints", f"WITH {_RELATED} SELECT seq, 'RELATED_TO target ' || target::VARCHAR AS reason FROM r WHERE target NOT IN (SELECT p_partkey FROM part)")
 def c12_unresolved_endpoints(spark, d):
     part, orders = table(spark, d, "part"), table(spark, d, "orders")
-    twice = part.agg((2 * F.count("*")).alias("m"))
+    twice = 2 * part.count()
     none = F.lit(None).cast("string")
-    relations = orders.join(F.broadcast(twice)).select(F.col("o_orderkey").alias("seq"), F.lit(0).alias("pos"), F.lit("c").alias("source_ref"), none.alias("source_name"), none.alias("target_ref"), ((F.col("o_orderkey") * 7) % F.col("m")).cast("string").alias("target_name"), F.lit("RELATED_TO").alias("relation"))
+    relations = orders.select(F.col("o_orderkey").alias("seq"), F.lit(0).alias("pos"), F.lit("c").alias("source_ref"), none.alias("source_name"), none.alias("target_ref"), ((F.col("o_orderkey") * 7) % twice).cast("string").alias("target_name"), F.lit("RELATED_TO").alias("relation"))
     entities = orders.select(F.col("o_orderkey").alias("seq"), F.lit(0).alias("pos"), F.lit("c").alias("ref_id"), F.lit("customer").alias("name"), F.col("o_custkey").alias("node_id"))
     stored = part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("name"))
     return ingest.rejected_payloads(ingest.resolve_endpoints(relations, entities, stored))
@@ -495,10 +495,11 @@ _HASHED = "h AS (SELECT doc_id, lang, source, sha256(doc_id::VARCHAR) AS h FROM
 
 @query(
     "f6_fair_order",
-    f"WITH {_HASHED}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h) AS round FROM h) SELECT doc_id, round::INTEGER AS round, row_number() OVER (PARTITION BY lang ORDER BY round, source)::INTEGER AS turn FROM r",
+    f"WITH {_HASHED}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h) AS round FROM h) SELECT doc_id, round, row_number() OVER (PARTITION BY lang ORDER BY round, source) AS turn FROM r",
 )
 def f6_fair_order(spark, d):
-    return corpus.fair_order(table(spark, d, "documents"), "lang", "source", F.sha2(F.col("doc_id").cast("string"), 256)).select("doc_id", "round", "turn")
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source", F.sha2(F.col("doc_id").cast("string"), 256).alias("tie"))
+    return corpus.fair_order(rows, "lang", "source", "tie").select("doc_id", "round", "turn")
 
 
 _TAGGED = "t AS (SELECT doc_id, list_filter(['the', 'que', 'der'], lambda x: contains(lower(text), ' ' || x || ' ')) AS tags FROM documents)"
@@ -507,12 +508,12 @@ _TAGGED = "t AS (SELECT doc_id, list_filter(['the', 'que', 'der'], lambda x: con
 @query(
     "f7_interleave",
     f"""WITH {_TAGGED}, x AS (SELECT doc_id, unnest(tags) AS g FROM t), r AS (SELECT doc_id, list_position(['the', 'que', 'der'], g) AS lane, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS slot FROM x),
-b AS (SELECT doc_id, min((slot, lane)) AS b FROM r GROUP BY 1) SELECT t.doc_id, coalesce(b.b[1], -1)::INTEGER AS slot, coalesce(b.b[2], -1)::BIGINT AS lane FROM t LEFT JOIN b ON b.doc_id = t.doc_id""",
+b AS (SELECT doc_id, min((slot, lane)) AS b FROM r GROUP BY 1) SELECT t.doc_id, coalesce(b.b[1], -1)::BIGINT AS slot, coalesce(b.b[2], -1)::BIGINT AS lane FROM t LEFT JOIN b ON b.doc_id = t.doc_id""",
 )
 def f7_interleave(spark, d):
     names = ["the", "que", "der"]
     rows = table(spark, d, "documents").select("doc_id", T.alias_tags(F.col("text"), {n: [f" {n} "] for n in names}).alias("tags"))
-    return corpus.interleave(rows, "doc_id", "tags", "doc_id", names).select("doc_id", F.coalesce("slot", F.lit(-1)).alias("slot"), F.coalesce("lane", F.lit(-1).cast("bigint")).alias("lane"))
+    return corpus.interleave(rows, "doc_id", "tags", "doc_id", names).select("doc_id", F.coalesce("slot", F.lit(-1).cast("bigint")).alias("slot"), F.coalesce("lane", F.lit(-1).cast("bigint")).alias("lane"))
 
 
 _URL = r"""u AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '(?i)^http://', 'https://') AS bare FROM pages),

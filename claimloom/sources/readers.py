@@ -33,9 +33,9 @@ def record_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    last = parsed.agg(F.max(F.struct("file", "block", "line")).alias("last"))
-    marked = parsed.join(F.broadcast(last)).withColumn("at", F.struct("file", "block", "line"))
-    bad, torn = F.col("r._bad").isNotNull(), F.col("at") == F.col("last")
+    last = parsed.agg(F.max(F.struct("file", "block", "line")).alias("last")).first()["last"]
+    marked = parsed.withColumn("at", F.struct("file", "block", "line"))
+    bad, torn = F.col("r._bad").isNotNull(), (F.col("file") == last["file"]) & (F.col("line") == last["line"]) if last else F.lit(False)
     good = F.when(bad & torn, False).when(bad, F.raise_error(F.concat(F.lit("malformed record: "), "value"))).otherwise(True)
     return marked.where(good).select("r.*", F.col("at").alias("ordinal")).drop("_bad")
 

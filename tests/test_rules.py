@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
@@ -94,7 +95,16 @@ def test_fair_order_is_round_robin_in_any_input_order(spark):
     for _ in range(2):
         r.shuffle(items)
         df = spark.createDataFrame(items, "i int, h string, k string")
-        assert {x["k"]: x["turn"] for x in corpus.fair_order(df, "i", "h", F.col("k")).collect()} == want
+        assert {x["k"]: x["turn"] for x in corpus.fair_order(df, "i", "h", "k").collect()} == want
+
+
+def test_row_numbers_over_a_hot_group_in_many_ranges(spark):
+    from claimloom.operators.order import row_numbers
+
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 30 == 0, None).otherwise((F.col("id") % 7).cast("string")).alias("g"), F.xxhash64("id").alias("o"))
+    got = row_numbers(df.repartition(6), ["g"], ["o"], "n")
+    w = Window.partitionBy("g").orderBy("o")
+    assert got.withColumn("m", F.row_number().over(w)).where("n <> m").count() == 0 and got.count() == 5000
 
 
 def test_quota_selection_folds_in_order(spark):
