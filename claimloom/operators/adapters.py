@@ -150,3 +150,24 @@ def valid_edges(edges: DataFrame, selected: DataFrame) -> DataFrame:
 def convert(kind: str, builders: dict[str, Callable[[DataFrame], DataFrame]], export: DataFrame) -> DataFrame:
     """The builder of the kind's producer on an export; ValueError for an unknown one."""
     return builders[producer(kind)](export)
+
+
+def period_gate(workbooks: DataFrame, cells: DataFrame, columns: DataFrame, sheet: str, address: str) -> DataFrame:
+    """workbooks(workbook, schema_version) with `error`: another schema version, or a period found neither in a cell nor in the labels of its column.
+
+    cells: cell_index. columns(workbook, sheet, column, label): header labels.
+    """
+    letter = "".join(c for c in address if c.isalpha())
+    in_cell = cells.where((F.col("sheet") == sheet) & (F.col("address") == address) & F.col("value").isNotNull()).select("workbook").distinct().withColumn("_cell", F.lit(True))
+    in_head = columns.where((F.col("sheet") == sheet) & (F.col("column") == letter) & F.col("label").isNotNull()).select("workbook").distinct().withColumn("_head", F.lit(True))
+    out = workbooks.join(in_cell, "workbook", "left").join(in_head, "workbook", "left")
+    return out.withColumn("error", F.when(~F.col("schema_version").eqNullSafe("1.0"), "UNSUPPORTED_SCHEMA").when(F.coalesce("_cell", "_head").isNull(), "MISSING_PERIOD_REFERENCE")).drop("_cell", "_head")
+
+
+def rename_entities(edges: DataFrame, renames: DataFrame) -> DataFrame:
+    """edges(source, target, ...) with names changed by renames(old, new)."""
+    out = edges
+    for end in ("source", "target"):
+        r = renames.select(F.col("old").alias(end), F.col("new").alias("_new"))
+        out = out.join(r, end, "left").withColumn(end, F.coalesce("_new", end)).drop("_new")
+    return out

@@ -158,3 +158,31 @@ def invariants(selected: DataFrame, unique: list[str], size: int | None = None)
     if size is not None:
         checks.append(F.when(F.count("*") != size, F.struct(F.lit("size").alias("invariant"), F.count("*").alias("found"))))
     return selected.agg(F.array_compact(F.array(*checks)).alias("v")).select(F.explode("v").alias("v")).select("v.*")
+
+
+def utc_instant(raw: Column) -> Column:
+    """A time with a zone (Z, an offset or UTC) as UTC text ...Z; null for others."""
+    t = F.trim(raw)
+    zoned = t.rlike(r"(?i)(Z|UTC|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, F.date_format(F.try_to_timestamp(F.regexp_replace(t, r"(?i)\s*UTC$", "Z")), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def check_candidates(rows: DataFrame, starts: list[str]) -> DataFrame:
+    """rows(url, seen_at, query_interval_start, has_...) with `error`: no address, a time without zone, an unknown interval, or no subject flag."""
+    yes = lambda c: F.lower(F.trim(c)).isin("1", "true", "yes", "y")
+    error = (
+        F.when(F.trim(F.coalesce("url", F.lit(""))) == "", "missing_url")
+        .when(utc_instant(F.col("seen_at")).isNull(), "seen_at_without_zone")
+        .when(~F.coalesce(utc_instant(F.col("query_interval_start")).isin(*starts), F.lit(False)), "unknown_interval")
+        .when(~F.coalesce(yes(F.col("has_subject")), F.lit(False)), "missing_subject")
+    )
+    return rows.withColumn("error", error)
+
+
+def audit_summary(rows: DataFrame, questions: list[str]) -> DataFrame:
+    """One row: rows, completed ones (every question answered), and yes counts per question."""
+    yes = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))) == "yes"
+    done = F.lit(True)
+    for q in questions:
+        done = done & (F.trim(F.coalesce(q, F.lit(""))) != "")
+    return rows.agg(F.count("*").alias("n"), F.count_if(done).alias("completed"), *[F.count_if(yes(F.col(q))).alias(f"{q}_yes") for q in questions])

@@ -196,3 +196,20 @@ def page_after(df: DataFrame, keys: list[str], values: list | None, size: int) -
     if values is not None:
         df = df.where(F.struct(*keys) > F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, values, strict=True)]))
     return df.orderBy(*keys).limit(size)
+
+
+def prompt_text(inputs: DataFrame, claims: DataFrame, edges: DataFrame, reserved: list[str], most_claims: int = 30, most_edges: int = 20) -> DataFrame:
+    """(id, prompt): name, description, shown properties, first claims and edges of each node, a line each.
+
+    inputs(id, name, description, properties map, claim_ids, edge_ids), claims(id, statement), edges(id, source, target, relation).
+    """
+    wanted = inputs.select("id", F.posexplode(F.slice("claim_ids", 1, most_claims)).alias("n", "claim_id"))
+    said = wanted.join(claims.select(F.col("id").alias("claim_id"), "statement"), "claim_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("claim: "), "statement").alias("line")))).alias("c"))
+    near = inputs.select("id", F.posexplode(F.slice("edge_ids", 1, most_edges)).alias("n", "edge"))
+    drawn = near.join(edges.select(F.col("id").alias("edge"), "source", "target", "relation"), "edge").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(" ", F.lit("edge:"), "source", "relation", "target").alias("line")))).alias("e"))
+    shown = F.map_filter("properties", lambda k, v: ~k.isin(reserved) & ~k.startswith("_") & v.isNotNull())
+    own = F.transform(F.array_sort(F.map_entries(shown)), lambda p: F.concat(F.lit("property: "), p["key"], F.lit(" = "), p["value"]))
+    lines = lambda a: F.coalesce(F.transform(a, lambda x: x["line"]), F.array().cast("array<string>"))
+    out = inputs.join(said, "id", "left").join(drawn, "id", "left")
+    head = F.array_compact(F.array(F.concat(F.lit("name: "), "name"), F.concat(F.lit("description: "), "description")))
+    return out.select("id", F.array_join(F.concat(head, F.coalesce(own, F.array().cast("array<string>")), lines(F.col("c")), lines(F.col("e"))), "\n").alias("prompt"))

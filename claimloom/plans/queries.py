@@ -720,3 +720,122 @@ def g11_largest_gap(spark, d):
 def g15_status_counts(spark, d):
     status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "completed").otherwise("processing")
     return ranking.status_counts(table(spark, d, "orders").select(status.alias("status")))
+
+
+# More of each family.
+
+
+@query(
+    "b20_prompt_lines",
+    f"""{GRAPH_CTE}, ends AS (SELECT id AS edge, source AS node FROM edges UNION SELECT id, target FROM edges), r AS (SELECT node, edge, row_number() OVER (PARTITION BY node ORDER BY edge) AS n FROM ends),
+l AS (SELECT node, string_agg('edge: ' || source::VARCHAR || ' ' || relation || ' ' || target::VARCHAR, chr(10) ORDER BY n) AS lines FROM r JOIN edges e ON e.id = r.edge WHERE n <= 20 GROUP BY 1)
+SELECT id, 'name: ' || name || coalesce(chr(10) || 'description: ' || description, '') || chr(10) || 'property: class = ' || classification || coalesce(chr(10) || lines, '') AS prompt FROM nodes LEFT JOIN l ON l.node = id WHERE classification IN ('SUPPLIER', 'NATION')""",
+)
+def b20_prompt_lines(spark, d):
+    edges = derived.edges(spark, d)
+    nodes = derived.nodes(spark, d).where("classification IN ('SUPPLIER', 'NATION')").withColumn("claim_ids", F.array().cast("array<bigint>"))
+    inputs = graph.insight_inputs(nodes, edges).join(nodes.select("id", F.create_map(F.lit("class"), F.col("classification"), F.lit("_k"), F.lit("x"), F.lit("hidden"), F.lit("y")).alias("properties")), "id")
+    claims = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("statement"))
+    return graph.prompt_text(inputs, claims, edges, ["hidden"])
+
+
+@query("c4_document_room", "SELECT lang, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 120")
+def c4_document_room(spark, d):
+    return ingest.over_limit(table(spark, d, "documents"), "lang", 120)
+
+
+@query("c8_last_descriptions", "SELECT user_id AS node_id, arg_max(event_type, (ts, event_id)) AS description FROM events GROUP BY 1")
+def c8_last_descriptions(spark, d):
+    return ingest.last_descriptions(table(spark, d, "events").select(F.col("user_id").alias("node_id"), F.col("event_type").alias("description"), F.col("ts").alias("seq"), F.col("event_id").alias("pos")))
+
+
+@query(
+    "d7_edge_admission",
+    "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+)
+def d7_edge_admission(spark, d):
+    edges = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source_name"), F.lit("All").alias("target_name"))
+    kept = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("ALL ").alias("name"))
+    known = table(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"))
+    return grounding.admit_edges(edges, kept, known).select("o_orderkey")
+
+
+@query("d9_stale_insights", f"{GRAPH_CTE} SELECT id FROM nodes WHERE classification = 'SUPPLIER' AND k % 4 <> 0")
+def d9_stale_insights(spark, d):
+    inputs = graph.insight_inputs(_suppliers(spark, d), derived.edges(spark, d))
+    done = inputs.where("id % 4 = 0").select(F.col("id").alias("node_id"), F.col("fingerprint").alias("input_fingerprint"))
+    return graph.stale(inputs, done).select("id")
+
+
+@query("d10_without_evidence", "SELECT c_custkey, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS bare FROM customer")
+def d10_without_evidence(spark, d):
+    found = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set("o_orderkey").alias("claim_ids"))
+    return table(spark, d, "customer").join(found, "c_custkey", "left").select("c_custkey", grounding.without_evidence(F.col("claim_ids"), F.lit(" ")).alias("bare"))
+
+
+@query("d12_question_pairs", "SELECT conv_id AS node_id, least(count(*) FILTER (role <> 'system' AND trim(text) <> ''), 5)::INTEGER AS n FROM conversations GROUP BY 1")
+def d12_question_pairs(spark, d):
+    turns = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "system", " ").otherwise(F.col("role")).alias("question"), F.col("text").alias("answer")))).alias("questions"))
+    rows = grounding.insight_rows(turns.withColumn("issues", F.array(F.lit("x"))))
+    return rows.select("node_id", F.size("questions").alias("n"))
+
+
+@query("e15_renames", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE o_orderpriority END AS source FROM orders")
+def e15_renames(spark, d):
+    edges = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("target"))
+    renames = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderpriority").alias("old"), F.lit("urgent").alias("new")).distinct()
+    return adapters.rename_entities(edges, renames).select("o_orderkey", "source")
+
+
+@query(
+    "f3_check_candidates",
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'missing_url' WHEN event_id % 3 = 0 THEN 'seen_at_without_zone' WHEN event_type = 'click' THEN 'unknown_interval' WHEN event_type = 'view' THEN 'missing_subject' ELSE '' END AS error FROM events""",
+)
+def f3_check_candidates(spark, d):
+    c = F.col
+    rows = table(spark, d, "events").select(
+        "event_id",
+        F.when(c("event_id") % 5 == 0, " ").otherwise("http://x").alias("url"),
+        F.concat(F.lit("2024-01-02 03:04:05"), F.when(c("event_id") % 3 == 0, "").otherwise(" UTC")).alias("seen_at"),
+        F.when(c("event_type") == "click", "2020-01-01T00:00:00Z").otherwise("2024-01-01T09:00:00+09:00").alias("query_interval_start"),
+        F.when(c("event_type") == "view", "no").otherwise(" Yes").alias("has_subject"),
+    )
+    return corpus.check_candidates(rows, ["2024-01-01T00:00:00Z"]).select("event_id", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("f17_published_at", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'DAY' WHEN 1 THEN 'INSTANT' ELSE 'none' END AS precision, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'none' END AS day FROM orders")
+def f17_published_at(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, day).when(F.col("o_orderkey") % 3 == 1, F.concat(day, F.lit("T01:02:03+00:00"))).otherwise(F.concat(day, F.lit("T01:02:03")))
+    value, precision = T.published_at(raw)
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(precision, F.lit("none")).alias("precision"), F.coalesce(F.date_format(value, "yyyy-MM-dd"), F.lit("none")).alias("day"))
+
+
+@query("f25_audit_summary", "SELECT count(*) AS n, count(*) FILTER (lang <> 'es') AS completed, count(*) FILTER (lang = 'en') AS a_yes, count(*) FILTER (lang IN ('de', 'fr')) AS b_yes FROM documents")
+def f25_audit_summary(spark, d):
+    lang = F.col("lang")
+    rows = table(spark, d, "documents").select(F.when(lang == "en", "Yes").otherwise("no").alias("a"), F.when(lang == "es", " ").when(lang == "en", "no").otherwise("yes ").alias("b"))
+    return corpus.audit_summary(rows, ["a", "b"])
+
+
+@query("f28_distinct_hosts", f"WITH {_URL} SELECT count(DISTINCT host) AS n FROM f")
+def f28_distinct_hosts(spark, d):
+    return table(spark, d, "pages").agg(F.countDistinct(U.host(F.col("url"))).alias("n"))
+
+
+@query("g2_selection_lookup", f"{GRAPH_CTE} SELECT id, name, CASE WHEN contains(lower(name), 'nation_2') THEN 'name' WHEN contains(lower(classification), 'nation_2') THEN 'classification' ELSE 'related' END AS match FROM nodes WHERE contains(lower(name), 'nation_2') OR contains(lower(classification), 'nation_2') OR contains(lower(description), 'nation_2') ORDER BY id DESC LIMIT 4")
+def g2_selection_lookup(spark, d):
+    return ranking.selection_lookup(derived.nodes(spark, d), " Nation_2")
+
+
+@query("g18_edge_sentences", f"{GRAPH_CTE} SELECT e.id, s.name || ' ➔ ' || t.name || ' · ' || relation || ' · 1 evidence' AS sentence FROM edges e JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target")
+def g18_edge_sentences(spark, d):
+    names = derived.nodes(spark, d).select("id", "name")
+    e = derived.edges(spark, d).join(names.withColumnsRenamed({"id": "source", "name": "s"}), "source").join(names.withColumnsRenamed({"id": "target", "name": "t"}), "target")
+    return e.select("id", ranking.edge_sentence(F.col("s"), F.col("t"), F.col("relation"), F.lit(True), F.lit(1)).alias("sentence"))
+
+
+@query("g19_producers", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'news' WHEN source = 'src2' THEN 'gov' ELSE 'other' END AS producer FROM documents")
+def g19_producers(spark, d):
+    source = F.when(F.col("source") == "src1", "Daily NEWS").when(F.col("source") == "src2", "gov-portal").otherwise(F.col("source"))
+    return table(spark, d, "documents").select("doc_id", adapters.producer_of(source).alias("producer"))

@@ -184,3 +184,16 @@ def test_streamed_responses_are_grounded_once(spark, tmp_path):
     assert [(c["start"], c["end"]) for c in seen[0]["claims"]] == [(2, 12)]
     assert [e["name"] for e in seen[0]["entities"]] == ["Acme"]
     assert [(e["source_name"], e["claim_ref"]) for e in seen[0]["edges"]] == [("acme", "c0")]
+
+
+def test_period_gate_and_catalog(spark):
+    books = spark.createDataFrame([("a", "1.0"), ("b", "1.0"), ("c", "1.0"), ("d", "2.0")], "workbook string, schema_version string")
+    cells = spark.createDataFrame([("a", "S", "C2", "2024"), ("b", "S", "C2", None), ("c", "T", "C2", "x")], "workbook string, sheet string, address string, value string")
+    heads = spark.createDataFrame([("b", "S", "C", "2024")], "workbook string, sheet string, column string, label string")
+    assert rows(adapters.period_gate(books, cells, heads, "S", "C2"), "workbook", "error") == [("a", None), ("b", None), ("c", "MISSING_PERIOD_REFERENCE"), ("d", "UNSUPPORTED_SCHEMA")]
+    from claimloom.sources import catalog
+
+    tables = {"books": books.schema, "cells": cells.schema}
+    text = catalog.describe(tables)
+    assert catalog.drifted(tables, text) == []
+    assert catalog.drifted({"books": heads.schema, "cells": cells.schema}, text) == ["books"]
