@@ -8,8 +8,8 @@ it, and then ascends in all trees at once, one bit at a time, until the vectors
 prefixes number at least SHARE of the partition. Their exact distances give the partition's
 nearest, and the partitions' nearest are merged per query.
 
-Queries go to the partitions in blocks of QUERY_BLOCK, broadcast one after the other, so neither
-driver nor task holds more than a block. SHARE sets the balance of cost and recall: vectors
+Queries go to the partitions in blocks of about QUERY_BLOCK / 2, broadcast one after the other,
+and each block's results are written, so neither driver nor task holds more than a block. SHARE sets the balance of cost and recall: vectors
 without structure, as good as equally far apart, need more than half of them for a recall of 0.9
 and more; recall on the given tables is tested against brute force.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import materialize
+from claimloom.llm.common import materialize, scratch_path
 
 TREES, BITS = 24, 24
 SHARE = 0.6
@@ -124,20 +124,22 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     index = materialize(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(parts, "part"), "forest")
     sample = _matrix(index.select("v").orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLE).toArrow()["v"])
     planes = index.sparkSession.sparkContext.broadcast(Planes(sample, trees, bits, seed))
-    queries = index.where("q").select("id", "v", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(max(1, -(-index.where("q").count() * 2 // QUERY_BLOCK)))).alias("block"))
-    found = None
-    for b in range(queries.agg(F.max("block")).first()[0] + 1 if queries.limit(1).count() else 0):
+    blocks = max(1, -(-2 * index.where("q").count() // QUERY_BLOCK))  # by hash, so about half full
+    queries = index.where("q").select("id", "v", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).alias("block"))
+    path = scratch_path(index.sparkSession, "forest-found")
+    for b in range(blocks):
         block = queries.where(F.col("block") == b).select("id", "v").toArrow()
-        if block.num_rows:
-            ids, v = block["id"].to_numpy(), _matrix(block["v"])
-            part = index.groupBy("part").applyInArrow(_searcher(planes, index.sparkSession.sparkContext.broadcast((ids, v)), k, share), "query_id bigint, vec_id bigint, score double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        shared = index.sparkSession.sparkContext.broadcast((block["id"].to_numpy(), _matrix(block["v"]) if block.num_rows else np.zeros((0, sample.shape[1]))))
+        index.groupBy("part").applyInArrow(_searcher(planes, shared, k, share), _FOUND).write.mode("append").parquet(path)
+        shared.destroy()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = index.sparkSession.read.schema(_FOUND).parquet(path)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+_FOUND = "query_id bigint, vec_id bigint, score double"
+
+
 def _searcher(planes, block, k: int, share: float):
     def run(table: pa.Table) -> pa.Table:
         forest = Forest(planes.value, table["id"].to_numpy(), _matrix(table["v"]))
@@ -145,6 +147,6 @@ def _searcher(planes, block, k: int, share: float):
         strings = planes.value.strings(v).T.tolist()
         out = [forest.nearest(int(i), q, s, k, share) for i, q, s in zip(ids, v, strings, strict=True)]
         counts = [len(x) for x, _ in out]
-        return pa.table({"query_id": pa.array(np.repeat(ids, counts), pa.int64()), "vec_id": pa.array(np.concatenate([x for x, _ in out]), pa.int64()), "score": pa.array(np.concatenate([d for _, d in out]), pa.float64())})
+        return pa.table({"query_id": pa.array(np.repeat(ids, np.array(counts, np.int64)), pa.int64()), "vec_id": pa.array(np.concatenate([np.zeros(0, np.int64), *(x for x, _ in out)]), pa.int64()), "score": pa.array(np.concatenate([np.zeros(0), *(d for _, d in out)]), pa.float64())})
 
     return run

@@ -117,7 +117,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """(doc_id, size, text_crc32, shard, slot): one row per row of docs."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = materialize(docs.select(docs[id_col].alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("gid")), "shard-rows")
-    placed = assign(rows.groupBy("gid").agg(F.sum("size").alias("total")), shards, bucket)
+    placed = assign(materialize(rows.groupBy("gid").agg(F.sum("size").alias("total")), "shard-sizes"), shards, bucket)
     chunks = max(1, -(-rows.count() // (shards * chunk)))
     rows = rows.join(placed, "gid").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit(7)), F.lit(chunks)).alias("chunk"))
     rows = materialize(rows, "shard-placed")
