@@ -158,7 +158,7 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
     placed = materialize(cluster.join(stars, "id", "left").select("id", "cluster", F.coalesce("hub", "id").alias("hub")), "near-placed")
     arms = placed.groupBy("cluster", "hub").agg(F.count("*").alias("n"))
     clusters = arms.groupBy("cluster").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count("*").alias("arms"))
-    clusters = clusters.where("arms > 1").select("cluster", "main", F.ceil((F.col("n") - F.col("n_main")) / LEFT).cast("int").alias("n_i"), F.ceil(F.col("n") / ALL).cast("int").alias("n_j"))
+    clusters = materialize(clusters, "near-mixed").where("arms > 1").select("cluster", "main", F.ceil((F.col("n") - F.col("n_main")) / LEFT).cast("int").alias("n_i"), F.ceil(F.col("n") / ALL).cast("int").alias("n_j"))
     members = placed.join(clusters, "cluster")
     members = members.select("id", "cluster", "hub", (F.col("hub") != F.col("main")).alias("out"), "n_i", "n_j", F.pmod(F.xxhash64("id"), F.col("n_i")).cast("int").alias("at_i"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_j")).cast("int").alias("at_j"))
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
