@@ -12,6 +12,8 @@ from claimloom.functions import urls as U
 from claimloom.operators import adapters, corpus, graph, grounding, ingest, ranking
 from claimloom.plans import derived
 from claimloom.plans.derived import GRAPH_CTE, table
+from claimloom.plans.scratch import scratch_path
+from claimloom.streaming import extraction
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -839,3 +841,28 @@ def g18_edge_sentences(spark, d):
 def g19_producers(spark, d):
     source = F.when(F.col("source") == "src1", "Daily NEWS").when(F.col("source") == "src2", "gov-portal").otherwise(F.col("source"))
     return table(spark, d, "documents").select("doc_id", adapters.producer_of(source).alias("producer"))
+
+
+# Streams over a table's files, run until all has been read.
+
+
+def _stream(spark, d, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")  # a pattern, since a table may be one file or a folder
+
+
+@query("s1_stream_windows", "SELECT strftime(DATE '2024-01-01' + 15 * floor(datediff('day', DATE '2024-01-01', ts::DATE) / 15.0)::INTEGER, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def s1_stream_windows(spark, d):
+    events = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    counts = extraction.fixed_windows(events, "ts", 15, "2024-01-01", "1 day").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+    return extraction.drain(counts, "complete", scratch_path(spark, "stream"), scratch_path(spark, "stream-state"))
+
+
+@query(
+    "s2_stream_retries",
+    """WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type <> 'click') AS others FROM events GROUP BY 1)
+SELECT 'RETRY' AS outcome, count(*) FILTER (clicks > 0)::BIGINT AS n FROM c UNION ALL SELECT 'FAILED_HTTP', sum(greatest(clicks - 1, 0))::BIGINT FROM c UNION ALL SELECT 'FETCHED', sum(others)::BIGINT FROM c""",
+)
+def s2_stream_retries(spark, d):
+    attempts = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.when(F.col("event_type") == "click", "RETRY_PENDING").otherwise("FETCHED").alias("status"))
+    outcomes = extraction.drain(extraction.retry_once(attempts), "append", scratch_path(spark, "stream"), scratch_path(spark, "stream-state"))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))

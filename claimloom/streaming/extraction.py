@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +57,22 @@ def retry_once(attempts: DataFrame) -> DataFrame:
         state.update((tries,))
         yield pd.DataFrame({"key": [key[0]] * len(out), "outcome": out})
 
-    return attempts.groupBy("key").applyInPandasWithState(step, "key string, outcome string", "tries int", "append", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("key").applyInPandasWithState(step, "key string, outcome string", "tries int", "Append", GroupStateTimeout.NoTimeout)
 
 
-def fixed_windows(events: DataFrame, ts: str, days: int, start_offset_days: int, late: str) -> DataFrame:
-    """Counts of a stream per tumbling window of `days` days, closed when `late` has passed."""
-    window = F.window(F.col(ts), f"{days} days", f"{days} days", f"{start_offset_days} days")
+def fixed_windows(events: DataFrame, ts: str, days: int, start: str, late: str) -> DataFrame:
+    """Counts of a stream per tumbling window of `days` days from start (a date); a window is closed when `late` has passed."""
+    offset = (date.fromisoformat(start) - date(1970, 1, 1)).days % days
+    window = F.window(F.col(ts), f"{days} days", f"{days} days", f"{offset} days")
     return events.withWatermark(ts, late).groupBy(window).agg(F.count("*").alias("n"))
+
+
+def drain(stream: DataFrame, mode: str, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that has arrived, and return its result: that of the last batch in complete mode, of all batches else."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        target = path if mode == "complete" else f"{path}/batch={number}"  # a batch that is run again replaces itself
+        batch.write.mode("overwrite").parquet(target)
+
+    stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(path).drop("batch")
