@@ -9,12 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """This application's folder in that of spark.checkpoint.dir; in a temporary one only where that is unset, as in local tests.
+
+    It is deleted when the application ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="claimloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/claimloom/{spark.sparkContext.applicationId}"
+    folder = f"{root}/claimloom/{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _made.add(folder)
+    return folder
+
+
+_made: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -27,3 +40,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's scratch tables now. Call it when no result that reads them is needed any more."""
+    folder = shared_folder(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.discard(folder)
