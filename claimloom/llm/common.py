@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,32 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.plans.scratch import materialize, release, scratch_path, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="claimloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/claimloom/{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back, so that lost executors cost no recomputation."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch tables. Call it when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["arrow_column", "bound_batches", "filter_bits", "fresh", "id_bit", "id_filter", "is_on", "materialize", "release", "scratch_path", "shared_folder", "text_bytes"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
