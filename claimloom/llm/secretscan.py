@@ -1,8 +1,8 @@
 """Operator 8: secrets by patterns and by the guess cost of values in credential contexts.
 
 The patterns find assignments to credential names, access key ids and long hex strings. The
-method looks at values in further credential contexts (passphrase, pwd, bearer, private key,
-client secret and others) and asks what guessing each would cost: a dynamic program splits the
+method looks at values in credential contexts (those names again, passphrase, pwd, bearer, private
+key, client secret and others) and asks what guessing each would cost: a dynamic program splits the
 value into words, dates, repeats, keyboard walks and brute-force spans at the least total cost
 (log10 of guesses). A value that costs at least THRESHOLD is a secret; its span is added as
 kind `guess` unless it overlaps one of the patterns'.
@@ -33,8 +33,9 @@ _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_CONTEXT = re.compile(r"(?i:\b(?:passphrase|passcode|pass|pwd|auth|authorization|bearer|credentials?|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|encryption[_-]?key|pin|login)[\"']?\x20{0,4}(?:=>|:=|[:=])\x20{0,4}(?:bearer\x20|basic\x20)?[\"']?)([^\x00-\x20\"'<>,;]{6,})", re.ASCII)
-_CONTEXT_NAMES = ("pass", "pwd", "auth", "bearer", "credential", "key", "secret", "pin", "login")
+# The base patterns' names stand anywhere in a name, as there; the others not after a letter or digit.
+_CONTEXT = re.compile(r"(?i:(?:password|passwd|secret|token|api[_-]?key|(?<![A-Za-z0-9])(?:passphrase|passcode|pass|pwd|auth|authorization|bearer|credentials?|private[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|signing[_-]?key|encryption[_-]?key|pin|login))[\"']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:(?:bearer|basic)[\x20\t]+)?[\"']?)([^\x00-\x20\"'<>,;]{6,})", re.ASCII)
+_CONTEXT_NAMES = ("pass", "pwd", "auth", "bearer", "credential", "key", "secret", "token", "pin", "login")
 
 #: Common password words, most common first.
 WORDS = (

@@ -316,6 +316,25 @@ def test_secrets(docs, empty):
     assert empty.select(secretscan.detect(empty["text"]).alias("s")).count() == 0
 
 
+CONFIG_SECRETS = [
+    ("password: {}", "x9Kq!27zLmP4"), ("password: {}", "!x9Kq27zLmP4"), ("passwd = '{}'", "x9Kq!27zLmP4"), ('{{"secret": "{}"}}', "#x9Kq27zLmP4"), ("token: {}", "x9Kq!27zLmP4"), ("api_key={}", "x9Kq!27zLmP4"), ("X-Api-Key: {}", "x9Kq!27zLmP4"),
+    ("DB_PWD={}", "x9Kq27zLmP4"), ("smtp_pass = {}", "x9Kq27zLmP4"), ("AWS_SECRET_ACCESS_KEY={}", "wJalrXUtnFEMI/K7MDENG/bPxRfiCY"), ("SECRET_KEY: {}", "x9Kq27zLmP4"), ("pwd:          {}", "x9Kq27zLmP4"), ("pwd          :\t\t{}", "x9Kq27zLmP4"), ("PGPASSWORD={}", "x9Kq!27zLmP4"), ("Authorization: Bearer  {}", "x9Kq27zLmP4"),
+]
+
+
+@pytest.mark.parametrize(("line", "value"), CONFIG_SECRETS)
+def test_secrets_in_config_lines(line, value):
+    text = f"# settings\n{line.format(value)}\nend"
+    assert secretscan.all_spans(text)[1] == [("guess", text.index(value), text.index(value) + len(value))]
+
+
+def test_secrets_leave_prose_and_weak_values_alone():
+    prose = "The password is kept in a safe, and a token of thanks: we bypass the compass: northwards. Her secret, she said, was patience; the login page asks for a pass or a pin."
+    for t in (prose, prose.upper(), "bypass: northwards", "password: p@ssword", "DB_PWD=changeme", "smtp_pass = password1", "token: <none>", "secret: ''", "api_key="):
+        assert secretscan.all_spans(t)[1] == [], t
+    assert [k for k, *_ in secretscan.all_spans("password=x9Kq27zLmP4!x")[1]] == ["assign"]
+
+
 def test_guess_cost_prefers_cheap_segments():
     cost = lambda v: secretscan.guess_cost(v)[0]
     for weak in ("password", "qwertyuiop", "aaaaaaaaaaaa", "abcabcabcabc", "20240102", "Summer2024"):
