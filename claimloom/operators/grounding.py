@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import MOST_CONTENT, STOP_WORDS, quote_offsets, strip_fence
+from claimloom.plans.scratch import materialize
 
 MOST_ENTITIES = 10
+#: Words of the windows that passages and texts are joined on; powers of two.
+WINDOWS = (1, 2, 4, 8)
 
 EXTRACTION = (
     "nodes array<struct<name: string, classification: string, description: string>>, "
@@ -33,6 +38,44 @@ def claims_of(decoded: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", F.concat(F.lit("c"), F.col("pos").cast("string")).alias("ref"), "c.quote", "c.claim_text", start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
+def _windows(words: str, widths: list[int], skip: int) -> Column:
+    """Distinct hashes of the runs of so many words, without `skip` words at either end."""
+    of = lambda k: F.when(F.size(words) >= k + 2 * skip, F.transform(F.sequence(F.lit(1 + skip), F.size(words) - k + 1 - skip), lambda i: F.xxhash64(F.lit(k), F.slice(words, i, k))))
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(of(k), F.array().cast("array<bigint>")) for k in widths])))
+
+
+def passages_in(passages: DataFrame, texts: DataFrame, any_case: bool = False) -> DataFrame:
+    """(doc_id, item_id, quote, text): all pairs of passages(item_id, quote) and texts(doc_id, text) where the text holds the quote.
+
+    A text that holds a quote has the quote's words in a row, but for the first and last, which it
+    may have parts of. So both are joined on hashes of runs of words, each passage on the run
+    that fewest texts have, and only these pairs are tested. Quotes of two words or fewer have
+    no whole word inside and are tested on every text. Rows with equal ids stand for one.
+    """
+    fold = F.lower if any_case else (lambda c: c)
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    items = passages.where("quote IS NOT NULL AND item_id IS NOT NULL").dropDuplicates(["item_id"]).withColumn("w", words(F.col("quote")))
+    width = F.array_max(F.filter(F.array(*[F.lit(k) for k in WINDOWS]), lambda k: k <= F.size("w") - 2))
+    items = materialize(items.select("item_id", "quote", "w", width.alias("width")), "passages")
+    widths = sorted(r[0] for r in items.where("width IS NOT NULL").select("width").distinct().collect())
+    docs = texts.where("text IS NOT NULL AND doc_id IS NOT NULL")
+    holds = fold(F.col("text")).contains(fold(F.col("quote")))
+    parts = [items.where("width IS NULL").join(docs, holds).select("doc_id", "item_id")] if not items.where("width IS NULL").isEmpty() else []
+    if widths:
+        runs = reduce(DataFrame.unionByName, [items.where(F.col("width") == k).select("item_id", F.explode(_windows("w", [k], 1)).alias("run")) for k in widths])
+        runs = materialize(runs, "passage-runs")
+        seen = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(_windows("w", widths, 0)).alias("run"))
+        seen = materialize(seen.join(runs.select("run").distinct(), "run", "left_semi"), "passage-seen")
+        count = materialize(seen.groupBy("run").agg(F.count("*").alias("n")), "passage-counts")
+        rarest = runs.join(count, "run", "left").groupBy("item_id").agg(F.min_by(F.struct("run", "n"), F.struct(F.coalesce("n", F.lit(0)), "run")).alias("r"))
+        rarest = materialize(rarest.where("r.n > 0").select("item_id", F.col("r.run").alias("run")), "passage-rarest")
+        parts.append(seen.join(rarest, "run").select("doc_id", "item_id"))
+    if not parts:
+        return docs.join(items, F.lit(False)).select("doc_id", "item_id", "quote", "text")
+    pairs = materialize(reduce(DataFrame.unionByName, parts).distinct(), "passage-pairs")
+    return pairs.join(items.select("item_id", "quote"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(holds).select("doc_id", "item_id", "quote", "text")
+
+
 def _claim_text() -> Column:
     return F.lower(F.concat("quote", F.lit(" "), F.coalesce("claim_text", F.lit(""))))
 

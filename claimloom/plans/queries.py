@@ -346,6 +346,17 @@ def d4_quote_offsets(spark, d):
     return pairs.select("doc_id", "item_id", F.coalesce(start.cast("int"), F.lit(-1)).alias("start"), F.coalesce(end.cast("int"), F.lit(-1)).alias("end"))
 
 
+@query(
+    "d4_quote_offsets_whole",
+    """SELECT doc_id, item_id, (strpos(d.text, b.text) - 1)::INTEGER AS start, (strpos(d.text, b.text) - 1 + length(b.text))::INTEGER AS "end" FROM documents d JOIN benchmark b ON contains(d.text, b.text)""",
+)
+def d4_quote_offsets_whole(spark, d):
+    """Every benchmark passage in every document that holds it."""
+    found = grounding.passages_in(table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, d, "documents").select("doc_id", "text"))
+    start, end = T.quote_offsets(F.col("quote"), F.col("text"))
+    return found.select("doc_id", "item_id", start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+
 def _claims(spark, d) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.concat(F.lit("c"), F.col("turn").cast("string")).alias("ref"), F.col("text").alias("quote"), F.lit(None).cast("string").alias("claim_text"))
 

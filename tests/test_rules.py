@@ -52,6 +52,27 @@ def test_grounding_levels_refs_and_limit(spark):
     assert found.where("doc_id = 2").count() == 10
 
 
+def test_passages_are_found_in_every_text_that_holds_them(spark):
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcÄß") for _ in range(r.randint(1, 3)))
+    texts = [(i, r.choice((" ", "  ", "\n")).join(word() for _ in range(r.randint(0, 60)))) for i in range(80)]
+    items = []
+    for i in range(60):  # cut anywhere, also inside of words and blanks
+        t = r.choice(texts)[1]
+        at = r.randint(0, max(len(t) - 1, 0))
+        items.append((i, t[at : at + r.randint(1, 60)] if i % 6 else " ".join(word() for _ in range(5))))
+    items += [(100, "same start of a line and then one"), (101, "same start of a line and then two"), (102, None), (103, "lone"), (104, "A b")]
+    texts += [(200 + i, f"x{i} same start of a line and then {'one' if i % 3 else 'two'} more, lone wolf") for i in range(30)] + [(300, None), (301, "")]
+    d, q = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, quote string")
+    for fold, any_case in ((str, False), (str.lower, True)):
+        want = sorted((i, k) for i, t in texts for k, x in items if t is not None and x is not None and fold(x) in fold(t))
+        assert [tuple(x) for x in grounding.passages_in(q, d, any_case).select("doc_id", "item_id").orderBy("doc_id", "item_id").collect()] == want
+        assert len({(i % 40, k % 40) for i, k in want if i % 40 != k % 40}) > 20
+    assert grounding.passages_in(q.limit(0), d).count() == 0
+
+
 def test_adapters(spark):
     sentences, points = "array<struct<index: bigint, text: string>>", "array<struct<text: string, evidence: array<bigint>>>"
     items = spark.createDataFrame([(1, 1, [(10, "a")], [("p", [10])]), (2, 3, [(10, "a")], [("p", [10])]), (3, 3, [(10, "a")], [("p", [999])]), (4, None, None, None)], f"id long, analysisArticleId long, sentences {sentences}, keyPoints {points}")
