@@ -12,7 +12,7 @@ from claimloom.functions import urls as U
 from claimloom.operators import adapters, corpus, graph, grounding, ingest, ranking
 from claimloom.plans import derived
 from claimloom.plans.derived import GRAPH_CTE, table
-from claimloom.plans.scratch import scratch_path
+from claimloom.plans.scratch import materialize, scratch_path
 from claimloom.streaming import extraction
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,6 +245,24 @@ def c10_claim_attribution(spark, d):
     return ingest.attribute_claims(found, claims)
 
 
+def _located(spark, d) -> DataFrame:
+    """(doc_id, item_id, quote, text): every benchmark passage in every document that holds it, in any case."""
+    quotes = table(spark, d, "benchmark").select("item_id", F.trim("text").alias("quote"))
+    return grounding.passages_in(quotes, table(spark, d, "documents").select("doc_id", "text"), any_case=True)
+
+
+@query(
+    "c10_claim_attribution_whole",
+    "SELECT DISTINCT doc_id AS seq, item_id AS node_id, doc_id AS claim_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text)))",
+)
+def c10_claim_attribution_whole(spark, d):
+    """Whole texts as names, a document as payload; its entities are the passages that passages_in finds in it."""
+    none = F.lit(None).cast("string")
+    found = _located(spark, d).select(F.col("doc_id").alias("seq"), F.col("item_id").alias("node_id"), F.col("quote").alias("name"), F.lit(None).cast("array<string>").alias("claim_refs"))
+    claims = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), none.alias("ref_id"), F.col("doc_id").alias("claim_id"), F.col("text").alias("quote_text"), none.alias("statement"))
+    return ingest.attribute_claims(materialize(found, "located"), claims)
+
+
 @query(
     "c11_evidence_union",
     """WITH a AS (SELECT l_suppkey AS id, list(DISTINCT l_orderkey) AS a FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_suppkey AS id, list(DISTINCT l_orderkey) AS b FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
@@ -321,6 +339,19 @@ def c22_reattribution(spark, d):
     return ingest.reattribute(nodes, claims, scopes).select("id", F.array_join("claim_ids", ",").alias("claim_ids"))
 
 
+@query(
+    "c22_reattribution_whole",
+    "SELECT item_id AS id, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS claim_ids FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text))) GROUP BY 1",
+)
+def c22_reattribution_whole(spark, d):
+    """Whole texts as names; a node's scope is every document that passages_in finds it in."""
+    nodes = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("name"))
+    scopes = materialize(_located(spark, d).select(F.col("item_id").alias("id"), F.col("doc_id").alias("document_id")), "located")
+    claims = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("text").alias("statement"), F.lit(None).cast("string").alias("quote_text"))
+    ids = F.array_sort(F.transform("claim_ids", lambda x: x.cast("string")))
+    return ingest.reattribute(nodes, claims, scopes).select("id", F.array_join(ids, ",").alias("claim_ids"))
+
+
 @query("a15_cascade_delete", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def a15_cascade_delete(spark, d):
     gone = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))

@@ -73,6 +73,18 @@ def test_passages_are_found_in_every_text_that_holds_them(spark):
     assert grounding.passages_in(q.limit(0), d).count() == 0
 
 
+def test_whole_passages_are_attributed_across_remainders(spark, tmp_path):
+    from claimloom.plans import registry
+
+    passage = "One Passage that stands in other documents as a whole text"
+    spark.createDataFrame([(7, passage), (8, passage[:40] + " but goes on in another way")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(3, f"before {passage.upper()} after", "src1"), (41, f"x {passage}", "src2"), (7, passage[:45], "src7")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
+    assert run("c10_claim_attribution_whole") == [(3, 7, 3), (41, 7, 41)]
+    assert run("c22_reattribution_whole") == [(7, "3,41")]
+
+
 def test_adapters(spark):
     sentences, points = "array<struct<index: bigint, text: string>>", "array<struct<text: string, evidence: array<bigint>>>"
     items = spark.createDataFrame([(1, 1, [(10, "a")], [("p", [10])]), (2, 3, [(10, "a")], [("p", [10])]), (3, 3, [(10, "a")], [("p", [999])]), (4, None, None, None)], f"id long, analysisArticleId long, sentences {sentences}, keyPoints {points}")
