@@ -640,6 +640,19 @@ def f20_drop_duplicates(spark, d):
     return corpus.drop_duplicates_in_order(rows, "url_key", "body_key", ["doc_id"]).select("doc_id", "status")
 
 
+@query(
+    "f20_drop_duplicates_whole",
+    rf"""WITH {_URL}, k AS (SELECT p.page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS url_key,
+sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS body_key FROM pages p JOIN f ON f.page_id = p.page_id),
+a AS (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS u FROM k), b AS (SELECT *, row_number() OVER (PARTITION BY body_key, u = 1 ORDER BY page_id) AS b FROM a)
+SELECT page_id, CASE WHEN u > 1 THEN 'DUPLICATE_URL' WHEN b > 1 THEN 'DUPLICATE_BODY' ELSE 'SELECTED' END AS status FROM b""",
+)
+def f20_drop_duplicates_whole(spark, d):
+    """Pages by canonical URL and by the hash of their whole text."""
+    rows = table(spark, d, "pages").select("page_id", U.canonical(F.col("url")).alias("url_key"), F.sha2(T.html_to_text(F.col("html")), 256).alias("body_key"))
+    return corpus.drop_duplicates_in_order(materialize(rows, "page-keys"), "url_key", "body_key", ["page_id"]).select("page_id", "status")
+
+
 @query("f20_quota_selection")
 def f20_quota_selection(spark, d):
     names = ["theon", "ingth", "erth"]

@@ -146,6 +146,17 @@ def test_quota_selection_folds_in_order(spark):
     assert rows(got, "pos", "status", "slot") == [(0, "SELECTED", "x"), (1, "DUPLICATE_URL", None), (2, "DUPLICATE_BODY", None), (3, "ELIGIBLE_NOT_SELECTED", None), (4, "SELECTED", "y"), (5, "SELECTED", None)]
 
 
+def test_duplicates_are_judged_on_whole_urls_and_bodies(spark, tmp_path):
+    from claimloom.plans import registry
+
+    head = "a header that all pages share, longer than a hundred characters, so that no prefix tells them apart. " * 2
+    page = lambda body: f"<html><style>x</style><p>{body}</p></html>"
+    data = [(1, "http://x.org/a?utm_source=f", page(head + "one")), (2, "https://x.org/a#part", page("other")), (3, "http://x.org/b", page(head + "two")), (4, "http://x.org/c", f"<div>{head}</div> two"), (5, "http://x.org/d", page("opening " + head))]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.queries()["f20_drop_duplicates_whole"](spark, str(tmp_path))
+    assert rows(got, "page_id", "status") == [(1, "SELECTED"), (2, "DUPLICATE_URL"), (3, "SELECTED"), (4, "DUPLICATE_BODY"), (5, "SELECTED")]
+
+
 def test_layout_and_filters(spark):
     gaps = spark.createDataFrame([("g", 10.0), ("g", 100.0), ("g", 350.0)], "g string, a double")
     assert rows(ranking.largest_gap(gaps, "g", "a", 360.0), "start", "gap") == [(100.0, 250.0)]
