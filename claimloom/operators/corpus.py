@@ -109,15 +109,51 @@ def salted(salt: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(salt + ":"), key), 256)
 
 
+def strata_sample(rows: DataFrame, key: str, strata: list[tuple[str, int | None, list | None]], size: int, salt: str, short: bool = False) -> DataFrame:
+    """`size` rows by lowest salted hash, ties by key, with `hash` and `picked`: the stratum a row was taken for, or fill.
+
+    strata: (column, minimum, values) in order. Each group of the column (null is none) is brought
+    up to the minimum by its lowest hashes; rows taken earlier count. Minimum null takes the whole
+    group. values, if given, are the groups there must be. It is an error if a group has too few
+    rows (unless `short`), if the minima need more than `size` rows, or if there are fewer than
+    `size` rows (unless `short`). Keys are unique.
+    """
+    base = rows.withColumn("hash", salted(salt, F.col(key).cast("string")))
+    chosen = base.where(F.lit(False)).withColumn("picked", F.lit(None).cast("string"))
+    n = 0
+    for column, minimum, values in strata:
+        inside = F.col(column).isNotNull() & (F.col(column).isin(values) if values is not None else F.lit(True))
+        left = base.join(chosen.select(key), key, "left_anti").where(inside)
+        present = chosen.where(inside).groupBy(F.col(column).alias("_group")).agg(F.count("*").alias("_present"))
+        if minimum is not None:
+            left = left.withColumn("_n", F.row_number().over(Window.partitionBy(column).orderBy("hash", key))).where(F.col("_n") <= minimum)
+            left = left.join(present, F.col(column) == F.col("_group"), "left").where(F.col("_n") <= minimum - F.coalesce("_present", F.lit(0)))
+        # One row more than fits is enough to see that they don't.
+        more = materialize(left.select(*base.columns, F.lit(column).alias("picked")).limit(size - n + 1), "stratum")
+        n += more.count()
+        if n > size:
+            raise ValueError(f"the strata up to {column} need more than {size} rows")
+        chosen = materialize(chosen.unionByName(more), "strata")
+        if minimum is not None and not short:
+            found = chosen.where(inside).groupBy(column).agg(F.count("*").alias("n"))
+            groups = base.where(inside).select(column).distinct()
+            if values is not None:
+                groups = base.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` {rows.schema[column].dataType.simpleString()}")
+            lacking = groups.join(found, column, "left").where(F.coalesce("n", F.lit(0)) < minimum).select(column).first()
+            if lacking:
+                raise ValueError(f"stratum {column}={lacking[0]} has fewer than {minimum} rows")
+    fill = base.join(chosen.select(key), key, "left_anti").withColumn("picked", F.lit("fill")).orderBy("hash", key).limit(size - n)
+    out = materialize(chosen.unionByName(fill), "sample")
+    if not short and (found := out.count()) < size:
+        raise ValueError(f"a sample of {size} rows needs as many, found {found}")
+    return out.orderBy("hash", key)
+
+
 def stratified_sample(rows: DataFrame, key: str, stratum: str, per_stratum: int, size: int, salt: str) -> DataFrame:
-    """`size` rows by lowest salted hash: per_stratum of each stratum first, then whatever is lowest. Ties by key."""
-    h = salted(salt, F.col(key).cast("string"))
-    ranked = rows.withColumn("hash", h).withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy("hash", key)))
-    first = ranked.where(F.col("_n") <= per_stratum).withColumn("picked", F.lit("stratum"))
-    other = ranked.where(F.col("_n") > per_stratum).withColumn("picked", F.lit("fill"))
-    # No more than `size` rows of either kind can be wanted, so each is cut before they meet.
-    both = first.orderBy("hash", key).limit(size).unionByName(other.orderBy("hash", key).limit(size))
-    return both.orderBy(F.col("picked") == "fill", "hash", key).limit(size).drop("_n")
+    """strata_sample of one column, a null a stratum as well: strata with fewer rows give all they have, and too many strata for `size` are an error."""
+    filled = rows.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")))
+    out = strata_sample(filled, key, [("_stratum", per_stratum, None)], size, salt, short=True)
+    return out.withColumn("picked", F.when(F.col("picked") == "_stratum", "stratum").otherwise("fill")).drop("_stratum")
 
 
 def latest_records(log: DataFrame, key: str, ordinal: str) -> DataFrame:

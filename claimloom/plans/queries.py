@@ -669,6 +669,22 @@ def f24_stratified_sample(spark, d):
     return corpus.stratified_sample(table(spark, d, "documents").select("doc_id", "source"), "doc_id", "source", 3, 100, "audit").select("doc_id", "source", "picked")
 
 
+@query(
+    "f24_audit_sample",
+    """WITH h AS (SELECT doc_id, source, lang, sha256('audit:' || doc_id::VARCHAR) AS h FROM documents), top AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 10),
+a AS (SELECT * FROM h WHERE doc_id < 5), b AS (SELECT r.* FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS n FROM h WHERE lang IS NOT NULL AND doc_id >= 5) r WHERE n <= 10 - (SELECT count(*) FROM a WHERE a.lang = r.lang)),
+ab AS (SELECT doc_id, source, h, 'slotted' AS picked FROM a UNION ALL SELECT doc_id, source, h, 'lang' FROM b),
+c AS (SELECT r.* FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS n FROM h WHERE source IN (SELECT source FROM top) AND doc_id NOT IN (SELECT doc_id FROM ab)) r WHERE n <= 1 - (SELECT count(*) FROM ab WHERE ab.source = r.source)),
+abc AS (SELECT doc_id, source, h, picked FROM ab UNION ALL SELECT doc_id, source, h, 'source' FROM c)
+SELECT doc_id, picked FROM abc UNION ALL SELECT doc_id, picked FROM (SELECT doc_id, 'fill' AS picked FROM h WHERE doc_id NOT IN (SELECT doc_id FROM abc) ORDER BY h, doc_id LIMIT 100 - (SELECT count(*) FROM abc))""",
+)
+def f24_audit_sample(spark, d):
+    """The strata of an audit in order: all slotted rows, 10 of each language, one of each of the 10 largest sources."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.when(F.col("doc_id") < 5, True).alias("slotted"))
+    top = [r[0] for r in corpus.report_counts(docs.where("source IS NOT NULL"), F.col("source"), "source", 10).select("source").collect()]
+    return corpus.strata_sample(docs, "doc_id", [("slotted", None, None), ("lang", 10, None), ("source", 1, top)], 100, "audit").select("doc_id", "picked")
+
+
 @query("f22_latest_records", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, min(event_id) AS first_seen FROM events GROUP BY 1")
 def f22_latest_records(spark, d):
     log = table(spark, d, "events").select("user_id", "event_id", "event_type")

@@ -157,6 +157,28 @@ def test_duplicates_are_judged_on_whole_urls_and_bodies(spark, tmp_path):
     assert rows(got, "page_id", "status") == [(1, "SELECTED"), (2, "DUPLICATE_URL"), (3, "SELECTED"), (4, "DUPLICATE_BODY"), (5, "SELECTED")]
 
 
+def test_strata_are_filled_in_order_or_refused(spark):
+    import hashlib
+
+    data = [(i, f"i{i % 3}", f"p{i % 7}", i in (3, 9) or None) for i in range(60)]
+    df = spark.createDataFrame(data, "k long, interval string, publisher string, slotted boolean")
+    h = lambda r: hashlib.sha256(f"s:{r[0]}".encode()).hexdigest()
+    want = {r[0]: "slotted" for r in data if r[3]}
+    for name, at, least in (("interval", 1, 4), ("publisher", 2, 2)):
+        for group in sorted({r[at] for r in data}):
+            inside = sorted((r for r in data if r[at] == group), key=h)
+            lack = least - sum(r[0] in want for r in inside)
+            want |= {r[0]: name for r in [r for r in inside if r[0] not in want][: max(lack, 0)]}
+    want |= {r[0]: "fill" for r in [r for r in sorted(data, key=h) if r[0] not in want][: 20 - len(want)]}
+    strata = [("slotted", None, None), ("interval", 4, ["i0", "i1", "i2"]), ("publisher", 2, None)]
+    assert {r["k"]: r["picked"] for r in corpus.strata_sample(df, "k", strata, 20, "s").collect()} == want
+    for bad, size in (([("interval", 4, ["i0", "i9"])], 20), ([("interval", 21, None)], 60), ([("publisher", 3, None)], 20), ([("publisher", 1, None)], 61)):
+        with pytest.raises(ValueError):
+            corpus.strata_sample(df, "k", bad, size, "s")
+    with pytest.raises(ValueError):
+        corpus.stratified_sample(df, "k", "publisher", 3, 20, "s")
+
+
 def test_layout_and_filters(spark):
     gaps = spark.createDataFrame([("g", 10.0), ("g", 100.0), ("g", 350.0)], "g string, a double")
     assert rows(ranking.largest_gap(gaps, "g", "a", 360.0), "start", "gap") == [(100.0, 250.0)]
