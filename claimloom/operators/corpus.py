@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,39 +71,92 @@ def drop_duplicates_in_order(rows: DataFrame, first_key: str, second_key: str, o
     return b.unionByName(a.where("NOT _url").withColumn("status", F.lit("DUPLICATE_URL")).drop("_url"))
 
 
+def _same(a: DataFrame, b: DataFrame, columns: dict[str, str]) -> Column:
+    """a's columns equal to b's, null to null."""
+    return reduce(lambda x, y: x & y, [a[l].eqNullSafe(b[r]) for l, r in columns.items()])
+
+
+def _without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """rows that share neither a url key nor a body key with a taken row of their run."""
+    for k in ("url_key", "body_key"):
+        t = taken.select(F.col("run").alias("_run"), F.col(k).alias("_key")).distinct()
+        rows = rows.join(t, _same(rows, t, {"run": "_run", k: "_key"}), "left_anti")
+    return rows
+
+
+def _quota_picks(rows: DataFrame, slots: list[str], need: int) -> DataFrame:
+    """(run, pos, url_key, body_key, slot): what each run selects until no slot needs more. One step for all runs finds the next row of each."""
+    schema = "run {}, pos bigint, url_key {}, body_key {}, slot string".format(*[rows.schema[c].dataType.simpleString() for c in ("run", "url_key", "body_key")])
+    picks = rows.sparkSession.createDataFrame([], schema)
+    if not slots or need <= 0:
+        return picks
+    has = F.array(*[F.array_contains("tags", n) for n in slots])
+    some = rows.where(reduce(lambda x, y: x | y, [F.array_contains("tags", n) for n in slots])).withColumn("has", has)
+    some = materialize(some.groupBy("run", "url_key", "body_key", "has").agg(F.min("pos").alias("pos")), "quota-rows")
+    for _ in range(need * len(slots)):
+        state = picks.groupBy(F.col("run").alias("_run")).agg(F.max("pos").alias("_last"), F.array(*[F.count_if(F.col("slot") == n) for n in slots]).alias("_counts"))
+        left = _without(some, picks)
+        left = left.join(state, left["run"].eqNullSafe(state["_run"]), "left").where("_last IS NULL OR pos > _last")
+        counts = [F.coalesce(F.col("_counts")[k], F.lit(0)) for k in range(len(slots))]
+        open_ = F.array_compact(F.array(*[F.when(F.col("has")[k] & (c < need), F.struct(c.alias("c"), F.lit(k).alias("k"))) for k, c in enumerate(counts)]))
+        slot = reduce(lambda out, k: F.when(F.array_min(open_)["k"] == k, slots[k]).otherwise(out), range(len(slots)), F.lit(None).cast("string"))
+        left = left.withColumn("slot", slot).where("slot IS NOT NULL")
+        more = materialize(left.groupBy("run").agg(F.min_by(F.struct("pos", "url_key", "body_key", "slot"), "pos").alias("r")).select("run", "r.*"), "quota-next")
+        if more.isEmpty():
+            break
+        picks = materialize(picks.unionByName(more), "quota-picks")
+    return picks
+
+
+def _select_in_order(rows: DataFrame) -> DataFrame:
+    """(run, pos, url_key, body_key): the rows that share neither key with an earlier one of these, found in rounds.
+
+    In a round every row that is first of its url key and of its body key, among those left, is
+    one, and the rows that share a key with it go. Rounds are few but for chains of rows that
+    each share a key with the next.
+    """
+    left = materialize(rows.groupBy("run", "url_key", "body_key").agg(F.min("pos").alias("pos")).select("run", "pos", "url_key", "body_key"), "order-rows")
+    found = []
+    while True:
+        marked = left
+        for k in ("url_key", "body_key"):
+            least = materialize(left.groupBy(F.col("run").alias("_run"), F.col(k).alias("_key")).agg(F.min("pos").alias(f"_{k}")), "order-least")
+            marked = marked.join(least, _same(marked, least, {"run": "_run", k: "_key"})).drop("_run", "_key")
+        marked = materialize(marked.withColumn("_first", (F.col("pos") == F.col("_url_key")) & (F.col("pos") == F.col("_body_key"))).select(*left.columns, "_first"), "order-marked")
+        found.append(marked.where("_first").drop("_first"))
+        left = materialize(_without(marked.where("NOT _first").drop("_first"), found[-1]), "order-left")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def select_with_quota(rows: DataFrame, slots: list[str], need: int, total: int) -> DataFrame:
-    """Exact ordered selection: rows(pos, url_key, body_key, tags array) -> (pos, status, slot).
+    """Exact ordered selection: rows(run, pos, url_key, body_key, tags array) -> (run, pos, status, slot). No two rows of a run are equal in pos.
 
     While a slot has fewer than `need`, a row must serve the emptiest slot among its tags that
-    still needs one; later rows are selected without. Each row's fate depends on all before it,
-    so this is a fold over the candidates of one collection run, in one group; `total` ends it.
+    still needs one; later rows are selected without; `total` ends it. A row is a duplicate if it
+    shares a key with a selected row before it. Null keys are equal. A run of any size is
+    decided by aggregates and joins over all runs at once, not by a task.
     """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        urls, bodies, counts, out = set(), set(), dict.fromkeys(slots, 0), []
-        chosen = 0
-        for r in part.sort_values("pos").itertuples():
-            status, slot = "SELECTED", None
-            if chosen >= total:
-                status = "NOT_REACHED"
-            elif r.url_key in urls:
-                status = "DUPLICATE_URL"
-            elif r.body_key in bodies:
-                status = "DUPLICATE_BODY"
-            elif min(counts.values(), default=need) < need:
-                open_ = [s for s in slots if s in set(r.tags if r.tags is not None else ()) and counts[s] < need]
-                slot = min(open_, key=lambda s: (counts[s], slots.index(s)), default=None)
-                status = "SELECTED" if slot else "ELIGIBLE_NOT_SELECTED"
-            if status == "SELECTED":
-                urls.add(r.url_key)
-                bodies.add(r.body_key)
-                chosen += 1
-                if slot:
-                    counts[slot] += 1
-            out.append((r.run, r.pos, status, slot))
-        return pd.DataFrame(out, columns=["run", "pos", "status", "slot"])
-
-    return rows.groupBy("run").applyInPandas(fold, f"run {rows.schema['run'].dataType.simpleString()}, pos bigint, status string, slot string")
+    rows = materialize(rows.select("run", F.col("pos").cast("bigint").alias("pos"), "url_key", "body_key", "tags"), "quota-input")
+    picks = _quota_picks(rows, slots, need)
+    steps = need * len(slots) if need > 0 else 0
+    if steps:
+        full = picks.groupBy(F.col("run").alias("_run")).agg(F.max("pos").alias("_full"), F.count("*").alias("n")).where(F.col("n") == steps).drop("n")
+        later = rows.join(full, _same(rows, full, {"run": "_run"})).where("pos > _full").select("run", "pos", "url_key", "body_key")
+    else:
+        later = rows.select("run", "pos", "url_key", "body_key")
+    chosen = _select_in_order(_without(later, picks)).withColumn("slot", F.lit(None).cast("string"))
+    chosen = row_numbers(picks.unionByName(chosen), ["run"], ["pos"], "n")
+    chosen = materialize(chosen, "quota-chosen")
+    out = rows.select("run", "pos", "url_key", "body_key")
+    for k, name in (("url_key", "_url"), ("body_key", "_body")):
+        c = chosen.select(F.col("run").alias("_run"), F.col(k).alias("_key"), F.col("pos").alias(name), *([F.col("slot").alias("_slot")] if name == "_url" else []))
+        out = out.join(c, _same(out, c, {"run": "_run", k: "_key"}), "left").drop("_run", "_key")
+    last = chosen.where(F.col("n") == total).select(F.col("run").alias("_run"), F.col("pos").alias("_last"))
+    out = out.join(last, _same(out, last, {"run": "_run"}), "left")
+    reached = F.col("_last").isNull() | (F.col("pos") <= F.col("_last")) if total > 0 else F.lit(False)
+    status = F.when(~reached, "NOT_REACHED").when(F.col("pos") == F.col("_url"), "SELECTED").when(F.col("_url") < F.col("pos"), "DUPLICATE_URL").when(F.col("_body") < F.col("pos"), "DUPLICATE_BODY").otherwise("ELIGIBLE_NOT_SELECTED")
+    return out.select("run", "pos", status.alias("status"), F.when(status == "SELECTED", F.col("_slot")).alias("slot"))
 
 
 def salted(salt: str, key: Column) -> Column:

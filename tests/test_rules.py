@@ -179,6 +179,46 @@ def test_strata_are_filled_in_order_or_refused(spark):
         corpus.stratified_sample(df, "k", "publisher", 3, 20, "s")
 
 
+def literal_quota(part, slots, need, total):
+    urls, bodies, counts, out, chosen = set(), set(), dict.fromkeys(slots, 0), [], 0
+    for run, pos, url, body, tags in sorted(part, key=lambda r: r[1]):
+        status, slot = "SELECTED", None
+        if chosen >= total:
+            status = "NOT_REACHED"
+        elif url in urls:
+            status = "DUPLICATE_URL"
+        elif body in bodies:
+            status = "DUPLICATE_BODY"
+        elif min(counts.values(), default=need) < need:
+            open_ = [s for s in slots if s in (tags or ()) and counts[s] < need]
+            slot = min(open_, key=lambda s: (counts[s], slots.index(s)), default=None)
+            status = "SELECTED" if slot else "ELIGIBLE_NOT_SELECTED"
+        if status == "SELECTED":
+            urls.add(url)
+            bodies.add(body)
+            chosen += 1
+            if slot:
+                counts[slot] += 1
+        out.append((run, pos, status, slot))
+    return out
+
+
+def test_quota_selection_equals_the_fold_and_holds_no_run_in_a_task(spark):
+    import random
+
+    r = random.Random(2)
+    data = []
+    for run, n, keys in (("hot", 150, 60), ("b", 40, 10), (None, 20, 30), ("few", 3, 3)):
+        data += [(run, i, r.choice([None, *[f"u{k}" for k in range(keys)]]), r.choice([None, *[f"b{k}" for k in range(keys)]]), r.choice([None, [], ["x"], ["y"], ["x", "y", "q"]])) for i in range(n)]
+    data += [("chain", i, f"u{(i + 1) // 2}", f"b{i // 2}", ["x", "y"]) for i in range(9)]
+    df = spark.createDataFrame(data, "run string, pos long, url_key string, body_key string, tags array<string>")
+    for slots, need, total in ((["x", "y"], 2, 1000), (["x", "y"], 1, 12), ([], 3, 1000)):
+        want = [x for run in {d[0] for d in data} for x in literal_quota([d for d in data if d[0] == run], slots, need, total)]
+        found = corpus.select_with_quota(df, slots, need, total)
+        assert rows(found, "run", "pos", "status", "slot") == sorted(want, key=repr)
+        assert "InPandas" not in found._jdf.queryExecution().toString()
+
+
 def test_layout_and_filters(spark):
     gaps = spark.createDataFrame([("g", 10.0), ("g", 100.0), ("g", 350.0)], "g string, a double")
     assert rows(ranking.largest_gap(gaps, "g", "a", 360.0), "start", "gap") == [(100.0, 250.0)]
