@@ -772,6 +772,16 @@ def g8_size_class(spark, d):
     return n.select("l_suppkey", F.when(F.col("rows") >= 600, "x").otherwise(ranking.size_class(F.col("n"))).alias("size"))
 
 
+@query(
+    "g8_size_class_whole",
+    "SELECT l_suppkey, l_partkey, CASE WHEN count(DISTINCT l_orderkey) >= 6 THEN 'large' WHEN count(DISTINCT l_orderkey) >= 3 THEN 'medium' ELSE 'small' END AS size FROM lineitem GROUP BY 1, 2",
+)
+def g8_size_class_whole(spark, d):
+    """Sizes by all orders of a supplied part, which has few."""
+    n = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.countDistinct("l_orderkey").alias("n"))
+    return n.select("l_suppkey", "l_partkey", ranking.size_class(F.col("n")).alias("size"))
+
+
 @query("g10_ring_layout")
 def g10_ring_layout(spark, d):
     edges = derived.edges(spark, d)

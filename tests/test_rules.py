@@ -219,6 +219,14 @@ def test_quota_selection_equals_the_fold_and_holds_no_run_in_a_task(spark):
         assert "InPandas" not in found._jdf.queryExecution().toString()
 
 
+def test_sizes_count_all_lines(spark, tmp_path):
+    from claimloom.plans import registry
+
+    lines = [(1, 1, o, 10.0) for o in range(6)] + [(1, 2, o // 300, 50.0) for o in range(900)] + [(2, 1, 5, 1.0)] * 700
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_orderkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert rows(registry.queries()["g8_size_class_whole"](spark, str(tmp_path)), "l_suppkey", "l_partkey", "size") == [(1, 1, "large"), (1, 2, "medium"), (2, 1, "small")]
+
+
 def test_layout_and_filters(spark):
     gaps = spark.createDataFrame([("g", 10.0), ("g", 100.0), ("g", 350.0)], "g string, a double")
     assert rows(ranking.largest_gap(gaps, "g", "a", 360.0), "start", "gap") == [(100.0, 250.0)]
