@@ -9,7 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-MOST_CONTENT = 50_000
+#: What counts as white space around and between words.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as a class for regular expressions, in Spark and in other engines.
+WHITE_CLASS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 #: General terms that don't ground an entity by themselves.
 STOP_WORDS = (
@@ -47,15 +50,25 @@ RELATION_NAMES = {
 }
 
 
+def strip(text: Column) -> Column:
+    """text without white space of any kind around it; null stays null."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def blank(text: Column) -> Column:
+    """Whether text is null, empty or white space only."""
+    return F.coalesce(strip(text), F.lit("")) == ""
+
+
 def html_to_text(html: Column) -> Column:
-    """Text of a page: scripts and styles go, tags become a blank, white space shrinks to one blank. Entities stay."""
-    bare = F.regexp_replace(html, r"(?is)<script.*?>.*?</script>|<style.*?>.*?</style>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"(?U)\s+", " "))
+    """Text of a page: scripts and styles go without a trace, tags become a blank, white space shrinks to one blank. Entities stay; null gives null."""
+    bare = F.regexp_replace(html, r"(?is)<script.*?>.*?</script>|<style.*?>.*?</style>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), WHITE_CLASS + "+", " "))
 
 
 def page_title(html: Column, url: Column) -> Column:
-    """What the first <title> on one line holds, even if empty; the url where there is none."""
-    found = F.regexp_extract(html, r"(?i)<title>(.*?)</title>", 1)
+    """What the first <title> on one line holds, stripped, even if empty; the url where there is none."""
+    found = strip(F.regexp_extract(html, r"(?i)<title>(.*?)</title>", 1))
     return F.when(html.rlike(r"(?i)<title>(.*?)</title>"), found).otherwise(url)
 
 
@@ -67,7 +80,7 @@ def text_title(content: Column, filename: Column) -> Column:
 def normalize_lines(text: Column) -> Column:
     """Line ends as \\n, no blanks at line ends, at most one empty line in a row, no blanks around. Without NFC."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?mU)[\s&&[^\n]]+$", "")
+    t = F.regexp_replace(t, r"(?dmU)[\s&&[^\n]]+$", "")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
@@ -78,8 +91,9 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def normalize_text(text: Column) -> Column:
-    """normalize_lines of the NFC form; text of ASCII letters only skips Python."""
-    return normalize_lines(nfc(text))
+    """normalize_lines of the NFC form. Text of ASCII characters is in that form, and isn't sent to Python."""
+    other = F.when(F.octet_length(text) != F.length(text), text)
+    return normalize_lines(F.coalesce(nfc(other), text))
 
 
 def casefold(text: Column) -> Column:
@@ -102,7 +116,7 @@ def alias_tags(text: Column, groups: dict[str, list[str]]) -> Column:
 
 def paragraphs(body: Column) -> Column:
     """Non-blank paragraphs: lines, blank lines between them or not."""
-    return F.filter(F.split(body, r"\n\s*\n|\n"), lambda p: F.trim(p) != "")
+    return F.filter(F.split(body, r"\n\s*\n|\n"), lambda p: strip(p) != "")
 
 
 def relevance(title: Column, body: Column, aliases: list[str], lead: bool = True) -> Column:
@@ -112,6 +126,15 @@ def relevance(title: Column, body: Column, aliases: list[str], lead: bool = True
     return F.when(direct, "DIRECT").when(alias_present(body, aliases), "BACKGROUND").otherwise("IRRELEVANT")
 
 
+def partners_named(title: Column, body: Column, subject: list[str], partners: dict[str, list[str]]) -> Column:
+    """Names of the partners, in their order, that some context, title or paragraph, names together with the subject."""
+    contexts = F.concat(F.array(F.coalesce(title, F.lit(""))), paragraphs(F.coalesce(body, F.lit(""))))
+    with_subject = F.filter(contexts, lambda p: alias_present(p, subject))
+    named = lambda aliases: F.exists(with_subject, lambda p: alias_present(p, aliases))
+    hits = [F.when(named(a), F.lit(name)) for name, a in partners.items()]
+    return F.array_compact(F.array(*hits))
+
+
 def cooccurrences(title: Column, body: Column, subject: list[str], partner: list[str]) -> Column:
     """Number of contexts, title or paragraph, that name both."""
     contexts = F.concat(F.array(F.coalesce(title, F.lit(""))), paragraphs(F.coalesce(body, F.lit(""))))
@@ -120,8 +143,7 @@ def cooccurrences(title: Column, body: Column, subject: list[str], partner: list
 
 def script_counts(text: Column, script: str) -> tuple[Column, Column, Column]:
     """(characters of a regex class, letters, their ratio rounded to 6; 0 without letters)."""
-    own = F.length(text) - F.length(F.regexp_replace(text, script, ""))
-    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}", ""))
+    own, letters = F.regexp_count(text, F.lit(script)), F.regexp_count(text, F.lit(r"\p{L}"))
     return own, letters, F.round(F.coalesce(F.try_divide(own, letters), F.lit(0.0)), 6)
 
 
@@ -134,12 +156,18 @@ def published_at(raw: Column) -> tuple[Column, Column]:
 
 
 def flag(raw: Column) -> Column:
-    return F.lower(F.trim(raw)).isin("1", "true", "yes", "y")
+    return F.lower(strip(raw)).isin("1", "true", "yes", "y")
 
 
 def strip_fence(raw: Column) -> Column:
     """JSON without a Markdown code fence around it."""
-    return F.trim(F.regexp_replace(F.trim(raw), r"(?s)^```(?:json)?\s*|\s*```$", ""))
+    return strip(F.regexp_replace(strip(raw), r"(?s)^```(?:json)?\s*|\s*```$", ""))
+
+
+def json_object(raw: Column, schema: str) -> Column:
+    """A JSON object, in a Markdown fence or not, decoded by a schema; null where it is no object."""
+    text = strip_fence(raw)
+    return F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), F.from_json(text, schema))
 
 
 def quote_offsets(quote: Column, content: Column) -> tuple[Column, Column]:
@@ -150,11 +178,11 @@ def quote_offsets(quote: Column, content: Column) -> tuple[Column, Column]:
 
 
 def capitalized(code: Column) -> Column:
-    return F.concat(F.upper(F.substring(code, 1, 1)), F.lower(F.substring(code, 2, 1_000)))
+    return F.concat(F.upper(F.substring(code, 1, 1)), F.lower(F.substr(code, F.lit(2))))
 
 
 def normalized_code(code: Column, default: str) -> Column:
-    c = F.upper(F.trim(F.coalesce(code, F.lit(""))))
+    c = F.upper(strip(F.coalesce(code, F.lit(""))))
     return F.when(c == "", F.lit(default)).otherwise(c)
 
 

@@ -1,7 +1,10 @@
-"""Column expressions on URLs."""
+"""Column expressions on URLs. Null gives null."""
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urljoin
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,10 +13,22 @@ from pyspark.sql.types import StringType
 #: Query parameters that only track.
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid")
 TRACKING_PREFIX = "utm_"
+#: Fixed value: the unreserved characters of the URI standard.
+UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+
+
+def _host_and_port(url: Column) -> tuple[Column, Column]:
+    """Host as it is written, and port digits or an empty text; user names go."""
+    authority = F.regexp_replace(F.regexp_extract(url, _AUTHORITY, 1), r"^.*@", "")
+    return F.regexp_replace(authority, r":[0-9]*$", ""), F.regexp_extract(authority, r":([0-9]*)$", 1)
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """Lower-case host; empty where there is none."""
+    return F.lower(_host_and_port(url)[0])
 
 
 def host_without_www(url: Column) -> Column:
@@ -22,23 +37,36 @@ def host_without_www(url: Column) -> Column:
 
 def origin(url: Column) -> Column:
     """Scheme, host, and port unless it is the scheme's own."""
-    authority = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("AUTHORITY"))), r"^[^@]*@", "")
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    return F.concat(scheme, F.lit("://"), F.when(scheme == "https", F.regexp_replace(authority, r":443$", "")).when(scheme == "http", F.regexp_replace(authority, r":80$", "")).otherwise(authority))
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    name, port = _host_and_port(url)
+    own = (port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
+    return F.concat(scheme, F.lit("://"), F.lower(name), F.when(own, "").otherwise(F.concat(F.lit(":"), port)))
 
 
-def https_without_fragment(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"(?i)^http://", "https://")
+def _form_encoded(c: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def canonical(url: Column) -> Column:
-    """https, lower-case host, no port 443, no fragment or tracking parameters, other parameters sorted, blank ones kept."""
-    bare = https_without_fragment(url)
-    authority = F.regexp_replace(F.regexp_replace(F.lower(F.try_parse_url(bare, F.lit("AUTHORITY"))), r"^[^@]*@", ""), r":443$", "")
-    path = F.coalesce(F.try_parse_url(bare, F.lit("PATH")), F.lit(""))
-    pairs = F.filter(F.split(F.coalesce(F.try_parse_url(bare, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~F.lower(p).startswith(TRACKING_PREFIX) & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*TRACKING))
-    query = F.array_join(F.array_sort(F.transform(pairs, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))), "&")
-    return F.concat(F.lit("https://"), authority, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    """https, lower-case ASCII host, no port 443, no user name, fragment or tracking parameters; percent codes of the path normal; parameters decoded, sorted and encoded again, blank ones kept.
+
+    A host that has no ASCII form gives null.
+    """
+    bare = F.regexp_replace(F.trim(url), r"#.*$", "")
+    name, port = _host_and_port(bare)
+    other = F.when(F.octet_length(name) != F.length(name), name)  # only hosts that need it go to Python
+    ascii_host = F.lower(F.when(other.isNotNull(), idna_host(other)).otherwise(name))
+    number = F.coalesce(F.regexp_replace(port, r"^0+", ""), F.lit(""))
+    path = F.regexp_extract(bare, _AUTHORITY + r"([^?]*)", 2)
+    coded = F.when(path.contains("%"), path)
+    path = F.when(path == "", "/").otherwise(F.coalesce(normalize_percent(coded), path))
+    decoded = lambda c: F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    key = lambda p: decoded(F.substring_index(p, "=", 1))
+    value = lambda p: decoded(F.when(p.contains("="), F.regexp_replace(p, r"^[^=]*=", "")).otherwise(F.lit("")))
+    parts = F.filter(F.split(F.regexp_extract(bare, r"[?](.*)$", 1), "&"), lambda p: p != "")
+    pairs = F.filter(F.transform(parts, lambda p: F.struct(key(p).alias("k"), value(p).alias("v"))), lambda p: ~F.lower(p["k"]).startswith(TRACKING_PREFIX) & ~F.lower(p["k"]).isin(*TRACKING))
+    query = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(_form_encoded(p["k"]), F.lit("="), _form_encoded(p["v"]))), "&")
+    return F.concat(F.lit("https://"), ascii_host, F.when((number == "") | (number == "443"), "").otherwise(F.concat(F.lit(":"), number)), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
 @F.pandas_udf(StringType())
@@ -54,21 +82,30 @@ def idna_host(hosts: pd.Series) -> pd.Series:
     return hosts.map(one, na_action="ignore")
 
 
-_UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
-
-
 @F.pandas_udf(StringType())
 def normalize_percent(urls: pd.Series) -> pd.Series:
     """Percent codes of unreserved characters decoded, the others in upper case."""
-    import re
 
     def one(m: re.Match) -> str:
         c = chr(int(m[1], 16))
-        return c if c in _UNRESERVED else m[0].upper()
+        return c if c in UNRESERVED else m[0].upper()
+
+    return urls.map(lambda u: re.sub(r"%([0-9A-Fa-f]{2})", one, u), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _joined(base: pd.Series, relative: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(base, relative, strict=True)], dtype=object)
+
 
-    return urls.str.replace(r"%([0-9A-Fa-f]{2})", one, regex=True)
+def resolved(base: Column, address: Column) -> Column:
+    """An address as seen from base; one with a scheme as it is."""
+    relative = F.when(~address.rlike(_SCHEME), address)
+    return F.coalesce(_joined(F.when(relative.isNotNull(), base), relative), address)
 
 
 def document_canonical(declared: Column, fetched: Column) -> Column:
-    """The address that a document declares, if on the same host but for www, else the fetched one; canonical."""
-    return F.when(host_without_www(declared) == host_without_www(fetched), canonical(declared)).otherwise(canonical(fetched))
+    """The address that a document declares, relative ones resolved, if on the same host but for www, else the fetched one; canonical."""
+    whole = resolved(fetched, F.nullif(declared, F.lit("")))
+    mine = F.when(host_without_www(whole) == host_without_www(fetched), canonical(whole))
+    return F.coalesce(mine, canonical(fetched))

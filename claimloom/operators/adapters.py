@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.text import growth_percent, strip
+from claimloom.operators.order import fresh, row_numbers
 from claimloom.plans.scratch import materialize
 
 
@@ -61,10 +63,20 @@ def workbook_cells(workbooks: DataFrame) -> DataFrame:
 _BLOCKS = "array<struct<previewRows: array<array<struct<address: string, value: string>>>>>"
 
 
-def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(node_id, path, before, after) of values that differ between two snapshots (node_id, path, value)."""
+def changes(before: DataFrame, after: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """(node_id, path, before, after) of values that differ between two snapshots (node_id, path, value), unique in (node_id, path); with refs(node_id, path, claim_ref) also their sorted claim_refs."""
     a, b = before.withColumnRenamed("value", "before"), after.withColumnRenamed("value", "after")
-    return a.join(b, ["node_id", "path"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
+    out = a.join(b, ["node_id", "path"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
+    if refs is None:
+        return out
+    shown = refs.groupBy("node_id", "path").agg(F.array_sort(F.collect_set("claim_ref")).alias("claim_refs"))
+    return out.join(shown, ["node_id", "path"], "left").withColumn("claim_refs", F.coalesce("claim_refs", F.array().cast("array<string>")))
+
+
+def comparison(changed: DataFrame, excluded: DataFrame) -> DataFrame:
+    """changes with `kind`: added, removed or changed, or excluded where (node_id, path) is among excluded(node_id, path, reason); and the reason."""
+    kind = F.when(F.col("reason").isNotNull(), "excluded").when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
+    return changed.join(excluded.groupBy("node_id", "path").agg(F.min("reason").alias("reason")), ["node_id", "path"], "left").withColumn("kind", kind)
 
 
 def replay_fingerprint(df: DataFrame, ignore: list[str]) -> Column:
@@ -108,17 +120,18 @@ def producer_of(source: Column) -> Column:
 def effective_items(items: DataFrame, needs: DataFrame) -> DataFrame:
     """Ids of items(id, enabled, blocked) that are on: enabled, not blocked, and all they need, needs(id, parent), is on.
 
-    Items are dropped whose parent isn't on, until none is. Rounds are as many as the longest chain.
+    A round turns off the items that need one that the round before turned off, and carries only
+    these. Rounds are as many as the longest chain. Items that need themselves, or each other in a
+    ring, stay on; a parent that is no item is off.
     """
-    on = materialize(items.where("enabled AND NOT blocked").select("id"), "effective")
-    n = on.count()
-    while True:
-        lost = needs.join(on, "id", "left_semi").join(on.withColumnRenamed("id", "parent"), "parent", "left_anti").select("id")
-        on = materialize(on.join(lost, "id", "left_anti"), "effective")
-        left = on.count()
-        if left == n:
-            return on
-        n = left
+    wanted = materialize(items.where("enabled AND NOT blocked").select("id").distinct(), "effective")
+    lost = materialize(needs.join(wanted.withColumnRenamed("id", "parent"), "parent", "left_anti").select("id").distinct().join(wanted, "id", "left_semi"), "lost")
+    off = lost
+    while not lost.isEmpty():
+        lost = needs.join(lost.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct().join(wanted, "id", "left_semi").join(off, "id", "left_anti")
+        lost = materialize(lost, "lost")
+        off = off.unionByName(lost)
+    return wanted.join(off, "id", "left_anti")
 
 
 def suppressed_items(items: DataFrame, needs: DataFrame) -> DataFrame:
@@ -126,25 +139,123 @@ def suppressed_items(items: DataFrame, needs: DataFrame) -> DataFrame:
     return items.where("enabled AND NOT blocked").select("id").join(effective_items(items, needs), "id", "left_anti")
 
 
-def approved_claims(claims: DataFrame, items: DataFrame, needs: DataFrame) -> DataFrame:
-    """claims(bundle, pos, item_id, quote) of items that are on, with dense refs c0, c1, ... per bundle. Nothing enabled gives no rows."""
-    from pyspark.sql import Window
-
+def approved_claims(claims: DataFrame, items: DataFrame, needs: DataFrame, by: list[str] = ["bundle"]) -> DataFrame:  # noqa: B006
+    """claims(bundle, pos, item_id, quote) of items that are on, with dense refs c0, c1, ... per bundle (or per other columns). Nothing enabled gives no rows."""
     live = claims.join(effective_items(items, needs).withColumnRenamed("id", "item_id"), "item_id", "left_semi")
-    return live.withColumn("ref", F.concat(F.lit("c"), (F.row_number().over(Window.partitionBy("bundle").orderBy("pos")) - 1).cast("string")))
+    nth = fresh(live, "nth")
+    return row_numbers(live, by, ["pos"], nth).withColumn("ref", F.concat(F.lit("c"), (F.col(nth) - 1).cast("string"))).drop(nth)
+
+
+def approved_payloads(documents: DataFrame, claims: DataFrame, entities: DataFrame, relations: DataFrame, items: DataFrame, needs: DataFrame) -> DataFrame:
+    """What reviewers approved of bundles, as payloads for the write path: one per document with an approved item, in order of (bundle, document).
+
+    documents(bundle, document, source_project, title, content, uri, always): with `always`, a
+    payload even if nothing of it is approved. claims(bundle, document, pos, item_id, ref, quote,
+    statement), entities(bundle, document, pos, item_id, name, classification, properties,
+    refs array), relations(bundle, document, pos, item_id, source, target, relation, refs array).
+    Item ids are unique over bundles. Claims get dense references in order of pos; entities of one
+    document and name become one, with all their references, the last properties winning; a
+    relation counts if both its ends are entities of the document that are there. References to
+    claims that weren't approved go.
+    """
+    at = ["bundle", "document"]
+    on = materialize(effective_items(items, needs).withColumnRenamed("id", "item_id"), "approved")
+    kept = row_numbers(claims.join(on, "item_id", "left_semi"), at, ["pos"], "nth").withColumn("new_ref", F.concat(F.lit("c"), (F.col("nth") - 1).cast("string")))
+    kept = materialize(kept, "approved-claims")
+    known = kept.select(*at, F.col("ref").alias("old"), "new_ref", F.col("nth").alias("ref_nth"))
+    found = lambda rows, key: rows.select(*at, *key, F.explode("refs").alias("old")).join(known, [*at, "old"]).groupBy(*at, *key).agg(F.transform(F.array_sort(F.collect_set(F.struct("ref_nth", "new_ref"))), lambda x: x["new_ref"]).alias("claim_refs"))
+    none = F.array().cast("array<string>")
+    live = entities.join(on, "item_id", "left_semi").withColumn("name", strip(F.col("name")))
+    one = live.groupBy(*at, "name").agg(F.min("pos").alias("pos"), F.min_by("classification", "pos").alias("classification"), F.max_by("properties", F.when(F.col("properties").isNotNull(), F.col("pos"))).alias("properties"))
+    one = row_numbers(one, at, ["pos", "name"], "nth").withColumn("ref_id", F.concat(F.lit("n"), (F.col("nth") - 1).cast("string")))
+    one = materialize(one.join(found(live, ["name"]), [*at, "name"], "left"), "approved-entities")
+    edges = relations.join(on, "item_id", "left_semi")
+    edges = edges.join(found(edges, ["pos"]), [*at, "pos"], "left")
+    for end in ("source", "target"):
+        edges = edges.withColumn(end, strip(F.col(end))).join(one.select(*at, F.col("name").alias(end), F.col("ref_id").alias(f"{end}_ref")), [*at, end])
+    nulls = lambda *kinds: [F.lit(None).cast(k) for k in kinds]
+    text, number = nulls("string", "bigint")
+    nodes_of = one.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("nth", F.struct("ref_id", "name", "classification", text.alias("description"), "properties", number.alias("existing_node_id"), text.alias("claim_ref"), F.coalesce("claim_refs", none).alias("claim_refs")).alias("n")))).alias("n")).select(*at, F.col("n.n").alias("nodes"))
+    edges_of = edges.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("source_ref", "target_ref", F.col("source").alias("source_name"), F.col("target").alias("target_name"), "relation", text.alias("claim_ref"), F.coalesce("claim_refs", none).alias("claim_refs")).alias("e")))).alias("e")).select(*at, F.col("e.e").alias("edges"))
+    offset = F.lit(None).cast("int")
+    claims_of = kept.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("nth", F.struct(F.col("new_ref").alias("ref_id"), "quote", F.col("statement").alias("claim_text"), offset.alias("start_offset"), offset.alias("end_offset")).alias("c")))).alias("c")).select(*at, F.col("c.c").alias("claims"))
+    out = documents.join(nodes_of, at, "left").join(edges_of, at, "left").join(claims_of, at, "left").where("always OR nodes IS NOT NULL OR edges IS NOT NULL OR claims IS NOT NULL")
+    numbered = row_numbers(out, [], at, "seq")
+    return numbered.select("seq", "source_project", F.col("title").alias("document_title"), F.col("content").alias("document_content"), F.col("uri").alias("document_uri"), "nodes", "edges", "claims")
+
+
+def news_bundle(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, claims, rejected) of analysed articles(id, title, bodyText, url, analysisArticleId, sentences, keyPoints).
+
+    A claim per key point: its text as statement, its first evidence sentence as quote. Articles
+    with an error of news_errors are rejected with it.
+    """
+    checked = news_errors(items)
+    good = checked.where("error IS NULL")
+    name = F.concat(F.lit("news-"), F.col("id").cast("string"))
+    documents = good.select(F.col("id").alias("bundle"), name.alias("document"), F.lit("external-news").alias("source_project"), "title", F.col("bodyText").alias("content"), F.col("url").alias("uri"), F.lit(False).alias("always"))
+    points = good.select(F.col("id").alias("bundle"), name.alias("document"), F.posexplode("keyPoints").alias("pos", "p"), "sentences")
+    quote = F.get(F.filter("sentences", lambda s: s["index"] == F.get(F.col("p.evidence"), 0)), 0)["text"]
+    number = F.col("pos").cast("string")
+    claims = points.select("bundle", "document", "pos", F.concat_ws(":", "document", number).alias("item_id"), F.concat(F.lit("n-c"), (F.col("pos") + 1).cast("string")).alias("ref"), quote.alias("quote"), F.col("p.text").alias("statement"))
+    return documents, claims, checked.where("error IS NOT NULL").select("id", "error")
+
+
+def gov_bundle(notices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, claims, rejected) of notices(id, detectionId, documentId, versionId, title, snapshots, local, preparation, findings array<struct<statement, quote, modality>>).
+
+    The notice's body and the producer's analysis are two documents: findings that recommend
+    belong to the analysis, all others to the body, so relations can only rest on the body.
+    Each claim has its destination by modality. Bad identifiers and missing bodies are rejected.
+    """
+    body, missing = notice_body(F.col("snapshots"), F.col("local"), F.col("preparation"))
+    error = F.when(~identifiers_ok(F.col("detectionId"), F.col("documentId"), F.col("versionId")), "MISSING_GOV_IDENTIFIER").otherwise(missing)
+    checked = notices.withColumn("error", error).withColumn("body", body)
+    good = checked.where("error IS NULL")
+    shown = F.coalesce(F.get(F.col("snapshots"), 0)["title"], F.col("title"))
+    kinds = F.explode(F.array(F.struct(F.lit("gov-body").alias("document"), shown.alias("title"), F.col("body").alias("content")), F.struct(F.lit("gov-report").alias("document"), F.concat(F.lit("Analysis of "), shown).alias("title"), F.coalesce("preparation", F.lit("{}")).alias("content"))))
+    documents = good.select(F.col("id").alias("bundle"), kinds.alias("d")).select("bundle", "d.document", F.lit("govinsight").alias("source_project"), "d.title", "d.content", F.lit(None).cast("string").alias("uri"), F.lit(False).alias("always"))
+    found = route(good.select(F.col("id").alias("bundle"), F.posexplode("findings").alias("pos", "f")).select("bundle", "pos", "f.*"))
+    number = (F.col("pos") + 1).cast("string")
+    claims = found.select("bundle", F.when(F.col("modality") == "RECOMMENDATION", "gov-report").otherwise("gov-body").alias("document"), "pos", F.concat_ws(":", F.lit("gov"), F.col("bundle").cast("string"), number).alias("item_id"), F.concat(F.lit("g-c"), number).alias("ref"), "quote", "statement", "modality", "destination")
+    return documents, claims, checked.where("error IS NOT NULL").select("id", "error")
+
+
+def workbook_bundle(workbooks: DataFrame, cells: DataFrame, columns: DataFrame, sheet: str, period: str, before: str, after: str, node: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, claims, changes, rejected) of workbooks(workbook, schema_version): a fact on the cell `after`, a derived fact on its growth over `before`, a property change, and no relations.
+
+    cells: cell_index with numbers. Workbooks that period_gate refuses are rejected with its error.
+    Growth is cut to an integer, null where there is no base.
+    """
+    checked = period_gate(workbooks, cells, columns, sheet, period)
+    value = lambda address, name: cells.where((F.col("sheet") == sheet) & (F.col("address") == address)).select("workbook", F.col("value").cast("double").alias(name))
+    good = checked.where("error IS NULL").join(value(before, "was"), "workbook", "left").join(value(after, "now"), "workbook", "left")
+    growth = growth_percent(F.col("now"), F.col("was")).cast("int")
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    documents = good.select(F.col("workbook").alias("bundle"), F.lit("excel-snapshot").alias("document"), F.lit("excel-agent").alias("source_project"), F.col("workbook").cast("string").alias("title"), F.concat(F.lit(f"{sheet}: {after}="), shown(F.col("now")), F.lit(f", {before}="), shown(F.col("was"))).alias("content"), F.lit(None).cast("string").alias("uri"), F.lit(True).alias("always"))
+    rows = F.array(
+        F.struct(F.lit(0).alias("pos"), F.lit("e-c1").alias("ref"), F.lit("FACT").alias("modality"), F.concat(F.lit(f"{path} is "), shown(F.col("now"))).alias("statement"), F.lit(f"{sheet}!{after}").alias("quote")),
+        F.struct(F.lit(1).alias("pos"), F.lit("e-c2").alias("ref"), F.lit("DERIVED_FACT").alias("modality"), F.concat(F.lit(f"{path} grew by "), shown(growth), F.lit("%")).alias("statement"), F.lit(f"{sheet}!{before},{after}").alias("quote")),
+    )
+    claims = good.withColumn("growth", growth).select(F.col("workbook").alias("bundle"), F.lit("excel-snapshot").alias("document"), "growth", F.explode(rows).alias("r")).where("r.pos = 0 OR growth IS NOT NULL")
+    claims = claims.select("bundle", "document", "r.pos", F.concat_ws(":", F.lit("excel"), F.col("bundle").cast("string"), F.col("r.pos").cast("string")).alias("item_id"), "r.ref", "r.quote", "r.statement", "r.modality")
+    key = lambda c: good.select(F.lit(node).alias("node"), F.col("workbook").alias("node_id"), F.lit(path).alias("path"), F.col(c).alias("value")).drop("node")
+    changed = changes(key("was"), key("now"), good.select(F.col("workbook").alias("node_id"), F.lit(path).alias("path"), F.lit("e-c1").alias("claim_ref"))).withColumn("node", F.lit(node))
+    return documents, claims, changed, checked.where("error IS NOT NULL").select("workbook", "error")
 
 
 def valid_edges(edges: DataFrame, selected: DataFrame) -> DataFrame:
     """edges(source, target, ...) with `reason`: null if both ends are among selected(ref, name), by reference or by name in any case."""
-    keys = selected.select(F.explode(F.array(F.col("ref"), F.lower(F.trim("name")))).alias("key")).where("key IS NOT NULL").distinct()
-    out = edges
+    keys = selected.select(F.explode(F.array(F.col("ref"), F.lower(strip(F.col("name"))))).alias("key")).where("key IS NOT NULL").distinct()
+    out, hits = edges, {}
     for end in ("source", "target"):
-        by_ref = keys.select(F.col("key").alias("_ref"), F.lit(True).alias(f"_{end}_ref"))
-        by_name = keys.select(F.col("key").alias("_name"), F.lit(True).alias(f"_{end}_name"))
-        out = out.withColumns({"_ref": F.col(end), "_name": F.lower(F.trim(end))}).join(by_ref, "_ref", "left").join(by_name, "_name", "left").drop("_ref", "_name")
-    ok = lambda end: F.coalesce(f"_{end}_ref", f"_{end}_name", F.lit(False))
+        as_ref, as_name, by_ref, by_name = (fresh(out, x) for x in (f"{end}_as_ref", f"{end}_as_name", f"{end}_by_ref", f"{end}_by_name"))
+        refs, names = keys.select(F.col("key").alias(as_ref), F.lit(True).alias(by_ref)), keys.select(F.col("key").alias(as_name), F.lit(True).alias(by_name))
+        out = out.withColumns({as_ref: F.col(end), as_name: F.lower(strip(F.col(end)))}).join(refs, as_ref, "left").join(names, as_name, "left").drop(as_ref, as_name)
+        hits[end] = (by_ref, by_name)
+    ok = lambda end: F.coalesce(*hits[end], F.lit(False))
     reason = F.when(~ok("source") & ~ok("target"), "BOTH_ENDS_MISSING").when(~ok("source"), "SOURCE_MISSING").when(~ok("target"), "TARGET_MISSING")
-    return out.withColumn("reason", reason).drop("_source_ref", "_source_name", "_target_ref", "_target_name")
+    return out.withColumn("reason", reason).drop(*hits["source"], *hits["target"])
 
 
 def convert(kind: str, builders: dict[str, Callable[[DataFrame], DataFrame]], export: DataFrame) -> DataFrame:
@@ -165,9 +276,9 @@ def period_gate(workbooks: DataFrame, cells: DataFrame, columns: DataFrame, shee
 
 
 def rename_entities(edges: DataFrame, renames: DataFrame) -> DataFrame:
-    """edges(source, target, ...) with names changed by renames(old, new)."""
-    out = edges
+    """edges(source, target, ...) with names changed by renames(old, new); of several new names the least counts."""
+    out, new = edges, fresh(edges, "new")
     for end in ("source", "target"):
-        r = renames.select(F.col("old").alias(end), F.col("new").alias("_new"))
-        out = out.join(r, end, "left").withColumn(end, F.coalesce("_new", end)).drop("_new")
+        r = renames.groupBy(F.col("old").alias(end)).agg(F.min("new").alias(new))
+        out = out.join(r, end, "left").withColumn(end, F.coalesce(new, end)).drop(new)
     return out

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.operators.order import row_numbers
+from claimloom.functions.text import blank, strip
+from claimloom.functions.urls import origin
+from claimloom.operators.order import fresh, row_numbers
 from claimloom.plans.scratch import materialize
 
 
@@ -23,15 +25,14 @@ def merge_candidates(rows: DataFrame, key: str, order: list[str], flags: list[st
     return out.select(key, "first.*", *flags, "n_rows")
 
 
-def _firsts(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """rows with `_first`: whether no row of the key comes earlier in order. An aggregate and a join, so a key of any size fits."""
-    least = materialize(rows.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order)).alias("_least")), "firsts")
-    return rows.join(least, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_first", F.struct(*order) == F.col("_least")).drop("_key", "_least")
-
-
 def merged_duplicates(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The rows that merge_candidates folds away. No two rows are equal in order."""
-    return _firsts(rows, key, order).where("NOT _first").drop("_first")
+    """The rows that merge_candidates folds away: those of a key but for the first. No two rows are equal in order; null keys are one key.
+
+    An aggregate and a join, so a key of any size fits.
+    """
+    k, least = fresh(rows, "first_of"), fresh(rows, "first_at")
+    firsts = materialize(rows.groupBy(F.col(key).alias(k)).agg(F.min(F.struct(*order)).alias(least)), "firsts")
+    return rows.join(firsts, rows[key].eqNullSafe(firsts[k])).where(F.struct(*order) != F.col(least)).drop(k, least)
 
 
 def fair_order(rows: DataFrame, interval: str, host: str, tie: str) -> DataFrame:
@@ -65,10 +66,22 @@ def eligibility(rules: list[tuple[Column, str]]) -> Column:
 
 
 def drop_duplicates_in_order(rows: DataFrame, first_key: str, second_key: str, order: list[str]) -> DataFrame:
-    """rows with `status`: DUPLICATE_URL after an earlier row of the first key, else DUPLICATE_BODY after an earlier row of the second key that isn't itself a DUPLICATE_URL, else SELECTED. No two rows are equal in order."""
-    a = _firsts(rows, first_key, order).withColumnRenamed("_first", "_url")
-    b = _firsts(a.where("_url"), second_key, order).withColumn("status", F.when(F.col("_first"), "SELECTED").otherwise("DUPLICATE_BODY")).drop("_first", "_url")
-    return b.unionByName(a.where("NOT _url").withColumn("status", F.lit("DUPLICATE_URL")).drop("_url"))
+    """rows with `status`. In order, a row is DUPLICATE_URL if a selected row before it has its first key, else DUPLICATE_BODY if a selected row before it has its second key, else SELECTED.
+
+    A key counts as seen only through rows that were selected. No two rows are equal in order;
+    null keys are equal; an empty table gives an empty result.
+    """
+    pos = F.struct(*order)
+    keys = rows.select(F.lit(0).alias("run"), pos.alias("pos"), F.col(first_key).alias("url_key"), F.col(second_key).alias("body_key"))
+    chosen = materialize(_select_in_order(materialize(keys, "order-keys")), "order-chosen")
+    out = rows
+    names = [fresh(rows, x) for x in ("by_url", "by_body", "chosen_key")]
+    for k, column, name in (("url_key", first_key, names[0]), ("body_key", second_key, names[1])):
+        c = chosen.select(F.col(k).alias(names[2]), F.col("pos").alias(name))  # selected rows share no key
+        out = out.join(c, out[column].eqNullSafe(c[names[2]]), "left").drop(names[2])
+    url, body = F.col(names[0]), F.col(names[1])
+    status = F.when(url == pos, "SELECTED").when(url < pos, "DUPLICATE_URL").otherwise("DUPLICATE_BODY")
+    return out.withColumn("status", status).drop(names[0], names[1])
 
 
 def _same(a: DataFrame, b: DataFrame, columns: dict[str, str]) -> Column:
@@ -129,11 +142,11 @@ def _select_in_order(rows: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, found)
 
 
-def select_with_quota(rows: DataFrame, slots: list[str], need: int, total: int) -> DataFrame:
+def select_with_quota(rows: DataFrame, slots: list[str], need: int, total: int | None = None) -> DataFrame:
     """Exact ordered selection: rows(run, pos, url_key, body_key, tags array) -> (run, pos, status, slot). No two rows of a run are equal in pos.
 
     While a slot has fewer than `need`, a row must serve the emptiest slot among its tags that
-    still needs one; later rows are selected without; `total` ends it. A row is a duplicate if it
+    still needs one; later rows are selected without; `total`, if given, ends it. A row is a duplicate if it
     shares a key with a selected row before it. Null keys are equal. A run of any size is
     decided by aggregates and joins over all runs at once, not by a task.
     """
@@ -152,9 +165,9 @@ def select_with_quota(rows: DataFrame, slots: list[str], need: int, total: int)
     for k, name in (("url_key", "_url"), ("body_key", "_body")):
         c = chosen.select(F.col("run").alias("_run"), F.col(k).alias("_key"), F.col("pos").alias(name), *([F.col("slot").alias("_slot")] if name == "_url" else []))
         out = out.join(c, _same(out, c, {"run": "_run", k: "_key"}), "left").drop("_run", "_key")
-    last = chosen.where(F.col("n") == total).select(F.col("run").alias("_run"), F.col("pos").alias("_last"))
+    last = chosen.where(F.lit(False) if total is None else F.col("n") == total).select(F.col("run").alias("_run"), F.col("pos").alias("_last"))
     out = out.join(last, _same(out, last, {"run": "_run"}), "left")
-    reached = F.col("_last").isNull() | (F.col("pos") <= F.col("_last")) if total > 0 else F.lit(False)
+    reached = F.col("_last").isNull() | (F.col("pos") <= F.col("_last")) if total is None or total > 0 else F.lit(False)
     status = F.when(~reached, "NOT_REACHED").when(F.col("pos") == F.col("_url"), "SELECTED").when(F.col("_url") < F.col("pos"), "DUPLICATE_URL").when(F.col("_body") < F.col("pos"), "DUPLICATE_BODY").otherwise("ELIGIBLE_NOT_SELECTED")
     return out.select("run", "pos", status.alias("status"), F.when(status == "SELECTED", F.col("_slot")).alias("slot"))
 
@@ -163,6 +176,17 @@ def salted(salt: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(salt + ":"), key), 256)
 
 
+def _lowest(rows: DataFrame, column: str, key: str, n: int) -> DataFrame:
+    """The n rows of each group with the lowest (hash, key), with their place `_n`.
+
+    Groups are cut in a number of parts first, and each part to its n lowest, so that no task
+    sorts a whole group.
+    """
+    parts = F.pmod(F.xxhash64(key), F.lit(64))
+    near = rows.withColumn("_part", parts).withColumn("_n", F.row_number().over(Window.partitionBy(column, "_part").orderBy("hash", key))).where(F.col("_n") <= n).drop("_part")
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy(column).orderBy("hash", key))).where(F.col("_n") <= n)
+
+
 def strata_sample(rows: DataFrame, key: str, strata: list[tuple[str, int | None, list | None]], size: int, salt: str, short: bool = False) -> DataFrame:
     """`size` rows by lowest salted hash, ties by key, with `hash` and `picked`: the stratum a row was taken for, or fill.
 
@@ -180,7 +204,7 @@ def strata_sample(rows: DataFrame, key: str, strata: list[tuple[str, int | None,
         left = base.join(chosen.select(key), key, "left_anti").where(inside)
         present = chosen.where(inside).groupBy(F.col(column).alias("_group")).agg(F.count("*").alias("_present"))
         if minimum is not None:
-            left = left.withColumn("_n", F.row_number().over(Window.partitionBy(column).orderBy("hash", key))).where(F.col("_n") <= minimum)
+            left = _lowest(left, column, key, minimum)
             left = left.join(present, F.col(column) == F.col("_group"), "left").where(F.col("_n") <= minimum - F.coalesce("_present", F.lit(0)))
         # One row more than fits is enough to see that they don't.
         more = materialize(left.select(*base.columns, F.lit(column).alias("picked")).limit(size - n + 1), "stratum")
@@ -236,32 +260,76 @@ def crawl_delay(delay: Column, seconds: Column, requests: Column) -> Column:
     return F.greatest(F.lit(1.0), F.coalesce(delay.cast("double"), F.lit(0.0)), F.coalesce(F.try_divide(seconds, requests), F.lit(0.0)))
 
 
+def with_robots(rows: DataFrame, policies: DataFrame) -> DataFrame:
+    """rows(url, ...) with `allowed` and `delay` (seconds between requests) by their origin's policies(origin, robots_status, delay, seconds, requests); an origin without one may not be fetched."""
+    names = {x: fresh(rows, x) for x in ("origin", "allowed", "delay")}
+    known = policies.dropDuplicates(["origin"]).select(F.col("origin").alias(names["origin"]), robots_policy(F.col("robots_status")).alias(names["allowed"]), crawl_delay(F.col("delay"), F.col("seconds"), F.col("requests")).alias(names["delay"]))
+    out = rows.withColumn(names["origin"], origin(F.col("url"))).join(known, names["origin"], "left")
+    return out.withColumn(names["allowed"], F.coalesce(names["allowed"], F.lit(False))).withColumn(names["delay"], F.coalesce(names["delay"], F.lit(1.0))).drop(names["origin"])
+
+
+def enriched(rows: DataFrame, body: str) -> DataFrame:
+    """rows with the SHA-256, bytes and characters of a body; nulls for a null body."""
+    c = F.col(body)
+    return rows.withColumns({"body_sha256": F.sha2(c.cast("binary"), 256), "body_bytes": F.octet_length(c).cast("bigint"), "body_chars": F.length(c).cast("bigint")})
+
+
+def selected_index(latest: DataFrame, column: str, key: str) -> DataFrame:
+    """(value, key): for each value of a column among selected records the least key that has it."""
+    return latest.where(F.col("status") == "SELECTED").groupBy(F.col(column).alias("value")).agg(F.min(key).alias("key"))
+
+
 def report_counts(rows: DataFrame, column: Column, name: str, top: int | None = None) -> DataFrame:
     """(value, n) by falling count, ties by value."""
     out = rows.groupBy(column.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name)
     return out.limit(top) if top else out
 
 
-def invariants(selected: DataFrame, unique: list[str], size: int | None = None) -> DataFrame:
-    """One row per invariant that is violated: (invariant, found)."""
-    checks = [F.when(F.countDistinct(c) != F.count("*"), F.struct(F.lit(f"unique {c}").alias("invariant"), (F.count("*") - F.countDistinct(c)).alias("found"))) for c in unique]
+def invariants(selected: DataFrame, unique: list[str], size: int | None = None, rules: dict[str, Column] | None = None, slot: str | None = None, slots: list[str] = (), per_slot: int = 0) -> DataFrame:
+    """(invariant, found): one row per invariant that is violated, none for a good selection.
+
+    unique: columns without repeats. size: the number of rows. rules: what must hold of each row
+    (unknown counts as broken); found is the number of rows that break it. slots: names of which
+    the column `slot` must have per_slot rows each; found is how many it has.
+    """
+    violated = lambda bad, name, found: F.when(bad, F.struct(F.lit(name).alias("invariant"), found.cast("bigint").alias("found")))
+    checks = [violated(F.countDistinct(c) != F.count("*"), f"unique {c}", F.count("*") - F.countDistinct(c)) for c in unique]
     if size is not None:
-        checks.append(F.when(F.count("*") != size, F.struct(F.lit("size").alias("invariant"), F.count("*").alias("found"))))
+        checks.append(violated(F.count("*") != size, "size", F.count("*")))
+    for name, holds in (rules or {}).items():
+        broken = F.count_if(~F.coalesce(holds, F.lit(False)))
+        checks.append(violated(broken > 0, name, broken))
+    for s in slots:
+        n = F.count_if(F.col(slot) == s)
+        checks.append(violated(n < per_slot, f"slot {s}", n))
     return selected.agg(F.array_compact(F.array(*checks)).alias("v")).select(F.explode("v").alias("v")).select("v.*")
 
 
+def resumed(candidates: DataFrame, log: DataFrame, duplicates: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """candidates(key, ...) that a collection still has to work on, with `retries`, the open tries of each.
+
+    log(key, status, ordinal) are the records so far; duplicates(key) are candidates that were
+    folded away and count as done. A candidate is done if its last record is no RETRY_PENDING.
+    """
+    tries = log.groupBy(key).agg(F.max_by("status", ordinal).alias("last_status"), F.count_if(F.col("status") == "RETRY_PENDING").alias("retries"))
+    status, retries = fresh(candidates, "last_status"), fresh(candidates, "retries")
+    tries = tries.withColumnsRenamed({"last_status": status, "retries": retries})
+    left = candidates.join(duplicates.select(key).distinct(), key, "left_anti").join(tries, key, "left")
+    return left.where(F.col(status).isNull() | (F.col(status) == "RETRY_PENDING")).withColumn(retries, F.coalesce(retries, F.lit(0))).drop(status)
+
+
 def utc_instant(raw: Column) -> Column:
     """A time with a zone (Z, an offset or UTC) as UTC text ...Z; null for others."""
-    t = F.trim(raw)
+    t = strip(raw)
     zoned = t.rlike(r"(?i)(Z|UTC|[+-]\d{2}:?\d{2})$")
     return F.when(zoned, F.date_format(F.try_to_timestamp(F.regexp_replace(t, r"(?i)\s*UTC$", "Z")), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def check_candidates(rows: DataFrame, starts: list[str]) -> DataFrame:
     """rows(url, seen_at, query_interval_start, has_...) with `error`: no address, a time without zone, an unknown interval, or no subject flag."""
-    yes = lambda c: F.lower(F.trim(c)).isin("1", "true", "yes", "y")
+    yes = lambda c: F.lower(strip(c)).isin("1", "true", "yes", "y")
     error = (
-        F.when(F.trim(F.coalesce("url", F.lit(""))) == "", "missing_url")
+        F.when(blank(F.col("url")), "missing_url")
         .when(utc_instant(F.col("seen_at")).isNull(), "seen_at_without_zone")
         .when(~F.coalesce(utc_instant(F.col("query_interval_start")).isin(*starts), F.lit(False)), "unknown_interval")
         .when(~F.coalesce(yes(F.col("has_subject")), F.lit(False)), "missing_subject")
@@ -269,10 +337,32 @@ def check_candidates(rows: DataFrame, starts: list[str]) -> DataFrame:
     return rows.withColumn("error", error)
 
 
-def audit_summary(rows: DataFrame, questions: list[str]) -> DataFrame:
-    """One row: rows, completed ones (every question answered), and yes counts per question."""
-    yes = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))) == "yes"
+def audit_summary(rows: DataFrame, questions: list[str], slot: str | None = None, slot_question: str | None = None) -> DataFrame:
+    """One row: rows, completed ones (every question answered), and yes counts per question of completed rows; with a slot column, its rows and their yes counts of slot_question."""
+    yes = lambda c: F.lower(F.coalesce(strip(c), F.lit(""))) == "yes"
     done = F.lit(True)
     for q in questions:
-        done = done & (F.trim(F.coalesce(q, F.lit(""))) != "")
-    return rows.agg(F.count("*").alias("n"), F.count_if(done).alias("completed"), *[F.count_if(yes(F.col(q))).alias(f"{q}_yes") for q in questions])
+        done = done & (F.coalesce(q, F.lit("")) != "")
+    out = [F.count("*").alias("n"), F.count_if(done).alias("completed"), *[F.count_if(done & yes(F.col(q))).alias(f"{q}_yes") for q in questions]]
+    if slot is not None:
+        held = F.coalesce(slot, F.lit("")) != ""
+        out += [F.count_if(held).alias("slot_rows"), F.count_if(held & yes(F.col(slot_question))).alias("slot_yes")]
+    return rows.agg(*out)
+
+
+def audit_failures(summary: DataFrame, least: dict[str, int], exact: dict[str, int] | None = None) -> DataFrame:
+    """(check, found, wanted): thresholds that an audit_summary misses. least: columns with their least values; exact: those that must be equal."""
+    checks = [F.when(F.col(c) < n, F.struct(F.lit(c).alias("check"), F.col(c).alias("found"), F.lit(n).cast("bigint").alias("wanted"))) for c, n in least.items()]
+    checks += [F.when(F.col(c) != n, F.struct(F.lit(c).alias("check"), F.col(c).alias("found"), F.lit(n).cast("bigint").alias("wanted"))) for c, n in (exact or {}).items()]
+    return summary.select(F.explode(F.array_compact(F.array(*checks))).alias("f")).select("f.*")
+
+
+def update_audit(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of decisions(key, ...) set for its keys; a decision that meets no row or more than one is an error."""
+    columns = [c for c in decisions.columns if c != key]
+    hits = decisions.select(key).join(rows.groupBy(key).count(), key, "left").where(F.coalesce("count", F.lit(0)) != 1).first()
+    if hits:
+        raise ValueError(f"a decision must be on exactly one row: {hits[0]}")
+    mark = fresh(rows, "decided")
+    new = decisions.select(key, F.struct(*columns).alias(mark))
+    return rows.join(new, key, "left").select(*[F.when(F.col(mark).isNotNull(), F.col(mark)[c]).otherwise(rows[c]).alias(c) if c in columns else rows[c] for c in rows.columns])

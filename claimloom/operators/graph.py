@@ -41,9 +41,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def top_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The node with most edge ends (ties: least id); without edges the newest node, with degree 0."""
-    best = degrees(edges).join(nodes.select("id", "name"), "id").select("id", "name", "degree", F.lit(1).alias("rank")).orderBy(F.desc("degree"), "id").limit(1)
-    newest = nodes.select("id", "name", F.lit(0).cast("bigint").alias("degree"), F.lit(0).alias("rank")).orderBy(F.desc("id")).limit(1)
-    return best.unionByName(newest).orderBy(F.desc("rank")).limit(1).drop("rank")
+    known = nodes.select("id", "name").join(degrees(edges), "id", "left")
+    newest_first = F.when(F.col("degree").isNull(), -F.col("id")).otherwise(F.col("id"))
+    return known.orderBy(F.desc_nulls_last("degree"), newest_first).limit(1).select("id", "name", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
 
 
 def resolve_limits(max_hops: int | None = None, hop_limit: int | None = None, unbounded: bool = False) -> tuple[int, int | None]:
@@ -60,28 +60,39 @@ class Subgraph:
     omitted: int
 
 
+#: Nodes of a frontier that are broadcast to the edges; larger ones are joined by shuffle.
+BROADCAST_FRONTIER = 1_000_000
+
+
+def _around(edges: DataFrame, frontier: DataFrame, few: bool) -> DataFrame:
+    """(edge, other): what the frontier's edges lead to. Semi-joins on either end, which Spark pushes down to the edges' own tables."""
+    at = lambda end: frontier.select(F.col("node").alias(end))
+    side = lambda near, far: edges.join(F.broadcast(at(near)) if few else at(near), near, "left_semi").select(F.col("id").alias("edge"), F.col(far).alias("other"))
+    return side("source", "target").unionByName(side("target", "source"))
+
+
 def reach(nodes: DataFrame, edges: DataFrame, center: int, max_hops: int, hop_limit: int | None = None) -> tuple[DataFrame, int]:
     """(id, hop) of nodes by the first hop that reaches them over edges in either direction, and the count left out.
 
     With a limit a hop keeps the nodes whose least edge id to the frontier is least (ties: least
     node id). Nodes left out may come back, or be left out and counted again, in later hops.
+
+    A hop scans the edges for those at its frontier, which is broadcast up to BROADCAST_FRONTIER
+    nodes, and writes only the nodes that it adds. A missing centre gives no rows.
     """
-    around = materialize(undirected(edges), "edge-ends")
-    visited = nodes.where(F.col("id") == center).select("id", F.lit(0).alias("hop"))
-    omitted = 0
+    frontier = materialize(nodes.where(F.col("id") == center).select("id", F.lit(0).alias("hop")).distinct(), "hop")
+    visited, omitted, size = frontier, 0, 1
     for hop in range(1, max_hops + 1):
-        frontier = visited.where(F.col("hop") == hop - 1).select(F.col("id").alias("node"))
-        new = around.join(frontier, "node").groupBy(F.col("other").alias("id")).agg(F.min("edge").alias("edge")).join(visited, "id", "left_anti")
+        new = _around(edges, frontier.select(F.col("id").alias("node")), size <= BROADCAST_FRONTIER).groupBy(F.col("other").alias("id")).agg(F.min("edge").alias("edge")).join(visited, "id", "left_anti")
         if hop_limit is not None:
-            new = materialize(new, "hop")
-            kept = new.orderBy("edge", "id").limit(hop_limit)
+            new = materialize(new, "hop-all")
             omitted += max(0, new.count() - hop_limit)
-        else:
-            kept = new
-        grown = materialize(visited.unionByName(kept.select("id", F.lit(hop).alias("hop"))), "visited")
-        if grown.where(F.col("hop") == hop).isEmpty():
+            new = new.orderBy("edge", "id").limit(hop_limit)
+        frontier = materialize(new.select("id", F.lit(hop).alias("hop")), "hop")
+        size = frontier.count()
+        if not size:
             break
-        visited = grown
+        visited = visited.unionByName(frontier)
     return visited, omitted
 
 
@@ -110,6 +121,43 @@ def subgraph(nodes: DataFrame, edges: DataFrame, center: int, max_hops: int = UN
     return Subgraph(visited.withColumn("tier", tier_name(F.least("hop", F.lit(AMBIENT_RANK)))), induced_edges(edges, visited), omitted)
 
 
+def scan_with_class(nodes: DataFrame, classifications: DataFrame, where: Column | None = None) -> DataFrame:
+    """Nodes (where a condition on them holds) with `classification_name`, their classification's display name; an unknown code keeps its node, with null."""
+    rows = nodes if where is None else nodes.where(where)
+    names = classifications.select(F.col("code").alias("classification"), F.col("display_name").alias("classification_name"))
+    return rows.join(names, "classification", "left").select(*[rows[c] for c in rows.columns], "classification_name")
+
+
+def active_only(rows: DataFrame) -> DataFrame:
+    """Rows whose is_active is true; unknown counts as not."""
+    return rows.where(F.coalesce("is_active", F.lit(False)))
+
+
+def node_view(members: DataFrame, nodes: DataFrame, classifications: DataFrame) -> DataFrame:
+    """The rows that a neighbourhood shows: members(id, tier) with name, classification code and name, description, and properties (an empty object where there are none)."""
+    rows = nodes.join(members.select("id", "tier"), "id")
+    out = scan_with_class(rows, classifications)
+    return out.select("id", "name", F.col("classification").alias("classification_code"), "classification_name", "description", F.coalesce("properties", F.lit("{}")).alias("properties"), "tier")
+
+
+def edge_view(edges: DataFrame, relations: DataFrame) -> DataFrame:
+    """induced_edges with their relation's display name: (id, source_node_id, target_node_id, relation_code, relation_name, tier)."""
+    names = relations.select(F.col("code").alias("relation"), F.col("display_name").alias("relation_name"))
+    return edges.join(names, "relation", "left").select("id", F.col("source").alias("source_node_id"), F.col("target").alias("target_node_id"), F.col("relation").alias("relation_code"), "relation_name", "tier")
+
+
+def node_details(nodes: DataFrame, classifications: DataFrame, claims: DataFrame, documents: DataFrame, insights: DataFrame, pairs: DataFrame, limit: int = 20) -> DataFrame:
+    """One row per node: its class, newest claims with quote, statement and title, its insight and its questions in order.
+
+    claims(id, document_id, quote_text, statement), insights(node_id, summary, issues),
+    pairs(node_id, sequence, question, answer). Lists are cut before they are made.
+    """
+    found = evidence(nodes, claims, documents, limit).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("claim_id").alias("id"), F.col("quote_text").alias("quote"), "statement", "title"))).alias("claims"))
+    out = scan_with_class(nodes, classifications).join(found.withColumnRenamed("node_id", "id"), "id", "left")
+    out = out.join(insights.select(F.col("node_id").alias("id"), "summary", "issues"), "id", "left").join(question_lists(pairs).withColumnRenamed("node_id", "id"), "id", "left")
+    return out.select("id", "name", "classification", "classification_name", "description", "claims", "summary", "issues", "questions")
+
+
 def search(nodes: DataFrame, query: str, limit: int = 20, escape: bool = False) -> DataFrame:
     """Newest nodes whose name or description contains the trimmed query, in any case. % and _ are wildcards unless escape."""
     q = query.strip()
@@ -141,11 +189,12 @@ def incident_edges(edges: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def insight_inputs(nodes: DataFrame, edges: DataFrame, most_claims: int = 100, most_edges: int = 50) -> DataFrame:
-    """What an insight on a node is derived from: (id, claim_ids, edge_ids, fingerprint)."""
+    """What an insight on a node is derived from: id, name, classification, description and properties as far as nodes have them, claim_ids, edge_ids, and a fingerprint of it all."""
     own = incident_edges(edges, most_edges).groupBy(F.col("node").alias("id")).agg(F.array_sort(F.collect_list("edge")).alias("edge_ids"))
     none = F.array().cast("array<bigint>")
-    rows = nodes.join(own, "id", "left").select("id", "name", "description", F.slice(F.array_sort(F.coalesce("claim_ids", none)), 1, most_claims).alias("claim_ids"), F.coalesce("edge_ids", none).alias("edge_ids"))
-    return rows.withColumn("fingerprint", fingerprint(F.struct("id", "name", "description", "claim_ids", "edge_ids")))
+    known = [c for c in ("id", "name", "classification", "description", "properties") if c in nodes.columns]
+    rows = nodes.join(own, "id", "left").select(*known, F.slice(F.array_sort(F.coalesce("claim_ids", none)), 1, most_claims).alias("claim_ids"), F.coalesce("edge_ids", none).alias("edge_ids"))
+    return rows.withColumn("fingerprint", fingerprint(F.struct(*known, "claim_ids", "edge_ids")))
 
 
 def fingerprint(value: Column) -> Column:

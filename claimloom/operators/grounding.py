@@ -7,35 +7,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import MOST_CONTENT, STOP_WORDS, quote_offsets, strip_fence
+from claimloom.functions.text import STOP_WORDS, blank, json_object, quote_offsets, strip
+from claimloom.operators.order import fresh
 from claimloom.plans.scratch import materialize
 
-MOST_ENTITIES = 10
 #: Words of the windows that passages and texts are joined on; powers of two.
 WINDOWS = (1, 2, 4, 8)
 
 EXTRACTION = (
-    "nodes array<struct<name: string, classification: string, description: string>>, "
+    "nodes array<struct<name: string, classification: string, description: string, properties: string>>, "
     "edges array<struct<source_name: string, target_name: string, relation: string>>, "
     "claims array<struct<quote: string, claim_text: string, confidence: double>>, "
     "insights struct<summary: string>"
 )
 
 
-def too_long(content: Column) -> Column:
-    return F.length(content) > MOST_CONTENT
+def too_long(content: Column, most: int) -> Column:
+    """Whether a content has more than `most` characters; null has none."""
+    return F.coalesce(F.length(content) > most, F.lit(False))
 
 
 def decode_responses(rows: DataFrame, raw: str = "raw_response") -> DataFrame:
-    """rows with `extracted`, the decoded response; null where it is no JSON."""
-    return rows.withColumn("extracted", F.from_json(strip_fence(F.col(raw)), EXTRACTION))
+    """rows with `extracted`, the decoded response; null where it is no JSON object."""
+    return rows.withColumn("extracted", json_object(F.col(raw), EXTRACTION))
 
 
 def claims_of(decoded: DataFrame) -> DataFrame:
-    """(doc_id, pos, ref, quote, claim_text, start, end): one row per extracted claim, with its place in the content."""
-    rows = decoded.select("doc_id", "content", F.posexplode("extracted.claims").alias("pos", "c"))
-    start, end = quote_offsets(F.col("c.quote"), F.col("content"))
-    return rows.select("doc_id", "pos", F.concat(F.lit("c"), F.col("pos").cast("string")).alias("ref"), "c.quote", "c.claim_text", start.cast("int").alias("start"), end.cast("int").alias("end"))
+    """(doc_id, pos, ref, quote, claim_text, start, end): one row per extracted claim, its quote stripped, with its place in the content; the text defaults to the quote."""
+    rows = decoded.select("doc_id", "content", F.posexplode("extracted.claims").alias("pos", "c")).withColumn("quote", F.coalesce(strip(F.col("c.quote")), F.lit("")))
+    start, end = quote_offsets(F.nullif("quote", F.lit("")), F.col("content"))
+    text = F.when(F.coalesce("c.claim_text", F.lit("")) == "", F.col("quote")).otherwise(F.col("c.claim_text"))
+    return rows.select("doc_id", "pos", F.concat(F.lit("c"), F.col("pos").cast("string")).alias("ref"), "quote", text.alias("claim_text"), start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
 def _windows(words: str, widths: list[int], skip: int) -> Column:
@@ -88,14 +90,14 @@ def tokens(name: Column) -> Column:
 
 def pairs_of_characters(name: Column) -> Column:
     """Two-character substrings of a name without stop words among them."""
-    low = F.lower(F.trim(name))
+    low = F.lower(strip(name))
     all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, 2))
     return F.filter(F.array_distinct(all_), lambda s: (F.length(s) == 2) & ~s.isin(*STOP_WORDS))
 
 
 def grounding_level(name: Column, text: Column) -> Column:
     """1 if the claim holds the name or the name the claim, 2 if it holds a word of the name, 3 if two characters of it; else null."""
-    low = F.lower(F.trim(name))
+    low = F.lower(strip(name))
     return (
         F.when(text.contains(low) | low.contains(text), 1)
         .when(F.exists(tokens(name), lambda w: text.contains(w)), 2)
@@ -103,50 +105,54 @@ def grounding_level(name: Column, text: Column) -> Column:
     )
 
 
-def ground_entities(entities: DataFrame, claims: DataFrame) -> DataFrame:
-    """entities(doc_id, pos, name) that their document's claims support, with level, refs, and a dense ref among the first MOST_ENTITIES.
+def ground_entities(entities: DataFrame, claims: DataFrame, most: int | None = None) -> DataFrame:
+    """entities(doc_id, pos, name) that their document's claims support, with level, refs, and a dense ref; at most `most` of a document, by pos, if given.
 
     The best level of any claim counts, and the refs are of claims at that level. A document
-    without claims supports all its entities.
+    without claims supports all its entities. Blank names go; (doc_id, pos) is unique.
     """
+    entities = entities.where(~blank(F.col("name"))).withColumn("name", strip(F.col("name")))
     tested = entities.join(claims.select("doc_id", F.col("pos").alias("claim_pos"), "ref", _claim_text().alias("text")), "doc_id", "left")
     tested = tested.withColumn("level", F.when(F.col("ref").isNull(), 0).otherwise(grounding_level(F.col("name"), F.col("text"))))
     by_level = tested.where("level IS NOT NULL").groupBy("doc_id", "pos", "name", "level").agg(F.array_sort(F.collect_list(F.struct("claim_pos", "ref"))).alias("found"))
     best = by_level.groupBy("doc_id", "pos", "name").agg(F.min("level").alias("level"), F.min_by("found", "level").alias("found"))
     order = Window.partitionBy("doc_id").orderBy("pos")
-    kept = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_ENTITIES)
+    kept = best.withColumn("n", F.row_number().over(order)).where(F.lit(True) if most is None else F.col("n") <= most)
     return kept.select("doc_id", "pos", "name", "level", F.array_compact(F.col("found.ref")).alias("claim_refs"), F.concat(F.lit("n"), (F.col("n") - 1).cast("string")).alias("ref_id"))
 
 
 def admit_edges(edges: DataFrame, kept: DataFrame, known: DataFrame) -> DataFrame:
     """edges(doc_id, pos, source_name, target_name, relation) whose ends are kept entities of the document or known names, in any case."""
-    own = kept.select("doc_id", F.lower(F.trim("name")).alias("name")).distinct()
-    stored = known.select(F.lower(F.trim("name")).alias("name")).distinct()
+    own = kept.select("doc_id", F.lower(strip(F.col("name"))).alias("name")).distinct()
+    stored = known.select(F.lower(strip(F.col("name"))).alias("name")).distinct()
+    end_name, is_own, is_known = (fresh(edges, x) for x in ("end_name", "is_own", "is_known"))
     out = edges
     for end in ("source", "target"):
-        e = out.withColumn("_end", F.lower(F.trim(f"{end}_name")))
-        a = own.select("doc_id", F.col("name").alias("_end"), F.lit(True).alias("_own"))
-        b = stored.select(F.col("name").alias("_end"), F.lit(True).alias("_known"))
-        out = e.join(a, ["doc_id", "_end"], "left").join(b, "_end", "left").where("_own OR _known").drop("_end", "_own", "_known")
+        e = out.withColumn(end_name, F.lower(strip(F.col(f"{end}_name"))))
+        a = own.select("doc_id", F.col("name").alias(end_name), F.lit(True).alias(is_own))
+        b = stored.select(F.col("name").alias(end_name), F.lit(True).alias(is_known))
+        out = e.join(a, ["doc_id", end_name], "left").join(b, end_name, "left").where(F.col(is_own) | F.col(is_known)).drop(end_name, is_own, is_known)
     return out
 
 
 def attribute_edges(edges: DataFrame, claims: DataFrame) -> DataFrame:
     """edges with `claim_ref`: the first claim that names both ends, else the target, else the source, else the document's first."""
-    text = F.col("_text")
-    s, t = text.contains(F.lower(F.trim("source_name"))), text.contains(F.lower(F.trim("target_name")))
+    pairs = edges.select("doc_id", "pos", F.lower(strip(F.col("source_name"))).alias("s"), F.lower(strip(F.col("target_name"))).alias("t"))
+    pairs = pairs.join(claims.select("doc_id", F.col("pos").alias("claim_pos"), "ref", _claim_text().alias("text")), "doc_id", "left")
+    s, t = F.col("text").contains(F.col("s")), F.col("text").contains(F.col("t"))
     priority = F.when(s & t, 0).when(t, 1).when(s, 2).otherwise(3)
-    pairs = edges.join(claims.select("doc_id", F.col("pos").alias("_claim_pos"), F.col("ref").alias("_ref"), _claim_text().alias("_text")), "doc_id", "left")
-    best = pairs.groupBy("doc_id", "pos").agg(F.min_by("_ref", F.struct(priority.alias("p"), "_claim_pos")).alias("claim_ref"), F.min(F.when(F.col("_ref").isNotNull(), priority)).alias("priority"))
+    best = pairs.groupBy("doc_id", "pos").agg(F.min_by("ref", F.struct(priority.alias("p"), "claim_pos")).alias("claim_ref"), F.min(F.when(F.col("ref").isNotNull(), priority)).alias("priority"))
     return edges.join(best, ["doc_id", "pos"])
 
 
-def insight_rows(responses: DataFrame) -> DataFrame:
-    """responses(node_id, issues, questions) cut to 5 issues and 5 question pairs; pairs with a blank side go, the sequence is the original place."""
-    live = F.filter(F.transform("questions", lambda q, i: F.struct(i.alias("sequence"), F.trim(q["question"]).alias("question"), F.trim(q["answer"]).alias("answer"))), lambda q: (q["question"] != "") & (q["answer"] != ""))
-    return responses.select("node_id", F.slice("issues", 1, 5).alias("issues"), F.slice(live, 1, 5).alias("questions"))
+def insight_rows(responses: DataFrame, most_issues: int | None = None, most_questions: int | None = None) -> DataFrame:
+    """(node_id, issues, questions) of responses(node_id, issues, questions), cut to the first of each if limits are given; pairs with a blank side go, the sequence is the original place. Null lists are empty."""
+    cut = lambda a, n: a if n is None else F.slice(a, 1, n)
+    asked = cut(F.coalesce("questions", F.array().cast("array<struct<question: string, answer: string>>")), most_questions)
+    live = F.filter(F.transform(asked, lambda q, i: F.struct(i.alias("sequence"), strip(q["question"]).alias("question"), strip(q["answer"]).alias("answer"))), lambda q: (q["question"] != "") & (q["answer"] != ""))
+    return responses.select("node_id", cut(F.coalesce("issues", F.array().cast("array<string>")), most_issues).alias("issues"), live.alias("questions"))
 
 
 def without_evidence(claim_ids: Column, description: Column) -> Column:
     """Whether there is nothing to derive an insight from."""
-    return (F.size(F.coalesce(claim_ids, F.array().cast("array<bigint>"))) == 0) & (F.trim(F.coalesce(description, F.lit(""))) == "")
+    return (F.size(F.coalesce(claim_ids, F.array().cast("array<bigint>"))) == 0) & (F.coalesce(description, F.lit("")) == "")

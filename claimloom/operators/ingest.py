@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import CLASSIFICATION_NAMES, capitalized, normalized_code
-from claimloom.operators.order import row_numbers
+from claimloom.functions.text import CLASSIFICATION_NAMES, capitalized, normalized_code, strip
+from claimloom.operators.order import fresh, row_numbers
 
 DEFAULT_CLASSIFICATION, DEFAULT_RELATION = "GENERAL", "RELATED_TO"
-MOST_DOCUMENTS, MOST_CLAIMS = 1_000, 100
 
 
 def allocate_ids(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
     """new with ids after the largest stored one, in order."""
     top = stored.agg(F.max("id")).first()[0] or 0
-    return row_numbers(new, [], order, "_nth").withColumn("id", F.col("_nth") + F.lit(top)).drop("_nth")
+    nth = fresh(new, "nth")
+    return row_numbers(new, [], order, nth).withColumn("id", F.col(nth) + F.lit(top)).drop(nth)
 
 
 def new_codes(payload_codes: DataFrame, stored: DataFrame, default: str = DEFAULT_CLASSIFICATION, names: dict[str, str] = CLASSIFICATION_NAMES) -> DataFrame:
@@ -53,7 +53,7 @@ def over_limit(counts: DataFrame, key: str, most: int) -> DataFrame:
 def claim_key(df: DataFrame) -> DataFrame:
     """df(document_id, quote, claim_text) with quote and statement trimmed; the statement defaults to the quote."""
     statement = F.when(F.coalesce("claim_text", F.lit("")) == "", F.col("quote")).otherwise(F.col("claim_text"))
-    return df.withColumn("quote_text", F.trim("quote")).withColumn("statement", F.trim(statement))
+    return df.withColumn("quote_text", strip(F.col("quote"))).withColumn("statement", strip(statement))
 
 
 def match_claims(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -64,11 +64,16 @@ def match_claims(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return distinct.join(newest, key, "left")
 
 
+def newest_by_name(stored: DataFrame) -> DataFrame:
+    """(name, id): of stored nodes with one name the newest stands for it."""
+    return stored.groupBy("name").agg(F.max("id").alias("id"))
+
+
 def resolve_entities(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """(seq, pos, name, node_id): by existing_node_id if stored, else by exact trimmed name, else null (a new entity)."""
-    rows = incoming.withColumn("name", F.trim("name"))
-    by_id = stored.select(F.col("id").alias("existing_node_id"), F.col("id").alias("id_hit"))
-    by_name = stored.select("name", F.col("id").alias("name_hit"))
+    """(seq, pos, name, classification, node_id), a row per incoming row: by existing_node_id if stored, else the newest node of the exact stripped name, else null (a new entity)."""
+    rows = incoming.withColumn("name", strip(F.col("name")))
+    by_id = stored.select(F.col("id").alias("existing_node_id"), F.col("id").alias("id_hit")).distinct()
+    by_name = newest_by_name(stored).withColumnRenamed("id", "name_hit")
     return rows.join(by_id, "existing_node_id", "left").join(by_name, "name", "left").select("seq", "pos", "name", "classification", F.coalesce("id_hit", "name_hit").alias("node_id"))
 
 
@@ -124,16 +129,19 @@ def resolve_endpoints(relations: DataFrame, entities: DataFrame, stored: DataFra
     """relations(seq, pos, source_ref, source_name, target_ref, target_name, relation) with source_id and target_id.
 
     An end is found by reference, else by name among the payload's entities in any case, else by
-    exact name among stored nodes; else it stays null.
+    exact name among stored nodes, the newest of these; else it stays null. A row per relation.
     """
     by_ref = entities.where("ref_id IS NOT NULL").groupBy("seq", F.col("ref_id").alias("ref")).agg(F.min_by("node_id", "pos").alias("ref_hit"))
-    by_name = entities.groupBy("seq", F.lower(F.trim("name")).alias("low")).agg(F.min_by("node_id", "pos").alias("name_hit"))
-    exact = stored.select(F.col("name").alias("exact"), F.col("id").alias("stored_hit"))
+    by_name = entities.groupBy("seq", F.lower(strip(F.col("name"))).alias("low")).agg(F.min_by("node_id", "pos").alias("name_hit"))
+    exact = newest_by_name(stored).select(F.col("name").alias("exact"), F.col("id").alias("stored_hit"))
+    helpers = {x: fresh(relations, x) for x in ("ref", "low", "exact", "ref_hit", "name_hit", "stored_hit")}
+    by_ref, by_name, exact = (t.withColumnsRenamed({c: n for c, n in helpers.items() if c in t.columns}) for t in (by_ref, by_name, exact))
+    ref, low, whole = helpers["ref"], helpers["low"], helpers["exact"]
     out = relations
     for end in ("source", "target"):
-        keyed = out.withColumns({"ref": F.col(f"{end}_ref"), "low": F.lower(F.trim(f"{end}_name")), "exact": F.trim(f"{end}_name")})
-        joined = keyed.join(by_ref, ["seq", "ref"], "left").join(by_name, ["seq", "low"], "left").join(exact, "exact", "left")
-        out = joined.withColumn(f"{end}_id", F.coalesce("ref_hit", "name_hit", "stored_hit")).drop("ref", "low", "exact", "ref_hit", "name_hit", "stored_hit")
+        keyed = out.withColumns({ref: F.col(f"{end}_ref"), low: F.lower(strip(F.col(f"{end}_name"))), whole: strip(F.col(f"{end}_name"))})
+        joined = keyed.join(by_ref, ["seq", ref], "left").join(by_name, ["seq", low], "left").join(exact, whole, "left")
+        out = joined.withColumn(f"{end}_id", F.coalesce(helpers["ref_hit"], helpers["name_hit"], helpers["stored_hit"])).drop(*helpers.values())
     return out
 
 
@@ -169,9 +177,9 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, D
 
 def name_tokens(name: Column) -> Column:
     """Lower-case forms that stand for an entity: the name, what is in parentheses, and the name without these, of 2 characters or more."""
-    low = F.lower(F.trim(name))
-    inner = F.transform(F.regexp_extract_all(low, F.lit(r"\((.*?)\)"), 1), lambda x: F.trim(x))
-    outer = F.trim(F.regexp_replace(low, r"\(.*?\)", ""))
+    low = F.lower(strip(name))
+    inner = F.transform(F.regexp_extract_all(low, F.lit(r"\((.*?)\)"), 1), strip)
+    outer = strip(F.regexp_replace(low, r"\(.*?\)", ""))
     return F.array_distinct(F.concat(F.array(low), F.filter(F.concat(inner, F.array(outer)), lambda x: F.length(x) >= 2)))
 
 
@@ -195,5 +203,6 @@ def cascade_delete(deleted: DataFrame, child: DataFrame, key: str) -> DataFrame:
 
 def set_null_on_delete(deleted: DataFrame, child: DataFrame, key: str) -> DataFrame:
     """child with null keys where they are among deleted(id)."""
-    gone = deleted.select(F.col("id").alias("_gone"))
-    return child.join(gone, F.col(key) == F.col("_gone"), "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+    mark = fresh(child, "gone")
+    gone = deleted.select(F.col("id").alias(mark)).distinct()
+    return child.join(gone, child[key] == gone[mark], "left").withColumn(key, F.when(F.col(mark).isNull(), F.col(key))).drop(mark)

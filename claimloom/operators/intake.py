@@ -3,7 +3,8 @@
 A payload is a document with quoted claims, entities and relations. Replays change nothing. A
 payload with a relation that lacks an end, or over a limit, is rejected as a whole; others of the
 batch stay. Later payloads of a batch (by `seq`) see what earlier accepted ones bring. All
-results are new tables; nothing is changed in place, so a failed batch leaves no trace.
+results are new tables; nothing is changed in place, so a failed batch leaves no trace. An empty
+batch changes nothing. Null lists of a payload count as empty. `seq` is unique in a batch.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import RELATION_NAMES, normalized_code, quote_offsets
+from claimloom.functions.text import RELATION_NAMES, normalized_code, quote_offsets, strip
 from claimloom.operators import ingest
 from claimloom.plans.scratch import materialize
 
@@ -40,11 +41,13 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 @dataclass
 class Outcome:
-    """tables: all tables after the batch. results: a row per payload, accepted or rejected with a reason. affected: ids of nodes that are new or changed."""
+    """tables: all tables after the batch. changes: of each table the rows that are new or changed. results: a row per payload, accepted or rejected with a reason. affected: ids of nodes that are new or changed. counters: one row of what the batch made."""
 
     tables: dict[str, DataFrame]
+    changes: dict[str, DataFrame]
     results: DataFrame
     affected: DataFrame
+    counters: DataFrame
 
 
 
@@ -56,7 +59,7 @@ def _refs(one: Column, many: Column) -> Column:
 
 def _exploded(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = payloads.select("seq", F.posexplode("nodes").alias("pos", "n"))
-    nodes = n.select("seq", "pos", "n.ref_id", F.trim("n.name").alias("name"), normalized_code(F.col("n.classification"), ingest.DEFAULT_CLASSIFICATION).alias("classification"), "n.description", "n.properties", "n.existing_node_id", _refs(F.col("n.claim_ref"), F.col("n.claim_refs")).alias("claim_refs"))
+    nodes = n.select("seq", "pos", "n.ref_id", strip(F.col("n.name")).alias("name"), normalized_code(F.col("n.classification"), ingest.DEFAULT_CLASSIFICATION).alias("classification"), "n.description", "n.properties", "n.existing_node_id", _refs(F.col("n.claim_ref"), F.col("n.claim_refs")).alias("claim_refs"))
     e = payloads.select("seq", F.posexplode("edges").alias("pos", "e"))
     edges = e.select("seq", "pos", "e.source_ref", "e.source_name", "e.target_ref", "e.target_name", normalized_code(F.col("e.relation"), ingest.DEFAULT_RELATION).alias("relation"), _refs(F.col("e.claim_ref"), F.col("e.claim_refs")).alias("claim_refs"))
     c = payloads.select("seq", "document_content", F.posexplode("claims").alias("pos", "c"))
@@ -74,29 +77,35 @@ def _unresolved(edges: DataFrame, nodes: DataFrame, stored: DataFrame, accepted:
         refs = own.where("ref_id IS NOT NULL").select("seq", F.col("ref_id").alias(f"{end}_ref"), F.lit(True).alias("by_ref")).distinct()
         names = own.select("seq", F.lower("name").alias("low"), F.lit(True).alias("by_name")).distinct()
         far = known.select(F.col("name").alias("exact"), "since")
-        x = out.withColumns({"low": F.lower(F.trim(f"{end}_name")), "exact": F.trim(f"{end}_name")})
+        x = out.withColumns({"low": F.lower(strip(F.col(f"{end}_name"))), "exact": strip(F.col(f"{end}_name"))})
         x = x.join(refs, ["seq", f"{end}_ref"], "left").join(names, ["seq", "low"], "left").join(far, "exact", "left")
         out = x.withColumn(f"{end}_ok", F.coalesce("by_ref", F.lit(False)) | F.coalesce("by_name", F.lit(False)) | F.coalesce(F.col("since") < F.col("seq"), F.lit(False))).drop("low", "exact", "by_ref", "by_name", "since")
     missing = F.concat_ws(", ", F.when(~F.col("source_ok"), F.coalesce("source_name", "source_ref")), F.when(~F.col("target_ok"), F.coalesce("target_name", "target_ref")))
     return out.where("NOT (source_ok AND target_ok)").groupBy("seq").agg(F.min_by(F.concat(F.lit("unresolved end of "), "relation", F.lit(": "), missing), "pos").alias("reason"))
 
 
-def _over_limits(keyed: DataFrame, claims: DataFrame, stored: dict[str, DataFrame], accepted: DataFrame) -> DataFrame:
-    """(seq, reason) of the first accepted payload of each document with too many claims, and of payloads with documents beyond the limit."""
+def _over_claims(keyed: DataFrame, claims: DataFrame, stored: dict[str, DataFrame], accepted: DataFrame, most: int | None) -> DataFrame:
+    """(seq, reason) of the first accepted payload of each document that gets more claims than `most`."""
     live = keyed.join(accepted, "seq", "left_semi")
+    if most is None:
+        return live.where("false").select("seq", F.lit("").alias("reason"))
     new = ingest.claim_key(claims.join(live, "seq").withColumn("document_id", F.col("key")))
     old = stored["claims"].groupBy("document_id").agg(F.count("*").alias("n_old"))
     have = stored["claims"].select(F.col("document_id").alias("stored_id"), "quote_text", "statement").distinct()
-    fresh = new.withColumn("stored_id", F.col("found_id")).join(have, ["stored_id", "quote_text", "statement"], "left_anti")
-    first = fresh.groupBy("key", "found_id", "quote_text", "statement").agg(F.min("seq").alias("seq"))
+    unknown = new.withColumn("stored_id", F.col("found_id")).join(have, ["stored_id", "quote_text", "statement"], "left_anti")
+    first = unknown.groupBy("key", "found_id", "quote_text", "statement").agg(F.min("seq").alias("seq"))
     per = first.groupBy("key", "found_id", "seq").agg(F.count("*").alias("n"))
     so_far = per.withColumn("n", F.sum("n").over(Window.partitionBy("key").orderBy("seq"))).join(old.withColumnRenamed("document_id", "found_id"), "found_id", "left")
-    claims_over = so_far.where(F.col("n") + F.coalesce("n_old", F.lit(0)) > ingest.MOST_CLAIMS).groupBy("key").agg(F.min("seq").alias("seq")).select("seq", F.lit(f"more than {ingest.MOST_CLAIMS} claims of a document").alias("reason"))
-    room = ingest.MOST_DOCUMENTS - stored["documents"].count()
-    created = live.where("found_id IS NULL").groupBy("key").agg(F.min("seq").alias("since"))
-    beyond = created.orderBy("since").limit(max(room, 0)).select("key")
-    documents_over = live.where("found_id IS NULL").join(beyond, "key", "left_anti").select("seq", F.lit(f"more than {ingest.MOST_DOCUMENTS} documents").alias("reason"))
-    return claims_over.unionByName(documents_over).groupBy("seq").agg(F.min("reason").alias("reason"))
+    beyond = so_far.where(F.col("n") + F.coalesce("n_old", F.lit(0)) > most).groupBy("key").agg(F.min("seq").alias("seq"))
+    return beyond.select("seq", F.lit(f"more than {most} claims of a document").alias("reason"))
+
+
+def _over_documents(keyed: DataFrame, stored: dict[str, DataFrame], accepted: DataFrame, most: int) -> DataFrame:
+    """(seq, reason) of accepted payloads whose new document doesn't fit any more."""
+    new = keyed.join(accepted, "seq", "left_semi").where("found_id IS NULL")
+    room = max(most - stored["documents"].count(), 0)
+    fits = new.groupBy("key").agg(F.min("seq").alias("since")).orderBy("since").limit(room).select("key")
+    return new.join(fits, "key", "left_anti").select("seq", F.lit(f"more than {most} documents").alias("reason"))
 
 
 def _json_object(pairs: Column) -> Column:
@@ -122,24 +131,30 @@ def merged_properties(rows: DataFrame) -> DataFrame:
     return flat.unionByName(deep).groupBy("node_id").agg(_json_object(F.collect_list(F.struct("key", "value"))).alias("properties"))
 
 
-def accept(payloads: DataFrame, stored: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def accept(payloads: DataFrame, stored: dict[str, DataFrame], most_documents: int | None = None, most_claims: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted seqs, (seq, reason) of rejected payloads). Rejecting one may take another's names away, so this goes on until nothing changes."""
     nodes, edges, claims = _exploded(payloads)
     keyed = materialize(ingest.match_documents(payloads, stored["documents"]).withColumnRenamed("document_id", "found_id"), "intake-keys")
     accepted = materialize(payloads.select("seq"), "intake-accepted")
     rejected = None
     while True:
-        bad = _unresolved(edges, nodes, stored["nodes"], accepted).unionByName(_over_limits(keyed, claims, stored, accepted)).groupBy("seq").agg(F.min("reason").alias("reason"))
+        bad = _unresolved(edges, nodes, stored["nodes"], accepted).unionByName(_over_claims(keyed, claims, stored, accepted, most_claims)).groupBy("seq").agg(F.min("reason").alias("reason"))
         bad = materialize(bad, "intake-rejected")
+        if most_documents is not None and bad.isEmpty():  # rejected payloads take no room
+            bad = materialize(_over_documents(keyed, stored, accepted, most_documents), "intake-rejected")
         rejected = bad if rejected is None else rejected.unionByName(bad)
         if bad.isEmpty():
             return accepted, rejected
         accepted = materialize(accepted.join(bad, "seq", "left_anti"), "intake-accepted")
 
 
-def process(payloads: DataFrame, stored: dict[str, DataFrame]) -> Outcome:
-    """Fold payloads (schema PAYLOAD) into stored tables (schemas TABLES)."""
-    accepted, rejected = accept(payloads, stored)
+def process(payloads: DataFrame, stored: dict[str, DataFrame], most_documents: int | None = None, most_claims: int | None = None) -> Outcome:
+    """Fold payloads (schema PAYLOAD) into stored tables (schemas TABLES).
+
+    most_documents: documents that the store may hold; most_claims: claims that a document may
+    have. A payload beyond a limit is rejected, with the reason. Without limits none is.
+    """
+    accepted, rejected = accept(payloads, stored, most_documents, most_claims)
     live = payloads.join(accepted, "seq", "left_semi")
     nodes, edges, claims = _exploded(live)
 
@@ -172,11 +187,11 @@ def process(payloads: DataFrame, stored: dict[str, DataFrame]) -> Outcome:
     names = base.select("id", "name")
     ends = ingest.resolve_endpoints(edges, placed.select("seq", "pos", "ref_id", "name", "node_id"), names)
     refs = ends.select("seq", "pos", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relation", F.posexplode_outer("claim_refs").alias("nth", "ref_id"))
-    with_claims = materialize(refs.join(claim_of.select("seq", "ref_id", "claim_id"), ["seq", "ref_id"], "left").withColumn("pos", F.col("pos") * 1000 + F.coalesce("nth", F.lit(0))), "intake-relations")
+    with_claims = materialize(refs.join(claim_of.select("seq", "ref_id", "claim_id"), ["seq", "ref_id"], "left").withColumn("pos", F.struct("pos", F.coalesce("nth", F.lit(0)).alias("nth"))), "intake-relations")
     merged = materialize(ingest.merge_edges(with_claims, stored["edges"]), "intake-edges")
-    kept = merged.where("NOT created").join(stored["edges"].select(F.col("id").alias("edge_id"), F.col("claim_id").alias("old_claim")), "edge_id").select(F.col("edge_id").alias("id"), "source", "target", "relation", F.col("old_claim").alias("claim_id"), "claim_ids")
-    made_edges = ingest.allocate_ids(merged.where("created").select("source", "target", "relation", "claim_id", "claim_ids"), stored["edges"], ["source", "target", "relation"])
-    all_edges = kept.unionByName(made_edges.select("id", "source", "target", "relation", "claim_id", "claim_ids"))
+    kept = merged.where("NOT created").join(stored["edges"].select(F.col("id").alias("edge_id"), F.col("claim_id").alias("old_claim")), "edge_id").select(F.col("edge_id").alias("id"), "source", "target", "relation", F.col("old_claim").alias("claim_id"), "claim_ids", "affected")
+    made_edges = materialize(ingest.allocate_ids(merged.where("created").select("source", "target", "relation", "claim_id", "claim_ids"), stored["edges"], ["source", "target", "relation"]), "intake-made-edges").select("id", "source", "target", "relation", "claim_id", "claim_ids")
+    all_edges = kept.drop("affected").unionByName(made_edges)
 
     # What the entities gather: evidence, descriptions, properties.
     own = ingest.attribute_claims(placed.select("seq", "node_id", "name", "claim_refs"), claim_of).select(F.col("node_id").alias("id"), "claim_id")
@@ -191,12 +206,23 @@ def process(payloads: DataFrame, stored: dict[str, DataFrame]) -> Outcome:
     changed = F.coalesce("made", F.lit(False)) | F.col("affected") | F.coalesce(~F.col("new_description").eqNullSafe(F.col("description")) & F.col("new_description").isNotNull(), F.lit(False)) | F.coalesce(~F.to_json(F.parse_json("new_properties")).eqNullSafe(canonical) & F.col("new_properties").isNotNull(), F.lit(False))
     final = materialize(x.select("id", "name", "classification", F.coalesce("new_description", "description").alias("description"), F.coalesce("new_properties", "properties").alias("properties"), "claim_ids", changed.alias("changed")), "intake-final")
 
-    codes = {}
+    codes, new_codes = {}, {}
     for name, column, source, display in (("classifications", "classification", nodes, ingest.CLASSIFICATION_NAMES), ("relations", "relation", edges, RELATION_NAMES)):
         fresh = ingest.new_codes(source.select(F.col(column).alias("code")), stored[name], names=display)
-        codes[name] = stored[name].unionByName(ingest.allocate_ids(fresh, stored[name], ["code"]).select("id", "code", "display_name"))
+        new_codes[name] = materialize(ingest.allocate_ids(fresh, stored[name], ["code"]).select("id", "code", "display_name"), "intake-codes")
+        codes[name] = stored[name].unionByName(new_codes[name])
     tables = {"documents": documents, "claims": all_claims, "nodes": final.drop("changed"), "edges": all_edges} | codes
+    changes = {
+        "documents": made.select("id", "title", "normalized_content", "source_uri"),
+        "claims": made_claims.select("id", *key, "start_offset", "end_offset"),
+        "nodes": final.where("changed").drop("changed"),
+        "edges": made_edges.unionByName(kept.where("affected").drop("affected")),
+    } | new_codes
 
     primary = placed.groupBy("seq").agg(F.min_by("node_id", F.struct(F.col("ref_id").isNull(), "pos")).alias("primary_node_id"))
     results = payloads.select("seq").join(rejected, "seq", "left").join(of_seq, "seq", "left").join(primary, "seq", "left").select("seq", F.col("reason").isNull().alias("accepted"), "reason", "document_id", "primary_node_id")
-    return Outcome(tables, results, final.where("changed").select("id"))
+    seen = found.agg(F.count_if(F.col("claim_id").isNull()).alias("claims_created"), (F.sum("n_incoming") - F.count_if(F.col("claim_id").isNull())).alias("claims_reused"))
+    one = lambda df, column: df.agg(F.count("*").alias(column))
+    counters = one(made, "documents_created").crossJoin(seen).crossJoin(one(made_nodes, "nodes_created")).crossJoin(one(made_edges, "edges_created"))  # one row each
+    counters = counters.select("documents_created", "claims_created", F.coalesce("claims_reused", F.lit(0)).alias("claims_reused"), "nodes_created", "edges_created")
+    return Outcome(tables, changes, results, final.where("changed").select("id"), counters)

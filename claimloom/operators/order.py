@@ -10,18 +10,28 @@ from pyspark.sql import functions as F
 from claimloom.plans.scratch import materialize
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with a suffix that no column of df has (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_numbers(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
     """df with `name`, 1, 2, ... within each group (or over all rows, without groups) by order.
 
     Rows are dealt into ranges of (groups, order) and written once with their range, numbered in
     each range, and moved up by the counts of the ranges before. So a group with a third of all
-    rows is numbered by as many tasks as it fills ranges.
+    rows is numbered by as many tasks as it fills ranges. Null groups are a group; rows that are
+    equal in order are numbered in some order. An empty table gives an empty result.
     """
-    ranged = materialize(df.repartitionByRange(*groups, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("_range", *groups).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_range")
-    offsets = counts.select("_range", *groups, (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
-    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range", *groups).orderBy(*order)))
-    right = offsets.withColumnsRenamed({c: f"_o{c}" for c in ("_range", *groups)})
-    same: Column = reduce(lambda a, b: a & b, [placed[c].eqNullSafe(right[f"_o{c}"]) for c in groups], placed["_range"] == right["_o_range"])
-    return placed.join(right, same).select(*[placed[c] for c in df.columns], (F.col("_before") + F.col("_place")).alias(name))
+    span, n, before_, place = (fresh(df, x) for x in ("span", "n", "before", "place"))
+    ranged = materialize(df.repartitionByRange(*groups, *order).withColumn(span, F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(span, *groups).agg(F.count("*").alias(n))
+    before = Window.partitionBy(*groups).orderBy(span)
+    offsets = counts.select(span, *groups, (F.sum(n).over(before) - F.col(n)).alias(before_))
+    placed = ranged.withColumn(place, F.row_number().over(Window.partitionBy(span, *groups).orderBy(*order)))
+    right = offsets.withColumnsRenamed({c: f"of {c}" for c in (span, *groups)})
+    same: Column = reduce(lambda a, b: a & b, [placed[c].eqNullSafe(right[f"of {c}"]) for c in groups], placed[span] == right[f"of {span}"])
+    return placed.join(right, same).select(*[placed[c] for c in df.columns], (right[before_] + placed[place]).alias(name))

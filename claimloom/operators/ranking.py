@@ -7,6 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions.text import blank, strip
+from claimloom.operators.order import row_numbers
+from claimloom.plans.scratch import materialize
+
 
 def ranked_search(nodes: DataFrame, query: str, top: int = 6) -> DataFrame:
     """Nodes by score: 15 for the classification, 10 for the name, 4 for the description; (id, name, score, reason)."""
@@ -66,12 +70,21 @@ def filtered_links(edges: DataFrame, matching: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def classify_links(edges: DataFrame, members: DataFrame, center: int) -> DataFrame:
-    """edges(id, source, target) with `kind`: backbone at the centre, cross between two direct neighbours, else outer."""
+def classify_links(edges: DataFrame, members: DataFrame, center: int, conflicting: tuple = (), undirected: tuple = ()) -> DataFrame:
+    """edges(id, source, target, relation, ...) among members with `kind`: backbone at the centre, cross between two direct neighbours, else outer; `conflict` and `directed` by relation; and `n_evidence`, the size of claim_ids where edges have them, else 0."""
     hop = members.select("id", "hop")
     e = edges.join(hop.withColumnsRenamed({"id": "source", "hop": "hop_s"}), "source").join(hop.withColumnsRenamed({"id": "target", "hop": "hop_t"}), "target")
     kind = F.when((F.col("source") == center) | (F.col("target") == center), "backbone").when((F.col("hop_s") == 1) & (F.col("hop_t") == 1), "cross").otherwise("outer")
-    return e.withColumn("kind", kind)
+    n = F.coalesce(F.array_size("claim_ids"), F.lit(0)) if "claim_ids" in edges.columns else F.lit(0)
+    out = e.withColumn("kind", kind).withColumn("n_evidence", n)
+    if "relation" in edges.columns:
+        out = out.withColumn("conflict", F.col("relation").isin(*conflicting) if conflicting else F.lit(False)).withColumn("directed", ~F.col("relation").isin(*undirected) if undirected else F.lit(True))
+    return out
+
+
+def center_choice(pinned: Column, searched: Column, requested: Column, top: Column) -> Column:
+    """The entity to show: the one that the user pinned, else found by search, else asked for in the address, else the one of most relations."""
+    return F.coalesce(pinned, searched, requested, top)
 
 
 def size_class(n_claims: Column) -> Column:
@@ -83,35 +96,60 @@ def strand_count(n_evidence: Column) -> Column:
 
 
 def ring_layout(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, hop, radius, angle): direct neighbours evenly on a ring, farther ones around the parent's angle.
+    """(id, hop, radius, angle): direct neighbours evenly on a ring, the next ones around the parent's angle, all others evenly in the ring's widest gap.
 
     members(id, hop). The first ring's radius grows with its count between fixed bounds; a node of
-    the second ring stands near the least-angle parent of the first.
+    the second ring stands near the least-angle parent of the first. Farther nodes share the
+    widest gap between the nodes of the second ring (the whole circle where there is none).
     """
-    first = members.where("hop = 1")
-    n = F.count("*").over(Window.partitionBy("hop"))
-    place = F.row_number().over(Window.partitionBy("hop").orderBy("id"))
-    ring = first.select("id", "hop", F.least(F.lit(250.0), F.greatest(F.lit(145.0), F.round(n * 56 / (2 * math.pi)))).alias("radius"), (F.lit(-math.pi / 2) + 2 * math.pi * (place - 1) / n).alias("angle"))
+    n = members.where("hop = 1").count()
+    radius = float(min(250, max(145, round(n * 56 / (2 * math.pi)))))
+    ring = row_numbers(members.where("hop = 1").select("id", "hop"), [], ["id"], "place")
+    ring = ring.select("id", "hop", F.lit(radius).alias("radius"), (F.lit(-math.pi / 2) + 2 * math.pi * (F.col("place") - 1) / max(n, 1)).alias("angle"))
+    ring = materialize(ring, "ring")
     ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("parent")), F.struct(F.col("target").alias("id"), F.col("source").alias("parent")))).alias("e")).select("e.*")
-    second = members.where("hop = 2").join(ends, "id").join(ring.select(F.col("id").alias("parent"), F.col("radius").alias("r"), F.col("angle").alias("a")), "parent")
-    second = second.groupBy("id", "hop").agg(F.min(F.struct("a", "parent", "r")).alias("p"))
-    sibling = Window.partitionBy("p.parent")
-    k, m = F.row_number().over(sibling.orderBy("id")), F.count("*").over(sibling)
-    outer = second.select("id", "hop", (F.col("p.r") + 110.0).alias("radius"), (F.col("p.a") + (k - (m + 1) / 2) * 0.18).alias("angle"))
+    second = members.where("hop = 2").join(ends, "id").join(ring.select(F.col("id").alias("parent"), F.col("angle").alias("a")), "parent")
+    second = second.groupBy("id", "hop").agg(F.min(F.struct("a", "parent")).alias("p")).select("id", "hop", F.col("p.a").alias("a"), F.col("p.parent").alias("parent"))
+    numbered = row_numbers(second, ["parent"], ["id"], "k")
+    siblings = second.groupBy("parent").agg(F.count("*").alias("m"))
+    outer = numbered.join(siblings, "parent").select("id", "hop", F.lit(radius + 110.0).alias("radius"), (F.col("a") + (F.col("k") - (F.col("m") + 1) / 2) * 0.18).alias("angle"))
+    outer = materialize(outer, "outer")
+    far = row_numbers(members.where("hop > 2").select("id", "hop"), [], ["id"], "place")
+    n_far = members.where("hop > 2").count()
+    gap = largest_gap(outer.select(F.lit(0).alias("g"), F.pmod(F.col("angle"), F.lit(2 * math.pi)).alias("a")).distinct(), "g", "a").first() if n_far else None
+    start, width = (gap["start"], gap["gap"]) if gap else (-math.pi / 2, 2 * math.pi)
+    rest = far.select("id", "hop", F.lit(radius + 220.0).alias("radius"), (F.lit(start) + width * F.col("place") / (n_far + 1)).alias("angle"))
     center = members.where("hop = 0").select("id", "hop", F.lit(0.0).alias("radius"), F.lit(0.0).alias("angle"))
-    return center.unionByName(ring).unionByName(outer)
+    return center.unionByName(ring).unionByName(outer).unionByName(rest)
 
 
-def largest_gap(angles: DataFrame, group: str, angle: str, full: float = 2 * math.pi) -> DataFrame:
-    """(group, start, gap): the widest empty arc of each group, around the circle; ties by the least start."""
-    w = Window.partitionBy(group).orderBy(angle)
-    after = F.coalesce(F.lead(angle).over(w), F.first(angle).over(w) + full)
-    return angles.withColumn("gap", after - F.col(angle)).groupBy(group).agg(F.max(F.struct("gap", (-F.col(angle)).alias("m"))).alias("b")).select(group, (-F.col("b.m")).alias("start"), "b.gap")
+def largest_gap(angles: DataFrame, group: str, angle: str, full: float = 2 * math.pi, parts: int = 64) -> DataFrame:
+    """(group, start, gap): the widest empty arc of each group of angles in [0, full), around the circle; ties by the least start.
+
+    Angles are cut into arcs of equal width; the widest gap within an arc is found there, and those
+    between arcs from their first and last angles, so no task orders a whole group.
+    """
+    arc = F.floor(F.col(angle) * parts / full)
+    w = Window.partitionBy(group, "arc").orderBy(angle)
+    rows = angles.where(F.col(angle).isNotNull()).withColumn("arc", arc).withColumn("after", F.lead(angle).over(w))
+    inner = F.max(F.when(F.col("after").isNotNull(), F.struct((F.col("after") - F.col(angle)).alias("gap"), (-F.col(angle)).alias("m"))))
+    arcs = rows.groupBy(group, "arc").agg(F.min(angle).alias("low"), F.max(angle).alias("high"), inner.alias("inner"))
+    around = Window.partitionBy(group).orderBy("arc")
+    next_low = F.coalesce(F.lead("low").over(around), F.first("low").over(around) + full)
+    ends = arcs.withColumn("between", F.struct((next_low - F.col("high")).alias("gap"), (-F.col("high")).alias("m")))
+    best = ends.groupBy(group).agg(F.greatest(F.max("between"), F.max("inner")).alias("b"))
+    return best.select(group, (-F.col("b.m")).alias("start"), "b.gap")
 
 
 def shown_properties(properties: Column, reserved: list[str]) -> Column:
     """Entries of a map without reserved, internal (_) or empty ones."""
-    return F.map_filter(properties, lambda k, v: ~k.isin(reserved) & ~k.startswith("_") & (F.trim(F.coalesce(v, F.lit(""))) != ""))
+    return F.map_filter(properties, lambda k, v: ~k.isin(reserved) & ~k.startswith("_") & ~blank(v))
+
+
+def property_lines(properties: Column, reserved: list[str]) -> Column:
+    """shown_properties as sorted lines `key: value`; true and false read yes and no, numbers have no needless zeros."""
+    value = lambda v: F.when(F.lower(v) == "true", "yes").when(F.lower(v) == "false", "no").when(v.rlike(r"^-?[0-9]+\.[0-9]*0+$"), F.regexp_replace(F.regexp_replace(v, r"0+$", ""), r"\.$", "")).otherwise(v)
+    return F.transform(F.array_sort(F.map_entries(shown_properties(properties, reserved))), lambda e: F.concat(e["key"], F.lit(": "), value(e["value"])))
 
 
 def edge_sentence(source: Column, target: Column, relation: Column, directed: Column, n: Column) -> Column:
@@ -121,8 +159,28 @@ def edge_sentence(source: Column, target: Column, relation: Column, directed: Co
 def sections(text: Column) -> Column:
     """Parts of an insight: `[title] body` parts, else its paragraphs."""
     tagged = F.regexp_extract_all(text, F.lit(r"(\[[^\]]+\][^\[]*)"), 1)
-    paras = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
-    return F.transform(F.when(F.size(tagged) > 0, tagged).otherwise(paras), lambda p: F.struct(F.nullif(F.regexp_extract(p, r"^\[([^\]]+)\]", 1), F.lit("")).alias("title"), F.trim(F.regexp_replace(p, r"^\[[^\]]+\]", "")).alias("body")))
+    paras = F.filter(F.split(text, r"\n\s*\n"), lambda p: ~blank(p))
+    return F.transform(F.when(F.size(tagged) > 0, tagged).otherwise(paras), lambda p: F.struct(F.nullif(F.regexp_extract(p, r"^\[([^\]]+)\]", 1), F.lit("")).alias("title"), strip(F.regexp_replace(p, r"^\[[^\]]+\]", "")).alias("body")))
+
+
+def section_kind(title: Column, body: Column, kinds: dict[str, list[str]], default: str = "general") -> Column:
+    """The first kind of which a keyword occurs in the title, else in the body, in any case; the default for neither."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    out = F.lit(default)
+    for part in (low(body), low(title)):  # what is written last is tested first
+        for kind, words in reversed(kinds.items()):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | part.contains(w.lower())
+            out = F.when(hit, F.lit(kind)).otherwise(out)
+    return out
+
+
+def task_listing(tasks: DataFrame, limit: int | None = None) -> DataFrame:
+    """tasks(id, title, status, created_at, nodes array, edges array) newest first, ties by id, with node_count and edge_count instead of the lists; a null list has 0."""
+    n = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    out = tasks.select("id", "title", "status", "created_at", n("nodes").alias("node_count"), n("edges").alias("edge_count")).orderBy(F.desc("created_at"), "id")
+    return out if limit is None else out.limit(limit)
 
 
 def status_counts(tasks: DataFrame) -> DataFrame:

@@ -234,28 +234,17 @@ def c9_property_merge(spark, d):
     return ingest.merge_properties(events.select(F.col("user_id").alias("node_id"), group.alias("group"), F.col("event_type").alias("key"), F.col("event_id").alias("value"), F.col("ts").alias("seq"), F.col("event_id").alias("pos")))
 
 
-@query(
-    "c10_claim_attribution",
-    """WITH c AS (SELECT doc_id % 20 AS seq, doc_id AS claim_id, lower(text) AS text FROM documents), e AS (SELECT item_id % 20 AS seq, item_id AS node_id, lower(substr(text, 1, 24)) AS name FROM benchmark)
-SELECT DISTINCT e.seq, node_id, claim_id FROM e JOIN c ON c.seq = e.seq WHERE contains(text, name)""",
-)
-def c10_claim_attribution(spark, d):
-    claims = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("seq"), F.lit(None).cast("string").alias("ref_id"), F.col("doc_id").alias("claim_id"), F.col("text").alias("quote_text"), F.col("text").alias("statement"))
-    found = table(spark, d, "benchmark").select((F.col("item_id") % 20).alias("seq"), F.col("item_id").alias("node_id"), F.substring("text", 1, 24).alias("name"), F.lit(None).cast("array<string>").alias("claim_refs"))
-    return ingest.attribute_claims(found, claims)
-
-
 def _located(spark, d) -> DataFrame:
     """(doc_id, item_id, quote, text): every benchmark passage in every document that holds it, in any case."""
-    quotes = table(spark, d, "benchmark").select("item_id", F.trim("text").alias("quote"))
+    quotes = table(spark, d, "benchmark").select("item_id", T.strip(F.col("text")).alias("quote"))
     return grounding.passages_in(quotes, table(spark, d, "documents").select("doc_id", "text"), any_case=True)
 
 
 @query(
-    "c10_claim_attribution_whole",
-    "SELECT DISTINCT doc_id AS seq, item_id AS node_id, doc_id AS claim_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text)))",
+    "c10_claim_attribution",
+    f"SELECT DISTINCT doc_id AS seq, item_id AS node_id, doc_id AS claim_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text, '{T.WHITE}')))",
 )
-def c10_claim_attribution_whole(spark, d):
+def c10_claim_attribution(spark, d):
     """Whole texts as names, a document as payload; its entities are the passages that passages_in finds in it."""
     none = F.lit(None).cast("string")
     found = _located(spark, d).select(F.col("doc_id").alias("seq"), F.col("item_id").alias("node_id"), F.col("quote").alias("name"), F.lit(None).cast("array<string>").alias("claim_refs"))
@@ -328,22 +317,9 @@ def c21_orphans(spark, d):
 
 @query(
     "c22_reattribution",
-    """WITH t AS (SELECT item_id AS id, lower(substr(text, 1, 20)) AS token FROM benchmark), s AS (SELECT item_id AS id, 'src' || (item_id % 20)::VARCHAR AS document_id FROM benchmark)
-SELECT t.id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS claim_ids FROM t JOIN s ON s.id = t.id JOIN documents ON source = s.document_id WHERE contains(lower(text), trim(token)) GROUP BY 1""",
+    f"SELECT item_id AS id, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS claim_ids FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text, '{T.WHITE}'))) GROUP BY 1",
 )
 def c22_reattribution(spark, d):
-    benchmark = table(spark, d, "benchmark")
-    nodes = benchmark.select(F.col("item_id").alias("id"), F.substring("text", 1, 20).alias("name"))
-    scopes = benchmark.select(F.col("item_id").alias("id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("document_id"))
-    claims = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.col("text").alias("statement"), F.lit(None).cast("string").alias("quote_text"))
-    return ingest.reattribute(nodes, claims, scopes).select("id", F.array_join("claim_ids", ",").alias("claim_ids"))
-
-
-@query(
-    "c22_reattribution_whole",
-    "SELECT item_id AS id, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS claim_ids FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text))) GROUP BY 1",
-)
-def c22_reattribution_whole(spark, d):
     """Whole texts as names; a node's scope is every document that passages_in finds it in."""
     nodes = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("name"))
     scopes = materialize(_located(spark, d).select(F.col("item_id").alias("id"), F.col("doc_id").alias("document_id")), "located")
@@ -366,22 +342,11 @@ def a15_set_null(spark, d):
 
 # Grounding.
 
-_QUOTES = "q AS (SELECT d.doc_id, d.text AS content, b.item_id, b.text AS quote FROM documents d JOIN benchmark b ON b.item_id % 40 = d.doc_id % 40)"
-
-
-@query("d4_quote_offsets", f"WITH {_QUOTES} SELECT doc_id, item_id, CASE WHEN strpos(content, quote) > 0 THEN strpos(content, quote) - 1 ELSE -1 END::INTEGER AS start, CASE WHEN strpos(content, quote) > 0 THEN strpos(content, quote) - 1 + length(quote) ELSE -1 END::INTEGER AS \"end\" FROM q")
-def d4_quote_offsets(spark, d):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "quote")
-    pairs = docs.withColumn("k", F.col("doc_id") % 40).join(items.withColumn("k", F.col("item_id") % 40), "k")
-    start, end = T.quote_offsets(F.col("quote"), F.col("text"))
-    return pairs.select("doc_id", "item_id", F.coalesce(start.cast("int"), F.lit(-1)).alias("start"), F.coalesce(end.cast("int"), F.lit(-1)).alias("end"))
-
-
 @query(
-    "d4_quote_offsets_whole",
+    "d4_quote_offsets",
     """SELECT doc_id, item_id, (strpos(d.text, b.text) - 1)::INTEGER AS start, (strpos(d.text, b.text) - 1 + length(b.text))::INTEGER AS "end" FROM documents d JOIN benchmark b ON contains(d.text, b.text)""",
 )
-def d4_quote_offsets_whole(spark, d):
+def d4_quote_offsets(spark, d):
     """Every benchmark passage in every document that holds it."""
     found = grounding.passages_in(table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, d, "documents").select("doc_id", "text"))
     start, end = T.quote_offsets(F.col("quote"), F.col("text"))
@@ -405,8 +370,9 @@ SELECT b.doc_id, b.pos, b.level::INTEGER AS level, string_agg(l.ref, ',' ORDER B
 )
 def d5_grounding(spark, d):
     claims = _claims(spark, d)
-    names = F.broadcast(table(spark, d, "region"))
-    entities = claims.select("doc_id").distinct().join(names).select("doc_id", F.col("r_regionkey").alias("pos"), F.concat(F.lit("The "), "r_name").alias("name"))
+    names = [(r["r_regionkey"], r["r_name"]) for r in table(spark, d, "region").collect()]  # a handful of continents
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(f"The {n}").alias("name")) for k, n in names])).alias("e")
+    entities = claims.select("doc_id").distinct().select("doc_id", each).select("doc_id", F.col("e.pos").cast("int").alias("pos"), "e.name")
     return grounding.ground_entities(entities, claims).select("doc_id", "pos", "level", F.array_join("claim_refs", ",").alias("refs"))
 
 
@@ -424,7 +390,7 @@ def d8_edge_claims(spark, d):
 
 @query("d3_too_long", "SELECT doc_id, length(text) > 50000 AS rejected FROM documents")
 def d3_too_long(spark, d):
-    return table(spark, d, "documents").select("doc_id", grounding.too_long(F.col("text")).alias("rejected"))
+    return table(spark, d, "documents").select("doc_id", grounding.too_long(F.col("text"), 50_000).alias("rejected"))
 
 
 # Adapters.
@@ -560,12 +526,15 @@ def f7_interleave(spark, d):
     return corpus.interleave(rows, "doc_id", "tags", "doc_id", names).select("doc_id", F.coalesce("slot", F.lit(-1).cast("bigint")).alias("slot"), F.coalesce("lane", F.lit(-1).cast("bigint")).alias("lane"))
 
 
-_URL = r"""u AS (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '(?i)^http://', 'https://') AS bare FROM pages),
-p AS (SELECT page_id, lower(regexp_replace(regexp_extract(bare, '^https://([^/?]*)', 1), ':443$', '')) AS host, regexp_extract(bare, '^https://[^/?]*([^?]*)', 1) AS path, regexp_extract(bare, '[?](.*)$', 1) AS q FROM u),
-f AS (SELECT page_id, host, path, list_sort(list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND NOT list_contains(['fbclid', 'gclid', 'mc_cid', 'mc_eid'], lower(split_part(x, '=', 1)))), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)) AS q FROM p)"""
+_URL = r"""u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages),
+p AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(bare, '^[A-Za-z]+://([^/?]*)', 1), '^.*@', ''), ':(443)?$', '')) AS host, regexp_extract(bare, '^[A-Za-z]+://[^/?]*([^?]*)', 1) AS path, regexp_extract(bare, '[?](.*)$', 1) AS q FROM u),
+f AS (SELECT page_id, host, path, list_sort(list_transform(list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: {'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE '' END, '+', ' '))}),
+lambda x: NOT starts_with(lower(x.k), 'utm_') AND NOT list_contains(['fbclid', 'gclid', 'mc_cid', 'mc_eid'], lower(x.k))), lambda x: {'k': x.k, 'v': x.v})) AS q FROM p)"""
+_CANONICAL = "'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || replace(array_to_string(list_transform(q, lambda x: url_encode(x.k) || '=' || url_encode(x.v)), '&'), '%20', '+') END"
+_HTML_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '" + T.WHITE_CLASS + r"+', ' ', 'g'))"
 
 
-@query("f9_url_canonical", f"WITH {_URL} SELECT page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS canonical FROM f")
+@query("f9_url_canonical", f"WITH {_URL} SELECT page_id, {_CANONICAL} AS canonical FROM f")
 def f9_url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"))
 
@@ -585,8 +554,7 @@ def f11_text_normalize(spark, d):
 
 @query(
     "f12_html_to_text",
-    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text,
-CASE WHEN regexp_matches(html, '(?i)<title>(.*?)</title>') THEN regexp_extract(html, '(?i)<title>(.*?)</title>', 1) ELSE url END AS title FROM pages""",
+    f"SELECT page_id, {_HTML_TEXT} AS text, CASE WHEN regexp_matches(html, '(?i)<title>(.*?)</title>') THEN trim(regexp_extract(html, '(?i)<title>(.*?)</title>', 1), '{T.WHITE}') ELSE url END AS title FROM pages",
 )
 def f12_html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"), T.page_title(F.col("html"), F.col("url")).alias("title"))
@@ -630,34 +598,41 @@ def f18_eligibility(spark, d):
     return table(spark, d, "documents").select("doc_id", corpus.eligibility(rules).alias("reason"))
 
 
-@query(
-    "f20_drop_duplicates",
-    """WITH a AS (SELECT doc_id, text, row_number() OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) AS u FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY substr(text, 41, 60), u = 1 ORDER BY doc_id) AS b FROM a)
-SELECT doc_id, CASE WHEN u > 1 THEN 'DUPLICATE_URL' WHEN b > 1 THEN 'DUPLICATE_BODY' ELSE 'SELECTED' END AS status FROM b""",
-)
-def f20_drop_duplicates(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("url_key"), F.substring("text", 41, 60).alias("body_key"))
-    return corpus.drop_duplicates_in_order(rows, "url_key", "body_key", ["doc_id"]).select("doc_id", "status")
+_PAGE_KEYS = f"""p0 AS (SELECT page_id, {_CANONICAL} AS url_key FROM f), t0 AS (SELECT page_id, sha256({_HTML_TEXT}) AS body_key FROM pages), k AS (SELECT p0.page_id, url_key, body_key, row_number() OVER (ORDER BY p0.page_id) AS i FROM p0 JOIN t0 ON t0.page_id = p0.page_id)"""
 
 
 @query(
-    "f20_drop_duplicates_whole",
-    rf"""WITH {_URL}, k AS (SELECT p.page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS url_key,
-sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS body_key FROM pages p JOIN f ON f.page_id = p.page_id),
-a AS (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS u FROM k), b AS (SELECT *, row_number() OVER (PARTITION BY body_key, u = 1 ORDER BY page_id) AS b FROM a)
-SELECT page_id, CASE WHEN u > 1 THEN 'DUPLICATE_URL' WHEN b > 1 THEN 'DUPLICATE_BODY' ELSE 'SELECTED' END AS status FROM b""",
+    "f20_drop_duplicates",
+    f"""WITH RECURSIVE {_URL}, {_PAGE_KEYS},
+s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS page_id, []::VARCHAR[] AS urls, []::VARCHAR[] AS bodies, NULL::VARCHAR AS status
+UNION ALL SELECT k.i, k.page_id, CASE WHEN list_contains(urls, url_key) OR list_contains(bodies, body_key) THEN urls ELSE list_append(urls, url_key) END, CASE WHEN list_contains(urls, url_key) OR list_contains(bodies, body_key) THEN bodies ELSE list_append(bodies, body_key) END,
+CASE WHEN list_contains(urls, url_key) THEN 'DUPLICATE_URL' WHEN list_contains(bodies, body_key) THEN 'DUPLICATE_BODY' ELSE 'SELECTED' END FROM s JOIN k ON k.i = s.i + 1)
+SELECT page_id, status FROM s WHERE i > 0""",
 )
-def f20_drop_duplicates_whole(spark, d):
+def f20_drop_duplicates(spark, d):
     """Pages by canonical URL and by the hash of their whole text."""
     rows = table(spark, d, "pages").select("page_id", U.canonical(F.col("url")).alias("url_key"), F.sha2(T.html_to_text(F.col("html")), 256).alias("body_key"))
     return corpus.drop_duplicates_in_order(materialize(rows, "page-keys"), "url_key", "body_key", ["page_id"]).select("page_id", "status")
 
 
-@query("f20_quota_selection")
+@query(
+    "f20_quota_selection",
+    """WITH RECURSIVE x AS (SELECT source AS run, doc_id AS pos, sha256(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS u, sha256(text) AS b, list_filter(['theon', 'ingth', 'erth'], lambda n: contains(lower(text), n)) AS tags, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE text IS NOT NULL),
+q AS (SELECT *, list_contains(tags, 'theon') AS t1, list_contains(tags, 'ingth') AS t2, list_contains(tags, 'erth') AS t3 FROM x),
+s AS (SELECT run, 0::BIGINT AS i, NULL::BIGINT AS pos, []::VARCHAR[] AS us, []::VARCHAR[] AS bs, 0 AS n1, 0 AS n2, 0 AS n3, NULL::VARCHAR AS status, NULL::VARCHAR AS slot FROM (SELECT DISTINCT run FROM q)
+UNION ALL SELECT run, i, pos, CASE WHEN status = 'SELECTED' THEN list_append(us, u) ELSE us END, CASE WHEN status = 'SELECTED' THEN list_append(bs, b) ELSE bs END,
+n1 + CASE WHEN status = 'SELECTED' AND slot = 'theon' THEN 1 ELSE 0 END, n2 + CASE WHEN status = 'SELECTED' AND slot = 'ingth' THEN 1 ELSE 0 END, n3 + CASE WHEN status = 'SELECTED' AND slot = 'erth' THEN 1 ELSE 0 END, status, CASE WHEN status = 'SELECTED' THEN slot END FROM (
+SELECT *, CASE WHEN list_contains(us, u) THEN 'DUPLICATE_URL' WHEN list_contains(bs, b) THEN 'DUPLICATE_BODY' WHEN least(n1, n2, n3) < 3 AND slot IS NULL THEN 'ELIGIBLE_NOT_SELECTED' ELSE 'SELECTED' END AS status FROM (
+SELECT q.run, q.i, q.pos, q.u, q.b, us, bs, n1, n2, n3, CASE WHEN least(n1, n2, n3) < 3 THEN CASE least(CASE WHEN t1 AND n1 < 3 THEN 10 * n1 + 1 ELSE 99 END, CASE WHEN t2 AND n2 < 3 THEN 10 * n2 + 2 ELSE 99 END, CASE WHEN t3 AND n3 < 3 THEN 10 * n3 + 3 ELSE 99 END) % 10 WHEN 1 THEN 'theon' WHEN 2 THEN 'ingth' WHEN 3 THEN 'erth' END END AS slot
+FROM s JOIN q ON q.run IS NOT DISTINCT FROM s.run AND q.i = s.i + 1)))
+SELECT run, pos, status, slot FROM s WHERE i > 0""",
+)
 def f20_quota_selection(spark, d):
+    """Whole texts: their letters are the first key, all of them the second."""
     names = ["theon", "ingth", "erth"]
-    rows = table(spark, d, "documents").select(F.col("source").alias("run"), F.col("doc_id").alias("pos"), F.sha2(F.substring("text", 1, 40), 256).alias("url_key"), F.sha2("text", 256).alias("body_key"), T.alias_tags(F.col("text"), {n: [n] for n in names}).alias("tags"))
-    return corpus.select_with_quota(rows, names, 3, 100_000)
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("run"), F.col("doc_id").alias("pos"), F.sha2(letters, 256).alias("url_key"), F.sha2("text", 256).alias("body_key"), T.alias_tags(F.col("text"), {n: [n] for n in names}).alias("tags"))
+    return corpus.select_with_quota(rows, names, 3)
 
 
 @query(
@@ -766,23 +741,24 @@ def g7_link_kinds(spark, d):
     return ranking.classify_links(edges, seen, CENTER).select("id", "kind")
 
 
-@query("g8_size_class", "SELECT l_suppkey, CASE WHEN count(*) >= 600 THEN 'x' WHEN count(DISTINCT l_orderkey) >= 6 THEN 'large' WHEN count(DISTINCT l_orderkey) >= 3 THEN 'medium' ELSE 'small' END AS size FROM lineitem WHERE l_quantity > 49 GROUP BY 1")
-def g8_size_class(spark, d):
-    n = table(spark, d, "lineitem").where("l_quantity > 49").groupBy("l_suppkey").agg(F.count("*").alias("rows"), F.countDistinct("l_orderkey").alias("n"))
-    return n.select("l_suppkey", F.when(F.col("rows") >= 600, "x").otherwise(ranking.size_class(F.col("n"))).alias("size"))
-
-
 @query(
-    "g8_size_class_whole",
+    "g8_size_class",
     "SELECT l_suppkey, l_partkey, CASE WHEN count(DISTINCT l_orderkey) >= 6 THEN 'large' WHEN count(DISTINCT l_orderkey) >= 3 THEN 'medium' ELSE 'small' END AS size FROM lineitem GROUP BY 1, 2",
 )
-def g8_size_class_whole(spark, d):
+def g8_size_class(spark, d):
     """Sizes by all orders of a supplied part, which has few."""
     n = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.countDistinct("l_orderkey").alias("n"))
     return n.select("l_suppkey", "l_partkey", ranking.size_class(F.col("n")).alias("size"))
 
 
-@query("g10_ring_layout")
+@query(
+    "g10_ring_layout",
+    f"""{GRAPH_CTE}, {_WALK.format(center=CENTER, hops=2)}, n AS (SELECT count(*) AS n, least(250, greatest(145, round(count(*) * 56 / (2 * pi()))))::DOUBLE AS r FROM hops WHERE hop = 1),
+ring AS (SELECT id, -pi() / 2 + 2 * pi() * (row_number() OVER (ORDER BY id) - 1) / (SELECT n FROM n) AS angle FROM hops WHERE hop = 1),
+s AS (SELECT h.id, min({{'a': angle, 'p': ring.id}}) AS p FROM hops h JOIN ends e ON e.node = h.id JOIN ring ON ring.id = e.other WHERE hop = 2 GROUP BY 1),
+o AS (SELECT id, p.a + (row_number() OVER (PARTITION BY p.p ORDER BY id) - (count(*) OVER (PARTITION BY p.p) + 1) / 2.0::DOUBLE) * 0.18::DOUBLE AS angle FROM s)
+SELECT id, 1 AS hop, r AS radius, round(angle, 6) AS angle FROM ring, n UNION ALL SELECT id, 2, r + 110, round(angle, 6) FROM o, n UNION ALL SELECT {CENTER}, 0, 0, 0""",
+)
 def g10_ring_layout(spark, d):
     edges = derived.edges(spark, d)
     seen, _ = graph.reach(derived.nodes(spark, d), edges, CENTER, 2)
@@ -853,13 +829,14 @@ def d9_stale_insights(spark, d):
 @query("d10_without_evidence", "SELECT c_custkey, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS bare FROM customer")
 def d10_without_evidence(spark, d):
     found = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set("o_orderkey").alias("claim_ids"))
-    return table(spark, d, "customer").join(found, "c_custkey", "left").select("c_custkey", grounding.without_evidence(F.col("claim_ids"), F.lit(" ")).alias("bare"))
+    return table(spark, d, "customer").join(found, "c_custkey", "left").select("c_custkey", grounding.without_evidence(F.col("claim_ids"), F.lit("")).alias("bare"))
 
 
-@query("d12_question_pairs", "SELECT conv_id AS node_id, least(count(*) FILTER (role <> 'system' AND trim(text) <> ''), 5)::INTEGER AS n FROM conversations GROUP BY 1")
+@query("d12_question_pairs", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) SELECT conv_id AS node_id, count(*) FILTER (role <> 'system' AND trim(text, '{T.WHITE}') <> '')::INTEGER AS n FROM r WHERE n <= 5 GROUP BY 1")
 def d12_question_pairs(spark, d):
-    turns = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "system", " ").otherwise(F.col("role")).alias("question"), F.col("text").alias("answer")))).alias("questions"))
-    rows = grounding.insight_rows(turns.withColumn("issues", F.array(F.lit("x"))))
+    turns = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", F.when(F.col("role") == "system", " ").otherwise(F.col("role")).alias("question"), F.col("text").alias("answer")))).alias("questions"))
+    turns = turns.withColumn("questions", F.transform("questions", lambda q: F.struct(q["question"].alias("question"), q["answer"].alias("answer"))))
+    rows = grounding.insight_rows(turns.withColumn("issues", F.array(F.lit("x"))), 5, 5)
     return rows.select("node_id", F.size("questions").alias("n"))
 
 
@@ -897,7 +874,7 @@ def f17_published_at(spark, d):
 @query("f25_audit_summary", "SELECT count(*) AS n, count(*) FILTER (lang <> 'es') AS completed, count(*) FILTER (lang = 'en') AS a_yes, count(*) FILTER (lang IN ('de', 'fr')) AS b_yes FROM documents")
 def f25_audit_summary(spark, d):
     lang = F.col("lang")
-    rows = table(spark, d, "documents").select(F.when(lang == "en", "Yes").otherwise("no").alias("a"), F.when(lang == "es", " ").when(lang == "en", "no").otherwise("yes ").alias("b"))
+    rows = table(spark, d, "documents").select(F.when(lang == "en", "Yes").otherwise("no").alias("a"), F.when(lang == "es", "").when(lang == "en", "no").otherwise("yes ").alias("b"))
     return corpus.audit_summary(rows, ["a", "b"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from claimloom.plans import flows  # noqa: F401  registers its queries
 from claimloom.plans import queries as q
 
 FLAGSHIP = "b9_degree_all"

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder in that of spark.checkpoint.dir; in a temporary one only where that is unset, as in local tests.
+    """This application's folder in that of spark.checkpoint.dir.
 
-    It is deleted when the application ends.
+    Where that is unset, a local[...] master gets a temporary folder, and any other master an
+    error: executors on other machines could not read what is written there. The folder is
+    deleted when the application ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="claimloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     folder = f"{root}/claimloom/{spark.sparkContext.applicationId}"

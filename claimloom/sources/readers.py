@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import html_to_text, page_title, text_title
+from claimloom.functions.text import blank, html_to_text, page_title, text_title
 
 #: Columns by which a candidate file's layout is told.
 FULL_COLUMNS = ("query_interval_start", "query_interval_end", "seen_at", "url", "has_sk", "has_samsung", "has_intel", "has_nvidia")
@@ -32,7 +32,7 @@ def record_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     Lines of a file are in order of their place in it, files in order of their names.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    parsed = lines.where(~blank(F.col("value"))).withColumn("r", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     last = parsed.agg(F.max(F.struct("file", "block", "line")).alias("last")).first()["last"]
     marked = parsed.withColumn("at", F.struct("file", "block", "line"))
     bad, torn = F.col("r._bad").isNotNull(), (F.col("file") == last["file"]) & (F.col("line") == last["line"]) if last else F.lit(False)
@@ -40,9 +40,9 @@ def record_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return marked.where(good).select("r.*", F.col("at").alias("ordinal")).drop("_bad")
 
 
-def exports(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Producers' JSON objects, one per file, with `file`."""
-    reader = spark.read.option("multiLine", True)
+def exports(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Producers' JSON objects, one per file (or, with lines, one per line), with `file`."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path).withColumn("file", F.col("_metadata.file_path"))
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from claimloom.operators import grounding
+from claimloom.functions.text import strip
+from claimloom.operators import grounding, intake
+from claimloom.plans.scratch import materialize
+from claimloom.sources.writers import Store
 
 RESPONSES = "doc_id bigint, title string, content string, raw_response string"
 
@@ -21,15 +24,40 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(RESPONSES).json(path)
 
 
-def grounded(batch: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
-    """claims, entities and edges of a batch of responses, after all grounding rules. Too long contents and responses that are no JSON are dropped."""
-    decoded = grounding.decode_responses(batch.where(~grounding.too_long(F.col("content")))).where("extracted IS NOT NULL")
+def grounded(batch: DataFrame, known: DataFrame, most_content: int | None = None, most_entities: int | None = None) -> dict[str, DataFrame]:
+    """claims, entities and edges of a batch of responses, after all grounding rules, and rejected(doc_id, reason): contents longer than most_content (if given), and responses that are no JSON."""
+    long = F.lit(False) if most_content is None else grounding.too_long(F.col("content"), most_content)
+    decoded = grounding.decode_responses(batch)
+    reason = F.when(long, f"content longer than {most_content}").when(F.col("extracted").isNull(), "response is no JSON")
+    decoded = decoded.withColumn("reason", reason)
+    rejected = decoded.where("reason IS NOT NULL").select("doc_id", "reason")
+    decoded = decoded.where("reason IS NULL")
     claims = grounding.claims_of(decoded)
     named = decoded.select("doc_id", F.posexplode("extracted.nodes").alias("pos", "n")).select("doc_id", "pos", "n.name")
     # A document without claims supports all its entities.
-    entities = grounding.ground_entities(named, claims)
+    entities = grounding.ground_entities(named, claims, most_entities)
     edges = decoded.select("doc_id", F.posexplode("extracted.edges").alias("pos", "e")).select("doc_id", "pos", "e.*")
-    return {"claims": claims, "entities": entities, "edges": grounding.attribute_edges(grounding.admit_edges(edges, entities, known), claims)}
+    return {"claims": claims, "entities": entities, "edges": grounding.attribute_edges(grounding.admit_edges(edges, entities, known), claims), "decoded": decoded, "rejected": rejected}
+
+
+def payloads(parts: dict[str, DataFrame], source_project: str = "agent-ingestion") -> DataFrame:
+    """What grounded returns, as payloads for the write path, one per document, seq its doc_id.
+
+    An entity carries its supporting claims; an edge its ends' references, where they are
+    entities of the document, and its claim.
+    """
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    decoded, claims, entities, edges = (materialize(parts[k], f"payload-{k}") for k in ("decoded", "claims", "entities", "edges"))
+    as_list = lambda rows, item, name: rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("x")))), lambda p: p["x"]).alias(name))
+    c = as_list(claims, F.struct(F.col("ref").alias("ref_id"), "quote", "claim_text", F.col("start").alias("start_offset"), F.col("end").alias("end_offset")), "claims")
+    told = decoded.select("doc_id", F.posexplode("extracted.nodes").alias("pos", "n")).select("doc_id", "pos", "n.classification", "n.description", "n.properties")
+    n = as_list(entities.join(told, ["doc_id", "pos"]), F.struct("ref_id", "name", "classification", "description", "properties", number.alias("existing_node_id"), F.get("claim_refs", F.lit(0)).alias("claim_ref"), "claim_refs"), "nodes")
+    ends = entities.groupBy("doc_id", F.lower("name").alias("low")).agg(F.max_by("ref_id", "pos").alias("ref"))
+    for end in ("source", "target"):
+        edges = edges.withColumn("low", F.lower(strip(F.col(f"{end}_name")))).join(ends.withColumnRenamed("ref", f"{end}_ref"), ["doc_id", "low"], "left").drop("low")
+    e = as_list(edges, F.struct("source_ref", "target_ref", strip(F.col("source_name")).alias("source_name"), strip(F.col("target_name")).alias("target_name"), "relation", "claim_ref", F.array_compact(F.array("claim_ref")).alias("claim_refs")), "edges")
+    out = decoded.select("doc_id", "title", "content").join(n, "doc_id", "left").join(e, "doc_id", "left").join(c, "doc_id", "left")
+    return out.select(F.col("doc_id").cast("bigint").alias("seq"), F.lit(source_project).alias("source_project"), F.col("title").alias("document_title"), F.col("content").alias("document_content"), text.alias("document_uri"), "nodes", "edges", "claims")
 
 
 def run(stream: DataFrame, known: Callable[[], DataFrame], commit: Callable[[dict[str, DataFrame], int], None], checkpoint: str) -> StreamingQuery:
@@ -41,10 +69,30 @@ def run(stream: DataFrame, known: Callable[[], DataFrame], commit: Callable[[dic
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def retry_once(attempts: DataFrame) -> DataFrame:
-    """(key, outcome) of attempts(key, status): RETRY for a key's first RETRY_PENDING, FAILED_HTTP for its second, else the status."""
+def run_into(stream: DataFrame, store: Store, source: str, checkpoint: str, most_content: int | None = None, most_entities: int | None = None) -> StreamingQuery:
+    """Ground each batch, fold it into the store's graph, and append what changed, once for each batch number of the source, also after a restart."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        if store.has(source, number):
+            return
+        tables = {t: store.table(t) for t in intake.TABLES} if store.version() else intake.empty_tables(batch.sparkSession)
+        parts = grounded(materialize(batch.dropDuplicates(["doc_id"]), "responses"), tables["nodes"].select("name"), most_content, most_entities)
+        store.append(intake.process(materialize(payloads(parts), "payloads"), tables).changes, source, number)
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retry_once(attempts: DataFrame, hours: int | None = None) -> DataFrame:
+    """(key, outcome) of attempts(key, status): RETRY for a key's first RETRY_PENDING, FAILED_HTTP for its second, else the status.
+
+    Only keys with a RETRY_PENDING have state. It goes, if hours are given, when that long has
+    passed without an attempt; a later attempt starts anew.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tries = state.get[0] if state.exists else 0
         out = []
         for part in parts:
@@ -54,10 +102,14 @@ def retry_once(attempts: DataFrame) -> DataFrame:
                     out.append("RETRY" if tries == 1 else "FAILED_HTTP")
                 else:
                     out.append(status)
-        state.update((tries,))
+        if tries:
+            state.update((tries,))
+            if hours is not None:
+                state.setTimeoutDuration(hours * 3_600_000)
         yield pd.DataFrame({"key": [key[0]] * len(out), "outcome": out})
 
-    return attempts.groupBy("key").applyInPandasWithState(step, "key string, outcome string", "tries int", "Append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if hours is None else GroupStateTimeout.ProcessingTimeTimeout
+    return attempts.groupBy("key").applyInPandasWithState(step, "key string, outcome string", "tries int", "Append", timeout)
 
 
 def fixed_windows(events: DataFrame, ts: str, days: int, start: str, late: str) -> DataFrame:

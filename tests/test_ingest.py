@@ -43,6 +43,19 @@ def test_entities_resolve_by_id_then_trimmed_name(spark):
     assert rows(ingest.new_entities(found), "name", "classification") == [("a", "Z"), ("new", "Y")]
 
 
+def test_white_space_of_any_kind_and_repeated_names(spark):
+    claims = spark.createDataFrame([(1, "q", None, 1, 0), (1, "q\n", None, 1, 1), (1, "\u00a0q\t", "\u3000", 1, 2)], "document_id long, quote string, claim_text string, seq int, pos int")
+    none = spark.createDataFrame([], "id long, document_id long, quote_text string, statement string")
+    assert rows(ingest.match_claims(claims, none), "quote_text", "statement") == [("q", ""), ("q", "q")]
+    stored = spark.createDataFrame([(1, "Acme"), (5, "Acme"), (3, "Acme")], "id long, name string")
+    incoming = spark.createDataFrame([(1, 0, "Acme\t", "X", None)], "seq int, pos int, name string, classification string, existing_node_id long")
+    assert rows(ingest.resolve_entities(incoming, stored), "name", "node_id") == [("Acme", 5)]
+    relation = spark.createDataFrame([(1, 0, None, "Acme\n", None, "Acme", "R", "kept", "k2")], "seq int, pos int, source_ref string, source_name string, target_ref string, target_name string, relation string, low string, exact string")
+    entities = spark.createDataFrame([], "seq int, pos int, ref_id string, name string, node_id long")
+    assert rows(ingest.resolve_endpoints(relation, entities, stored), "source_id", "target_id", "low", "exact") == [(5, 5, "kept", "k2")]
+    assert ingest.resolve_endpoints(relation.where("false"), entities, stored).count() == 0
+
+
 def test_properties_first_writer_wins_but_for_merged_groups(spark):
     patches = spark.createDataFrame([(1, "", "employees", "500", 0, 0), (1, "", "employees", "9999", 1, 0), (1, "", "target", "7", 1, 1), (1, "metrics", "rev", "1", 0, 0), (1, "metrics", "rev", "2", 1, 0), (1, "", "x", None, 0, 0)], "node_id int, group string, key string, value string, seq int, pos int")
     assert rows(ingest.merge_properties(patches), "key", "value") == [("employees", "500"), ("rev", "2"), ("target", "7")]

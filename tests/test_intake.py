@@ -15,8 +15,8 @@ def payload(seq, nodes=(), edges=(), claims=(), uri="u", title="T", content="bod
     return (seq, "p", title, content, uri, [node(n) for n in nodes], [edge(e) for e in edges], [claim(i, c) for i, c in enumerate(claims)])
 
 
-def fold(spark, tables, *payloads):
-    out = intake.process(spark.createDataFrame(list(payloads), intake.PAYLOAD), tables)
+def fold(spark, tables, *payloads, **limits):
+    out = intake.process(spark.createDataFrame(list(payloads), intake.PAYLOAD), tables, **limits)
     return {k: materialize(v, "test") for k, v in out.tables.items()}, {r["seq"]: r for r in out.results.collect()}, sorted(r[0] for r in out.affected.collect())
 
 
@@ -74,6 +74,31 @@ def test_claim_limit_counts_over_the_batch(spark):
     a = payload(1, [{"name": "A"}], [], [f"q{i}" for i in range(99)])
     b = payload(2, [], [], ["x", "y"])
     c = payload(3, [], [], ["q5", "z"])
-    got, results, _ = fold(spark, intake.empty_tables(spark), a, b, c)
+    got, results, _ = fold(spark, intake.empty_tables(spark), a, b, c, most_claims=100)
     assert {k: r["accepted"] for k, r in results.items()} == {1: True, 2: False, 3: True}
     assert got["claims"].count() == 100 and len(named(got)["A"]["claim_ids"]) == 99
+
+
+def test_without_limits_nothing_is_rejected_and_long_lists_keep_their_order(spark):
+    many = [payload(k, uri=f"u{k}") for k in range(2, 1502)]
+    refs = [f"c{i}" for i in range(1199, -1, -1)]
+    long = payload(1, [{"ref": "a", "name": "A"}, {"ref": "b", "name": "B"}], [{"sr": "a", "tr": "b", "rel": "x", "claims": refs}, {"sr": "b", "tr": "a", "rel": "y", "claims": ["c7"]}], [f"q{i}" for i in range(1200)], uri="long")
+    got, results, _ = fold(spark, intake.empty_tables(spark), long, *many)
+    assert all(r["accepted"] for r in results.values()) and got["documents"].count() == 1501 and got["claims"].count() == 1200
+    edges = {r["relation"]: r for r in got["edges"].collect()}
+    ids = {r["quote_text"]: r["id"] for r in got["claims"].collect()}
+    assert (edges["X"]["claim_id"], edges["Y"]["claim_id"]) == (ids["q1199"], ids["q7"])
+    _, results, _ = fold(spark, intake.empty_tables(spark), long, *many, most_documents=1000, most_claims=1000)
+    assert not results[1]["accepted"] and "claims" in results[1]["reason"]
+    assert sum(r["accepted"] for r in results.values()) == 1000 and "1000 documents" in results[1501]["reason"]
+
+
+def test_changes_and_counters(spark, after_first):
+    tables, *_ = after_first
+    more = payload(9, [{"ref": "n0", "name": "Acme"}, {"ref": "n2", "name": "New"}], [{"sr": "n0", "tr": "n2", "rel": "uses", "claim": "c1"}], ["Acme runs it", "New one"], uri="u")
+    out = intake.process(spark.createDataFrame([more], intake.PAYLOAD), tables)
+    assert tuple(out.counters.first()) == (0, 1, 1, 1, 1)
+    changes = {k: v.count() for k, v in out.changes.items()}
+    assert changes == {"documents": 0, "claims": 1, "nodes": 2, "edges": 1, "classifications": 0, "relations": 1}
+    again = intake.process(spark.createDataFrame([more], intake.PAYLOAD), {k: materialize(v, "test") for k, v in out.tables.items()})
+    assert tuple(again.counters.first()) == (0, 0, 2, 0, 0) and not any(v.count() for v in again.changes.values())
