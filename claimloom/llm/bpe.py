@@ -15,16 +15,18 @@ that continues is left for the last one that has another. Both directions are li
 word. Decoding emits the labels of the arcs.
 
 Defined results: a null text counts as empty, and an empty text has no ids. Text that spells an
-added token becomes that token, as the library does. Rows pass through one by one: repeated
-rows, null ids and extra columns need no care.
+added token becomes that token, as the library does. A vocabulary file with settings that aren't
+implemented is an error. Rows pass through one by one: repeated rows, null ids and extra columns
+need no care. Ids are little-endian, as workers' machines are.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
+from array import array
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -34,13 +36,22 @@ from claimloom.llm.common import arrow_column, text_bytes
 
 #: Fixed value: the pre-split pattern of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that one task keeps encoded; beyond it the table starts anew, and results stay the same.
-CACHED_WORDS = 200_000
-CACHED_ARCS = 300_000
+_SPLIT = regex.compile(SPLIT)
+#: The same for texts of ASCII and Latin letters only, whose classes the standard library has, too. Other texts have a character of _OTHER.
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
+#: Words that a worker keeps encoded, and arcs; beyond it the table starts anew, and results stay the same.
+CACHED_WORDS = 400_000
+CACHED_ARCS = 400_000
 LONGEST_CACHED = 64
 NEVER = 1 << 60
 
 
+def split(text: str) -> list[str]:
+    """The words that are encoded each for itself."""
+    return (_SPLIT if _OTHER.search(text) else _LATIN).findall(text)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabulary files, and its byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -48,48 +59,71 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def check_supported(spec: dict) -> None:
+    """ValueError for a vocabulary file with settings that would change results and aren't implemented here."""
+    model, split, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    wrong = [f"model {k}={model[k]!r}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [] if model.get("type", "BPE") == "BPE" else [f"model type {model['type']}"]
+    wrong += [k for k in ("normalizer", "post_processor") if spec.get(k)]
+    wrong += [] if split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) else ["pre_tokenizer"]
+    wrong += [] if decoder.get("type") == "ByteLevel" else ["decoder"]
+    wrong += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if wrong:
+        raise ValueError(f"not supported: {', '.join(wrong)}")
+
+
 class Automaton:
     """The token automaton of a byte-level vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_supported(spec)
         alphabet = byte_alphabet()
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.label: dict[int, bytes] = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items()}
         added = [(t["content"], t["id"]) for t in spec.get("added_tokens", [])]
-        self.added = {c: np.uint32(i).astype("<u4").tobytes() for c, i in added}
+        self.added = {c: array("I", [i]).tobytes() for c, i in added}
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.label |= {i: c.encode() for c, i in added}
-        size = max(self.label) + 1
-        self.spelled = [self.label.get(i, b"") for i in range(size)]
-        self.size = size
+        self.size = max(self.label) + 1
+        self.spelled = [self.label.get(i, b"") for i in range(self.size)]
         # One state per token. Bytes exist from the start.
-        self.left, self.right, self.born = [-1] * size, [-1] * size, [NEVER] * size
+        self.left, self.right, self.born = [-1] * self.size, [-1] * self.size, [NEVER] * self.size
         self.lost: dict[int, int] = {}  # state * size + arc -> rank of the gadget that took the arc away
-        self.trie: list[dict[int, int]] = [{}]
+        # Labels as a transition table on bytes: node * 256 + byte -> node; and each node's token, if any.
+        self.step: dict[int, int] = {}
         self.token_at: list[int] = [-1]
         for t, b in ((t, alphabet[t]) for t in alphabet if t in vocab):
             self._spell(vocab[t], bytes([b]))
         for rank, pair in enumerate(merges):
             u, v = pair if isinstance(pair, list) else pair.split(" ")
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
+        # The longest shorter token that a token's label begins with: where to go if an arc isn't there.
+        self.shorter = [self._shorter(x) for x in self.spelled]
         self.arcs: dict[int, bool] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.pattern = regex.compile(spec.get("split_pattern", SPLIT))
+        self.words: dict[str, bytes] = {}
 
     def _spell(self, token: int, label: bytes) -> None:
         node = 0
         for b in label:
-            after = self.trie[node].get(b)
+            after = self.step.get(node * 256 + b)
             if after is None:
-                after = len(self.trie)
-                self.trie[node][b] = after
-                self.trie.append({})
+                after = self.step[node * 256 + b] = len(self.token_at)
                 self.token_at.append(-1)
             node = after
         self.token_at[node] = token
 
+    def _shorter(self, label: bytes) -> int:
+        node, found = 0, -1
+        for b in label[:-1]:
+            node = self.step.get(node * 256 + b, -1)
+            if node < 0:
+                break
+            if self.token_at[node] >= 0:
+                found = self.token_at[node]
+        return found
+
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
         self.lost.setdefault(u * self.size + v, rank)
         if self.born[uv] == NEVER and self.left[uv] < 0:
@@ -110,54 +144,60 @@ class Automaton:
         # The states of which `state` is a copy, each with the rank at which that copy was made.
         copies, x, until = [], state, NEVER
         while x >= 0:
-            copies.append((x, until))
+            copies.append((x * self.size, until))
             x, until = self.right[x], self.born[x]
         # The arcs from which `arc` was gained, each with the rank at which that happened.
-        y, until = arc, NEVER
+        lost, y, until = self.lost, arc, NEVER
         while y >= 0:
             for x, copied in copies:
-                at = self.lost.get(x * self.size + y, NEVER)
-                if at < copied and at <= until and at != NEVER:
+                at = lost.get(x + y)
+                if at is not None and at < copied and at <= until:
                     return False
             y, until = self.left[y], self.born[y]
         return True
 
     def encode_word(self, word: bytes) -> list[int]:
         """The one path of the automaton that spells word."""
-        n, at = len(word), 0
+        n = len(word)
+        step, token_at, shorter, spelled, arcs, size = self.step, self.token_at, self.shorter, self.spelled, self.arcs, self.size
         path: list[int] = []
-        ends: list[int] = []
-        options: list[list[int]] = []
-        dead: set[int] = set()
-        trie, token_at = self.trie, self.token_at
+        at, last = 0, -1
+        dead: set[int] = set()  # ends from which no path goes on
+        arc = -2
         while at < n:
-            node, found, k = 0, [], at
-            while k < n:
-                node = trie[node].get(word[k])
-                if node is None:
-                    break
-                k += 1
-                if token_at[node] >= 0:
-                    found.append(token_at[node])
-            options.append(found)
-            while True:  # take the longest arc left, or go back to a state that has one
-                while options and not options[-1]:
-                    options.pop()
-                    if not path:
-                        raise ValueError("the vocabulary does not spell this word")
-                    dead.add(ends.pop())
-                    path.pop()
-                arc = options[-1].pop()
-                end = (ends[-1] if ends else 0) + len(self.spelled[arc])
-                if end not in dead and (not path or self.has_arc(path[-1], arc)):
-                    path.append(arc)
-                    ends.append(end)
-                    at = end
-                    break
+            if arc == -2:  # the longest label here
+                node, arc = 0, -1
+                for k in range(at, n):
+                    node = step.get(node * 256 + word[k])
+                    if node is None:
+                        break
+                    if token_at[node] >= 0:
+                        arc = token_at[node]
+            # The longest one that is an arc of this state and leads on.
+            while arc >= 0:
+                end = at + len(spelled[arc])
+                if end not in dead:
+                    if last < 0:
+                        break
+                    known = arcs.get(last * size + arc)
+                    if known if known is not None else self.has_arc(last, arc):
+                        break
+                arc = shorter[arc]
+            if arc >= 0:
+                path.append(arc)
+                at, last, arc = end, arc, -2
+                continue
+            if not path:
+                raise ValueError("the vocabulary does not spell this word")
+            dead.add(at)
+            gone = path.pop()
+            at -= len(spelled[gone])
+            last = path[-1] if path else -1
+            arc = shorter[gone]
         return path
 
     def _encoded(self, word: str) -> bytes:
-        ids = np.array(self.encode_word(word.encode()), "<u4").tobytes()
+        ids = array("I", self.encode_word(word.encode())).tobytes()
         if len(word) <= LONGEST_CACHED:
             if len(self.words) >= CACHED_WORDS:
                 self.words.clear()
@@ -176,11 +216,11 @@ class Automaton:
 
     def _encode_plain(self, text: str) -> bytes:
         known, encoded = self.words.get, self._encoded
-        return b"".join([known(w) or encoded(w) for w in self.pattern.findall(text)])
+        return b"".join([known(w) or encoded(w) for w in split(text)])
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, as text."""
-        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return b"".join(map(self.spelled.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)

@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.operators.order import fresh
 from claimloom.plans.scratch import materialize, release, scratch_path, shared_folder
 
-__all__ = ["arrow_column", "bound_batches", "filter_bits", "fresh", "id_bit", "id_filter", "is_on", "materialize", "release", "scratch_path", "shared_folder", "text_bytes"]
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """name, or name with a suffix that no column of df has (Spark compares names without case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+__all__ = ["arrow_column", "bound_batches", "filter_bits", "fresh", "id_filter", "materialize", "release", "scratch_path", "shared_folder", "text_bytes"]
 
 
 #: Most bytes of rows that go to a Python worker at once.
@@ -27,7 +22,7 @@ BATCH_BYTES = 4 << 20
 
 
 def bound_batches() -> None:
-    """Lower the session's Arrow batches to BATCH_BYTES: texts are long, and each task holds a batch on either side."""
+    """Lower the session's Arrow batches to BATCH_BYTES (it stays so): texts are long, and each task holds a batch on either side."""
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != f"{BATCH_BYTES}b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
@@ -47,25 +42,37 @@ def text_bytes(column: pa.Array, rows: int = 256) -> Iterator[list[bytes | None]
     pa.default_memory_pool().release_unused()
 
 
-#: Bits of an id filter: 128 KB whatever the input. When more ids set more bits it only lets more rows through.
-FILTER_BITS = 1 << 20
+#: Least and most bits of an id filter, as powers of two: 128 KB to 16 MB. Beyond a hundred million ids it only lets more rows through.
+LEAST_BITS, MOST_BITS = 20, 27
+
 
+@dataclass
+class IdFilter:
+    """Packed bits, on for every id of a set (and, by chance, for some others), as a broadcast."""
 
-def id_bit(ids: Column) -> Column:
-    """An id's bit in a filter."""
-    return F.pmod(F.xxhash64(ids.cast("bigint")), F.lit(FILTER_BITS)).cast("int")
+    size: int
+    packed: Broadcast
 
+    def bit(self, ids: Column) -> Column:
+        """An id's bit."""
+        return F.pmod(F.xxhash64(ids.cast("bigint")), F.lit(self.size)).cast("int")
 
-def filter_bits(ids: DataFrame):
-    """A broadcast of packed bits, on for every id of the one column of ids."""
-    on = np.zeros(FILTER_BITS, bool)
-    on[ids.select(id_bit(F.col(ids.columns[0])).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
-    return ids.sparkSession.sparkContext.broadcast(np.packbits(on).tobytes())
+    def is_on(self, bits: pa.Array) -> np.ndarray:
+        at = bits.to_numpy(zero_copy_only=False)
+        return (np.frombuffer(self.packed.value, np.uint8)[at >> 3] >> (at & 7)) & 1 == 1
 
 
-def is_on(packed: bytes, bits: pa.Array) -> np.ndarray:
-    at = bits.to_numpy(zero_copy_only=False)
-    return (np.frombuffer(packed, np.uint8)[at >> 3] >> (7 - (at & 7))) & 1 == 1
+def filter_bits(ids: DataFrame) -> IdFilter:
+    """The filter of a table's first column. It has about 16 bits for each id; they are put together in chunks of 4 KB on the executors."""
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * ids.count()).bit_length()))
+    made = IdFilter(size, None)
+    bit = (made.bit(F.col(ids.columns[0])) + 1).cast("bigint")
+    chunks = ids.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).toArrow()
+    packed = bytearray(size // 8)
+    for n, bits in zip(chunks["n"].to_pylist(), chunks["bits"].to_pylist(), strict=True):
+        packed[(n - 1) * 4096 : (n - 1) * 4096 + len(bits)] = bits
+    made.packed = ids.sparkSession.sparkContext.broadcast(bytes(packed[: size // 8]))
+    return made
 
 
 def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
@@ -73,6 +80,6 @@ def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
 
     It keeps rows that a later join would drop out of that join's shuffle.
     """
-    shared = filter_bits(ids)
-    test = arrow_column(lambda bits: pa.array(is_on(shared.value, bits), pa.bool_()), "boolean")
-    return lambda c: c.isNotNull() & test(id_bit(c))
+    made = filter_bits(ids)
+    test = arrow_column(lambda bits: pa.array(made.is_on(bits), pa.bool_()), "boolean")
+    return lambda c: c.isNotNull() & test(made.bit(c))

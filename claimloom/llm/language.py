@@ -27,7 +27,7 @@ from claimloom.llm.common import arrow_column, bound_batches
 BUCKETS = 1 << 16
 #: Training documents per language, in expectation: a language with more is sampled by a hash of the id.
 TRAIN_PER_LANGUAGE = 4_000
-#: Languages that a model may have; the matrix has this many times BUCKETS entries at most.
+#: Languages that a model may have, unless told otherwise: the broadcast matrix has so many times BUCKETS entries, 128 MB.
 MOST_LANGUAGES = 500
 SMOOTHING = 0.1
 UNKNOWN = "und"
@@ -119,13 +119,13 @@ class Model:
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)], np.where(seen > 0, p, 0.0).tolist()
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model:
-    """Learns from the labelled rows of docs: all of a language with up to per_language rows, else about that many by hash of id."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Learns from the labelled rows of docs: all of a language with up to per_language rows, else about that many by hash of id. More than most_languages are an error."""
     bound_batches()
     rows = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(rows[lang_col].alias("l")).agg(F.count("*")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r[0]: r[1] for r in rows.groupBy(rows[lang_col].alias("l")).agg(F.count("*")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros(0), np.zeros((0, BUCKETS), np.float32))

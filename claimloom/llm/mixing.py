@@ -7,13 +7,15 @@ without replacement: each document draws the exponential key -ln(u) / w, with u
 its id and w its quality weight, and documents are taken by ascending key until their words
 reach the rest of the target.
 
-The prefix sum over a source's keys is never made in one task. Keys fall into about sqrt(n)
-ordered buckets, sums of buckets show which one holds the cut, and only that bucket's rows are
-ordered. The cut, one row per source, then decides each document where it lies.
+The prefix sum over a source's keys is never made in one task. Keys fall into ordered buckets by
+their logarithm, sums of buckets show which one holds the cut, and its rows fall into finer
+buckets, and so on, until those around the cut are few enough to be ordered. Whatever the weights,
+a round leaves a small part of a bucket. The cut, one row per source, then decides each document
+where it lies.
 
 Defined results: a null text has size 0; a null source is a source, the last one; a source of
 size 0 has target 0. Documents of size 0 are taken 0 words. Rows with equal id, size and weight
-are taken alike. An empty table gives an empty result. The document at the cut is taken whole if
+are taken alike. An empty table gives an empty result. `targets` orders one row per source in one task. The document at the cut is taken whole if
 that brings its source nearer to the target, so a source misses its target by half a document.
 """
 
@@ -27,6 +29,8 @@ from claimloom.llm.common import materialize
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
+#: Rows around a cut that are ordered in one task.
+ORDERED = 50_000
 #: Sources are broadcast up to this count, and joined by shuffle beyond it.
 BROADCAST_SOURCES = 100_000
 
@@ -73,32 +77,47 @@ def _per_source(rows: DataFrame, table: DataFrame, few: bool, kind: str = "inner
     return rows.join(F.broadcast(right) if few else right, rows["source"].eqNullSafe(F.col("mix_source")), kind).drop("mix_source")
 
 
-def _bucket() -> Column:
-    n = F.ceil(F.sqrt("n_docs"))
-    return F.least(n - 1, F.floor(n * (1 - F.exp(-F.col("key")))))
+def _coarse() -> Column:
+    """Bucket of a key: 64 for each doubling."""
+    return F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * 64).cast("bigint")
+
+
+def _crossing(rows: DataFrame, few: bool) -> DataFrame:
+    """rows(source, bucket, size, key, rest, done): the bucket in which a source's words reach its rest: (source, cut, before, low, high, n), if any."""
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("done").alias("done"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    up_to = F.col("done") + F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
+    at = sums.withColumn("before", up_to - F.col("words")).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+    return at.select("source", F.col("bucket").alias("cut"), "before", "low", "high", "n")
 
 
 def _cuts(rows: DataFrame, weights: tuple, share: float, most: float) -> tuple[DataFrame, bool]:
-    """rows: (doc_id, source, size, key). One row per source: the columns of targets, and where its fraction of an epoch ends; and whether it can be broadcast."""
+    """rows: (doc_id, source, size, key). One row per source: the columns of targets, `crosses`, whether its fraction of an epoch ends within it, and `last`, the last (key, doc_id, size) that is in; and whether it can be broadcast."""
     sources = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, most), "mix-sources")
     few = sources.count() <= BROADCAST_SOURCES
-    placed = _per_source(rows, sources, few).withColumn("bucket", _bucket())
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    up_to = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    crossing = sums.withColumn("before", up_to - F.col("words")).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-    crossing = crossing.select("source", F.col("bucket").alias("cut_bucket"), F.col("before").alias("cut_before"))
-    near = _per_source(placed, crossing, few).where("bucket = cut_bucket")
+    left = _per_source(rows, sources.select("source", "rest"), few).where("size > 0 AND rest > 0").withColumns({"done": F.lit(0).cast("bigint"), "bucket": _coarse()})
+    crossing = materialize(_crossing(left, few), "mix-crossing")
+    crosses = crossing.select("source", F.lit(True).alias("crosses"))
+    while True:
+        left = _per_source(left.select("doc_id", "source", "size", "key", "rest", "bucket"), crossing, few).where("bucket = cut").withColumn("done", F.col("before"))
+        widest = crossing.where("low < high").agg(F.max("n")).first()[0]
+        if (widest or 0) <= ORDERED:
+            break
+        finer = F.when(F.col("high") > F.col("low"), F.least(F.lit(1023), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * 1024))).otherwise(F.lit(0)).cast("bigint")
+        left = materialize(left.withColumn("bucket", finer).drop("cut", "before", "low", "high", "n"), "mix-near")
+        crossing = materialize(_crossing(left, few), "mix-crossing")
     ahead = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = near.withColumn("ahead", F.col("cut_before") + ahead).where(F.col("ahead") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("cut"))
-    cut_of = _per_source(crossing.select("source", "cut_bucket"), ends, few, "left")
-    return materialize(_per_source(sources, cut_of, few, "left"), "mix-cuts"), few
+    ends = left.withColumn("ahead", F.col("done") + ahead).where(F.col("ahead") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("own"))
+    # Where the first row around the cut is out already, all of the buckets before it are in.
+    before = crossing.select("source", F.struct(F.col("low").alias("key")).alias("start"))
+    cut_of = _per_source(_per_source(_per_source(sources, crosses, few, "left"), before, few, "left"), ends, few, "left")
+    return materialize(cut_of, "mix-cuts"), few
 
 
 def _copies(rows: DataFrame, cuts: DataFrame, few: bool) -> DataFrame:
-    """rows with the columns of their source's cut, and `selected`. No crossing bucket: the rest is 0, or all of the source."""
-    decided = _per_source(rows, cuts, few).withColumn("bucket", _bucket())
-    inside = F.coalesce(F.struct("key", "doc_id", "size") <= F.col("cut"), F.lit(False))
-    selected = F.when(F.col("cut_bucket").isNull(), F.lit(True)).when(F.col("bucket") != F.col("cut_bucket"), F.col("bucket") < F.col("cut_bucket")).otherwise(inside)
+    """rows with the columns of their source's cut, and `selected`. Where nothing crosses, the rest is 0 or all of the source."""
+    decided = _per_source(rows, cuts, few)
+    inside = F.when(F.col("own").isNotNull(), F.struct("key", "doc_id", "size") <= F.col("own")).otherwise(F.col("key") < F.col("start.key"))
+    selected = F.when(F.col("crosses").isNull(), F.lit(True)).otherwise(F.coalesce(inside, F.lit(False)))
     return decided.withColumn("selected", selected & (F.col("rest") > 0))
 
 

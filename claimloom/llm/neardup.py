@@ -8,8 +8,9 @@
    and the pair is verified on the full sets.
 3. Candidates that hang together form a cluster. In a cluster, ids linked to the largest hub are
    one side, all others are left over; every left-over id is compared, on full sets, with every
-   id of the cluster. These comparisons are dealt in blocks of bounded size, one task holds
-   some blocks, and a block returns one link per left-over id and hub, not all pairs.
+   id of the cluster. These comparisons are dealt in blocks of bounded size, counted in ids
+   and in bytes of their sets; one task holds some blocks, and a block returns one link per
+   left-over id and hub, not all pairs.
 4. Links from 2 and 3 give connected components.
 
 So a link between different texts is lost only if its two sketches agree in no band. At a
@@ -28,19 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_column, bound_batches, filter_bits, fresh, id_bit, id_filter, is_on, materialize, text_bytes
+from claimloom.llm.common import IdFilter, arrow_column, bound_batches, filter_bits, fresh, id_filter, materialize, text_bytes
 from claimloom.llm.components import components
 from claimloom.llm.sketch import band_keys, shingle_sets, sketch
 from claimloom.llm.words import mix
 
 BANDS, ROWS = 64, 8
-#: Sizes of a block: left-over ids, and ids of their cluster.
+#: Sizes of a block, on average: left-over ids and ids of their cluster, and bytes of their sets.
 LEFT, ALL = 512, 2_048
-#: Ids in the blocks of one task, on average.
-UNIT = 2_048
+LEFT_BYTES, ALL_BYTES = 4 << 20, 16 << 20
+#: Ids and bytes of sets in the blocks of one task, on average.
+UNIT, UNIT_BYTES = 2_048, 32 << 20
 
 
 def _signatures(n: int, bands: int, rows: int):
@@ -64,12 +67,12 @@ def _signatures(n: int, bands: int, rows: int):
     return run
 
 
-def _maybe_sets(packed, n: int):
+def _maybe_sets(wanted: IdFilter, n: int):
     """Packed shingle sets of the texts whose bit (the last column) is on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(is_on(packed.value, batch.column(2))))
+            some = batch.filter(pa.array(wanted.is_on(batch.column(2))))
             at = 0
             for texts in text_bytes(some.column(1)):
                 yield pa.RecordBatch.from_arrays([some.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())], ["id", "set"])
@@ -121,10 +124,14 @@ def _compare(percent: int):
                 yield i, int(ids[k])
 
     def run(unit: pa.Table) -> pa.Table:
-        blocks: dict[tuple, tuple[list, list]] = {}
-        for r in unit.to_pylist():
-            blocks.setdefault((r["cluster"], r["i"], r["j"]), ([], []))[0 if r["is_left"] else 1].append((r["id"], r["hub"], r["set"]))
-        found = [x for left, every in blocks.values() if left and every for x in one(left, every)]
+        found: list[tuple[int, int]] = []
+        keys = unit.select(["cluster", "i", "j"]).to_pandas().reset_index()
+        for _, places in keys.groupby(["cluster", "i", "j"])["index"]:  # one block's sets at a time
+            rows = unit.take(pa.array(places.to_numpy()))
+            left, every = (rows.filter(m) for m in (rows["is_left"], pc.invert(rows["is_left"])))
+            if left.num_rows and every.num_rows:
+                both = (list(zip(x["id"].to_pylist(), x["hub"].to_pylist(), x["set"].to_pylist(), strict=True)) for x in (left, every))
+                found += one(*both)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
@@ -141,7 +148,7 @@ def _hubs(shared: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """classes: (id, bands), one row per class. Returns verified links (a, b), enough of them for the components."""
+    """classes: (id, bands, n_shingles), one row per class. Returns verified links (a, b), enough of them for the components."""
     keys = classes.select("id", F.explode("bands").alias("key"))
     several = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-keys")
     shared = keys.join(several, "key").select("id", "key")
@@ -156,16 +163,21 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
 
     cluster = components(pairs.select(F.col("id").alias("a"), F.col("hub").alias("b")), "near-clusters").withColumnRenamed("component", "cluster")
     placed = materialize(cluster.join(stars, "id", "left").select("id", "cluster", F.coalesce("hub", "id").alias("hub")), "near-placed")
-    arms = placed.groupBy("cluster", "hub").agg(F.count("*").alias("n"))
-    clusters = arms.groupBy("cluster").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count("*").alias("arms"))
-    clusters = materialize(clusters, "near-mixed").where("arms > 1").select("cluster", "main", F.ceil((F.col("n") - F.col("n_main")) / LEFT).cast("int").alias("n_i"), F.ceil(F.col("n") / ALL).cast("int").alias("n_j"))
+    placed = materialize(placed.join(classes.select("id", (8 * F.col("n_shingles")).alias("bytes")), "id"), "near-sized")
+    arms = placed.groupBy("cluster", "hub").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = F.max_by(F.struct("hub", "n", "bytes"), F.struct("n", -F.col("hub"))).alias("m")
+    clusters = arms.groupBy("cluster").agg(main, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("arms"))
+    parts = lambda n, size, bytes_, most: F.greatest(F.ceil(n / size), F.ceil(bytes_ / most)).cast("int")
+    n_i = parts(F.col("n") - F.col("m.n"), LEFT, F.col("bytes") - F.col("m.bytes"), LEFT_BYTES)
+    clusters = materialize(clusters, "near-mixed").where("arms > 1").select("cluster", F.col("m.hub").alias("main"), n_i.alias("n_i"), parts(F.col("n"), ALL, F.col("bytes"), ALL_BYTES).alias("n_j"))
     members = placed.join(clusters, "cluster")
-    members = members.select("id", "cluster", "hub", (F.col("hub") != F.col("main")).alias("out"), "n_i", "n_j", F.pmod(F.xxhash64("id"), F.col("n_i")).cast("int").alias("at_i"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_j")).cast("int").alias("at_j"))
+    members = members.select("id", "cluster", "hub", "bytes", (F.col("hub") != F.col("main")).alias("out"), "n_i", "n_j", F.pmod(F.xxhash64("id"), F.col("n_i")).cast("int").alias("at_i"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_j")).cast("int").alias("at_j"))
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = members.where("out").select("id", "cluster", "hub", F.lit(True).alias("is_left"), F.col("at_i").alias("i"), spread("n_j").alias("j"))
-    every = members.select("id", "cluster", "hub", F.lit(False).alias("is_left"), spread("n_i").alias("i"), F.col("at_j").alias("j"))
+    left = members.where("out").select("id", "cluster", "hub", "bytes", F.lit(True).alias("is_left"), F.col("at_i").alias("i"), spread("n_j").alias("j"))
+    every = members.select("id", "cluster", "hub", "bytes", F.lit(False).alias("is_left"), spread("n_i").alias("i"), F.col("at_j").alias("j"))
     blocks = materialize(left.unionByName(every), "near-blocks")
-    units = max(1, -(-blocks.count() // UNIT))
+    total = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    units = max(1, -(-total["n"] // UNIT), -(-total["bytes"] // UNIT_BYTES))
     unit = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(units)).alias("unit")
     found = blocks.join(sets, "id").select("id", "cluster", "hub", "is_left", "i", "j", "set", unit).groupBy("unit").applyInArrow(_compare(percent), "a bigint, b bigint")
     return stars.select(F.col("id").alias("a"), F.col("hub").alias("b")).unionByName(found)
@@ -174,8 +186,9 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
 def _candidate_sets(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(id, set) of the candidates. Only sets of candidates, and of few others, leave the pass over all texts."""
     ids = docs[id_col].cast("bigint")
-    rows = docs.select(ids.alias("id"), docs[text_col].alias("text"), id_bit(ids).alias("bit")).where("id IS NOT NULL")
-    sets = rows.mapInArrow(_maybe_sets(filter_bits(candidates), n), "id bigint, set binary")
+    wanted = filter_bits(candidates)
+    rows = docs.select(ids.alias("id"), docs[text_col].alias("text"), wanted.bit(ids).alias("bit")).where("id IS NOT NULL")
+    sets = rows.mapInArrow(_maybe_sets(wanted, n), "id bigint, set binary")
     return sets.join(candidates, "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -190,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_ = materialize(docs.select(docs[id_col].cast("bigint"), docs[text_col]).mapInArrow(_signatures(n, bands, rows), schema), "near-rows")
     filled = rows_.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "near-classes")
-    reps = filled.select(F.col("doc_id").alias("id"), "bands").join(classes.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    reps = filled.select(F.col("doc_id").alias("id"), "bands", "n_shingles").join(classes.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     found = components(links(reps, docs, id_col, text_col, n, percent))
     of_class = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = rows_.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2").join(of_class, ["k1", "k2"], "left")

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_column, fresh
+from claimloom.llm.common import arrow_column
+from claimloom.llm.spans import free_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn")
@@ -93,7 +94,7 @@ _CLUES = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone",
 
 def shape(word: str) -> str:
     """Letters as a or A in runs, digits as 9 one by one up to 6 and * beyond; other characters as they are."""
-    s = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word[:80])
+    s = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", word)
     return re.sub(r"[0-9]+", lambda m: "9" * len(m[0]) if len(m[0]) <= 6 else "9*", s)
 
 
@@ -348,7 +349,7 @@ def all_spans(texts: list[str | None], field: Field) -> list[tuple[dict, list[tu
         if any(more.values()):
             taken = sorted(x for k in BASE_KINDS for x in base[k])
             for k, extra in more.items():
-                spans[k] = sorted(spans[k] + [x for x in extra if not any(a < x[1] and x[0] < b for a, b in taken)])
+                spans[k] = sorted(spans[k] + free_of(extra, taken))
         found.append((base, [(k, s, e) for k in KINDS for s, e in spans[k]]))
     return found
 

@@ -108,14 +108,19 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(m)[x].alias(names[x]) for x in MEASURES], failure_bits(F.col(m)).alias(names["fail_bits"]))
 
 
-def apply_policy(rows: DataFrame, policy: int = CURRENT, bits: str = "fail_bits") -> DataFrame:
-    """Adds `kept`: no rule of the policy failed."""
-    return rows.withColumn("kept", F.col(bits).bitwiseAND(F.lit(mask(policy))) == 0)
+def bits_column(rows: DataFrame) -> str:
+    """The ledger's failure bits: the last column of that name, with or without a suffix, since a ledger puts them last."""
+    return [c for c in rows.columns if c.rstrip("_") == "fail_bits"][-1]
 
 
-def ablations(rows: DataFrame, policy: int = CURRENT, bits: str = "fail_bits") -> DataFrame:
+def apply_policy(rows: DataFrame, policy: int = CURRENT, bits: str | None = None) -> DataFrame:
+    """rows of a ledger with `kept` as last column: no rule of the policy failed. A column of that name stays, and the new one gets a suffix of `_`."""
+    return rows.withColumn(fresh(rows, "kept"), F.col(bits or bits_column(rows)).bitwiseAND(F.lit(mask(policy))) == 0)
+
+
+def ablations(rows: DataFrame, policy: int = CURRENT, bits: str | None = None) -> DataFrame:
     """One row per rule of the policy: documents that it fails, and those that only it rejects."""
-    held = F.col(bits).bitwiseAND(F.lit(mask(policy)))
+    held = F.col(bits or bits_column(rows)).bitwiseAND(F.lit(mask(policy)))
     counts = rows.select(held.alias("b")).groupBy("b").agg(F.count("*").alias("n"))  # at most 2**rules rows
     per_rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).cast("bigint").alias("bit")) for r in POLICIES[policy]]))
     return (

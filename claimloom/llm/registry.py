@@ -87,7 +87,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    found = docs.select("doc_id", secretscan.detect(docs["text"]).alias("f"))
+    found = docs.select("doc_id", secretscan.detect(docs["text"], path=bpe.vocabulary_path()).alias("f"))
     counts = [_count("f.spans", k).alias(f"n_{k}") for k in secretscan.BASE_KINDS]
     base = F.filter("f.spans", lambda s: s["kind"] != "guess")
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("f.spans")).alias("spans"))
@@ -123,7 +123,7 @@ FROM p
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.parse(_documents(spark, sf_dir).select("doc_id", "text"))
-    removed = F.aggregate("parsed.factors", F.lit(0).cast("bigint"), lambda n, f: n + f["length"])
+    removed = F.aggregate("parsed.spans", F.lit(0).cast("bigint"), lambda n, f: n + f["length"])
     return rows.select("doc_id", "parsed.n_words", removed.alias("n_removed"), F.sha2(F.col("parsed.kept").cast("binary"), 256).alias("kept_sha256"))
 
 

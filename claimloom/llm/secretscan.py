@@ -3,9 +3,13 @@
 The patterns find assignments to credential names, access key ids and long hex strings. The
 method looks at values in credential contexts (those names again, passphrase, pwd, bearer, private
 key, client secret and others) and asks what guessing each would cost: a dynamic program splits the
-value into words, dates, repeats, keyboard walks and brute-force spans at the least total cost
-(log10 of guesses). A value that costs at least THRESHOLD is a secret; its span is added as
-kind `guess` unless it overlaps one of the patterns'.
+value into words, dates, repeats, keyboard walks, joins and brute-force spans at the least total
+cost (log10 of guesses). A value that costs at least THRESHOLD is a secret, or at least PHRASE if it
+is words and joins only, as placeholders and names are. Its span is added as kind `guess` unless it
+overlaps one of the patterns'.
+
+Words are the common passwords below, and the words of a public vocabulary file in its order, which
+goes from frequent to rare. The file's path is a parameter; without it only the former count.
 
 Positions are code points, end exclusive. Texts are read whole. The dynamic program takes time
 in proportion to the value's length.
@@ -16,6 +20,8 @@ columns pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import re
 
@@ -23,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column
 
 from claimloom.llm.common import arrow_column
+from claimloom.llm.spans import free_of
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
 #: log10 of the guesses from which a value counts as secret.
 THRESHOLD = 8.0
+#: The same for values of words and joins only.
+PHRASE = 15.0
 
 _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -46,64 +55,93 @@ WORDS = (
 )
 #: Rows of a keyboard.
 KEYS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LEET = str.maketrans("4@31!0$57", "aaeiiosst")
 _BESIDE = {(row[i], row[i + d]) for row in KEYS for d in (-1, 1) for i in range(len(row)) if 0 <= i + d < len(row)} | {(a[i], b[j]) for a, b in zip(KEYS, KEYS[1:], strict=False) for i in range(len(a)) for j in (i - 1, i) if 0 <= j < len(b)}
 _BESIDE |= {(b, a) for a, b in _BESIDE}
-_DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-/._]?[01][0-9][-/._]?[0-3][0-9]|[0-3]?[0-9][-/._][01]?[0-9][-/._](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2})")
-_START = 0.5  # cost of one more segment
-
-
-def _alphabet(v: str) -> float:
+_DATES = (
+    (re.compile(r"(?:19|20)[0-9]{2}[-/._]?[01][0-9][-/._]?[0-3][0-9]|[0-3]?[0-9][-/._][01]?[0-9][-/._](?:19|20)[0-9]{2}"), 4.6),
+    (re.compile(r"(?:19|20)[0-9]{2}"), 2.1),
+)
+_JOINS = "-_. "
+#: Costs of one more segment, of a word with other letters for some of its own, of one with capitals, of a join, and of a keyboard walk.
+SEGMENT, LEET, CASED, JOIN, WALK = 0.5, 0.7, 0.3, 0.3, 1.5
+MOST_PERIOD = 4
+
+
+@functools.lru_cache(maxsize=2)
+def dictionary(path: str | None = None) -> dict[str, int]:
+    """Rank of each word: the fixed ones first, then the ASCII words of three letters or more of a vocabulary file, by their number there."""
+    ranks = {w: k + 1 for k, w in enumerate(WORDS)}
+    if path is not None:
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        for token, number in sorted(vocabulary.items(), key=lambda x: x[1]):
+            word = token.lstrip("\u0120\u2581").lower()  # marks of a word's start
+            if len(word) >= 3 and word.isascii() and word.isalpha():
+                ranks.setdefault(word, len(WORDS) + number + 1)
+    return ranks
+
+
+@functools.lru_cache(maxsize=2)
+def _longest(path: str | None) -> int:
+    return max(map(len, dictionary(path)))
+
+
+def alphabet(v: str) -> float:
+    """log10 of the number of characters that v's are taken from."""
     size = 26 * any("a" <= c <= "z" for c in v) + 26 * any("A" <= c <= "Z" for c in v) + 10 * any("0" <= c <= "9" for c in v) + 33 * any(not c.isalnum() for c in v)
     return math.log10(max(size, 10))
 
 
-def guess_cost(v: str) -> tuple[float, list[tuple[str, int, int]]]:
-    """The least log10 of guesses over segmentations of v, and that segmentation as (kind, start, end)."""
-    n, low = len(v), v.lower()
+def beside(a: str, b: str) -> bool:
+    """Whether a walk goes on from a to b: neighbours on the keyboard or in the character table."""
+    return (a, b) in _BESIDE or ord(b) - ord(a) in (1, -1)
+
+
+def guess_cost(v: str, path: str | None = None) -> tuple[float, list[tuple[str, int, int]]]:
+    """The least log10 of guesses over segmentations of v, and that segmentation as (kind, start, end).
+
+    A walk, and a repeat of some period, begins where its run begins.
+    """
+    ranks, longest = dictionary(path), _longest(path)
+    n, low = len(v), v.translate(_LOWER)
     plain = low.translate(_LEET)
-    per_char = _alphabet(v)
+    per_char = alphabet(v)
     cost, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
 
     def reach(end: int, c: float, kind: str, start: int) -> None:
         if c < cost[end]:
             cost[end], back[end] = c, (kind, start)
 
-    in_brute = [math.inf] * (n + 1)  # least cost where a brute-force span goes on
-    brute_from = [0] * (n + 1)
-    walk = run = 0  # where the keyboard walk and the repeat that reach i began
+    brute, brute_from = math.inf, 0  # least cost where a brute-force span goes on, and its start
+    walk = 0  # where the walk that reaches i began
+    same = [0] * (MOST_PERIOD + 1)  # for each period, how many characters up to i equal the one a period before
     for i in range(n):
-        began = cost[i] + _START
-        if began <= in_brute[i]:
-            in_brute[i], brute_from[i] = began, i
-        if in_brute[i] + per_char < in_brute[i + 1]:
-            in_brute[i + 1], brute_from[i + 1] = in_brute[i] + per_char, brute_from[i]
-        reach(i + 1, in_brute[i + 1], "brute", brute_from[i + 1])
-        for length in range(3, min(_LONGEST, n - i) + 1):
-            for form, extra in ((low, 0.0), (plain, 0.7)):
-                rank = _RANK.get(form[i : i + length])
+        if cost[i] + SEGMENT <= brute:
+            brute, brute_from = cost[i] + SEGMENT, i
+        brute += per_char
+        reach(i + 1, brute, "brute", brute_from)
+        if v[i] in _JOINS:
+            reach(i + 1, cost[i] + JOIN, "join", i)
+        for length in range(3, min(longest, n - i) + 1):
+            for form, extra in ((low, 0.0), (plain, LEET)):
+                rank = ranks.get(form[i : i + length])
                 if rank:
                     cased = v[i : i + length] != low[i : i + length]
-                    reach(i + length, cost[i] + _START + math.log10(rank + 1) + extra + 0.3 * cased, "word", i)
-        m = _DATE.match(v, i)
-        if m:
-            reach(m.end(), cost[i] + _START + (2.1 if m.end() - i == 4 else 4.6), "date", i)
-        if i and v[i] != v[i - 1]:
-            run = i
-        if i and not ((low[i - 1], low[i]) in _BESIDE or ord(low[i]) - ord(low[i - 1]) in (1, -1)):
+                    reach(i + length, cost[i] + SEGMENT + math.log10(rank + 1) + extra + CASED * cased, "word", i)
+        for pattern, c in _DATES:
+            if m := pattern.match(v, i):
+                reach(m.end(), cost[i] + SEGMENT + c, "date", i)
+        if i and not beside(low[i - 1], low[i]):
             walk = i
-        if i + 1 - run >= 3:
-            reach(i + 1, cost[run] + _START + per_char + math.log10(i + 1 - run), "repeat", run)
         if i + 1 - walk >= 3:
-            reach(i + 1, cost[walk] + _START + 1.5 + math.log10(i + 1 - walk) * 2, "walk", walk)
-        for period in (2, 3, 4):  # the same few characters over and over
-            if i + 1 >= 3 * period and v[i + 1 - period : i + 1] == v[i + 1 - 2 * period : i + 1 - period] == v[i + 1 - 3 * period : i + 1 - 2 * period]:
-                s = i + 1 - 3 * period
-                while s >= period and back[i + 1 - period][0] == "repeat" and s > back[i + 1 - period][1]:
-                    s = back[i + 1 - period][1]
-                reach(i + 1, cost[s] + _START + period * per_char + math.log10((i + 1 - s) / period), "repeat", s)
+            reach(i + 1, cost[walk] + SEGMENT + WALK + 2 * math.log10(i + 1 - walk), "walk", walk)
+        for period in range(1, MOST_PERIOD + 1):
+            same[period] = same[period] + 1 if i >= period and v[i] == v[i - period] else 0
+            length = same[period] + period
+            if length >= 3 * period and same[period]:
+                reach(i + 1, cost[i + 1 - length] + SEGMENT + period * per_char + math.log10(length / period), "repeat", i + 1 - length)
     parts, at = [], n
     while at:
         kind, start = back[at]
@@ -112,6 +150,12 @@ def guess_cost(v: str) -> tuple[float, list[tuple[str, int, int]]]:
     return cost[n], parts[::-1]
 
 
+def is_secret(v: str, threshold: float = THRESHOLD, phrase: float = PHRASE, path: str | None = None) -> bool:
+    """Whether guessing v costs too much for it to be a name or a placeholder."""
+    cost, parts = guess_cost(v, path)
+    return cost >= (phrase if all(kind in ("word", "join") for kind, *_ in parts) else threshold)
+
+
 def base_spans(t: str) -> dict[str, list[tuple[int, int]]]:
     low = t.lower()
     assign = [m.span() for m in _ASSIGN.finditer(t) if m.end(1) - m.start(1) >= 6] if any(x in low for x in _NAMES) else []
@@ -119,20 +163,19 @@ def base_spans(t: str) -> dict[str, list[tuple[int, int]]]:
     return {"assign": assign, "access": access, "hex": [m.span() for m in _HEX.finditer(t)]}
 
 
-def context_spans(t: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Values in credential contexts that cost at least the threshold."""
+def context_spans(t: str, threshold: float = THRESHOLD, phrase: float = PHRASE, path: str | None = None) -> list[tuple[int, int]]:
+    """Values in credential contexts that are secrets."""
     low = t.lower()
     if not ("=" in t or ":" in t) or not any(x in low for x in _CONTEXT_NAMES):
         return []
-    return [m.span(1) for m in _CONTEXT.finditer(t) if guess_cost(m[1])[0] >= threshold]
+    return [m.span(1) for m in _CONTEXT.finditer(t) if is_secret(m[1], threshold, phrase, path)]
 
 
-def all_spans(t: str | None, threshold: float = THRESHOLD) -> tuple[dict, list[tuple[str, int, int]]]:
+def all_spans(t: str | None, threshold: float = THRESHOLD, phrase: float = PHRASE, path: str | None = None) -> tuple[dict, list[tuple[str, int, int]]]:
     """Base spans by kind, and all spans as (kind, start, end), by start and then by kind."""
     t = t or ""
     base = base_spans(t)
-    taken = [x for v in base.values() for x in v]
-    more = [x for x in context_spans(t, threshold) if not any(a < x[1] and x[0] < b for a, b in taken)]
+    more = free_of(context_spans(t, threshold, phrase, path), sorted(x for v in base.values() for x in v))
     spans = [(k, s, e) for k in BASE_KINDS for s, e in base[k]] + [("guess", s, e) for s, e in more]
     return base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -140,15 +183,15 @@ def all_spans(t: str | None, threshold: float = THRESHOLD) -> tuple[dict, list[t
 _SPANS = "spans array<struct<kind: string, start: int, end: int>>"
 
 
-def detect(text: Column, threshold: float = THRESHOLD) -> Column:
-    """Struct with `spans`, all of them, by start and kind. Those not of kind `guess` are the patterns'."""
+def detect(text: Column, threshold: float = THRESHOLD, phrase: float = PHRASE, path: str | None = None) -> Column:
+    """Struct with `spans`, all of them, by start and kind. Those not of kind `guess` are the patterns'. path: a vocabulary file, on every worker."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(texts: pa.Array) -> pa.Array:
         spans = []
         for at in range(0, len(texts), 256):
             for t in texts.slice(at, 256).to_pylist():
-                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in all_spans(t, threshold)[1]])
+                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in all_spans(t, threshold, phrase, path)[1]])
         return pa.StructArray.from_arrays([pa.array(spans, kind)], ["spans"])
 
     return arrow_column(run, _SPANS)(text)

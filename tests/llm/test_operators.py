@@ -219,10 +219,33 @@ def brute_passages(data, window=13):
     return sorted(out, key=repr)
 
 
+def removed():
+    return F.aggregate("parsed.spans", F.lit(0), lambda n, f: n + f["length"])
+
+
+def check_factors(parsed, data, window=13):
+    """Each factor's words stand in its reference, a smaller document, from its place; factors are long enough, in order, and as long as they can be."""
+    texts = defaultdict(list)
+    for i, t, *_ in data:
+        texts[i].append(words(t))
+    n = 0
+    for r in parsed:
+        mine = words(r["text"])
+        starts = [f["start"] for f in r["parsed"]["factors"]]
+        assert starts == sorted(starts)
+        for f in r["parsed"]["factors"]:
+            a, length, ref, place = f["start"], f["length"], f["reference"], f["place"]
+            assert length >= window and ref < r["doc_id"]
+            assert any(mine[a : a + length] == w[place : place + length] for w in texts[ref])
+            n += 1
+    return n
+
+
 def test_repeated_passages(spark, docs, data, empty):
-    removed = F.aggregate("parsed.factors", F.lit(0), lambda n, f: n + f["length"])
-    got = substring.parse(docs).select("doc_id", "parsed.n_words", removed, "parsed.kept").collect()
+    out = substring.parse(docs)
+    got = out.select("doc_id", "parsed.n_words", removed(), "parsed.kept").collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_passages(data)
+    assert check_factors(out.where("size(parsed.factors) > 0").collect(), data) > 10
     out = substring.remove_repeats(docs.withColumn("parsed", F.lit(1)))
     assert out.columns == [*docs.columns, "parsed"] and out.count() == len(data)
     assert substring.parse(empty).count() == 0
@@ -237,9 +260,19 @@ def test_passages_at_block_boundaries(spark):
         w = [str(r.random()) for _ in range(r.randint(0, 9))] + base[a : a + r.randint(5, 40)] + [str(r.random())] + base[a // 2 : a // 2 + r.randint(10, 16)]
         data.append((i, " ".join(w), "en", "s", 0))
     data.append((3, " ".join(base[:50]), "en", "s", 0))
-    removed = F.aggregate("parsed.factors", F.lit(0), lambda n, f: n + f["length"])
-    got = substring.parse(tables.frame(spark, data)).select("doc_id", "parsed.n_words", removed, "parsed.kept").collect()
+    data.append((90, " ".join(["same few words again"] * 40 + base[100:140] + ["same few words again"] * 40), "en", "s", 0))
+    data.append((91, " ".join(base[100:140] + ["same few words again"] * 30), "en", "s", 0))
+    out = substring.parse(tables.frame(spark, data)).cache()
+    got = out.select("doc_id", "parsed.n_words", removed(), "parsed.kept").collect()
     assert sorted((tuple(x) for x in got), key=repr) == brute_passages(data)
+    assert check_factors(out.where("size(parsed.factors) > 0").collect(), data) > 20
+
+
+def test_factors_are_extended_over_blocks_and_split_where_the_reference_changes(spark):
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(60)]
+    data = [(1, " ".join(a), "en", "s", 0), (2, " ".join(b + a[190:]), "en", "s", 0), (3, " ".join(["x"] + a[20:120] + b[10:40] + ["y"]), "en", "s", 0)]
+    found = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substring.parse(tables.frame(spark, data)).select("doc_id", "parsed.factors").collect()}
+    assert found == {1: [], 2: [], 3: [(1, 100, 1, 20), (101, 30, 2, 10)]}
 
 
 # 7. Mixing.
