@@ -4,6 +4,7 @@ Start from the automaton with one state that accepts every byte string, an arc p
 Each merge (u, v) -> uv, in order of rank, is a gadget on it:
   * the state that u leads to is split: its copy, which u now leads to, loses the arc v;
   * every state with an arc u, whose target had the arc v, gains an arc uv; it leads to where v led.
+A merge whose u is nowhere followed by v changes nothing, and its token is never used.
 After the last gadget each accepted string of arcs is the encoding of the bytes it spells, and
 each byte string has exactly one. The state reached by a token depends on that token alone, so
 the automaton is kept as one state per token: its `right` link (the state it was copied from),
@@ -96,6 +97,10 @@ class Automaton:
         self.token_at: list[int] = [-1]
         for t, b in ((t, alphabet[t]) for t in alphabet if t in vocab):
             self._spell(vocab[t], bytes([b]))
+        self.live = [False] * self.size  # tokens that some state has an arc for
+        for t in alphabet:
+            if t in vocab:
+                self.live[vocab[t]] = True
         for rank, pair in enumerate(merges):
             u, v = pair if isinstance(pair, list) else pair.split(" ")
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
@@ -125,10 +130,13 @@ class Automaton:
         return found
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        self.lost.setdefault(u * self.size + v, rank)
-        if self.born[uv] == NEVER and self.left[uv] < 0:
-            self.left[uv], self.right[uv], self.born[uv] = u, v, rank
-            self._spell(uv, self.label[uv])
+        if not (self.live[u] and self.live[v] and self._has_arc(u, v)):
+            return  # no state has both arcs one after the other, so the merge never happens
+        if self.live[uv]:
+            raise ValueError("not supported: two merges that make one token")
+        self.lost[u * self.size + v] = rank
+        self.left[uv], self.right[uv], self.born[uv], self.live[uv] = u, v, rank, True
+        self._spell(uv, self.label[uv])
 
     def has_arc(self, state: int, arc: int) -> bool:
         """Whether the state that token `state` leads to has an arc `arc` after all gadgets."""

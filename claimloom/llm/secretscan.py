@@ -5,7 +5,7 @@ method looks at values in credential contexts (those names again, passphrase, pw
 key, client secret and others) and asks what guessing each would cost: a dynamic program splits the
 value into words, dates, repeats, keyboard walks, joins and brute-force spans at the least total
 cost (log10 of guesses). A value that costs at least THRESHOLD is a secret, or at least PHRASE if it
-is words and joins only, as placeholders and names are. Its span is added as kind `guess` unless it
+is words and joins but for REST characters, as placeholders and names are. Its span is added as kind `guess` unless it
 overlaps one of the patterns'.
 
 Words are the common passwords below, and the words of a public vocabulary file in its order, which
@@ -35,8 +35,9 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
 #: log10 of the guesses from which a value counts as secret.
 THRESHOLD = 8.0
-#: The same for values of words and joins only.
+#: The same for values of words and joins, but for REST characters at most.
 PHRASE = 15.0
+REST = 2
 
 _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -153,7 +154,8 @@ def guess_cost(v: str, path: str | None = None) -> tuple[float, list[tuple[str,
 def is_secret(v: str, threshold: float = THRESHOLD, phrase: float = PHRASE, path: str | None = None) -> bool:
     """Whether guessing v costs too much for it to be a name or a placeholder."""
     cost, parts = guess_cost(v, path)
-    return cost >= (phrase if all(kind in ("word", "join") for kind, *_ in parts) else threshold)
+    other = sum(e - s for kind, s, e in parts if kind not in ("word", "join"))
+    return cost >= (phrase if other <= REST else threshold)
 
 
 def base_spans(t: str) -> dict[str, list[tuple[int, int]]]:
