@@ -42,8 +42,8 @@ _SPLIT = regex.compile(SPLIT)
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
 #: Words that a worker keeps encoded, and arcs; beyond it the table starts anew, and results stay the same.
-CACHED_WORDS = 400_000
-CACHED_ARCS = 400_000
+CACHED_WORDS = 250_000
+CACHED_ARCS = 250_000
 LONGEST_CACHED = 64
 NEVER = 1 << 60
 
