@@ -193,7 +193,7 @@ def news_bundle(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     checked = news_errors(items)
     good = checked.where("error IS NULL")
     name = F.concat(F.lit("news-"), F.col("id").cast("string"))
-    documents = good.select(F.col("id").alias("bundle"), name.alias("document"), F.lit("external-news").alias("source_project"), "title", F.col("bodyText").alias("content"), F.col("url").alias("uri"), F.lit(False).alias("always"))
+    documents = good.select(F.col("id").alias("bundle"), name.alias("document"), F.lit("news").alias("source_project"), "title", F.col("bodyText").alias("content"), F.col("url").alias("uri"), F.lit(False).alias("always"))
     points = good.select(F.col("id").alias("bundle"), name.alias("document"), F.posexplode("keyPoints").alias("pos", "p"), "sentences")
     quote = F.get(F.filter("sentences", lambda s: s["index"] == F.get(F.col("p.evidence"), 0)), 0)["text"]
     number = F.col("pos").cast("string")
@@ -214,7 +214,7 @@ def gov_bundle(notices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     good = checked.where("error IS NULL")
     shown = F.coalesce(F.get(F.col("snapshots"), 0)["title"], F.col("title"))
     kinds = F.explode(F.array(F.struct(F.lit("gov-body").alias("document"), shown.alias("title"), F.col("body").alias("content")), F.struct(F.lit("gov-report").alias("document"), F.concat(F.lit("Analysis of "), shown).alias("title"), F.coalesce("preparation", F.lit("{}")).alias("content"))))
-    documents = good.select(F.col("id").alias("bundle"), kinds.alias("d")).select("bundle", "d.document", F.lit("govinsight").alias("source_project"), "d.title", "d.content", F.lit(None).cast("string").alias("uri"), F.lit(False).alias("always"))
+    documents = good.select(F.col("id").alias("bundle"), kinds.alias("d")).select("bundle", "d.document", F.lit("gov").alias("source_project"), "d.title", "d.content", F.lit(None).cast("string").alias("uri"), F.lit(False).alias("always"))
     found = route(good.select(F.col("id").alias("bundle"), F.posexplode("findings").alias("pos", "f")).select("bundle", "pos", "f.*"))
     number = (F.col("pos") + 1).cast("string")
     claims = found.select("bundle", F.when(F.col("modality") == "RECOMMENDATION", "gov-report").otherwise("gov-body").alias("document"), "pos", F.concat_ws(":", F.lit("gov"), F.col("bundle").cast("string"), number).alias("item_id"), F.concat(F.lit("g-c"), number).alias("ref"), "quote", "statement", "modality", "destination")
@@ -232,7 +232,7 @@ def workbook_bundle(workbooks: DataFrame, cells: DataFrame, columns: DataFrame,
     good = checked.where("error IS NULL").join(value(before, "was"), "workbook", "left").join(value(after, "now"), "workbook", "left")
     growth = growth_percent(F.col("now"), F.col("was")).cast("int")
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    documents = good.select(F.col("workbook").alias("bundle"), F.lit("excel-snapshot").alias("document"), F.lit("excel-agent").alias("source_project"), F.col("workbook").cast("string").alias("title"), F.concat(F.lit(f"{sheet}: {after}="), shown(F.col("now")), F.lit(f", {before}="), shown(F.col("was"))).alias("content"), F.lit(None).cast("string").alias("uri"), F.lit(True).alias("always"))
+    documents = good.select(F.col("workbook").alias("bundle"), F.lit("excel-snapshot").alias("document"), F.lit("excel").alias("source_project"), F.col("workbook").cast("string").alias("title"), F.concat(F.lit(f"{sheet}: {after}="), shown(F.col("now")), F.lit(f", {before}="), shown(F.col("was"))).alias("content"), F.lit(None).cast("string").alias("uri"), F.lit(True).alias("always"))
     rows = F.array(
         F.struct(F.lit(0).alias("pos"), F.lit("e-c1").alias("ref"), F.lit("FACT").alias("modality"), F.concat(F.lit(f"{path} is "), shown(F.col("now"))).alias("statement"), F.lit(f"{sheet}!{after}").alias("quote")),
         F.struct(F.lit(1).alias("pos"), F.lit("e-c2").alias("ref"), F.lit("DERIVED_FACT").alias("modality"), F.concat(F.lit(f"{path} grew by "), shown(growth), F.lit("%")).alias("statement"), F.lit(f"{sheet}!{before},{after}").alias("quote")),
