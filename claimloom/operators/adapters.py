@@ -266,13 +266,15 @@ def convert(kind: str, builders: dict[str, Callable[[DataFrame], DataFrame]], ex
 def period_gate(workbooks: DataFrame, cells: DataFrame, columns: DataFrame, sheet: str, address: str) -> DataFrame:
     """workbooks(workbook, schema_version) with `error`: another schema version, or a period found neither in a cell nor in the labels of its column.
 
-    cells: cell_index. columns(workbook, sheet, column, label): header labels.
+    cells: cell_index. columns(workbook, sheet, column, label): header labels. A null schema
+    version is another one.
     """
+    cell, head = fresh(workbooks, "in_cell"), fresh(workbooks, "in_head")
     letter = "".join(c for c in address if c.isalpha())
-    in_cell = cells.where((F.col("sheet") == sheet) & (F.col("address") == address) & F.col("value").isNotNull()).select("workbook").distinct().withColumn("_cell", F.lit(True))
-    in_head = columns.where((F.col("sheet") == sheet) & (F.col("column") == letter) & F.col("label").isNotNull()).select("workbook").distinct().withColumn("_head", F.lit(True))
+    in_cell = cells.where((F.col("sheet") == sheet) & (F.col("address") == address) & F.col("value").isNotNull()).select("workbook").distinct().withColumn(cell, F.lit(True))
+    in_head = columns.where((F.col("sheet") == sheet) & (F.col("column") == letter) & F.col("label").isNotNull()).select("workbook").distinct().withColumn(head, F.lit(True))
     out = workbooks.join(in_cell, "workbook", "left").join(in_head, "workbook", "left")
-    return out.withColumn("error", F.when(~F.col("schema_version").eqNullSafe("1.0"), "UNSUPPORTED_SCHEMA").when(F.coalesce("_cell", "_head").isNull(), "MISSING_PERIOD_REFERENCE")).drop("_cell", "_head")
+    return out.withColumn("error", F.when(~F.col("schema_version").eqNullSafe("1.0"), "UNSUPPORTED_SCHEMA").when(F.coalesce(cell, head).isNull(), "MISSING_PERIOD_REFERENCE")).drop(cell, head)
 
 
 def rename_entities(edges: DataFrame, renames: DataFrame) -> DataFrame:

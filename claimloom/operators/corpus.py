@@ -19,10 +19,15 @@ def row_key(prefix: str, *parts: Column) -> Column:
 
 
 def merge_candidates(rows: DataFrame, key: str, order: list[str], flags: list[str], row_id: str) -> DataFrame:
-    """One row per key: its first row by order, flags OR-ed, and how many rows were merged."""
+    """One row per key: its first row by order, flags OR-ed, and how many rows were merged, as `n_rows`.
+
+    Null keys are one key; a null flag counts as false unless all are null; repeated rows (of one
+    row_id) count once. If rows have a column n_rows, the new one gets a suffix of `_`.
+    """
+    whole, n_rows = fresh(rows, "first_row"), fresh(rows, "n_rows")
     first = F.min_by(F.struct(*[c for c in rows.columns if c not in (key, *flags)]), F.struct(*order))
-    out = rows.groupBy(key).agg(first.alias("first"), *[F.bool_or(f).alias(f) for f in flags], F.countDistinct(row_id).alias("n_rows"))
-    return out.select(key, "first.*", *flags, "n_rows")
+    out = rows.groupBy(key).agg(first.alias(whole), *[F.bool_or(f).alias(f) for f in flags], F.countDistinct(row_id).alias(n_rows))
+    return out.select(key, f"{whole}.*", *flags, n_rows)
 
 
 def merged_duplicates(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -36,18 +41,25 @@ def merged_duplicates(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def fair_order(rows: DataFrame, interval: str, host: str, tie: str) -> DataFrame:
-    """rows with round, turn: hosts of an interval take turns, and intervals take turns. Order by turn, then interval."""
-    return row_numbers(row_numbers(rows, [interval, host], [tie], "round"), [interval], ["round", host], "turn")
+    """rows with round, turn: hosts of an interval take turns, and intervals take turns. Order by turn, then interval.
+
+    Null hosts are one host, null intervals one interval. If rows have columns of these names, the
+    new ones get a suffix of `_`.
+    """
+    round_, turn = fresh(rows, "round"), fresh(rows, "turn")
+    return row_numbers(row_numbers(rows, [interval, host], [tie], round_), [interval], [round_, host], turn)
 
 
 def interleave(rows: DataFrame, key: str, groups: str, pos: str, names: list[str]) -> DataFrame:
     """rows(key, groups array, pos) with `slot`, `lane`: the first of each group, then the second of each, a row at its first place; rows of no group last (null).
 
-    Order by slot and lane, nulls last, then pos.
+    Order by slot and lane, nulls last, then pos. Keys are unique. If rows have columns of these
+    names, the new ones get a suffix of `_`.
     """
+    slot_, lane_ = fresh(rows, "slot"), fresh(rows, "lane")
     lane = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("g"))
     picks = row_numbers(rows.select(F.col(key).alias("k"), F.col(pos).alias("p"), F.explode(groups).alias("g")), ["g"], ["p"], "slot").withColumn("lane", lane)
-    best = picks.groupBy(F.col("k").alias(key)).agg(F.min(F.struct("slot", "lane")).alias("b")).select(key, "b.slot", "b.lane")
+    best = picks.groupBy(F.col("k").alias(key)).agg(F.min(F.struct("slot", "lane")).alias("best_of_row")).select(key, F.col("best_of_row.slot").alias(slot_), F.col("best_of_row.lane").alias(lane_))
     return rows.join(best, key, "left")
 
 
@@ -69,7 +81,8 @@ def drop_duplicates_in_order(rows: DataFrame, first_key: str, second_key: str, o
     """rows with `status`. In order, a row is DUPLICATE_URL if a selected row before it has its first key, else DUPLICATE_BODY if a selected row before it has its second key, else SELECTED.
 
     A key counts as seen only through rows that were selected. No two rows are equal in order;
-    null keys are equal; an empty table gives an empty result.
+    null keys are equal; an empty table gives an empty result. If rows have a column status, the
+    new one gets a suffix of `_`.
     """
     pos = F.struct(*order)
     keys = rows.select(F.lit(0).alias("run"), pos.alias("pos"), F.col(first_key).alias("url_key"), F.col(second_key).alias("body_key"))
@@ -81,7 +94,7 @@ def drop_duplicates_in_order(rows: DataFrame, first_key: str, second_key: str, o
         out = out.join(c, out[column].eqNullSafe(c[names[2]]), "left").drop(names[2])
     url, body = F.col(names[0]), F.col(names[1])
     status = F.when(url == pos, "SELECTED").when(url < pos, "DUPLICATE_URL").otherwise("DUPLICATE_BODY")
-    return out.withColumn("status", status).drop(names[0], names[1])
+    return out.withColumn(fresh(rows, "status"), status).drop(names[0], names[1])
 
 
 def _same(a: DataFrame, b: DataFrame, columns: dict[str, str]) -> Column:
@@ -176,15 +189,15 @@ def salted(salt: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(salt + ":"), key), 256)
 
 
-def _lowest(rows: DataFrame, column: str, key: str, n: int) -> DataFrame:
-    """The n rows of each group with the lowest (hash, key), with their place `_n`.
+def _lowest(rows: DataFrame, column: str, order: list[str], n: int, place: str) -> DataFrame:
+    """The n rows of each group that are lowest in order (hash, key), with their place.
 
     Groups are cut in a number of parts first, and each part to its n lowest, so that no task
     sorts a whole group.
     """
-    parts = F.pmod(F.xxhash64(key), F.lit(64))
-    near = rows.withColumn("_part", parts).withColumn("_n", F.row_number().over(Window.partitionBy(column, "_part").orderBy("hash", key))).where(F.col("_n") <= n).drop("_part")
-    return near.withColumn("_n", F.row_number().over(Window.partitionBy(column).orderBy("hash", key))).where(F.col("_n") <= n)
+    part = fresh(rows, "part")
+    near = rows.withColumn(part, F.pmod(F.xxhash64(order[-1]), F.lit(64))).withColumn(place, F.row_number().over(Window.partitionBy(column, part).orderBy(*order))).where(F.col(place) <= n).drop(part)
+    return near.withColumn(place, F.row_number().over(Window.partitionBy(column).orderBy(*order))).where(F.col(place) <= n)
 
 
 def strata_sample(rows: DataFrame, key: str, strata: list[tuple[str, int | None, list | None]], size: int, salt: str, short: bool = False) -> DataFrame:
@@ -194,44 +207,48 @@ def strata_sample(rows: DataFrame, key: str, strata: list[tuple[str, int | None,
     up to the minimum by its lowest hashes; rows taken earlier count. Minimum null takes the whole
     group. values, if given, are the groups there must be. It is an error if a group has too few
     rows (unless `short`), if the minima need more than `size` rows, or if there are fewer than
-    `size` rows (unless `short`). Keys are unique.
+    `size` rows (unless `short`). Keys are unique and not null. If rows have columns hash or
+    picked, the new ones get a suffix of `_`.
     """
-    base = rows.withColumn("hash", salted(salt, F.col(key).cast("string")))
-    chosen = base.where(F.lit(False)).withColumn("picked", F.lit(None).cast("string"))
+    hash_, picked, place, group, present_n = (fresh(rows, x) for x in ("hash", "picked", "place", "group", "present"))
+    order = [hash_, key]
+    base = rows.withColumn(hash_, salted(salt, F.col(key).cast("string")))
+    chosen = base.where(F.lit(False)).withColumn(picked, F.lit(None).cast("string"))
     n = 0
     for column, minimum, values in strata:
         inside = F.col(column).isNotNull() & (F.col(column).isin(values) if values is not None else F.lit(True))
         left = base.join(chosen.select(key), key, "left_anti").where(inside)
-        present = chosen.where(inside).groupBy(F.col(column).alias("_group")).agg(F.count("*").alias("_present"))
+        present = chosen.where(inside).groupBy(F.col(column).alias(group)).agg(F.count("*").alias(present_n))
         if minimum is not None:
-            left = _lowest(left, column, key, minimum)
-            left = left.join(present, F.col(column) == F.col("_group"), "left").where(F.col("_n") <= minimum - F.coalesce("_present", F.lit(0)))
+            left = _lowest(left, column, order, minimum, place)
+            left = left.join(present, F.col(column) == F.col(group), "left").where(F.col(place) <= minimum - F.coalesce(present_n, F.lit(0)))
         # One row more than fits is enough to see that they don't.
-        more = materialize(left.select(*base.columns, F.lit(column).alias("picked")).limit(size - n + 1), "stratum")
+        more = materialize(left.select(*base.columns, F.lit(column).alias(picked)).limit(size - n + 1), "stratum")
         n += more.count()
         if n > size:
             raise ValueError(f"the strata up to {column} need more than {size} rows")
         chosen = materialize(chosen.unionByName(more), "strata")
         if minimum is not None and not short:
-            found = chosen.where(inside).groupBy(column).agg(F.count("*").alias("n"))
+            found = chosen.where(inside).groupBy(column).agg(F.count("*").alias(present_n))
             groups = base.where(inside).select(column).distinct()
             if values is not None:
                 groups = base.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` {rows.schema[column].dataType.simpleString()}")
-            lacking = groups.join(found, column, "left").where(F.coalesce("n", F.lit(0)) < minimum).select(column).first()
+            lacking = groups.join(found, column, "left").where(F.coalesce(present_n, F.lit(0)) < minimum).select(column).first()
             if lacking:
                 raise ValueError(f"stratum {column}={lacking[0]} has fewer than {minimum} rows")
-    fill = base.join(chosen.select(key), key, "left_anti").withColumn("picked", F.lit("fill")).orderBy("hash", key).limit(size - n)
+    fill = base.join(chosen.select(key), key, "left_anti").withColumn(picked, F.lit("fill")).orderBy(*order).limit(size - n)
     out = materialize(chosen.unionByName(fill), "sample")
     if not short and (found := out.count()) < size:
         raise ValueError(f"a sample of {size} rows needs as many, found {found}")
-    return out.orderBy("hash", key)
+    return out.orderBy(*order)
 
 
 def stratified_sample(rows: DataFrame, key: str, stratum: str, per_stratum: int, size: int, salt: str) -> DataFrame:
     """strata_sample of one column, a null a stratum as well: strata with fewer rows give all they have, and too many strata for `size` are an error."""
-    filled = rows.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")))
-    out = strata_sample(filled, key, [("_stratum", per_stratum, None)], size, salt, short=True)
-    return out.withColumn("picked", F.when(F.col("picked") == "_stratum", "stratum").otherwise("fill")).drop("_stratum")
+    name, picked = fresh(rows, "stratum_of"), fresh(rows, "picked")
+    filled = rows.withColumn(name, F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")))
+    out = strata_sample(filled, key, [(name, per_stratum, None)], size, salt, short=True)
+    return out.withColumn(picked, F.when(F.col(picked) == name, "stratum").otherwise("fill")).drop(name)
 
 
 def latest_records(log: DataFrame, key: str, ordinal: str) -> DataFrame:

@@ -117,11 +117,12 @@ def attribute_claims(entities: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def union_evidence(stored: DataFrame, added: DataFrame) -> DataFrame:
-    """(id, claim_ids, affected): the sorted union of a row's claims and added(id, claim_id); affected where it grew. Null counts as none."""
+    """(id, claim_ids, affected): the sorted union of a row's claims and added(id, claim_id); affected where it grew. Null counts as none; repeated pairs count once."""
     none = F.array().cast("array<bigint>")
-    new = added.groupBy("id").agg(F.collect_set("claim_id").alias("new_ids"))
+    new_ids = fresh(stored, "new_ids")
+    new = added.groupBy("id").agg(F.collect_set("claim_id").alias(new_ids))
     old = F.array_sort(F.array_distinct(F.coalesce("claim_ids", none)))
-    merged = F.array_sort(F.array_union(F.coalesce("claim_ids", none), F.coalesce("new_ids", none)))
+    merged = F.array_sort(F.array_union(F.coalesce("claim_ids", none), F.coalesce(new_ids, none)))
     return stored.join(new, "id", "left").select(*[c for c in stored.columns if c != "claim_ids"], merged.alias("claim_ids"), (merged != old).alias("affected"))
 
 

@@ -10,6 +10,7 @@ batch changes nothing. Null lists of a payload count as empty. `seq` is unique i
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -223,6 +224,7 @@ def process(payloads: DataFrame, stored: dict[str, DataFrame], most_documents: i
     results = payloads.select("seq").join(rejected, "seq", "left").join(of_seq, "seq", "left").join(primary, "seq", "left").select("seq", F.col("reason").isNull().alias("accepted"), "reason", "document_id", "primary_node_id")
     seen = found.agg(F.count_if(F.col("claim_id").isNull()).alias("claims_created"), (F.sum("n_incoming") - F.count_if(F.col("claim_id").isNull())).alias("claims_reused"))
     one = lambda df, column: df.agg(F.count("*").alias(column))
-    counters = one(made, "documents_created").crossJoin(seen).crossJoin(one(made_nodes, "nodes_created")).crossJoin(one(made_edges, "edges_created"))  # one row each
-    counters = counters.select("documents_created", "claims_created", F.coalesce("claims_reused", F.lit(0)).alias("claims_reused"), "nodes_created", "edges_created")
+    parts = [one(made, "documents_created"), seen, one(made_nodes, "nodes_created"), one(made_edges, "edges_created")]
+    names = ["documents_created", "claims_created", "claims_reused", "nodes_created", "edges_created"]
+    counters = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
     return Outcome(tables, changes, results, final.where("changed").select("id"), counters)

@@ -402,3 +402,28 @@ def test_period_gate_and_catalog(spark):
     text = catalog.describe(tables)
     assert catalog.drifted(tables, text) == []
     assert catalog.drifted({"books": heads.schema, "cells": cells.schema}, text) == ["books"]
+
+
+def test_columns_of_the_input_with_helpers_names_stay(spark):
+    """Names that an operator uses itself, or gives its result, neither clash with the input's nor replace them."""
+    t = spark.createDataFrame([(k, f"h{k % 2}", "i", f"own{k}") for k in range(6)], "id long, host string, interval string, x string")
+    every = ("first_row", "n_rows", "round", "turn", "slot", "lane", "status", "hash", "picked", "place", "group", "present", "part", "stratum_of", "of", "n", "span", "before")
+    t = t.select("*", *[F.col("x").alias(c) for c in every])
+
+    def kept(df):
+        assert [tuple(r) for r in df.select("id", *every).distinct().orderBy("id").collect()] == [(r["id"], *[f"own{r['id']}"] * len(every)) for r in df.select("id").distinct().orderBy("id").collect()]
+        return df
+
+    merged = kept(corpus.merge_candidates(t.withColumn("flag", F.col("id") == 0), "host", ["id"], ["flag"], "id"))
+    assert rows(merged, "host", "id", "flag", "n_rows_") == [("h0", 0, True, 3), ("h1", 1, False, 3)]
+    fair = kept(corpus.fair_order(t, "interval", "host", "id"))
+    assert [r["id"] for r in fair.orderBy("turn_").collect()] == [0, 1, 2, 3, 4, 5] and rows(fair.where("id < 3"), "id", "round_") == [(0, 1), (1, 1), (2, 2)]
+    lanes = kept(corpus.interleave(t.withColumn("groups", F.array("host")), "id", "groups", "id", ["h0", "h1"]))
+    assert rows(lanes.where("id > 3"), "id", "slot_", "lane_") == [(4, 3, 1), (5, 3, 2)]
+    unique = kept(corpus.drop_duplicates_in_order(t, "host", "x", ["id"]))
+    assert rows(unique, "id", "status_") == [(0, "SELECTED"), (1, "SELECTED")] + [(k, "DUPLICATE_URL") for k in range(2, 6)]
+    plain = corpus.stratified_sample(t.select("id", "host"), "id", "host", 1, 4, "salt")
+    sample = kept(corpus.stratified_sample(t, "id", "host", 1, 4, "salt"))
+    assert rows(sample, "id", "hash_", "picked_") == rows(plain, "id", "hash", "picked") and sample.where("picked_ = 'stratum'").count() == 2
+    strata = kept(corpus.strata_sample(t, "id", [("host", 2, ["h0", "h1"])], 5, "salt"))
+    assert rows(strata.groupBy("picked_").count(), "picked_", "count") == [("fill", 1), ("host", 4)]
