@@ -39,11 +39,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back; lost executors then cost no recomputation."""
+def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder and read it back: the table and its place, for drop_table."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; lost executors then cost no recomputation."""
+    return write_table(df, label)[0]
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no result reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
