@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.operators.order import fresh
-from claimloom.plans.scratch import materialize, release, scratch_path, shared_folder
+from claimloom.plans.scratch import drop_table, materialize, release, scratch_path, shared_folder, write_table
 
-__all__ = ["arrow_column", "bound_batches", "filter_bits", "fresh", "id_filter", "materialize", "release", "scratch_path", "shared_folder", "text_bytes"]
+__all__ = ["arrow_column", "bound_batches", "drop_table", "filter_bits", "fresh", "id_filter", "materialize", "release", "scratch_path", "shared_folder", "text_bytes", "write_table"]
 
 
 #: Most bytes of rows that go to a Python worker at once.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimloom.llm import bpe, language, mixing, neardup, neighbours, pii, quality, secretscan, sharding, substring
+from claimloom.llm import bpe, language, mixing, neardup, neighbours, pieces, pii, quality, secretscan, sharding, substring, turntrie, vectorcodes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +168,92 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS b FROM r GRO
 """
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turntrie.nodes(turntrie.rebuilt(conversations))
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+x AS (SELECT conv_id, i, md5(length(role)::VARCHAR || ':' || role || text) AS k, strlen(text)::BIGINT AS b FROM t),
+o AS (SELECT DISTINCT conv_id, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda y: [ord(y)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS s FROM x),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+             xor(list_reduce(list_prepend(4294967295, s), lambda y, z: CASE WHEN z < 0 THEN xor(y >> 1, (y & 1) * 3988292384) ELSE xor(y, z) END), 4294967295) % 9 AS h FROM o),
+r AS (
+  SELECT c.conv_id, x.i, x.k, x.b FROM c JOIN x ON x.conv_id = c.base AND x.i <= c.h
+  UNION ALL SELECT c.conv_id, x.i, x.k, x.b FROM c JOIN x ON x.conv_id = c.conv_id AND x.i > c.h),
+s AS (SELECT c.conv_id, coalesce(list(r.k ORDER BY r.i) FILTER (WHERE r.k IS NOT NULL), []) AS k, coalesce(list(r.b ORDER BY r.i) FILTER (WHERE r.b IS NOT NULL), []) AS b
+      FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY 1),
+p AS MATERIALIZED (
+  SELECT conv_id, d, md5(array_to_string(k[1:d], '')) AS node, md5(array_to_string(k[1:d - 1], '')) AS up, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS b, d = len(k) AS last
+  FROM (SELECT conv_id, k, b, unnest(range(0, len(k) + 1)) AS d FROM s)),
+n AS MATERIALIZED (
+  SELECT d, node, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n, max(b) AS b,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends
+  FROM p GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, up AS node, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids ON kids.d = n.d AND kids.node = n.node),
+u AS (SELECT p.d, p.node, count(*) FILTER (WHERE m.kids = 0) AS leaves, sum((m.n - 1) * m.b) AS saved
+      FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d GROUP BY 1, 2)
+SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n::BIGINT AS n_convs, m.kids::BIGINT AS n_children,
+       u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN u ON u.d = m.d AND u.node = m.node LEFT JOIN n q ON q.d = m.d - 1 AND q.node = m.up
+"""
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    r = docs.select("doc_id", pieces.round_trip(docs["text"], pieces.model_path()).alias("r"))
+    return r.select(
+        "doc_id",
+        F.size("r.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("r.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("r.decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vectorcodes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = vectorcodes.with_label_errors(codes)
+    return rows.select(F.col("id").alias("vec_id"), vectorcodes.hex_code(F.col("code")).alias("code"), "error", "label_error", F.lit(codes.codebooks_sha256()).alias("codebooks_sha256"))
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    """Each round: the nearest entry of every part, then the entries' means (floored)."""
+    steps = """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q, len(embedding) // 8 AS s
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS MATERIALIZED (SELECT vec_id, label, i AS part, q[i * s + 1:(i + 1) * s] AS x FROM (SELECT *, unnest(range(0, 8)) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p QUALIFY e < 16),
+"""
+    for r in range(rounds + 1):
+        steps += f"""
+a{r} AS MATERIALIZED (
+  SELECT p.vec_id, p.part, any_value(p.label) AS label, any_value(p.x) AS x,
+         min(list_sum(list_transform(range(1, len(p.x) + 1), lambda k: (p.x[k] - b.x[k]) * (p.x[k] - b.x[k])))::BIGINT * 16 + b.e) AS m
+  FROM p JOIN b{r} b ON b.part = p.part GROUP BY 1, 2),
+"""
+        if r < rounds:
+            steps += f"""
+c{r} AS (SELECT part, e, k, sum(v) AS s, count(*) AS n FROM (SELECT part, m % 16 AS e, unnest(range(0, len(x))) AS k, unnest(x) AS v FROM a{r}) GROUP BY 1, 2, 3),
+b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.e, coalesce(y.x, b.x) AS x FROM b{r} b LEFT JOIN (
+    SELECT part, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS x FROM c{r} GROUP BY 1, 2) y ON y.part = b.part AND y.e = b.e),
+"""
+    return f"""{steps}
+r AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, sum(m // 16)::BIGINT AS error FROM a{rounds} GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, h
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -179,6 +265,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_neighbours": op9_neighbours,
     "op10_neardup": op10_neardup,
+    "op11_turn_trie": op11_turn_trie,
+    "op12_pieces": op12_pieces,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -188,4 +277,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op6_passages": OP6_SQL, "op7_mixing": OP7_SQL, "op10_neardup": OP10_SQL}
+    return {"op2_quality": OP2_SQL, "op6_passages": OP6_SQL, "op7_mixing": OP7_SQL, "op10_neardup": OP10_SQL, "op11_turn_trie": OP11_SQL, "op13_vector_codes": OP13_SQL}
