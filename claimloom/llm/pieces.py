@@ -47,8 +47,8 @@ PIECES, TRAINER, NORMALIZER = 1, 2, 3
 MODEL_TYPE, SUFFIX_MARK, BYTE_FALLBACK, UNK_ID, EOS_ID = 3, 24, 35, 40, 42
 CHARS_MAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE = 2, 3, 4, 5
 BPE = 2
-#: Words and pairs of pieces that a worker keeps; beyond it the table starts anew, and results stay the same.
-CACHED_WORDS = 200_000
+#: Words that a worker keeps, twice: when the table is full it becomes the older one, and words that are met again move from there. Pairs of pieces that it keeps before it starts anew. Results stay the same.
+CACHED_WORDS = 250_000
 CACHED_PAIRS = 500_000
 LONGEST_CACHED = 64
 
@@ -125,6 +125,8 @@ class Pieces:
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bytes_of = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([self.byte_of[i]]) if k == BYTE else s.replace(MARK, " ").encode() for i, (k, s) in enumerate(zip(self.kinds, self.spelled, strict=True))]
 
     def ids_of_kind(self, kind: int) -> dict[str, int]:
         return {s: i for i, s in enumerate(self.spelled) if self.kinds[i] == kind}
@@ -168,6 +170,8 @@ class Pieces:
     def encode_known(self, word: str, longest: list[int]) -> list[int]:
         """Pieces of a text whose every character is a piece; longest has the longest piece at each place."""
         n, length, shorter, pairs, size = len(word), self.length, self.shorter, self.pairs, self.size
+        if length[longest[0]] == n and self.is_result(longest[0]):
+            return [longest[0]]
         path: list[int] = []
         failed = bytearray((n >> 3) + 1)
         at, last, piece = 0, -1, longest[0]
@@ -212,22 +216,32 @@ class Pieces:
         return out
 
     def _encoded(self, word: str) -> bytes:
-        ids = array("i", self.encode_word(word)).tobytes()
+        ids = self.older.get(word) or array("i", self.encode_word(word)).tobytes()
         if len(word) <= LONGEST_CACHED:
             if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
+                self.older, self.words = self.words, {}
             self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a text and the end id, as 32-bit integers."""
-        known, encoded = self.words.get, self._encoded
         marked = MARK + text.replace(" ", MARK) if text else ""
         words = self.cut.findall(marked) if self.cut else [marked] if marked else []
-        return b"".join([known(w) or encoded(w) for w in words]) + array("i", [self.end_id]).tobytes()
+        out = [self.words.get(w) or self._encoded(w) for w in words]
+        return b"".join(out) + array("i", [self.end_id]).tobytes()
 
     def decode(self, ids) -> str:
         """The text that ids stand for."""
+        first = next((i for i in ids if self.kinds[i] != CONTROL), None)
+        if first is None:
+            return ""
+        try:  # bytes that are UTF-8 in all are so in each of their runs
+            text = b"".join(map(self.bytes_of.__getitem__, ids)).decode()
+            return text[1:] if self.spelled[first].startswith(MARK) else text
+        except UnicodeDecodeError:
+            return self._decode_odd(ids)
+
+    def _decode_odd(self, ids) -> str:
         out: list[str] = []
         held = bytearray()
         at_start = True
@@ -244,7 +258,7 @@ class Pieces:
             if kind == CONTROL:
                 continue
             if kind == UNKNOWN:
-                s = " ⁇ "
+                s = " ⁇ "  # as the library shows it
             elif at_start and s.startswith(MARK):
                 s = s[1:]
             at_start = False
