@@ -147,11 +147,17 @@ def script_counts(text: Column, script: str) -> tuple[Column, Column, Column]:
     return own, letters, F.round(F.coalesce(F.try_divide(own, letters), F.lit(0.0)), 6)
 
 
+#: A date and a time with a zone: with separators or compact, any character between date and time.
+_INSTANT = r"(?s)^(\d{4})(-?)(\d{2})\2(\d{2}).(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(?:([+-]\d{2})(?::?(\d{2})(?::?\d{2})?)?|Z)$"
+
+
 def published_at(raw: Column) -> tuple[Column, Column]:
-    """(UTC timestamp, precision): a date gives DAY, a time with a zone INSTANT, anything else null."""
+    """(UTC timestamp, precision) of a text without white space around it: a date with dashes gives DAY, an ISO 8601 date (not a week date) and time with a zone INSTANT, anything else null. Seconds of a zone are left out."""
+    raw = strip(raw)
     day = raw.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    zoned = raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ].*(Z|[+-]\d{2}:?\d{2})$")
-    value = F.when(day | zoned, F.try_to_timestamp(raw))
+    part = lambda k, none: F.coalesce(F.nullif(F.regexp_extract(raw, _INSTANT, k), F.lit("")), F.lit(none))
+    iso = F.concat(part(1, ""), F.lit("-"), part(3, ""), F.lit("-"), part(4, ""), F.lit("T"), part(5, ""), F.lit(":"), part(7, "00"), F.lit(":"), part(8, "00"), F.lit("."), part(9, "0"), part(10, "+00"), F.lit(":"), part(11, "00"))
+    value = F.when(day, F.try_to_timestamp(raw)).when(raw.rlike(_INSTANT), F.try_to_timestamp(iso))
     return value, F.when(value.isNotNull() & day, "DAY").when(value.isNotNull(), "INSTANT")
 
 

@@ -120,18 +120,24 @@ def producer_of(source: Column) -> Column:
 def effective_items(items: DataFrame, needs: DataFrame) -> DataFrame:
     """Ids of items(id, enabled, blocked) that are on: enabled, not blocked, and all they need, needs(id, parent), is on.
 
-    A round turns off the items that need one that the round before turned off, and carries only
-    these. Rounds are as many as the longest chain. Items that need themselves, or each other in a
-    ring, stay on; a parent that is no item is off.
+    Starts with the items that need nothing. A round counts, for the items that need one that the
+    round before turned on, how many of their needs are met, and turns on those that lack none; it
+    carries the newly turned on and the partly met only. Rounds are as many as the longest chain.
+    Items that need themselves, or each other in a ring, stay off, and so does what needs a parent
+    that is no item. Repeated needs count once.
     """
-    wanted = materialize(items.where("enabled AND NOT blocked").select("id").distinct(), "effective")
-    lost = materialize(needs.join(wanted.withColumnRenamed("id", "parent"), "parent", "left_anti").select("id").distinct().join(wanted, "id", "left_semi"), "lost")
-    off = lost
-    while not lost.isEmpty():
-        lost = needs.join(lost.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct().join(wanted, "id", "left_semi").join(off, "id", "left_anti")
-        lost = materialize(lost, "lost")
-        off = off.unionByName(lost)
-    return wanted.join(off, "id", "left_anti")
+    wanted = materialize(items.where("enabled AND NOT blocked").select("id").distinct(), "effective-wanted")
+    links = materialize(needs.select("id", "parent").distinct().join(wanted, "id", "left_semi"), "effective-needs")
+    open_needs = materialize(links.groupBy("id").agg(F.count("*").alias("n")), "effective-counts")
+    new = materialize(wanted.join(open_needs, "id", "left_anti"), "effective")
+    on, partly = new, open_needs.where("false").select("id", F.col("n").alias("met"))
+    while not new.isEmpty():
+        met = links.join(new.withColumnRenamed("id", "parent"), "parent", "left_semi").groupBy("id").agg(F.count("*").alias("met"))
+        counted = met.unionByName(partly).groupBy("id").agg(F.sum("met").alias("met")).join(open_needs, "id")
+        counted = materialize(counted, "effective-counted")
+        new, partly = counted.where("met = n").select("id"), counted.where("met < n").select("id", "met")
+        on = on.unionByName(new)
+    return on
 
 
 def suppressed_items(items: DataFrame, needs: DataFrame) -> DataFrame:

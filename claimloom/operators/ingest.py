@@ -18,7 +18,11 @@ DEFAULT_CLASSIFICATION, DEFAULT_RELATION = "GENERAL", "RELATED_TO"
 
 def allocate_ids(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
     """new with ids after the largest stored one, in order."""
-    top = stored.agg(F.max("id")).first()[0] or 0
+    return ids_after(new, stored.agg(F.max("id")).first()[0] or 0, order)
+
+
+def ids_after(new: DataFrame, top: int, order: list[str]) -> DataFrame:
+    """new with ids after top, in order."""
     nth = fresh(new, "nth")
     return row_numbers(new, [], order, nth).withColumn("id", F.col(nth) + F.lit(top)).drop(nth)
 
@@ -36,11 +40,20 @@ def document_key(uri: Column, title: Column, content: Column) -> Column:
     return F.when(some(uri), F.concat(F.lit("u:"), uri)).when(some(title) & some(content), F.concat(F.lit("c:"), F.sha2(F.concat_ws("\x1f", title, content), 256))).otherwise(F.concat(F.lit("t:"), F.coalesce(title, F.lit(""))))
 
 
+def stored_keys() -> Column:
+    """All keys by which a stored document (title, normalized_content, source_uri) may be meant."""
+    return F.array(F.concat(F.lit("u:"), "source_uri"), F.concat(F.lit("c:"), F.sha2(F.concat_ws("\x1f", "title", "normalized_content"), 256)), F.concat(F.lit("t:"), "title"))
+
+
+def payload_title() -> Column:
+    """A payload's title, or one that names its project."""
+    return F.when(F.coalesce("document_title", F.lit("")) != "", F.col("document_title")).otherwise(F.concat(F.lit("External Document ("), F.col("source_project"), F.lit(")")))
+
+
 def match_documents(payloads: DataFrame, stored: DataFrame) -> DataFrame:
     """(seq, document_id): the newest stored document of each payload, or null. Payloads have source_project, document_title, document_content, document_uri."""
-    title = F.when(F.coalesce("document_title", F.lit("")) != "", F.col("document_title")).otherwise(F.concat(F.lit("External Document ("), F.col("source_project"), F.lit(")")))
-    wanted = payloads.select("seq", document_key(F.col("document_uri"), title, F.col("document_content")).alias("key"))
-    keys = F.explode(F.array(F.concat(F.lit("u:"), "source_uri"), F.concat(F.lit("c:"), F.sha2(F.concat_ws("\x1f", "title", "normalized_content"), 256)), F.concat(F.lit("t:"), "title")))
+    wanted = payloads.select("seq", document_key(F.col("document_uri"), payload_title(), F.col("document_content")).alias("key"))
+    keys = F.explode(stored_keys())
     newest = stored.select("id", keys.alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.max("id").alias("document_id"))
     return wanted.join(newest, "key", "left").select("seq", "key", "document_id")
 
@@ -94,8 +107,8 @@ MERGED = ("reports", "metrics")
 def merge_properties(patches: DataFrame) -> DataFrame:
     """(node_id, group, key, value) from patches(node_id, group, key, value, seq, pos), stored ones with the least seq.
 
-    Within a group of MERGED the last value of a key wins, elsewhere the first. Null values never
-    create or replace a key.
+    Within a group of MERGED the last value of a key wins, also the JSON text null, elsewhere the
+    first. A value that is null itself says nothing of its key.
     """
     order = F.struct("seq", "pos")
     live = patches.where("value IS NOT NULL")

@@ -1,5 +1,10 @@
 """The whole write path: a batch of payloads folded into the graph's tables at once.
 
+The batch's keys (documents, claims, names, ends of relations, pairs of evidence) are collected
+first, and the stored graph is asked for these alone (`stored.Stored`); nothing else of it is joined,
+and only what is new or changed comes out. `fold_into` does so against a bucketed ledger, where the
+work follows the batch and not the store; `process` against plain tables.
+
 A payload is a document with quoted claims, entities and relations. Replays change nothing. A
 payload with a relation that lacks an end, or over a limit, is rejected as a whole; others of the
 batch stay. Later payloads of a batch (by `seq`) see what earlier accepted ones bring. All
@@ -17,7 +22,9 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import RELATION_NAMES, normalized_code, quote_offsets, strip
 from claimloom.operators import ingest
+from claimloom.operators.stored import CLAIM_KEY, EDGE, EDGE_KEY, NODE, NODE_COLUMNS, Frames, GraphLedger, Slices, Stored, part_of
 from claimloom.plans.scratch import materialize
+from claimloom.sources.ledger import Conflict
 
 PAYLOAD = (
     "seq bigint, source_project string, document_title string, document_content string, document_uri string, "
@@ -51,6 +58,31 @@ class Outcome:
     counters: DataFrame
 
 
+@dataclass
+class Delta:
+    """What a batch makes of a stored graph: new documents, claims, edges, links and codes; nodes that are new or whose own columns change, with `made`; and what Outcome says of results, affected and counters."""
+
+    documents: DataFrame
+    document_keys: DataFrame
+    document_sizes: DataFrame
+    claims: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    evidence: DataFrame
+    classifications: DataFrame
+    relations: DataFrame
+    results: DataFrame
+    affected: DataFrame
+    counters: DataFrame
+
+
+@dataclass
+class Known:
+    """What is stored of a batch's keys: keys(seq, key, found_id) of its payloads, claims by key, nodes by name or id."""
+
+    keys: DataFrame
+    claims: DataFrame
+    nodes: DataFrame
 
 
 def _refs(one: Column, many: Column) -> Column:
@@ -69,6 +101,21 @@ def _exploded(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, claims
 
 
+def known_of(payloads: DataFrame, stored: Stored) -> Known:
+    """The stored rows that a batch can touch."""
+    nodes, edges, claims = _exploded(payloads)
+    key = ingest.document_key(F.col("document_uri"), ingest.payload_title(), F.col("document_content"))
+    keyed = materialize(payloads.select("seq", key.alias("key")), "intake-keys")
+    keys = keyed.join(stored.documents_by_key(keyed.select("key").distinct()), "key", "left").select("seq", "key", F.col("document_id").alias("found_id"))
+    keys = materialize(keys, "intake-keys")
+    of_stored = ingest.claim_key(claims.join(keys.where("found_id IS NOT NULL").select("seq", F.col("found_id").alias("document_id")), "seq"))
+    found = materialize(stored.claims_by_key(of_stored.select(*CLAIM_KEY).distinct()), "intake-known-claims")
+    ends = edges.select(F.explode(F.array(strip(F.col("source_name")), strip(F.col("target_name")))).alias("name"))
+    names = materialize(nodes.select("name").unionByName(ends).where("name IS NOT NULL").distinct(), "intake-names")
+    ids = nodes.where("existing_node_id IS NOT NULL").select(F.col("existing_node_id").alias("id")).distinct()
+    return Known(keys, found, materialize(stored.nodes_named(names, ids), "intake-known-nodes"))
+
+
 def _unresolved(edges: DataFrame, nodes: DataFrame, stored: DataFrame, accepted: DataFrame) -> DataFrame:
     """(seq, reason) of accepted payloads with an end that is no reference or name of theirs, no stored name, and no name of an earlier accepted payload."""
     own = nodes.join(accepted, "seq", "left_semi")
@@ -85,140 +132,147 @@ def _unresolved(edges: DataFrame, nodes: DataFrame, stored: DataFrame, accepted:
     return out.where("NOT (source_ok AND target_ok)").groupBy("seq").agg(F.min_by(F.concat(F.lit("unresolved end of "), "relation", F.lit(": "), missing), "pos").alias("reason"))
 
 
-def _over_claims(keyed: DataFrame, claims: DataFrame, stored: dict[str, DataFrame], accepted: DataFrame, most: int | None) -> DataFrame:
+def _over_claims(known: Known, claims: DataFrame, counts: DataFrame, accepted: DataFrame, most: int) -> DataFrame:
     """(seq, reason) of the first accepted payload of each document that gets more claims than `most`."""
-    live = keyed.join(accepted, "seq", "left_semi")
-    if most is None:
-        return live.where("false").select("seq", F.lit("").alias("reason"))
-    new = ingest.claim_key(claims.join(live, "seq").withColumn("document_id", F.col("key")))
-    old = stored["claims"].groupBy("document_id").agg(F.count("*").alias("n_old"))
-    have = stored["claims"].select(F.col("document_id").alias("stored_id"), "quote_text", "statement").distinct()
-    unknown = new.withColumn("stored_id", F.col("found_id")).join(have, ["stored_id", "quote_text", "statement"], "left_anti")
+    live = known.keys.join(accepted, "seq", "left_semi")
+    new = ingest.claim_key(claims.join(live, "seq").withColumn("document_id", F.col("found_id")))
+    unknown = new.join(known.claims, CLAIM_KEY, "left_anti")
     first = unknown.groupBy("key", "found_id", "quote_text", "statement").agg(F.min("seq").alias("seq"))
     per = first.groupBy("key", "found_id", "seq").agg(F.count("*").alias("n"))
-    so_far = per.withColumn("n", F.sum("n").over(Window.partitionBy("key").orderBy("seq"))).join(old.withColumnRenamed("document_id", "found_id"), "found_id", "left")
+    so_far = per.withColumn("n", F.sum("n").over(Window.partitionBy("key").orderBy("seq"))).join(counts.withColumnRenamed("document_id", "found_id"), "found_id", "left")
     beyond = so_far.where(F.col("n") + F.coalesce("n_old", F.lit(0)) > most).groupBy("key").agg(F.min("seq").alias("seq"))
     return beyond.select("seq", F.lit(f"more than {most} claims of a document").alias("reason"))
 
 
-def _over_documents(keyed: DataFrame, stored: dict[str, DataFrame], accepted: DataFrame, most: int) -> DataFrame:
+def _over_documents(known: Known, room: int, accepted: DataFrame, most: int) -> DataFrame:
     """(seq, reason) of accepted payloads whose new document doesn't fit any more."""
-    new = keyed.join(accepted, "seq", "left_semi").where("found_id IS NULL")
-    room = max(most - stored["documents"].count(), 0)
+    new = known.keys.join(accepted, "seq", "left_semi").where("found_id IS NULL")
     fits = new.groupBy("key").agg(F.min("seq").alias("since")).orderBy("since").limit(room).select("key")
     return new.join(fits, "key", "left_anti").select("seq", F.lit(f"more than {most} documents").alias("reason"))
 
 
-def _json_object(pairs: Column) -> Column:
-    """JSON text of structs (key, value), values JSON texts, by key."""
-    quoted = lambda k: F.concat(F.lit('"'), F.replace(F.replace(k, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(quoted(p["key"]), p["value"])), ","), F.lit("}"))
-
-
-def _patches(rows: DataFrame) -> DataFrame:
-    """(node_id, group, key, value, seq, pos) of rows(node_id, properties, seq, pos): keys of merged groups one by one, others whole; values as JSON text."""
-    top = rows.select("node_id", "seq", "pos", F.explode(F.from_json("properties", "map<string, variant>")).alias("key", "v")).withColumn("value", F.to_json("v")).drop("v")
-    top = top.where("value IS NOT NULL AND value <> 'null'")
-    flat = top.where(~F.col("key").isin(*ingest.MERGED)).select("node_id", F.lit("").alias("group"), "key", "value", "seq", "pos")
-    deep = top.where(F.col("key").isin(*ingest.MERGED)).select("node_id", F.col("key").alias("group"), F.explode(F.from_json("value", "map<string, variant>")).alias("key", "v"), "seq", "pos")
-    return flat.unionByName(deep.select("node_id", "group", "key", F.to_json("v").alias("value"), "seq", "pos"))
-
-
-def merged_properties(rows: DataFrame) -> DataFrame:
-    """(node_id, properties) after all patches in order."""
-    p = ingest.merge_properties(_patches(rows).where("value <> 'null'"))
-    deep = p.where("group <> ''").groupBy("node_id", "group").agg(_json_object(F.collect_list(F.struct("key", "value"))).alias("value")).select("node_id", F.col("group").alias("key"), "value")
-    flat = p.where("group = ''").select("node_id", "key", "value")
-    return flat.unionByName(deep).groupBy("node_id").agg(_json_object(F.collect_list(F.struct("key", "value"))).alias("properties"))
-
-
-def accept(payloads: DataFrame, stored: dict[str, DataFrame], most_documents: int | None = None, most_claims: int | None = None) -> tuple[DataFrame, DataFrame]:
+def accept(payloads: DataFrame, known: Known, stored: Stored, most_documents: int | None = None, most_claims: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted seqs, (seq, reason) of rejected payloads). Rejecting one may take another's names away, so this goes on until nothing changes."""
     nodes, edges, claims = _exploded(payloads)
-    keyed = materialize(ingest.match_documents(payloads, stored["documents"]).withColumnRenamed("document_id", "found_id"), "intake-keys")
     accepted = materialize(payloads.select("seq"), "intake-accepted")
+    found = known.keys.where("found_id IS NOT NULL").select(F.col("found_id").alias("document_id")).distinct()
+    counts = None if most_claims is None else materialize(stored.claim_counts(found), "intake-claim-counts")
+    room = None if most_documents is None else max(most_documents - stored.n_documents(), 0)
     rejected = None
     while True:
-        bad = _unresolved(edges, nodes, stored["nodes"], accepted).unionByName(_over_claims(keyed, claims, stored, accepted, most_claims)).groupBy("seq").agg(F.min("reason").alias("reason"))
-        bad = materialize(bad, "intake-rejected")
-        if most_documents is not None and bad.isEmpty():  # rejected payloads take no room
-            bad = materialize(_over_documents(keyed, stored, accepted, most_documents), "intake-rejected")
+        bad = _unresolved(edges, nodes, known.nodes, accepted)
+        if counts is not None:
+            bad = bad.unionByName(_over_claims(known, claims, counts, accepted, most_claims))
+        bad = materialize(bad.groupBy("seq").agg(F.min("reason").alias("reason")), "intake-rejected")
+        if room is not None and bad.isEmpty():  # rejected payloads take no room
+            bad = materialize(_over_documents(known, room, accepted, most_documents), "intake-rejected")
         rejected = bad if rejected is None else rejected.unionByName(bad)
         if bad.isEmpty():
             return accepted, rejected
         accepted = materialize(accepted.join(bad, "seq", "left_anti"), "intake-accepted")
 
 
-def process(payloads: DataFrame, stored: dict[str, DataFrame], most_documents: int | None = None, most_claims: int | None = None) -> Outcome:
-    """Fold payloads (schema PAYLOAD) into stored tables (schemas TABLES).
+def _json_object(pairs: Column) -> Column:
+    """JSON text of structs (key, value), values JSON texts, by key."""
+    quoted = lambda k: F.concat(F.lit('"'), F.replace(F.replace(k, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(quoted(p["key"]), p["value"])), ","), F.lit("}"))
+
+
+def merged_properties(rows: DataFrame) -> DataFrame:
+    """(node_id, properties) of all patches rows(node_id, properties, seq, pos, creates), in order of (seq, pos).
+
+    The first value of a key stays; a null creates none, except in the patch that creates the
+    node. A key of ingest.MERGED whose value is an object is merged key by key, the last value
+    winning, null too, and an empty object is one; objects replace a plain value of that key, and
+    plain values don't replace an object. Properties that are no JSON object say nothing.
+    """
+    order = F.struct("seq", "pos")
+    top = rows.select("node_id", "seq", "pos", "creates", F.explode(F.from_json("properties", "map<string, variant>")).alias("key", "v")).withColumn("value", F.to_json("v")).drop("v")
+    deep = F.col("key").isin(*ingest.MERGED) & F.col("value").startswith("{")
+    plain = top.where(~deep & (F.col("creates") | (F.col("value") != "null"))).groupBy("node_id", "key").agg(F.min_by("value", order).alias("plain"))
+    inside = top.where(deep).select("node_id", F.col("key").alias("group"), F.explode_outer(F.from_json("value", "map<string, variant>")).alias("key", "v"), "seq", "pos")
+    last = inside.withColumn("value", F.to_json("v")).groupBy("node_id", "group", "key").agg(F.max_by("value", order).alias("value"))
+    pairs = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))
+    objects = last.groupBy("node_id", "group").agg(_json_object(pairs).alias("object")).withColumnRenamed("group", "key")
+    both = plain.join(objects, ["node_id", "key"], "full").select("node_id", "key", F.coalesce("object", "plain").alias("value"))
+    return both.groupBy("node_id").agg(_json_object(F.collect_list(F.struct("key", "value"))).alias("properties"))
+
+
+def fold(payloads: DataFrame, stored: Stored, most_documents: int | None = None, most_claims: int | None = None) -> Delta:
+    """Fold payloads (schema PAYLOAD) into a stored graph.
 
     most_documents: documents that the store may hold; most_claims: claims that a document may
     have. A payload beyond a limit is rejected, with the reason. Without limits none is.
     """
-    accepted, rejected = accept(payloads, stored, most_documents, most_claims)
+    known = known_of(payloads, stored)
+    accepted, rejected = accept(payloads, known, stored, most_documents, most_claims)
     live = payloads.join(accepted, "seq", "left_semi")
     nodes, edges, claims = _exploded(live)
 
     # Documents: a new one for each key that is not stored.
-    matched = ingest.match_documents(live, stored["documents"])
-    title = F.when(F.coalesce("document_title", F.lit("")) != "", F.col("document_title")).otherwise(F.concat(F.lit("External Document ("), F.col("source_project"), F.lit(")")))
-    rows = live.join(matched, "seq").where("document_id IS NULL").groupBy("key").agg(F.min("seq").alias("at"), F.min_by(F.struct(title.alias("title"), F.col("document_content").alias("normalized_content"), F.nullif("document_uri", F.lit("")).alias("source_uri")), "seq").alias("d"))
-    made = materialize(ingest.allocate_ids(rows.select("key", "at", "d.*"), stored["documents"], ["at"]), "intake-documents")
-    documents = stored["documents"].unionByName(made.select("id", "title", "normalized_content", "source_uri"))
-    of_seq = matched.join(made.select("key", F.col("id").alias("new_id")), "key", "left").select("seq", F.coalesce("document_id", "new_id").alias("document_id"))
+    keys = known.keys.join(accepted, "seq", "left_semi")
+    rows = live.join(keys, "seq").where("found_id IS NULL").groupBy("key").agg(F.min("seq").alias("at"), F.min_by(F.struct(ingest.payload_title().alias("title"), F.col("document_content").alias("normalized_content"), F.nullif("document_uri", F.lit("")).alias("source_uri")), "seq").alias("d"))
+    made = materialize(ingest.ids_after(rows.select("key", "at", "d.*"), stored.top("documents"), ["at"]), "intake-documents")
+    of_seq = keys.join(made.select("key", F.col("id").alias("new_id")), "key", "left").select("seq", F.coalesce("found_id", "new_id").alias("document_id"))
+    document_keys = made.select(F.explode(ingest.stored_keys()).alias("key"), F.col("id").alias("document_id")).where("key IS NOT NULL")
 
     # Claims: a new one for each (document, quote, statement) that is not stored.
     incoming = ingest.claim_key(claims.join(of_seq, "seq"))
-    found = ingest.match_claims(incoming, stored["claims"])
-    key = ["document_id", "quote_text", "statement"]
-    places = incoming.groupBy(*key).agg(F.min_by(F.struct("start_offset", "end_offset"), F.struct("seq", "pos")).alias("o"))
-    made_claims = materialize(ingest.allocate_ids(found.where("claim_id IS NULL").join(places, key).select(*key, "at", "o.*"), stored["claims"], ["at"]), "intake-claims")
-    all_claims = stored["claims"].unionByName(made_claims.select("id", *key, "start_offset", "end_offset"))
-    new_claim = made_claims.select(*key, F.col("id").alias("new_id"))
-    claim_of = materialize(incoming.join(found.select(*key, "claim_id"), key).join(new_claim, key, "left").select("seq", "pos", "ref_id", "quote_text", "statement", F.coalesce("claim_id", "new_id").alias("claim_id")), "intake-claim-refs")
+    at = F.struct("seq", "pos")
+    found = incoming.groupBy(*CLAIM_KEY).agg(F.min(at).alias("at"), F.count("*").alias("n_incoming"), F.min_by(F.struct("start_offset", "end_offset"), at).alias("o")).join(known.claims, CLAIM_KEY, "left")
+    found = materialize(found, "intake-found-claims")
+    made_claims = materialize(ingest.ids_after(found.where("claim_id IS NULL").select(*CLAIM_KEY, "at", "o.*"), stored.top("claims"), ["at"]), "intake-claims")
+    new_claim = made_claims.select(*CLAIM_KEY, F.col("id").alias("new_id"))
+    claim_of = materialize(incoming.join(found.select(*CLAIM_KEY, "claim_id"), CLAIM_KEY).join(new_claim, CLAIM_KEY, "left").select("seq", "pos", "ref_id", "quote_text", "statement", F.coalesce("claim_id", "new_id").alias("claim_id")), "intake-claim-refs")
+    grown = made_claims.groupBy("document_id").agg(F.count("*").alias("n"))
+    sizes = grown.join(stored.claim_counts(grown.select("document_id")), "document_id", "left").select("document_id", (F.col("n") + F.coalesce("n_old", F.lit(0))).alias("n_claims"))
 
     # Entities.
-    resolved = ingest.resolve_entities(nodes, stored["nodes"])
-    made_nodes = materialize(ingest.allocate_ids(ingest.new_entities(resolved), stored["nodes"], ["at"]), "intake-nodes")
+    resolved = ingest.resolve_entities(nodes, known.nodes)
+    made_nodes = materialize(ingest.ids_after(ingest.new_entities(resolved), stored.top("nodes"), ["at"]), "intake-nodes")
     placed = nodes.join(resolved.select("seq", "pos", "node_id"), ["seq", "pos"]).join(made_nodes.select("name", F.col("id").alias("new_id")), "name", "left").withColumn("node_id", F.coalesce("node_id", "new_id")).drop("new_id")
     placed = materialize(placed, "intake-entities")
-    base = stored["nodes"].unionByName(made_nodes.select("id", "name", "classification", F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("properties"), F.array().cast("array<bigint>").alias("claim_ids")))
+    none = F.lit(None).cast("string")
+    base = known.nodes.withColumn("made", F.lit(False)).unionByName(made_nodes.select("id", "name", "classification", none.alias("description"), none.alias("properties"), F.lit(True).alias("made")))
+    base = materialize(base, "intake-base")
 
-    # Relations.
-    names = base.select("id", "name")
-    ends = ingest.resolve_endpoints(edges, placed.select("seq", "pos", "ref_id", "name", "node_id"), names)
+    # Relations: a new edge for each (source, target, relation) that is not stored.
+    ends = ingest.resolve_endpoints(edges, placed.select("seq", "pos", "ref_id", "name", "node_id"), base.select("id", "name"))
     refs = ends.select("seq", "pos", F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relation", F.posexplode_outer("claim_refs").alias("nth", "ref_id"))
     with_claims = materialize(refs.join(claim_of.select("seq", "ref_id", "claim_id"), ["seq", "ref_id"], "left").withColumn("pos", F.struct("pos", F.coalesce("nth", F.lit(0)).alias("nth"))), "intake-relations")
-    merged = materialize(ingest.merge_edges(with_claims, stored["edges"]), "intake-edges")
-    kept = merged.where("NOT created").join(stored["edges"].select(F.col("id").alias("edge_id"), F.col("claim_id").alias("old_claim")), "edge_id").select(F.col("edge_id").alias("id"), "source", "target", "relation", F.col("old_claim").alias("claim_id"), "claim_ids", "affected")
-    made_edges = materialize(ingest.allocate_ids(merged.where("created").select("source", "target", "relation", "claim_id", "claim_ids"), stored["edges"], ["source", "target", "relation"]), "intake-made-edges").select("id", "source", "target", "relation", "claim_id", "claim_ids")
-    all_edges = kept.drop("affected").unionByName(made_edges)
-
-    # What the entities gather: evidence, descriptions, properties.
-    own = ingest.attribute_claims(placed.select("seq", "node_id", "name", "claim_refs"), claim_of).select(F.col("node_id").alias("id"), "claim_id")
-    through = with_claims.where("claim_id IS NOT NULL").select(F.explode(F.array("source", "target")).alias("id"), "claim_id")
-    evidence = ingest.union_evidence(base, own.unionByName(through).distinct())
+    merged = with_claims.groupBy(*EDGE_KEY).agg(F.min_by("claim_id", F.when(F.col("claim_id").isNotNull(), F.struct("seq", "pos"))).alias("claim_id"))
+    merged = materialize(merged.join(stored.edges_by_key(merged.select(*EDGE_KEY)), EDGE_KEY, "left"), "intake-edges")
+    made_edges = materialize(ingest.ids_after(merged.where("edge_id IS NULL").drop("edge_id"), stored.top("edges"), EDGE_KEY), "intake-made-edges")
+    edge_of = merged.select(*EDGE_KEY, F.col("edge_id").alias("owner_id")).where("owner_id IS NOT NULL").unionByName(made_edges.select(*EDGE_KEY, F.col("id").alias("owner_id")))
+
+    # Evidence: links of entities and edges to claims, those that aren't stored.
+    own = ingest.attribute_claims(placed.select("seq", "node_id", "name", "claim_refs"), claim_of).select(F.col("node_id").alias("owner_id"), "claim_id")
+    cited = with_claims.where("claim_id IS NOT NULL")
+    through = cited.select(F.explode(F.array("source", "target")).alias("owner_id"), "claim_id")
+    of_edges = cited.join(edge_of, EDGE_KEY).select(F.lit(EDGE).alias("kind"), "owner_id", "claim_id")
+    links = own.unionByName(through).select(F.lit(NODE).alias("kind"), "owner_id", "claim_id").unionByName(of_edges).distinct()
+    evidence = materialize(stored.without_evidence(materialize(links, "intake-links")), "intake-evidence")
+
+    # What entities gather besides: descriptions and properties.
     described = ingest.last_descriptions(placed.select("node_id", "description", "seq", "pos")).select(F.col("node_id").alias("id"), F.col("description").alias("new_description"))
-    patches = stored["nodes"].select(F.col("id").alias("node_id"), "properties", F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("pos")).unionByName(placed.select("node_id", "properties", "seq", "pos")).where("properties IS NOT NULL")
-    touched = patches.join(placed.where("properties IS NOT NULL").select("node_id").distinct(), "node_id", "left_semi")
-    props = merged_properties(touched).select(F.col("node_id").alias("id"), F.col("properties").alias("new_properties"))
-    x = evidence.join(described, "id", "left").join(props, "id", "left").join(made_nodes.select("id", F.lit(True).alias("made")), "id", "left")
-    canonical = F.to_json(F.parse_json("properties"))
-    changed = F.coalesce("made", F.lit(False)) | F.col("affected") | F.coalesce(~F.col("new_description").eqNullSafe(F.col("description")) & F.col("new_description").isNotNull(), F.lit(False)) | F.coalesce(~F.to_json(F.parse_json("new_properties")).eqNullSafe(canonical) & F.col("new_properties").isNotNull(), F.lit(False))
-    final = materialize(x.select("id", "name", "classification", F.coalesce("new_description", "description").alias("description"), F.coalesce("new_properties", "properties").alias("properties"), "claim_ids", changed.alias("changed")), "intake-final")
-
-    codes, new_codes = {}, {}
+    said = placed.where("properties IS NOT NULL")
+    first = placed.groupBy("node_id").agg(F.min(at).alias("first_at"))
+    created = said.join(first, "node_id").join(base.where("made").select(F.col("id").alias("node_id"), "made"), "node_id", "left")
+    patches = created.select("node_id", "properties", "seq", "pos", (F.coalesce("made", F.lit(False)) & (F.struct("seq", "pos") == F.col("first_at"))).alias("creates"))
+    old = base.where("properties IS NOT NULL").select(F.col("id").alias("node_id"), "properties", F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("pos"), F.lit(True).alias("creates")).join(said.select("node_id").distinct(), "node_id", "left_semi")
+    props = merged_properties(old.unionByName(patches)).select(F.col("node_id").alias("id"), F.col("properties").alias("new_properties"))
+    grew = evidence.where(F.col("kind") == NODE).select(F.col("owner_id").alias("id")).distinct().withColumn("grew", F.lit(True))
+    x = base.join(described, "id", "left").join(props, "id", "left").join(grew, "id", "left")
+    differs = lambda new, was: F.coalesce(F.col(new).isNotNull() & ~was(F.col(new)).eqNullSafe(was(F.col(new[4:]))), F.lit(False))
+    rewritten = F.col("made") | differs("new_description", lambda c: c) | differs("new_properties", lambda c: F.to_json(F.parse_json(c)))
+    final = x.select("id", "name", "classification", F.coalesce("new_description", "description").alias("description"), F.coalesce("new_properties", "properties").alias("properties"), "made", rewritten.alias("rewritten"), F.coalesce("grew", F.lit(False)).alias("grew"))
+    final = materialize(final.where("rewritten OR grew"), "intake-final")
+
+    new_codes = {}
     for name, column, source, display in (("classifications", "classification", nodes, ingest.CLASSIFICATION_NAMES), ("relations", "relation", edges, RELATION_NAMES)):
-        fresh = ingest.new_codes(source.select(F.col(column).alias("code")), stored[name], names=display)
-        new_codes[name] = materialize(ingest.allocate_ids(fresh, stored[name], ["code"]).select("id", "code", "display_name"), "intake-codes")
-        codes[name] = stored[name].unionByName(new_codes[name])
-    tables = {"documents": documents, "claims": all_claims, "nodes": final.drop("changed"), "edges": all_edges} | codes
-    changes = {
-        "documents": made.select("id", "title", "normalized_content", "source_uri"),
-        "claims": made_claims.select("id", *key, "start_offset", "end_offset"),
-        "nodes": final.where("changed").drop("changed"),
-        "edges": made_edges.unionByName(kept.where("affected").drop("affected")),
-    } | new_codes
+        codes = materialize(source.select(F.col(column).alias("code")).distinct(), "intake-codes")
+        missing = ingest.new_codes(codes, stored.codes(name, codes), names=display)
+        new_codes[name] = materialize(ingest.ids_after(missing, stored.top(name), ["code"]).select("id", "code", "display_name"), "intake-codes")
 
     primary = placed.groupBy("seq").agg(F.min_by("node_id", F.struct(F.col("ref_id").isNull(), "pos")).alias("primary_node_id"))
     results = payloads.select("seq").join(rejected, "seq", "left").join(of_seq, "seq", "left").join(primary, "seq", "left").select("seq", F.col("reason").isNull().alias("accepted"), "reason", "document_id", "primary_node_id")
@@ -227,4 +281,72 @@ def process(payloads: DataFrame, stored: dict[str, DataFrame], most_documents: i
     parts = [one(made, "documents_created"), seen, one(made_nodes, "nodes_created"), one(made_edges, "edges_created")]
     names = ["documents_created", "claims_created", "claims_reused", "nodes_created", "edges_created"]
     counters = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
-    return Outcome(tables, changes, results, final.where("changed").select("id"), counters)
+    return Delta(
+        made.select("id", "title", "normalized_content", "source_uri"), document_keys, sizes, made_claims.select("id", *CLAIM_KEY, "start_offset", "end_offset"),
+        final.where("rewritten").select(*NODE_COLUMNS, "made"), made_edges.select("id", *EDGE_KEY, "claim_id"), evidence,
+        new_codes["classifications"], new_codes["relations"], results, final.select("id"), counters,
+    )
+
+
+def process(payloads: DataFrame, stored: dict[str, DataFrame], most_documents: int | None = None, most_claims: int | None = None) -> Outcome:
+    """Fold payloads (schema PAYLOAD) into plain tables (schemas TABLES), with fold's limits. Lists of claims are made of the evidence that a batch brings."""
+    d = fold(payloads, Frames(stored), most_documents, most_claims)
+    changes = {"documents": d.documents, "claims": d.claims, "classifications": d.classifications, "relations": d.relations}
+    for kind, name, rows in ((NODE, "nodes", d.nodes.drop("made")), (EDGE, "edges", d.edges)):
+        links = d.evidence.where(F.col("kind") == kind).select(F.col("owner_id").alias("id"), "claim_id")
+        touched = rows.select("id").unionByName(links.select("id")).distinct()
+        old = stored[name].join(touched, "id", "left_semi")
+        own = rows.withColumn("claim_ids", F.lit(None).cast("array<bigint>"))
+        held = old.select("id", F.col("claim_ids").alias("old_ids"))
+        base = own.drop("claim_ids").join(held, "id", "left").withColumnRenamed("old_ids", "claim_ids").unionByName(old.join(rows, "id", "left_anti"))
+        changes[name] = materialize(ingest.union_evidence(base, links).drop("affected").select(*stored[name].columns), f"intake-{name}")
+    tables = {name: (stored[name].join(changes[name], "id", "left_anti") if name in ("nodes", "edges") else stored[name]).unionByName(changes[name]) for name in TABLES}
+    return Outcome(tables, changes, d.results, d.affected, d.counters)
+
+
+def rows_of(delta: Delta) -> dict[str, DataFrame]:
+    """Rows of a delta for the tables of a graph's ledger, indexes included."""
+    ends = delta.edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("node_id"), F.col("id").alias("edge_id"), *EDGE_KEY)
+    return {
+        "documents": delta.documents, "document_keys": delta.document_keys, "document_sizes": delta.document_sizes, "claims": delta.claims,
+        "nodes": delta.nodes, "node_names": delta.nodes.where("made").select("id", "name"), "edges": delta.edges, "edge_ends": ends,
+        "evidence": delta.evidence, "evidence_by_owner": delta.evidence.withColumn("part", part_of(F.col("claim_id"))),
+        "classifications": delta.classifications, "relations": delta.relations,
+    }
+
+
+def fold_into(payloads: DataFrame, ledger: GraphLedger, source: str | None = None, batch: int | None = None, most_documents: int | None = None, most_claims: int | None = None, attempts: int = 5, rules: list | None = None) -> Delta | None:
+    """Fold payloads into a ledger in one commit. If another writer commits meanwhile, the batch is folded again into what there is then.
+
+    None if the source has committed this batch before.
+    """
+    for left in range(attempts - 1, -1, -1):
+        version = ledger.version()
+        if source is not None and ledger.has(source, batch, version):
+            return None
+        delta = fold(payloads, Slices(ledger, version), most_documents, most_claims)
+        try:
+            ledger.commit(rows_of(delta), based_on=version, source=source, batch=batch, live={"documents": delta.documents.count()}, rules=rules)
+            return delta
+        except Conflict:
+            if not left:
+                raise
+    return None
+
+
+def ledger_of(tables: dict[str, DataFrame], ledger: GraphLedger) -> int:
+    """Put plain tables (schemas TABLES) into an empty ledger; returns the version."""
+    nodes, edges = tables["nodes"], tables["edges"]
+    link = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col("id").alias("owner_id"), F.explode(F.array_distinct("claim_ids")).alias("claim_id"))
+    documents = tables["documents"]
+    keys = documents.select(F.explode(ingest.stored_keys()).alias("key"), F.col("id").alias("document_id")).where("key IS NOT NULL").distinct()
+    sizes = tables["claims"].groupBy("document_id").agg(F.count("*").alias("n_claims"))
+    made = nodes.select(*NODE_COLUMNS).withColumn("made", F.lit(True))
+    none = payloads_free(ledger.spark)
+    delta = Delta(documents, keys, sizes, tables["claims"], made, edges.select("id", *EDGE_KEY, "claim_id"), link(NODE, nodes).unionByName(link(EDGE, edges)), tables["classifications"], tables["relations"], none, none, none)
+    return ledger.commit(rows_of(delta), based_on=0, live={"documents": documents.count()})
+
+
+def payloads_free(spark: SparkSession) -> DataFrame:
+    """A table without rows, in place of what only a batch has."""
+    return spark.createDataFrame([], "seq bigint")

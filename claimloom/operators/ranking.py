@@ -13,8 +13,10 @@ from claimloom.plans.scratch import materialize
 
 
 def ranked_search(nodes: DataFrame, query: str, top: int = 6) -> DataFrame:
-    """Nodes by score: 15 for the classification, 10 for the name, 4 for the description; (id, name, score, reason)."""
+    """Nodes by score: 15 for the classification, 10 for the name, 4 for the description; (id, name, score, reason). A blank query finds nothing."""
     q = query.strip().lower()
+    if not q:
+        nodes = nodes.where("false")
     code, name, text = F.lower(F.coalesce("classification", F.lit(""))), F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("description", F.lit("")))
     by_code = code.contains(q) | F.lit(q).contains(code)
     by_name = name.contains(q) | F.lit(q).contains(name)

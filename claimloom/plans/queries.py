@@ -462,6 +462,19 @@ def e13_dependency_closure(spark, d):
     return adapters.effective_items(rows.withColumn("blocked", F.lit(False)), rows.where("parent IS NOT NULL").select("id", "parent"))
 
 
+@query(
+    "e13_rings",
+    """WITH i AS (SELECT c_custkey AS id, c_custkey // 10 AS g, c_custkey % 10 AS p, c_acctbal > -500 AS enabled FROM customer)
+SELECT id FROM (SELECT id, g, p, bool_and(enabled) OVER w AS chain, count(*) OVER w AS n FROM i WINDOW w AS (PARTITION BY g ORDER BY p)) WHERE g % 3 <> 0 AND chain AND n = p + 1""",
+)
+def e13_rings(spark, d):
+    """Chains of ten in which each needs the two before it; in every third the first needs the last, and none of a ring is on."""
+    items = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > -500).alias("enabled"), F.lit(False).alias("blocked"))
+    p, g = F.col("id") % 10, F.floor(F.col("id") / 10)
+    parents = F.when(p >= 2, F.array(F.col("id") - 1, F.col("id") - 2)).when(p == 1, F.array(F.col("id") - 1)).when(g % 3 == 0, F.array(F.col("id") + 9))
+    return adapters.effective_items(items, items.select("id", F.explode(parents).alias("parent")))
+
+
 @query(
     "e14_valid_edges",
     "SELECT o_orderkey, CASE WHEN s.c_custkey IS NULL THEN 'SOURCE_MISSING' END AS reason FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) s ON s.c_custkey = o_custkey",
@@ -704,6 +717,14 @@ def g1_ranked_search(spark, d):
     return ranking.ranked_search(derived.nodes(spark, d), " Part ")
 
 
+@query("g1_blank_search", f"{GRAPH_CTE} SELECT classification, count(*) AS n FROM nodes WHERE contains(lower(name), 'part') OR contains(lower(classification), 'part') OR contains(lower(coalesce(description, '')), 'part') GROUP BY 1")
+def g1_blank_search(spark, d):
+    """A blank query finds nothing; beside it all that `part` finds, without a limit that cuts, by class."""
+    nodes = derived.nodes(spark, d)
+    found = ranking.ranked_search(nodes, " \t ", nodes.count()).unionByName(ranking.ranked_search(nodes, "PART", nodes.count()))
+    return found.join(nodes.select("id", "classification"), "id").groupBy("classification").agg(F.count("*").alias("n"))
+
+
 @query("g3_type_date_filter", "SELECT o_orderkey FROM orders WHERE (upper(o_orderpriority) = '1-URGENT' OR contains(upper(o_orderpriority), 'LOW')) AND strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1994-01-01' AND '1996-06-30'")
 def g3_type_date_filter(spark, d):
     p = F.col("o_orderpriority")
@@ -871,6 +892,20 @@ def f17_published_at(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(precision, F.lit("none")).alias("precision"), F.coalesce(F.date_format(value, "yyyy-MM-dd"), F.lit("none")).alias("day"))
 
 
+@query(
+    "f17_odd_times",
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'DAY' WHEN 4 THEN 'none' ELSE 'INSTANT' END AS precision,
+CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d 03:04:05') WHEN 2 THEN strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d 18:04:00') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d 05:30:15') ELSE 'none' END AS at FROM orders""",
+)
+def f17_odd_times(spark, d):
+    """White space around a date, compact times, zones without a colon, fractions; a time without a zone is none."""
+    day, short = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyyMMdd")
+    k = F.col("o_orderkey") % 5
+    raw = F.when(k == 0, F.concat(F.lit(" \t"), day, F.lit("\n"))).when(k == 1, F.concat(short, F.lit("T030405Z"))).when(k == 2, F.concat(day, F.lit(" 03:04+0900"))).when(k == 3, F.concat(day, F.lit("T02:00:15,5-03:30 "))).otherwise(F.concat(short, F.lit("T030405")))
+    value, precision = T.published_at(raw)
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(precision, F.lit("none")).alias("precision"), F.coalesce(F.date_format(value, "yyyy-MM-dd HH:mm:ss"), F.lit("none")).alias("at"))
+
+
 @query("f25_audit_summary", "SELECT count(*) AS n, count(*) FILTER (lang <> 'es') AS completed, count(*) FILTER (lang = 'en') AS a_yes, count(*) FILTER (lang IN ('de', 'fr')) AS b_yes FROM documents")
 def f25_audit_summary(spark, d):
     lang = F.col("lang")
