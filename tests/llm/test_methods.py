@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -324,11 +325,9 @@ def test_mix_of_low_weights_takes_the_same_rows_as_a_sort(spark, monkeypatch):
 # 9. Recall on the given tables.
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("sf", [sf for sf in ("sf0.001", "sf0.01", "sf0.1") if os.path.exists(f"{DATA}/{sf}/embeddings.parquet")])
 def test_recall_on_the_given_vectors(spark, sf):
     path = f"{DATA}/{sf}/embeddings.parquet"
-    if not os.path.exists(path):
-        pytest.skip("no test tables")
     df = spark.read.parquet(path)
     found = defaultdict(dict)
     for r in neighbours.search(df, df["vec_id"] % 20 == 0).collect():
@@ -345,8 +344,43 @@ def test_recall_on_the_given_vectors(spark, sf):
     assert len(found) == (ids % 20 == 0).sum() and hits >= 0.9 * 10 * len(found)
 
 
+@pytest.mark.parametrize("dims", [64, 128])
+@pytest.mark.parametrize("n", [8_192, 65_536])
+def test_recall_of_vectors_without_structure(spark, tmp_path, n, dims):
+    x = np.random.default_rng(n + dims).standard_normal((n, dims))
+    column = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dims).cast(pa.list_(pa.float64()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": column}), tmp_path / "x.parquet")
+    df = spark.read.parquet(str(tmp_path / "x.parquet"))
+    every, found = n // 64, defaultdict(set)
+    for row in neighbours.search(df, df["vec_id"] % every == 0).collect():
+        found[row["query_id"]].add(row["vec_id"])
+    hits = 0
+    for q in range(0, n, every):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert hits >= 0.9 * 640
+
+
+def test_forests_settle_by_what_they_measure():
+    """Clusters need few candidates; vectors that prefixes can't tell apart are scanned, exactly."""
+    r = np.random.default_rng(1)
+    plain = r.standard_normal((4096, 64))
+    for x, want in ((0.2 * plain + r.standard_normal((30, 64))[r.integers(0, 30, 4096)], "few"), (r.standard_normal((4096, 400)), "all"), (plain[:100], "all")):
+        planes = neighbours.Planes(x, neighbours.TREES, neighbours.BITS, 5)
+        forest = neighbours.Forest.build(planes, np.arange(len(x)), x)
+        reach, examined = forest.settle(planes.strings(x), 5, 10)
+        assert examined == len(x) if want == "all" else examined < len(x) // 8
+        if want == "all":
+            some = forest.candidates(None, x[:20], reach, examined, 10)
+            for q in range(20):
+                d = np.sqrt(((x - x[q]) ** 2).sum(1))
+                d[q] = np.inf
+                assert forest.nearest(q, x[q], some[q], 10)[0].tolist() == np.lexsort((np.arange(len(x)), d))[:10].tolist()
+
+
 def test_recall_over_partitions_and_query_groups(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "partition_size", lambda n: 1500)
+    monkeypatch.setattr(neighbours, "partition_size", lambda n, dims: 1500)
     monkeypatch.setattr(neighbours, "QUERY_GROUP", 40)
     r = np.random.default_rng(2)
     x = r.standard_normal((6000, 24))
