@@ -2,17 +2,21 @@
 
 The patterns find assignments to credential names, access key ids and long hex strings. The
 method looks at values in credential contexts (those names again, passphrase, pwd, bearer, private
-key, client secret and others) and asks what guessing each would cost: a dynamic program splits the
-value into words, dates, repeats, keyboard walks, joins and brute-force spans at the least total
-cost (log10 of guesses). A value that costs at least THRESHOLD is a secret, or at least PHRASE if it
-is words and joins but for REST characters, as placeholders and names are. Its span is added as kind `guess` unless it
-overlaps one of the patterns'.
+key, client secret and others, with a value in quotes up to its closing quote on the line, or else
+up to white space, a comma or a semicolon; passwords of `scheme://user:password@host`; values of
+flags such as `-p` and `--token`, but for paths and other flags; bodies of private-key blocks) and asks what guessing each would
+cost: a dynamic program splits the value into words, dates, repeats, keyboard walks, joins and
+brute-force spans at the least total cost (log10 of guesses). A value that costs at least THRESHOLD
+is a secret, or at least PHRASE if it is words and joins but for REST characters, as placeholders and
+names are. Its whole span is added as kind `guess`, also where it goes on behind one of the patterns'
+spans, but not where it lies in one.
 
 Words are the common passwords below, and the words of a public vocabulary file in its order, which
 goes from frequent to rare. The file's path is a parameter; without it only the former count.
 
-Positions are code points, end exclusive. Texts are read whole. The dynamic program takes time
-in proportion to the value's length.
+Positions are code points, end exclusive. Texts are read whole. The dynamic program takes time in
+proportion to the value's length, and ends as soon as no rest of the value can bring the cost below
+what makes a secret, so a value of any length takes no more than its first part.
 
 Defined results: a null text counts as empty and has no spans. Repeated rows, null ids and extra
 columns pass through; an empty table gives an empty result.
@@ -29,7 +33,6 @@ import pyarrow as pa
 from pyspark.sql import Column
 
 from claimloom.llm.common import arrow_column
-from claimloom.llm.spans import free_of
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
@@ -44,7 +47,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # The base patterns' names stand anywhere in a name, as there; the others not after a letter or digit.
-_CONTEXT = re.compile(r"(?i:(?:password|passwd|secret|token|api[_-]?key|(?<![A-Za-z0-9])(?:passphrase|passcode|pass|pwd|auth|authorization|bearer|credentials?|private[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|signing[_-]?key|encryption[_-]?key|pin|login))[\"']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:(?:bearer|basic)[\x20\t]+)?[\"']?)([^\x00-\x20\"'<>,;]{6,})", re.ASCII)
+_NAMED = r"(?i:(?:password|passwd|secret|token|api[_-]?key|(?<![A-Za-z0-9])(?:passphrase|passcode|pass|pwd|auth|authorization|bearer|credentials?|private[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|signing[_-]?key|encryption[_-]?key|pin|login))[\"']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:(?:bearer|basic)[\x20\t]+)?)"
+_FLAG = r"(?<!\S)(?:-p|--?(?:password|passwd|pass|passphrase|token|secret|api-?key|auth))(?:[\x20\t]+|=)(?![-/.~$])"
+_VALUE = r"(?:\"([^\"\r\n]{6,})\"|'([^'\r\n]{6,})'|[\"']?([^\x00-\x20\"'<>,;]{6,}))"
+_CONTEXT = re.compile(f"(?:{_NAMED}|{_FLAG}){_VALUE}", re.ASCII)
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s/@:]*:([^\s/@]{6,})@", re.ASCII)
+_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s:,.-]+?)\s*-----END (?:[A-Z]+ )*PRIVATE KEY-----", re.ASCII)
 _CONTEXT_NAMES = ("pass", "pwd", "auth", "bearer", "credential", "key", "secret", "token", "pin", "login")
 
 #: Common password words, most common first.
@@ -68,6 +76,7 @@ _JOINS = "-_. "
 #: Costs of one more segment, of a word with other letters for some of its own, of one with capitals, of a join, and of a keyboard walk.
 SEGMENT, LEET, CASED, JOIN, WALK = 0.5, 0.7, 0.3, 0.3, 1.5
 MOST_PERIOD = 4
+LONGEST_DATE = 10
 
 
 @functools.lru_cache(maxsize=2)
@@ -100,15 +109,16 @@ def beside(a: str, b: str) -> bool:
     return (a, b) in _BESIDE or ord(b) - ord(a) in (1, -1)
 
 
-def guess_cost(v: str, path: str | None = None) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(v: str, path: str | None = None, enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
     """The least log10 of guesses over segmentations of v, and that segmentation as (kind, start, end).
 
-    A walk, and a repeat of some period, begins where its run begins.
+    A walk, and a repeat of some period, begins where its run begins. Ends with a lower bound and no
+    segmentation as soon as that bound is `enough`.
     """
     ranks, longest = dictionary(path), _longest(path)
     n, low = len(v), v.translate(_LOWER)
     plain = low.translate(_LEET)
-    per_char = alphabet(v)
+    per_char, most = alphabet(v), max(longest, LONGEST_DATE)
     cost, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
 
     def reach(end: int, c: float, kind: str, start: int) -> None:
@@ -143,6 +153,11 @@ def guess_cost(v: str, path: str | None = None) -> tuple[float, list[tuple[str,
             length = same[period] + period
             if length >= 3 * period and same[period]:
                 reach(i + 1, cost[i + 1 - length] + SEGMENT + period * per_char + math.log10(length / period), "repeat", i + 1 - length)
+        if i % 16 == 15 and i + 1 < n:
+            # A segmentation of v has a border among the last places, or a span that covers them: a brute one, or a run that goes on.
+            least = min(min(cost[max(0, i + 1 - most) : i + 2]), brute, cost[walk], *(cost[i + 1 - same[p] - p] for p in range(1, MOST_PERIOD + 1) if same[p]))
+            if least >= enough:
+                return least, []
     parts, at = [], n
     while at:
         kind, start = back[at]
@@ -153,7 +168,7 @@ def guess_cost(v: str, path: str | None = None) -> tuple[float, list[tuple[str,
 
 def is_secret(v: str, threshold: float = THRESHOLD, phrase: float = PHRASE, path: str | None = None) -> bool:
     """Whether guessing v costs too much for it to be a name or a placeholder."""
-    cost, parts = guess_cost(v, path)
+    cost, parts = guess_cost(v, path, max(threshold, phrase))
     other = sum(e - s for kind, s, e in parts if kind not in ("word", "join"))
     return cost >= (phrase if other <= REST else threshold)
 
@@ -165,19 +180,40 @@ def base_spans(t: str) -> dict[str, list[tuple[int, int]]]:
     return {"assign": assign, "access": access, "hex": [m.span() for m in _HEX.finditer(t)]}
 
 
-def context_spans(t: str, threshold: float = THRESHOLD, phrase: float = PHRASE, path: str | None = None) -> list[tuple[int, int]]:
-    """Values in credential contexts that are secrets."""
-    low = t.lower()
-    if not ("=" in t or ":" in t) or not any(x in low for x in _CONTEXT_NAMES):
-        return []
-    return [m.span(1) for m in _CONTEXT.finditer(t) if is_secret(m[1], threshold, phrase, path)]
+def context_values(t: str) -> list[tuple[int, int]]:
+    """Values in credential contexts: leftmost, the longest of those that begin at one place, without overlap."""
+    low, found = t.lower(), []
+    if any(x in low for x in _CONTEXT_NAMES) and ("=" in t or ":" in t or "-" in t) or "-p" in t:
+        found += [m.span(m.lastindex) for m in _CONTEXT.finditer(t)]
+    if "://" in t:
+        found += [m.span(1) for m in _ADDRESS.finditer(t)]
+    if "PRIVATE KEY-----" in t:
+        found += [m.span(1) for m in _BLOCK.finditer(t)]
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or start >= out[-1][1]:
+            out.append((start, end))
+    return out
+
+
+def not_within(spans: list[tuple[int, int]], covers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that don't lie in one of covers; both by start."""
+    out, k, reach = [], 0, -1
+    for start, end in spans:
+        while k < len(covers) and covers[k][0] <= start:
+            reach = max(reach, covers[k][1])
+            k += 1
+        if end > reach:
+            out.append((start, end))
+    return out
 
 
 def all_spans(t: str | None, threshold: float = THRESHOLD, phrase: float = PHRASE, path: str | None = None) -> tuple[dict, list[tuple[str, int, int]]]:
     """Base spans by kind, and all spans as (kind, start, end), by start and then by kind."""
     t = t or ""
     base = base_spans(t)
-    more = free_of(context_spans(t, threshold, phrase, path), sorted(x for v in base.values() for x in v))
+    more = not_within(context_values(t), sorted(x for v in base.values() for x in v))
+    more = [(s, e) for s, e in more if is_secret(t[s:e], threshold, phrase, path)]
     spans = [(k, s, e) for k in BASE_KINDS for s, e in base[k]] + [("guess", s, e) for s, e in more]
     return base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -300,6 +300,33 @@ def test_words_of_a_vocabulary_tell_phrases_from_keys():
     assert text[s:e] == "İx9Kq27zLmP4v"
 
 
+CONTEXTS = [
+    ("pwd: 'p,ss;w0rd9xQ'", ["p,ss;w0rd9xQ"]), ('secret = "my secret value is long"', ["my secret value is long"]), ("at postgres://bob:Zk8!qqL0w@db/x and http://a:b@c", ["Zk8!qqL0w"]),
+    ("mysql -u root -p Xk29vLqP0z run", ["Xk29vLqP0z"]), ("-p /data/some/path --token --verbose-mode", []), ("curl --passphrase=Xk29vLqP0z", ["Xk29vLqP0z"]),
+    ("-----BEGIN RSA PRIVATE KEY-----\nMIIEowIBAAKC\nZm9vYmFyQEA7\n-----END RSA PRIVATE KEY-----", ["MIIEowIBAAKC\nZm9vYmFyQEA7"]), ("time 10:30 http://x.org:8080/path@foo", []), ("login: someone@example.com", []),
+    ("pwd: x9Kq27zz!a, pwd: 'x9Kq27zz!b", ["x9Kq27zz!a", "x9Kq27zz!b"]),
+]
+
+
+@pytest.mark.parametrize("text, want", CONTEXTS)
+def test_credential_contexts(text, want):
+    spans = secretscan.all_spans(text, path=bpe.vocabulary_path())[1]
+    assert [text[s:e] for k, s, e in spans if k == "guess"] == want
+
+
+def test_costs_of_long_values_end_early():
+    r = random.Random(1)
+    for _ in range(1500):
+        v = "".join(r.choice(("the", "pass", "aaaa", "qwert", "abc", "2021", "x", "Q", "9", "-", "secret", "zzz", "1234")) for _ in range(r.randint(1, 30)))
+        whole, part = secretscan.guess_cost(v)[0], secretscan.guess_cost(v, enough=15)[0]
+        assert part == whole or 15 <= part <= whole + 1e-9
+    start = time.time()
+    for t in ("token: " + "aB3$x!9Q" * 250_000, 'pwd: "' + "the word list " * 100_000 + '"'):
+        assert any(k == "guess" for k, *_ in secretscan.all_spans(t)[1])
+    assert secretscan.all_spans("token: " + "aB3x9Q" * 250_000)[1] == [("assign", 0, 7 + 1_500_000)]
+    assert time.time() - start < 5
+
+
 # 7. A source of low weights.
 
 

@@ -365,7 +365,9 @@ def test_secrets_leave_prose_and_weak_values_alone():
     prose = "The password is kept in a safe, and a token of thanks: we bypass the compass: northwards. Her secret, she said, was patience; the login page asks for a pass or a pin."
     for t in (prose, prose.upper(), "bypass: northwards", "password: p@ssword", "DB_PWD=changeme", "smtp_pass = password1", "token: <none>", "secret: ''", "api_key="):
         assert secretscan.all_spans(t)[1] == [], t
-    assert [k for k, *_ in secretscan.all_spans("password=x9Kq27zLmP4!x")[1]] == ["assign"]
+    # A value that goes on behind a pattern's span is a span of its own; one that lies in it isn't.
+    assert secretscan.all_spans("password=x9Kq27zLmP4!x")[1] == [("assign", 0, 20), ("guess", 9, 22)]
+    assert [k for k, *_ in secretscan.all_spans("password=x9Kq27zLmP4 x")[1]] == ["assign"]
 
 
 def test_guess_cost_prefers_cheap_segments():
