@@ -12,14 +12,15 @@ far its prefix agrees. The ascent ends when the vectors seen number at least a s
 the partition. Those with the highest counts, `examined` of them, are compared by exact distance,
 and the partitions' nearest are merged per query.
 
-reach and examined are measured, not given: when a forest is built, HELD of its vectors, taken at
-random, are asked as queries, without themselves, and their true nearest found by comparing with
-all. For each of REACHES, examined is what ranks TARGET of the true nearest among those compared;
-the cheapest pair is kept in which at most half of the partition is compared. Where there is none,
-as with vectors without any structure in hundreds of dimensions, nearness can't be told from
-prefixes, and all vectors of the partition are examined: an exact scan. Partitions below LEAST are
+reach and examined are measured, not given: of SETTLED forests (vectors are dealt by hash, so all
+forests are alike), HELD vectors each, taken at random, are asked as queries, without themselves,
+and their true nearest found by comparing with all. For each of REACHES, examined is what ranks
+TARGET of the true nearest among those compared; the cheapest pair is kept in which at most half of
+the partition is compared, and of the forests' pairs the one that compares more. Where there is
+none, as with vectors without any structure in hundreds of dimensions, nearness can't be told from
+prefixes, and all vectors of the partitions are examined: an exact scan. Partitions below LEAST are
 scanned, too. The target is met for queries that are distributed as the vectors are, up to the
-error of HELD * k samples; tests hold recall above 0.9 for vectors without structure, of 64 and 128
+error of SETTLED * HELD * k samples; tests hold recall above 0.9 for vectors without structure, of 64 and 128
 components, in tables of 8,192 and of 65,536.
 
 Partitions hold at most PART_BYTES, queries are broadcast in groups of at most QUERY_BYTES. For a group all partitions are searched at
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import bound_batches, materialize, scratch_path
 
 TREES, BITS = 128, 24
-TARGET, HELD = 0.96, 96
+TARGET, HELD, SETTLED = 0.96, 96, 2
 REACHES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 LEAST = 512
 QUERY_BLOCK = 64
@@ -184,32 +185,46 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-_FOREST = "ids binary, vectors binary, strings binary, places binary, reach double, examined int"
+_FOREST = "part int, ids binary, vectors binary, strings binary, places binary"
 
 
-def _builder(planes, seed: int, k: int, target: float):
+def _builder(planes):
     def run(table: pa.Table) -> pa.Table:
         ids, vectors = table["id"].to_numpy(), _matrix(table["v"])
         by_id = np.argsort(ids, kind="stable")
-        ids, vectors = ids[by_id], vectors[by_id]
-        f = Forest.build(planes.value, ids, vectors)
-        reach, examined = f.settle(planes.value.strings(vectors), seed, k, target)
+        f = Forest.build(planes.value, ids[by_id], vectors[by_id])
         strings = (f.sorted & ((1 << f.bits) - 1)).astype(np.uint32)
-        row = {name: pa.array([x.tobytes()], pa.binary()) for name, x in (("ids", ids.astype(np.int64)), ("vectors", vectors), ("strings", strings), ("places", f.order))}
-        return pa.table(row | {"reach": pa.array([reach]), "examined": pa.array([examined], pa.int32())})
+        row = {name: pa.array([x.tobytes()], pa.binary()) for name, x in (("ids", f.ids.astype(np.int64)), ("vectors", f.vectors), ("strings", strings), ("places", f.order))}
+        return pa.table({"part": table["part"].slice(0, 1)} | row)
 
     return run
 
 
-def _searcher(planes, group, k: int):
+def _read(batch: pa.RecordBatch, row: int, trees: int, bits: int) -> Forest:
+    ids, vectors, strings, places = (np.frombuffer(batch.column(c + 1)[row].as_buffer(), t) for c, t in enumerate((np.int64, np.float64, np.uint32, np.uint16)))
+    return Forest(bits, ids, vectors.reshape(len(ids), -1), strings.reshape(trees, -1).astype(np.int64), places.reshape(trees, -1))
+
+
+def _settler(planes, seed: int, k: int, target: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                forest = _read(batch, row, planes.value.trees, planes.value.bits)
+                reach, examined = forest.settle(planes.value.strings(forest.vectors), seed, k, target)
+                yield pa.RecordBatch.from_arrays([pa.array([reach]), pa.array([examined / len(forest.ids)])], ["reach", "share"])
+
+    return run
+
+
+def _searcher(planes, group, k: int, reach: float, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = group.value
         p = planes.value
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, vectors, strings, places = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in enumerate((np.int64, np.float64, np.uint32, np.uint16)))
-                forest = Forest(p.bits, ids, vectors.reshape(len(ids), -1), strings.reshape(p.trees, -1).astype(np.int64), places.reshape(p.trees, -1))
-                reach, examined = batch.column(4)[row].as_py(), batch.column(5)[row].as_py()
+                forest = _read(batch, row, p.trees, p.bits)
+                ids = forest.ids
+                examined = len(ids) if share > 0.5 or len(ids) < LEAST else max(k + 1, int(np.ceil(share * len(ids))))
                 step = max(1, QUERY_BLOCK * 8_192 // max(8_192, len(ids)))
                 for at in range(0, len(query_ids), step):
                     i, q = query_ids[at : at + step], queries[at : at + step]
@@ -238,7 +253,9 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     index = materialize(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), "forest-rows")
     sample = _matrix(index.select("v").orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLE).toArrow()["v"])
     planes = spark.sparkContext.broadcast(Planes(sample, trees, bits, seed))
-    forests = materialize(index.select("part", "id", "v").repartition(parts, "part").groupBy("part").applyInArrow(_builder(planes, seed, k, target), _FOREST), "forests")
+    forests = materialize(index.select("part", "id", "v").repartition(parts, "part").groupBy("part").applyInArrow(_builder(planes), _FOREST), "forests")
+    some = forests.where(F.col("part") < SETTLED)
+    reach, share = max(((r[0], r[1]) for r in some.mapInArrow(_settler(planes, seed, k, target), "reach double, share double").collect()), key=lambda x: x[1], default=(1.0, 1.0))
     in_group = min(QUERY_GROUP, max(1, QUERY_BYTES // (8 * lengths["n"])))
     groups = max(1, -(-2 * index.where("q").count() // in_group))  # by hash, so about half full
     queries = index.where("q").select("id", "v", F.pmod(F.xxhash64("id", F.lit("group")), F.lit(groups)).alias("group"))
@@ -247,7 +264,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         group = queries.where(F.col("group") == g).select("id", "v").toArrow()
         if group.num_rows:
             shared = spark.sparkContext.broadcast((group["id"].to_numpy(), _matrix(group["v"])))
-            forests.mapInArrow(_searcher(planes, shared, k), _FOUND).write.mode("append").parquet(path)
+            forests.mapInArrow(_searcher(planes, shared, k, reach, share), _FOUND).write.mode("append").parquet(path)
             shared.destroy()
     spark.createDataFrame([], _FOUND).write.mode("append").parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
