@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import RELATION_NAMES, normalized_code, quote_offsets, strip
 from claimloom.operators import ingest
-from claimloom.operators.stored import CLAIM_KEY, EDGE, EDGE_KEY, NODE, NODE_COLUMNS, Frames, GraphLedger, Slices, Stored, part_of
+from claimloom.operators.stored import CLAIM_KEY, EDGE, EDGE_KEY, NODE, NODE_COLUMNS, Frames, GraphLedger, Slices, Stored, node_key, part_of
 from claimloom.plans.scratch import materialize
 from claimloom.sources.ledger import Conflict
 
@@ -309,7 +309,7 @@ def rows_of(delta: Delta) -> dict[str, DataFrame]:
     ends = delta.edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("node_id"), F.col("id").alias("edge_id"), *EDGE_KEY)
     return {
         "documents": delta.documents, "document_keys": delta.document_keys, "document_sizes": delta.document_sizes, "claims": delta.claims,
-        "nodes": delta.nodes, "node_names": delta.nodes.where("made").select("id", "name"), "edges": delta.edges, "edge_ends": ends,
+        "nodes": delta.nodes, "node_names": delta.nodes.where("made").select("id", "name"), "node_keys": delta.nodes.where("made").select(node_key(F.col("name")).alias("low"), "id"), "edges": delta.edges, "edge_ends": ends,
         "evidence": delta.evidence, "evidence_by_owner": delta.evidence.withColumn("part", part_of(F.col("claim_id"))),
         "classifications": delta.classifications, "relations": delta.relations,
     }
@@ -334,19 +334,16 @@ def fold_into(payloads: DataFrame, ledger: GraphLedger, source: str | None = Non
     return None
 
 
-def ledger_of(tables: dict[str, DataFrame], ledger: GraphLedger) -> int:
-    """Put plain tables (schemas TABLES) into an empty ledger; returns the version."""
+def ledger_of(tables: dict[str, DataFrame], ledger: GraphLedger, links: DataFrame | None = None) -> int:
+    """Put plain tables (schemas TABLES) into an empty ledger; returns the version. links(kind, owner_id, claim_id): the evidence, in place of the lists in nodes and edges."""
     nodes, edges = tables["nodes"], tables["edges"]
-    link = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col("id").alias("owner_id"), F.explode(F.array_distinct("claim_ids")).alias("claim_id"))
+    if links is None:
+        of = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col("id").alias("owner_id"), F.explode(F.array_distinct("claim_ids")).alias("claim_id"))
+        links = of(NODE, nodes).unionByName(of(EDGE, edges))
     documents = tables["documents"]
     keys = documents.select(F.explode(ingest.stored_keys()).alias("key"), F.col("id").alias("document_id")).where("key IS NOT NULL").distinct()
     sizes = tables["claims"].groupBy("document_id").agg(F.count("*").alias("n_claims"))
     made = nodes.select(*NODE_COLUMNS).withColumn("made", F.lit(True))
-    none = payloads_free(ledger.spark)
-    delta = Delta(documents, keys, sizes, tables["claims"], made, edges.select("id", *EDGE_KEY, "claim_id"), link(NODE, nodes).unionByName(link(EDGE, edges)), tables["classifications"], tables["relations"], none, none, none)
+    none = ledger.spark.createDataFrame([], "seq bigint")  # what only a batch has
+    delta = Delta(documents, keys, sizes, tables["claims"], made, edges.select("id", *EDGE_KEY, "claim_id"), links, tables["classifications"], tables["relations"], none, none, none)
     return ledger.commit(rows_of(delta), based_on=0, live={"documents": documents.count()})
-
-
-def payloads_free(spark: SparkSession) -> DataFrame:
-    """A table without rows, in place of what only a batch has."""
-    return spark.createDataFrame([], "seq bigint")

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
 from claimloom.functions import urls as U
-from claimloom.operators import adapters, corpus, graph, grounding, ingest, insights, intake, ranking
+from claimloom.operators import adapters, corpus, graph, grounding, ingest, insights, intake, ranking, upkeep
+from claimloom.operators.stored import GraphLedger
 from claimloom.plans import derived
 from claimloom.plans.derived import GRAPH_CTE, table
 from claimloom.plans.queries import _HTML_TEXT, query
 from claimloom.plans.scratch import materialize, scratch_path
 from claimloom.sources import readers, writers
+from claimloom.sources.ledger import Conflict, Ledger, Table
 from claimloom.streaming import extraction
 
 # Sources and sinks.
@@ -212,6 +214,153 @@ def c2_intake_codes(spark, d):
     return t["classifications"].unionByName(t["relations"]).select("code", "display_name")
 
 
+@query(
+    "c16_ledger_fold",
+    f"""WITH {_lines('true')}, e AS (SELECT 'C' || c AS name, o, q FROM l UNION SELECT 'S' || s, o, q FROM l)
+SELECT name, CASE WHEN name LIKE 'C%' THEN 'CUSTOMER' ELSE 'SUPPLIER' END AS classification, count(*) AS n_claims FROM e GROUP BY 1""",
+)
+def c16_ledger_fold(spark, d):
+    """The same graph from two overlapping batches, each in one commit of a bucketed ledger that holds evidence as links; the second comes twice."""
+    led = GraphLedger(spark, scratch_path(spark, "ledger"))
+    intake.fold_into(materialize(_order_payloads(spark, d, "l_linenumber <= 3"), "orders"), led, "feed", 0)
+    for _ in range(2):
+        intake.fold_into(materialize(_order_payloads(spark, d), "orders"), led, "feed", 1)
+    n = led.table("evidence").where("kind = 'node'").groupBy(F.col("owner_id").alias("id")).agg(F.count("*").alias("n_claims"))
+    return led.table("nodes").join(n, "id").select("name", "classification", "n_claims")
+
+
+@query(
+    "c9_properties",
+    """WITH e AS (SELECT user_id AS node_id, event_type AS k, CASE WHEN event_id % 5 = 0 THEN 'null' ELSE event_id::VARCHAR END AS v, event_id AS n FROM events),
+m AS (SELECT node_id, '{' || string_agg('"' || k || '":' || v, ',' ORDER BY k) || '}' AS metrics FROM (SELECT node_id, k, arg_max(v, n) AS v FROM e GROUP BY 1, 2) GROUP BY 1)
+SELECT m.node_id, metrics, f.first, CASE WHEN r.late THEN '"text"' ELSE '{}' END AS reports FROM m JOIN (SELECT node_id, arg_min(k, n) AS first FROM e GROUP BY 1) f ON f.node_id = m.node_id
+JOIN (SELECT node_id, count(*) FILTER (n % 7 = 3) = 0 AS late FROM e GROUP BY 1) r ON r.node_id = m.node_id""",
+)
+def c9_properties(spark, d):
+    """Patches of properties: first values stay, metrics merge key by key with a late null, a plain text under `reports` gives way to an empty object only."""
+    events = table(spark, d, "events")
+    value = F.when(F.col("event_id") % 5 == 0, "null").otherwise(F.col("event_id").cast("string"))
+    reports = F.when(F.col("event_id") % 7 == 3, "{}").otherwise('"text"')
+    patch = F.concat(F.lit('{"first":"'), "event_type", F.lit('","metrics":{"'), "event_type", F.lit('":'), value, F.lit('},"reports":'), reports, F.lit("}"))
+    rows = events.select(F.col("user_id").alias("node_id"), patch.alias("properties"), F.col("event_id").alias("seq"), F.lit(0).alias("pos"), F.lit(False).alias("creates"))
+    p = intake.merged_properties(rows).withColumn("p", F.from_json("properties", "first string, metrics variant, reports variant"))
+    return p.select("node_id", F.to_json("p.metrics").alias("metrics"), "p.first", F.to_json("p.reports").alias("reports"))
+
+
+# Upkeep of a ledger: customers and suppliers with an edge for each pair that traded, and an order's line with a supplier as a claim.
+
+_TRADE = "x AS (SELECT DISTINCT l_orderkey AS o, o_custkey AS c, l_suppkey AS s, o_orderstatus AS status FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+_SUPPLIER_ID = 1_000_000_000
+
+
+def _trade_ledger(spark, d) -> GraphLedger:
+    orders = table(spark, d, "orders")
+    x = table(spark, d, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("o"), F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).distinct()
+    x = materialize(x.select("o", "c", (F.col("s") + _SUPPLIER_ID).alias("s"), (F.col("o") * 100_000 + F.col("s")).alias("claim_id"), (F.col("c") * 100_000 + F.col("s")).alias("e")), "trade")
+    none = F.lit(None).cast("string")
+    documents = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.lit("").alias("normalized_content"), F.concat(F.lit("o"), "o_orderkey").alias("source_uri"))
+    claims = x.select(F.col("claim_id").alias("id"), F.col("o").alias("document_id"), F.concat(F.lit("by "), "s").alias("quote_text"), F.lit("s").alias("statement"), F.lit(0).alias("start_offset"), F.lit(1).alias("end_offset"))
+    node = lambda c, letter, code: x.select(F.col(c).alias("id")).distinct().select("id", F.concat(F.lit(letter), "id").alias("name"), F.lit(code).alias("classification"), none.alias("description"), none.alias("properties"))
+    edges = x.groupBy("e").agg(F.first("c").alias("source"), F.first("s").alias("target"), F.min("claim_id").alias("claim_id")).select(F.col("e").alias("id"), "source", "target", F.lit("TRADES").alias("relation"), "claim_id")
+    links = x.select(F.explode(F.array(F.struct(F.lit("node").alias("kind"), F.col("c").alias("owner_id")), F.struct(F.lit("node").alias("kind"), F.col("s").alias("owner_id")), F.struct(F.lit("edge").alias("kind"), F.col("e").alias("owner_id")))).alias("k"), "claim_id").select("k.*", "claim_id")
+    codes = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"))
+    classes = codes.where("id < 2").select((F.col("id") + 1).alias("id"), F.when(F.col("id") == 0, "CUSTOMER").otherwise("SUPPLIER").alias("code"), F.lit("").alias("display_name"))
+    led = GraphLedger(spark, scratch_path(spark, "trade"))
+    nodes = node("c", "C", "CUSTOMER").unionByName(node("s", "S", "SUPPLIER"))
+    intake.ledger_of({"documents": documents, "claims": claims, "nodes": nodes, "edges": edges, "classifications": classes, "relations": classes.where("id = 1").withColumn("code", F.lit("TRADES"))}, led, links)
+    return led
+
+
+@query(
+    "a15_ledger_cascade",
+    f"""WITH {_TRADE}, k AS (SELECT x.* FROM x JOIN customer ON c_custkey = c WHERE c_acctbal >= 0)
+SELECT {_SUPPLIER_ID} + s AS id, count(DISTINCT c) FILTER (kept) AS n_edges, count(*) AS n_claims, count(*) FILTER (kept) AS n_edge_claims FROM (SELECT x.*, c_acctbal >= 0 AS kept FROM x JOIN customer ON c_custkey = c) GROUP BY s""",
+)
+def a15_ledger_cascade(spark, d):
+    """Customers in debt are deleted in one commit: their edges and the evidence of both go; suppliers keep their own."""
+    led = _trade_ledger(spark, d)
+    upkeep.delete_nodes(led, table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id")))
+    links = led.table("evidence")
+    edges = led.table("edges").select(F.col("id").alias("e"), F.col("target").alias("id"))
+    per_edge = links.where("kind = 'edge'").groupBy(F.col("owner_id").alias("e")).agg(F.count("*").alias("n"))
+    n_edges = edges.join(per_edge, "e", "left").groupBy("id").agg(F.count("*").alias("n_edges"), F.sum("n").alias("n_edge_claims"))
+    own = links.where("kind = 'node'").groupBy(F.col("owner_id").alias("id")).agg(F.count("*").alias("n_claims"))
+    out = led.table("nodes").where("classification = 'SUPPLIER'").select("id").join(n_edges, "id", "left").join(own, "id", "left")
+    return out.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_edges", "n_claims", "n_edge_claims")))
+
+
+@query(
+    "c21_ledger_orphans",
+    f"""WITH {_TRADE}, k AS (SELECT * FROM x WHERE status <> 'F')
+SELECT c AS id, count(*) AS n_claims, count(DISTINCT s) AS n_edges FROM k GROUP BY 1 UNION ALL SELECT {_SUPPLIER_ID} + s, count(*), count(DISTINCT c) FROM k GROUP BY 1""",
+)
+def c21_ledger_orphans(spark, d):
+    """Finished orders are deleted with their claims; then nodes without evidence, with their edges; edges that lost all evidence but not their ends are left out of the count."""
+    led = _trade_ledger(spark, d)
+    upkeep.delete_documents(led, table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")))
+    upkeep.delete_orphans(led)
+    links = led.table("evidence")
+    own = links.where("kind = 'node'").groupBy(F.col("owner_id").alias("id")).agg(F.count("*").alias("n_claims"))
+    held = led.table("edges").join(links.where("kind = 'edge'").select(F.col("owner_id").alias("id")).distinct(), "id", "left_semi")
+    n = held.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("n_edges"))
+    return led.table("nodes").select("id").join(own, "id", "left").join(n, "id", "left")
+
+
+@query(
+    "d12_ledger_insights",
+    f"SELECT {_SUPPLIER_ID} + s_suppkey AS node_id, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE 'old' END AS summary, CASE WHEN s_suppkey % 2 = 0 THEN 'n0' ELSE 'q0,q1,q2' END AS questions FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) AND s_suppkey % 3 <> 0",
+)
+def d12_ledger_insights(spark, d):
+    """Insights of all suppliers; those of every second are replaced with all their questions; every third is deleted, and a late result doesn't bring it back."""
+    led = _trade_ledger(spark, d)
+    k = F.col("node_id") - _SUPPLIER_ID
+    owners = materialize(table(spark, d, "supplier").select((F.col("s_suppkey") + _SUPPLIER_ID).cast("bigint").alias("node_id")), "owners")
+    made = lambda df, text: df.select("node_id", F.lit(text).alias("summary"), F.lit("").alias("history"), F.array().cast("array<string>").alias("issues"), F.lit("f").alias("input_fingerprint"))
+    asked = lambda df, letter, n: df.select("node_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sequence")).select("node_id", "sequence", F.concat(F.lit(letter), "sequence").alias("question"), F.lit("a").alias("answer"))
+    upkeep.replace_insights(led, made(owners, "old"), asked(owners, "q", 3))
+    upkeep.delete_nodes(led, owners.where(k % 3 == 0).select(F.col("node_id").alias("id")))
+    second = owners.where(k % 2 == 0)
+    upkeep.replace_insights(led, made(second, "new"), asked(second, "n", 1))
+    q = led.table("questions").groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list("question")), ",").alias("questions"))
+    return led.table("insights").join(q, "node_id").select("node_id", "summary", "questions")
+
+
+@query(
+    "b9_followed_counts",
+    f"""WITH {_TRADE}, k AS (SELECT DISTINCT c, s FROM x JOIN customer ON c_custkey = c WHERE c_acctbal >= 0), n AS (SELECT c AS id FROM x JOIN customer ON c_custkey = c WHERE c_acctbal >= 0 UNION SELECT {_SUPPLIER_ID} + s FROM x)
+SELECT 'degree' AS kind, id::VARCHAR AS value, count(*) AS n FROM (SELECT c AS id FROM k UNION ALL SELECT {_SUPPLIER_ID} + s FROM k) GROUP BY 2 UNION ALL SELECT 'class', CASE WHEN id < {_SUPPLIER_ID} THEN 'CUSTOMER' ELSE 'SUPPLIER' END, count(*) FROM n GROUP BY 2""",
+)
+def b9_followed_counts(spark, d):
+    """Degrees and classes, counted once and then by the signed differences of a commit that deletes nodes; equal to a recount."""
+    led = _trade_ledger(spark, d)
+    counts = Ledger(spark, scratch_path(spark, "counts"), {"degree": upkeep.Count.table("bigint"), "class": upkeep.Count.table("string")})
+    kept = (upkeep.Count("edges", F.array("source", "target"), "degree"), upkeep.Count("nodes", F.col("classification"), "class"))
+    for step in range(2):
+        if step:
+            upkeep.delete_nodes(led, table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id")))
+        for c in kept:
+            upkeep.follow(led, counts, c)
+    out = [counts.table(c.into).select(F.lit(c.into).alias("kind"), F.col("value").cast("string").alias("value"), "n") for c in kept]
+    return out[0].unionByName(out[1])
+
+
+@query("c20_two_writers", "SELECT o_orderkey AS id, o_orderstatus AS written_by FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def c20_two_writers(spark, d):
+    """Two writers start from one version; the second is refused, starts again from the first's, and both are read back."""
+    tables = {"orders": Table("id bigint, written_by string", ("id",), ("id",))}
+    path = scratch_path(spark, "writers")
+    one, two = Ledger(spark, path, tables), Ledger(spark, path, tables)
+    rows = lambda s: {"orders": table(spark, d, "orders").where(F.col("o_orderstatus") == s).select(F.col("o_orderkey").cast("bigint").alias("id"), F.col("o_orderstatus").alias("written_by"))}
+    base = two.version()
+    one.commit(rows("F"), based_on=base)
+    try:
+        two.commit(rows("O"), based_on=base)
+        raise AssertionError("a lost commit")
+    except Conflict:
+        two.commit(rows("O"), based_on=two.version())
+    return two.table("orders")
+
+
 # Extraction: conversations as documents, whose responses name their roles and quote their turns.
 
 
@@ -252,19 +401,19 @@ def d6_entity_refs(spark, d):
 SELECT role AS name, 'PERSON' AS classification, '인물' AS display_name, count(DISTINCT conv_id) AS n_documents FROM c GROUP BY 1 UNION ALL SELECT 'Known', 'GENERAL', '일반', count(DISTINCT conv_id) FROM c""",
 )
 def d15_extraction_to_graph(spark, d):
-    """Responses to graph: grounded, made payloads, folded into a store as a stream of batches, twice. A node counts the documents of its claims."""
+    """Responses to graph: grounded, made payloads, folded into a ledger as a stream of batches, twice. A node counts the documents of its claims."""
     path = scratch_path(spark, "landing")
     _responses(spark, d).write.json(path)
-    store = writers.Store(spark, scratch_path(spark, "graph"))
+    led = GraphLedger(spark, scratch_path(spark, "graph"))
     tables = intake.empty_tables(spark)
     tables["nodes"] = spark.createDataFrame([(1, "Known", "GENERAL", None, None, [])], intake.TABLES["nodes"])
     tables["classifications"] = spark.createDataFrame([(1, "GENERAL", "일반")], intake.TABLES["classifications"])
-    store.commit(tables)
+    intake.ledger_of(tables, led)
     for _ in range(2):  # a second start finds nothing new
-        extraction.run_into(extraction.responses(spark, path), store, "chats", f"{path}-state").awaitTermination()
-    nodes, claims = store.table("nodes"), store.table("claims")
-    held = nodes.select("id", F.explode("claim_ids").alias("claim_id")).join(claims.select(F.col("id").alias("claim_id"), "document_id"), "claim_id").groupBy("id").agg(F.countDistinct("document_id").alias("n_documents"))
-    return graph.scan_with_class(nodes, store.table("classifications")).join(held, "id").select("name", "classification", F.col("classification_name").alias("display_name"), "n_documents")
+        extraction.run_into(extraction.responses(spark, path), led, "chats", f"{path}-state").awaitTermination()
+    nodes, claims = led.table("nodes"), led.table("claims")
+    held = led.table("evidence").where("kind = 'node'").select(F.col("owner_id").alias("id"), "claim_id").join(claims.select(F.col("id").alias("claim_id"), "document_id"), "claim_id").groupBy("id").agg(F.countDistinct("document_id").alias("n_documents"))
+    return graph.scan_with_class(nodes, led.table("classifications")).join(held, "id").select("name", "classification", F.col("classification_name").alias("display_name"), "n_documents")
 
 
 # Insights: suppliers, with their orders as claims.

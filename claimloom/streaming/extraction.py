@@ -1,4 +1,4 @@
-"""Extraction responses as a stream: ground them, and fold them into a store batch by batch; retries as keyed state."""
+"""Extraction responses as a stream: ground them, and fold them into a ledger batch by batch; retries as keyed state."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimloom.functions.text import strip
 from claimloom.operators import grounding, intake
+from claimloom.operators.stored import GraphLedger
 from claimloom.plans.scratch import materialize
-from claimloom.sources.writers import Store
 
 RESPONSES = "doc_id bigint, title string, content string, raw_response string"
 
@@ -69,15 +69,22 @@ def run(stream: DataFrame, known: Callable[[], DataFrame], commit: Callable[[dic
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_into(stream: DataFrame, store: Store, source: str, checkpoint: str, most_content: int | None = None, most_entities: int | None = None) -> StreamingQuery:
-    """Ground each batch, fold it into the store's graph, and append what changed, once for each batch number of the source, also after a restart."""
+def end_names(batch: DataFrame) -> DataFrame:
+    """(name) of all ends of relations in a batch of responses."""
+    edges = grounding.decode_responses(batch).select(F.explode("extracted.edges").alias("e"))
+    return edges.select(F.explode(F.array("e.source_name", "e.target_name")).alias("name")).where("name IS NOT NULL").distinct()
+
+
+def run_into(stream: DataFrame, ledger: GraphLedger, source: str, checkpoint: str, most_content: int | None = None, most_entities: int | None = None) -> StreamingQuery:
+    """Ground each batch, and fold it into a graph's ledger in one commit, once for each batch number of the source, also after a restart. Of the ledger only what the batch names is read."""
 
     def one(batch: DataFrame, number: int) -> None:
-        if store.has(source, number):
+        if ledger.has(source, number):
             return
-        tables = {t: store.table(t) for t in intake.TABLES} if store.version() else intake.empty_tables(batch.sparkSession)
-        parts = grounded(materialize(batch.dropDuplicates(["doc_id"]), "responses"), tables["nodes"].select("name"), most_content, most_entities)
-        store.append(intake.process(materialize(payloads(parts), "payloads"), tables).changes, source, number)
+        batch = materialize(batch.dropDuplicates(["doc_id"]), "responses")
+        known = materialize(ledger.known_names(materialize(end_names(batch), "end-names")), "known-names")
+        parts = grounded(batch, known, most_content, most_entities)
+        intake.fold_into(materialize(payloads(parts), "payloads"), ledger, source, number)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
