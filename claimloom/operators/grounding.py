@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import STOP_WORDS, blank, json_object, quote_offsets, strip
+from claimloom.operators import grams
 from claimloom.operators.order import fresh
 from claimloom.plans.scratch import materialize
 
@@ -52,7 +53,8 @@ def passages_in(passages: DataFrame, texts: DataFrame, any_case: bool = False) -
     A text that holds a quote has the quote's words in a row, but for the first and last, which it
     may have parts of. So both are joined on hashes of runs of words, each passage on the run
     that fewest texts have, and only these pairs are tested. Quotes of two words or fewer have
-    no whole word inside and are tested on every text. Rows with equal ids stand for one.
+    no whole word inside; they are joined on runs of characters (see grams). An empty quote is in no
+    text. Rows with equal ids stand for one.
     """
     fold = F.lower if any_case else (lambda c: c)
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
@@ -62,7 +64,8 @@ def passages_in(passages: DataFrame, texts: DataFrame, any_case: bool = False) -
     widths = sorted(r[0] for r in items.where("width IS NOT NULL").select("width").distinct().collect())
     docs = texts.where("text IS NOT NULL AND doc_id IS NOT NULL")
     holds = fold(F.col("text")).contains(fold(F.col("quote")))
-    parts = [items.where("width IS NULL").join(docs, holds).select("doc_id", "item_id")] if not items.where("width IS NULL").isEmpty() else []
+    short = items.where("width IS NULL AND quote <> ''").select("item_id", fold(F.col("quote")).alias("quote"))
+    parts = [] if short.isEmpty() else [grams.candidates(short, docs.dropDuplicates(["doc_id"]).select("doc_id", fold(F.col("text")).alias("text"))).select("doc_id", "item_id")]
     if widths:
         runs = reduce(DataFrame.unionByName, [items.where(F.col("width") == k).select("item_id", F.explode(_windows("w", [k], 1)).alias("run")) for k in widths])
         runs = materialize(runs, "passage-runs")

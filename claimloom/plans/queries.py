@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
 from claimloom.functions import urls as U
-from claimloom.operators import adapters, corpus, graph, grounding, ingest, ranking
+from claimloom.operators import adapters, corpus, grams, graph, grounding, ingest, neighbourhoods, ranking
 from claimloom.plans import derived
 from claimloom.plans.derived import GRAPH_CTE, table
 from claimloom.plans.scratch import materialize, scratch_path
@@ -98,11 +99,42 @@ def b6_induced_edges(spark, d):
     return found.select("id", "source", "target", "relation", "tier")
 
 
+_FAR = "SELECT c, other AS id, min(edge) AS e FROM {0} JOIN ends ON node = {0}.id GROUP BY 1, 2"
+_NEAR = "SELECT c, id FROM (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY e, id) AS r FROM {0} a WHERE NOT EXISTS (SELECT 1 FROM {1} v WHERE v.c = a.c AND v.id = a.id)) WHERE r <= 20"
+
+
+@query(
+    "b1_many_centers",
+    f"""{GRAPH_CTE}, ends AS (SELECT id AS edge, source AS node, target AS other FROM edges UNION ALL SELECT id, target, source FROM edges),
+h0 AS (SELECT id AS c, id FROM nodes WHERE classification IN ('SUPPLIER', 'NATION')), n1 AS ({_FAR.format('h0')}), h1 AS ({_NEAR.format('n1', 'h0')}),
+v1 AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1), n2 AS ({_FAR.format('h1')}), h2 AS ({_NEAR.format('n2', 'v1')})
+SELECT c AS center, id, 0 AS hop, 'SELF' AS tier FROM h0 UNION ALL SELECT c, id, 1, 'DIRECT' FROM h1 UNION ALL SELECT c, id, 2, 'TWO_HOP' FROM h2""",
+)
+def b1_many_centers(spark, d):
+    """Two hops of at most 20 nodes each around all suppliers and nations, in one job."""
+    nodes = materialize(derived.nodes(spark, d), "nodes")
+    centers = nodes.where("classification IN ('SUPPLIER', 'NATION')").select(F.col("id").alias("center"))
+    return neighbourhoods.subgraphs(nodes, materialize(derived.edges(spark, d), "edges"), centers, 2, 20, fill=False).nodes
+
+
 @query("b10_search", f"{GRAPH_CTE} SELECT id, name, classification FROM nodes WHERE name ILIKE '%nation_1%' OR description ILIKE '%nation_1%' ORDER BY id DESC LIMIT 20")
 def b10_search(spark, d):
     return graph.search(derived.nodes(spark, d), " NATION_1 ").select("id", "name", "classification")
 
 
+@query(
+    "b10_indexed_search",
+    f"""{GRAPH_CTE}, q AS (SELECT unnest(['nation_1', 'a%2_', 'lier', 'x']) AS q)
+SELECT q, id FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY id DESC) AS r FROM nodes JOIN q ON name ILIKE '%' || q || '%' OR description ILIKE '%' || q || '%') WHERE r <= 50""",
+)
+def b10_indexed_search(spark, d):
+    """Searches from an index of character grams, with wildcards, and of one character."""
+    nodes = materialize(derived.nodes(spark, d), "nodes")
+    index = grams.index_nodes(spark, nodes, scratch_path(spark, "index"))
+    found = [grams.search_nodes(index, nodes, f" {q.upper()}\t", 50).select(F.lit(q).alias("q"), "id") for q in ("nation_1", "a%2_", "lier", "x")]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("b13_first_names", f"{GRAPH_CTE} SELECT id, name FROM nodes ORDER BY id LIMIT 60")
 def b13_first_names(spark, d):
     return graph.first_names(derived.nodes(spark, d))
@@ -234,6 +266,18 @@ def c9_property_merge(spark, d):
     return ingest.merge_properties(events.select(F.col("user_id").alias("node_id"), group.alias("group"), F.col("event_type").alias("key"), F.col("event_id").alias("value"), F.col("ts").alias("seq"), F.col("event_id").alias("pos")))
 
 
+_SHORT = "SELECT DISTINCT regexp_extract(text, '[^\\x20\\x09-\\x0D]+') AS q FROM benchmark UNION SELECT DISTINCT left(text, 2) FROM benchmark UNION SELECT lang FROM documents WHERE lang IS NOT NULL"
+
+
+@query("d4_short_passages", f"WITH s AS ({_SHORT}), d AS (SELECT doc_id, text FROM documents) SELECT q, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM s JOIN d ON q <> '' AND contains(text, q) GROUP BY 1")
+def d4_short_passages(spark, d):
+    """Quotes of a word or less in every document that holds them: joined on runs of characters, then tested."""
+    b = table(spark, d, "benchmark")
+    quotes = b.select(F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0).alias("quote")).unionByName(b.select(F.substring("text", 1, 2).alias("quote"))).unionByName(table(spark, d, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("quote"))).distinct()
+    found = grounding.passages_in(quotes.withColumn("item_id", F.col("quote")), table(spark, d, "documents").select("doc_id", "text"))
+    return found.groupBy(F.col("item_id").alias("q")).agg(F.count("*").alias("n"), F.sum("doc_id").cast("bigint").alias("ids"))
+
+
 def _located(spark, d) -> DataFrame:
     """(doc_id, item_id, quote, text): every benchmark passage in every document that holds it, in any case."""
     quotes = table(spark, d, "benchmark").select("item_id", T.strip(F.col("text")).alias("quote"))
