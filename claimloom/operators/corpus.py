@@ -77,14 +77,28 @@ def eligibility(rules: list[tuple[Column, str]]) -> Column:
     return out
 
 
-def drop_duplicates_in_order(rows: DataFrame, first_key: str, second_key: str, order: list[str]) -> DataFrame:
+def exclusion(rules: list[tuple[Column, str, str]]) -> Column:
+    """Struct (status, reason) of the first failing rule (passes, status, reason); null if none fails. Unknown counts as failing. A reason may be the text of a column's name in braces: its value in lower case."""
+    out = F.lit(None).cast("struct<status: string, reason: string>")
+    for passes, status, reason in reversed(rules):
+        said = F.lower(F.col(reason[1:-1])) if reason.startswith("{") else F.lit(reason)
+        out = F.when(~F.coalesce(passes, F.lit(False)), F.struct(F.lit(status).alias("status"), said.alias("reason"))).otherwise(out)
+    return out
+
+
+#: Why a row is a duplicate.
+DUPLICATE_REASONS = {"DUPLICATE_URL": "canonical_url_already_selected", "DUPLICATE_BODY": "normalized_body_already_selected"}
+
+
+def drop_duplicates_in_order(rows: DataFrame, first_key: str, second_key: str, order: list[str], id_col: str | None = None) -> DataFrame:
     """rows with `status`. In order, a row is DUPLICATE_URL if a selected row before it has its first key, else DUPLICATE_BODY if a selected row before it has its second key, else SELECTED.
 
     A key counts as seen only through rows that were selected. No two rows are equal in order;
     null keys are equal; an empty table gives an empty result. If rows have a column status, the
-    new one gets a suffix of `_`.
+    new one gets a suffix of `_`. With id_col, `duplicate_of` is the id of the selected row that a
+    duplicate repeats, and `failure_reason` says by which key.
     """
-    pos = F.struct(*order)
+    pos = F.struct(*order, *([F.col(id_col).alias("id_of_row")] if id_col else []))
     keys = rows.select(F.lit(0).alias("run"), pos.alias("pos"), F.col(first_key).alias("url_key"), F.col(second_key).alias("body_key"))
     chosen = materialize(_select_in_order(materialize(keys, "order-keys")), "order-chosen")
     out = rows
@@ -94,6 +108,10 @@ def drop_duplicates_in_order(rows: DataFrame, first_key: str, second_key: str, o
         out = out.join(c, out[column].eqNullSafe(c[names[2]]), "left").drop(names[2])
     url, body = F.col(names[0]), F.col(names[1])
     status = F.when(url == pos, "SELECTED").when(url < pos, "DUPLICATE_URL").otherwise("DUPLICATE_BODY")
+    if id_col:
+        of = F.when(url < pos, url["id_of_row"]).when(url == pos, F.lit(None)).otherwise(body["id_of_row"])
+        why = F.when(url < pos, DUPLICATE_REASONS["DUPLICATE_URL"]).when(url == pos, F.lit(None)).otherwise(DUPLICATE_REASONS["DUPLICATE_BODY"])
+        out = out.withColumns({fresh(rows, "duplicate_of"): of, fresh(rows, "failure_reason"): why})
     return out.withColumn(fresh(rows, "status"), status).drop(names[0], names[1])
 
 

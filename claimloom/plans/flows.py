@@ -208,6 +208,25 @@ def c16_intake_evidence(spark, d):
     return t["nodes"].select("name", "classification", F.size("claim_ids").cast("bigint").alias("n_claims"))
 
 
+@query("c17_primary_nodes", f"WITH {_lines('true')} SELECT DISTINCT o AS seq, 'C' || c AS name FROM l")
+def c17_primary_nodes(spark, d):
+    """Each payload's primary entity: the first that has a reference."""
+    out = intake.process(materialize(_order_payloads(spark, d), "orders"), intake.empty_tables(spark))
+    names = out.tables["nodes"].select(F.col("id").alias("primary_node_id"), "name")
+    return out.results.join(names, "primary_node_id").select("seq", "name")
+
+
+@query(
+    "c4_c6_write_limits",
+    f"""WITH {_lines('true')}, n AS (SELECT o, count(DISTINCT q) AS n FROM l GROUP BY 1)
+SELECT o AS seq, CASE WHEN n > 3 THEN 'more than 3 claims of a document' WHEN r > 200 THEN 'more than 200 documents' ELSE '' END AS reason FROM (SELECT o, n, row_number() OVER (PARTITION BY n > 3 ORDER BY o) AS r FROM n)""",
+)
+def c4_c6_write_limits(spark, d):
+    """What the write path's limits refuse: documents with too many claims, then documents beyond the room that is left; refused ones take none."""
+    out = intake.process(materialize(_order_payloads(spark, d), "orders"), intake.empty_tables(spark), most_documents=200, most_claims=3)
+    return out.results.select("seq", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 @query("c2_intake_codes", "SELECT 'BUYS_FROM' AS code, 'Buys_from' AS display_name UNION ALL SELECT 'CUSTOMER', 'Customer' UNION ALL SELECT 'SUPPLIER', 'Supplier'")
 def c2_intake_codes(spark, d):
     t = intake.process(materialize(_order_payloads(spark, d), "orders"), intake.empty_tables(spark)).tables

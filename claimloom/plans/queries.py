@@ -296,6 +296,59 @@ def c10_claim_attribution(spark, d):
     return ingest.attribute_claims(materialize(found, "located"), claims)
 
 
+@query(
+    "c5_new_claims",
+    """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, 'part ' || l_partkey % 7 AS q FROM lineitem), k AS (SELECT o, q, max(o * 10 + n) AS claim_id FROM l WHERE n <= 2 GROUP BY 1, 2)
+SELECT i.o AS document_id, i.q AS quote_text, i.n AS n_incoming, k.claim_id FROM (SELECT o, q, count(*) AS n FROM l GROUP BY 1, 2) i LEFT JOIN k ON k.o = i.o AND k.q = i.q""",
+)
+def c5_new_claims(spark, d):
+    """Claims of all lines against those of each order's first two: known ones with the newest id, new ones without."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("part "), (F.col("l_partkey") % 7).cast("string")).alias("q"))
+    stored = lines.where("n <= 2").select((F.col("document_id") * 10 + F.col("n")).alias("id"), "document_id", F.col("q").alias("quote_text"), F.col("q").alias("statement"))
+    incoming = lines.select("document_id", F.concat(F.lit(" "), "q", F.lit("\n")).alias("quote"), F.lit("").alias("claim_text"), F.lit(1).alias("seq"), F.col("n").alias("pos"))
+    return ingest.match_claims(incoming, stored).select("document_id", "quote_text", "n_incoming", "claim_id")
+
+
+@query(
+    "c10_fallback",
+    """SELECT c_custkey AS seq, 2 * c_custkey AS node_id FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, 2 * c_custkey + 1 FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 = 2""",
+)
+def c10_fallback(spark, d):
+    """Claims that name one entity, none of two (no evidence), or none of a payload's only entity (which gets them all)."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("seq"))
+    none = F.lit(None).cast("array<string>")
+    first = c.select("seq", (2 * F.col("seq")).alias("node_id"), F.lit("Alpha").alias("name"), none.alias("claim_refs"))
+    entities = first.unionByName(c.where("seq % 3 <> 0").select("seq", (2 * F.col("seq") + 1).alias("node_id"), F.lit("Beta").alias("name"), none.alias("claim_refs")))
+    k = F.col("seq") % 4
+    claims = c.select("seq", F.lit("c0").alias("ref_id"), F.col("seq").alias("claim_id"), F.when(k == 0, "about ALPHA").when(k == 1, "of no one").otherwise("").alias("quote_text"), F.when(k == 2, "so says beta").otherwise("alp ha").alias("statement"))
+    return ingest.attribute_claims(entities, claims).select("seq", "node_id")
+
+
+@query("d11_changed_inputs", "SELECT o_orderkey AS node_id FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 5 <> 0")
+def d11_changed_inputs(spark, d):
+    """Late results are taken only where the inputs are what they were made from, and still there."""
+    orders = table(spark, d, "orders")
+    results = orders.select(F.col("o_orderkey").alias("node_id"), F.sha2(F.col("o_orderpriority"), 256).alias("input_fingerprint"))
+    now = orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.sha2(F.concat("o_orderpriority", F.when(F.col("o_orderstatus") == "F", "!").otherwise("")), 256).alias("fingerprint"))
+    return graph.accept_fresh(results, now).select("node_id")
+
+
+@query("b16_cursor_pages", f"{GRAPH_CTE} SELECT id, ((row_number() OVER (ORDER BY classification, id) - 1) // 11)::BIGINT AS page FROM nodes WHERE classification IN ('REGION', 'NATION', 'SUPPLIER')")
+def b16_cursor_pages(spark, d):
+    """A listing page by page, each from the opaque cursor that the page before gave, until one is short."""
+    nodes = materialize(derived.nodes(spark, d).where("classification IN ('REGION', 'NATION', 'SUPPLIER')").select("classification", "id"), "listing")
+    pages, cursor = [], None
+    while True:
+        values = None if cursor is None else graph.decode_cursor(cursor, "listing", "places", (str, int))
+        rows = graph.page_after(nodes, ["classification", "id"], values, 11).collect()
+        number = len(pages) // 11
+        pages += [(r["id"], number) for r in rows]
+        if len(rows) < 11:
+            return spark.createDataFrame(pages, "id bigint, page bigint")
+        cursor = graph.encode_cursor("listing", "places", list(rows[-1]))
+
+
 @query(
     "c11_evidence_union",
     """WITH a AS (SELECT l_suppkey AS id, list(DISTINCT l_orderkey) AS a FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_suppkey AS id, list(DISTINCT l_orderkey) AS b FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
@@ -672,6 +725,34 @@ def f20_drop_duplicates(spark, d):
     return corpus.drop_duplicates_in_order(materialize(rows, "page-keys"), "url_key", "body_key", ["page_id"]).select("page_id", "status")
 
 
+@query(
+    "f18_exclusion",
+    "SELECT doc_id, CASE WHEN NOT coalesce(source <> 'src3', false) THEN 'FAILED_EXTRACTION:missing_title' WHEN NOT coalesce(length(text) >= 500, false) THEN 'FAILED_EXTRACTION:main_text_too_short' WHEN NOT coalesce(lang = 'en', false) THEN 'EXCLUDED_LANGUAGE:' || coalesce(lower(lang), '') ELSE '' END AS excluded FROM documents",
+)
+def f18_exclusion(spark, d):
+    """The first failing rule's status and reason, of which one is a column's value."""
+    rules = [(F.col("source") != "src3", "FAILED_EXTRACTION", "missing_title"), (F.length("text") >= 500, "FAILED_EXTRACTION", "main_text_too_short"), (F.col("lang") == "en", "EXCLUDED_LANGUAGE", "{lang}")]
+    x = table(spark, d, "documents").select("doc_id", corpus.exclusion(rules).alias("x"))
+    return x.select("doc_id", F.when(F.col("x").isNull(), "").otherwise(F.concat("x.status", F.lit(":"), F.coalesce("x.reason", F.lit("")))).alias("excluded"))
+
+
+@query(
+    "f20_duplicate_of",
+    """WITH RECURSIVE k AS MATERIALIZED (SELECT doc_id, coalesce(left(text, 5), '') AS u, coalesce(lang, '') || coalesce(n_chars, 0) % 400 AS b, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, []::VARCHAR[] AS urls, []::VARCHAR[] AS bodies, []::BIGINT[] AS ids, NULL::VARCHAR AS failure_reason, NULL::BIGINT AS duplicate_of
+UNION ALL SELECT i, doc_id, CASE WHEN x = 0 AND y = 0 THEN list_append(urls, u) ELSE urls END, CASE WHEN x = 0 AND y = 0 THEN list_append(bodies, b) ELSE bodies END, CASE WHEN x = 0 AND y = 0 THEN list_append(ids, doc_id) ELSE ids END,
+CASE WHEN x > 0 THEN 'canonical_url_already_selected' WHEN y > 0 THEN 'normalized_body_already_selected' END, CASE WHEN x > 0 THEN ids[x] WHEN y > 0 THEN ids[y] END
+FROM (SELECT k.i, k.doc_id, u, b, urls, bodies, ids, coalesce(list_position(urls, u), 0) AS x, coalesce(list_position(bodies, b), 0) AS y FROM s JOIN k ON k.i = s.i + 1))
+SELECT doc_id, duplicate_of, failure_reason FROM s WHERE failure_reason IS NOT NULL""",
+)
+def f20_duplicate_of(spark, d):
+    """Documents that begin as a selected one does, or share language and length (modulo 400) with one: which, and by which key."""
+    c = lambda x, none: F.coalesce(x, F.lit(none))
+    rows = table(spark, d, "documents").select("doc_id", c(F.substring("text", 1, 5), "").alias("u"), F.concat(c(F.col("lang"), ""), (c(F.col("n_chars"), 0) % 400).cast("string")).alias("b"))
+    found = corpus.drop_duplicates_in_order(materialize(rows, "document-keys"), "u", "b", ["doc_id"], "doc_id")
+    return found.where("duplicate_of IS NOT NULL").select("doc_id", "duplicate_of", "failure_reason")
+
+
 @query(
     "f20_quota_selection",
     """WITH RECURSIVE x AS (SELECT source AS run, doc_id AS pos, sha256(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS u, sha256(text) AS b, list_filter(['theon', 'ingth', 'erth'], lambda n: contains(lower(text), n)) AS tags, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE text IS NOT NULL),
