@@ -12,11 +12,12 @@ far its prefix agrees. The ascent ends when the vectors seen number at least a s
 the partition. Those with the highest counts, `examined` of them, are compared by exact distance,
 and the partitions' nearest are merged per query.
 
-reach and examined are measured, not given: of SETTLED forests (vectors are dealt by hash, so all
+The number of trees that are used, reach and examined are measured, not given: of SETTLED forests (vectors are dealt by hash, so all
 forests are alike), HELD vectors each, taken at random, are asked as queries, without themselves,
-and their true nearest found by comparing with all. For each of REACHES, examined is what ranks
-TARGET of the true nearest among those compared; the cheapest pair is kept in which at most half of
-the partition is compared, and of the forests' pairs the one that compares more. Where there is
+and their true nearest found by comparing with all. For a quarter, half and all of the trees and
+each of REACHES, examined is what ranks TARGET of the true nearest among those compared; the
+cheapest choice is kept in which at most half of the partition is compared, and of the forests'
+choices the one that compares more. Where there is
 none, as with vectors without any structure in hundreds of dimensions, nearness can't be told from
 prefixes, and all vectors of the partitions are examined: an exact scan. Partitions below LEAST are
 scanned, too. The target is met for queries that are distributed as the vectors are, up to the
@@ -49,6 +50,8 @@ TREES, BITS = 128, 24
 TARGET, HELD, SETTLED = 0.96, 96, 2
 REACHES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 LEAST = 512
+#: How many places of a tree cost as much to look at as a candidate to compare.
+COMPARED = 16
 QUERY_BLOCK = 64
 #: Bytes of a partition's vectors and strings; of the queries that are broadcast at once, and most such queries.
 PART_BYTES, QUERY_BYTES = 96 << 20, 32 << 20
@@ -100,16 +103,17 @@ class Forest:
         return Forest(planes.bits, ids, vectors, np.take_along_axis(strings, order, 1), order.astype(np.uint16))
 
     def counts(self, strings: np.ndarray, reach: float) -> tuple[np.ndarray, int]:
-        """For each query (a column of strings) and vector, how many bits of prefix they share, summed over the trees, as far as the ascent went; and the number of places looked at."""
-        n, m = len(self.ids), strings.shape[1]
-        keys = (np.arange(self.trees, dtype=np.int64)[:, None] << self.bits) | strings
+        """For each query (a column of strings, a row for each of the first trees) and vector, how many bits of prefix they share, summed over these trees, as far as the ascent went; and the number of places looked at."""
+        n, (trees, m) = len(self.ids), strings.shape
+        keys = (np.arange(trees, dtype=np.int64)[:, None] << self.bits) | strings
+        places = self.sorted[: trees * n]
         total = np.zeros(m * n, np.int64)
         live, looked = np.arange(m), 0
         for depth in range(self.bits, -1, -1):
             free = self.bits - depth
             low = (keys[:, live] >> free) << free
-            a = np.searchsorted(self.sorted, low.ravel())
-            size = np.searchsorted(self.sorted, (low + (1 << free)).ravel()) - a
+            a = np.searchsorted(places, low.ravel())
+            size = np.searchsorted(places, (low + (1 << free)).ravel()) - a
             some = np.flatnonzero(size)
             if not len(some):
                 continue
@@ -123,32 +127,34 @@ class Forest:
                 break
         return total.reshape(m, n), looked
 
-    def settle(self, strings: np.ndarray, seed: int, k: int, target: float = TARGET) -> tuple[float, int]:
-        """(reach, examined) that find a share `target` of the k nearest of held-out vectors; examined is all where no more than half doesn't do.
+    def settle(self, strings: np.ndarray, seed: int, k: int, target: float = TARGET) -> tuple[int, float, int]:
+        """(trees, reach, examined) that find a share `target` of the k nearest of held-out vectors; examined is all where no more than half doesn't do.
 
         strings: those of all vectors, in their order.
         """
         n = len(self.ids)
+        best = (np.inf, self.trees, 1.0, n)
         if n < LEAST:
-            return 1.0, n
+            return best[1:]
         held = np.sort(np.random.default_rng(seed).choice(n, min(HELD, n), replace=False))
         near = np.stack([self._true(q, k) for q in held])
-        best = (np.inf, 1.0, n)
-        for reach in REACHES:
-            ranks, looked = [], 0
-            for at in range(0, len(held), 16):
-                c, places = self.counts(strings[:, held[at : at + 16]], reach)
-                looked += places
-                for row, true in zip(c, near[at : at + 16], strict=True):
-                    wanted = row[true]
-                    # The worst place that a tie of counts can give; what wasn't seen has none.
-                    places_of = len(row) - np.searchsorted(np.sort(row), wanted, "left")
-                    ranks.append(np.where(wanted > 0, places_of, n + 1))
-            need = int(np.sort(np.concatenate(ranks))[min(len(held) * near.shape[1] - 1, int(np.ceil(target * len(held) * near.shape[1])) - 1)])
-            cost = looked / len(held) + 8 * need
-            if need <= n // 2 and cost < best[0]:
-                best = (cost, reach, need)
-        return best[1], best[2]
+        enough = int(np.ceil(target * near.size)) - 1
+        for trees in sorted({max(1, self.trees // 4), max(1, self.trees // 2), self.trees}):
+            for reach in REACHES:
+                ranks, looked = [], 0
+                for at in range(0, len(held), 16):
+                    c, places = self.counts(strings[:trees, held[at : at + 16]], reach)
+                    looked += places
+                    for row, true in zip(c, near[at : at + 16], strict=True):
+                        # The worst place that a tie of counts can give; what wasn't seen has none.
+                        ranks.append(np.where(row[true] > 0, n - np.searchsorted(np.sort(row), row[true], "left"), n + 1))
+                need = int(np.sort(np.concatenate(ranks))[enough])
+                cost = looked / len(held) + COMPARED * need
+                if need <= n // 2 and cost < best[0]:
+                    best = (cost, trees, reach, need)
+                if looked / len(held) > best[0]:
+                    break  # more reach looks at more
+        return best[1:]
 
     def _true(self, q: int, k: int) -> np.ndarray:
         d = ((self.vectors - self.vectors[q]) ** 2).sum(1)
@@ -165,7 +171,7 @@ class Forest:
         best = np.lexsort((self.ids[at], d))[:k]
         return self.ids[at[best]], d[best]
 
-    def candidates(self, strings: np.ndarray, queries: np.ndarray, reach: float, examined: int, k: int) -> list[np.ndarray]:
+    def candidates(self, strings: np.ndarray | None, queries: np.ndarray, reach: float, examined: int, k: int) -> list[np.ndarray]:
         """Places of the vectors to compare with each query: those with the highest counts; of an exact scan, all that can be among the k nearest."""
         n = len(self.ids)
         if examined < n:
@@ -210,13 +216,13 @@ def _settler(planes, seed: int, k: int, target: float):
         for batch in batches:
             for row in range(batch.num_rows):
                 forest = _read(batch, row, planes.value.trees, planes.value.bits)
-                reach, examined = forest.settle(planes.value.strings(forest.vectors), seed, k, target)
-                yield pa.RecordBatch.from_arrays([pa.array([reach]), pa.array([examined / len(forest.ids)])], ["reach", "share"])
+                trees, reach, examined = forest.settle(planes.value.strings(forest.vectors), seed, k, target)
+                yield pa.RecordBatch.from_arrays([pa.array([trees], pa.int32()), pa.array([reach]), pa.array([examined / len(forest.ids)])], ["trees", "reach", "share"])
 
     return run
 
 
-def _searcher(planes, group, k: int, reach: float, share: float):
+def _searcher(planes, group, k: int, used: int, reach: float, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = group.value
         p = planes.value
@@ -228,7 +234,7 @@ def _searcher(planes, group, k: int, reach: float, share: float):
                 step = max(1, QUERY_BLOCK * 8_192 // max(8_192, len(ids)))
                 for at in range(0, len(query_ids), step):
                     i, q = query_ids[at : at + step], queries[at : at + step]
-                    some = forest.candidates(p.strings(q) if examined < len(ids) else None, q, reach, examined, k)
+                    some = forest.candidates(p.strings(q)[:used] if examined < len(ids) else None, q, reach, examined, k)
                     out = [forest.nearest(int(a), b, c, k) for a, b, c in zip(i, q, some, strict=True)]
                     sizes = [len(x) for x, _ in out]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, sizes), pa.int64()), pa.array(np.concatenate([x for x, _ in out]), pa.int64()), pa.array(np.concatenate([d for _, d in out]), pa.float64())], ["query_id", "vec_id", "score"])
@@ -255,7 +261,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     planes = spark.sparkContext.broadcast(Planes(sample, trees, bits, seed))
     forests = materialize(index.select("part", "id", "v").repartition(parts, "part").groupBy("part").applyInArrow(_builder(planes), _FOREST), "forests")
     some = forests.where(F.col("part") < SETTLED)
-    reach, share = max(((r[0], r[1]) for r in some.mapInArrow(_settler(planes, seed, k, target), "reach double, share double").collect()), key=lambda x: x[1], default=(1.0, 1.0))
+    settled = some.mapInArrow(_settler(planes, seed, k, target), "trees int, reach double, share double").collect()
+    used, reach, share = max((tuple(r) for r in settled), key=lambda x: x[2], default=(trees, 1.0, 1.0))
     in_group = min(QUERY_GROUP, max(1, QUERY_BYTES // (8 * lengths["n"])))
     groups = max(1, -(-2 * index.where("q").count() // in_group))  # by hash, so about half full
     queries = index.where("q").select("id", "v", F.pmod(F.xxhash64("id", F.lit("group")), F.lit(groups)).alias("group"))
@@ -264,7 +271,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         group = queries.where(F.col("group") == g).select("id", "v").toArrow()
         if group.num_rows:
             shared = spark.sparkContext.broadcast((group["id"].to_numpy(), _matrix(group["v"])))
-            forests.mapInArrow(_searcher(planes, shared, k, reach, share), _FOUND).write.mode("append").parquet(path)
+            forests.mapInArrow(_searcher(planes, shared, k, used, reach, share), _FOUND).write.mode("append").parquet(path)
             shared.destroy()
     spark.createDataFrame([], _FOUND).write.mode("append").parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -396,8 +396,8 @@ def test_forests_settle_by_what_they_measure():
     for x, want in ((0.2 * plain + r.standard_normal((30, 64))[r.integers(0, 30, 4096)], "few"), (r.standard_normal((4096, 400)), "all"), (plain[:100], "all")):
         planes = neighbours.Planes(x, neighbours.TREES, neighbours.BITS, 5)
         forest = neighbours.Forest.build(planes, np.arange(len(x)), x)
-        reach, examined = forest.settle(planes.strings(x), 5, 10)
-        assert examined == len(x) if want == "all" else examined < len(x) // 8
+        trees, reach, examined = forest.settle(planes.strings(x), 5, 10)
+        assert trees <= neighbours.TREES and (examined == len(x) if want == "all" else examined < len(x) // 8)
         if want == "all":
             some = forest.candidates(None, x[:20], reach, examined, 10)
             for q in range(20):
