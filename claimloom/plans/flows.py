@@ -78,6 +78,21 @@ def a9_pages(spark, d):
     return readers.pages(table(spark, d, "pages"))
 
 
+@query(
+    "a10_dispatch",
+    f"""SELECT 'u' || page_id AS id, {_HTML_TITLE.replace('ELSE url END', "ELSE 'https://p/' || page_id END")} AS title, {_HTML_TEXT} AS content FROM pages WHERE page_id % 7 <> 3 UNION ALL SELECT 'u' || page_id, NULL, NULL FROM pages WHERE page_id % 7 = 3
+UNION ALL SELECT 'd' || doc_id, CASE doc_id % 3 WHEN 0 THEN 'f' || doc_id || '.TXT' WHEN 1 THEN trim(replace(left(trim(coalesce(text, ''), '{T.WHITE}'), 30), chr(10), ' '), '{T.WHITE}') ELSE 'Text Document' END, CASE WHEN doc_id % 3 = 1 THEN trim(coalesce(text, ''), '{T.WHITE}') ELSE coalesce(text, '') END FROM documents""",
+)
+def a10_dispatch(spark, d):
+    """Addresses (some not fetched), files with and without a name, and texts, each by its type."""
+    p, docs, none = table(spark, d, "pages"), table(spark, d, "documents"), F.lit(None).cast("string")
+    k = F.col("doc_id") % 3
+    urls = p.select(F.concat(F.lit("u"), "page_id").alias("id"), F.lit("url").alias("source_type"), F.concat(F.lit(" "), F.concat(F.lit("https://p/"), F.col("page_id").cast("string")), F.lit("\n")).cast("binary").alias("data"), none.alias("name"))
+    own = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.when(k == 1, "text").otherwise("file").alias("source_type"), F.col("text").cast("binary").alias("data"), F.when(k == 0, F.concat(F.lit("f"), "doc_id", F.lit(".TXT"))).otherwise("").alias("name"))
+    fetched = p.where("page_id % 7 <> 3").select(F.concat(F.lit("https://p/"), F.col("page_id").cast("string")).alias("url"), "html")
+    return readers.documents(urls.unionByName(own), fetched).select("id", "title", "content")
+
+
 @query("a12_robots", "SELECT event_id, user_id % 3 <> 1 AS allowed, greatest(1.0::DOUBLE, (user_id % 4)::DOUBLE) AS delay FROM events")
 def a12_robots(spark, d):
     origin = F.concat(F.lit("https://h"), F.col("user_id").cast("string"), F.lit(".example"))

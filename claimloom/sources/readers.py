@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import blank, html_to_text, page_title, text_title
+from claimloom.functions.text import blank, html_to_text, page_title, strip, text_title
+from claimloom.operators.order import fresh
 
 #: Columns by which a candidate file's layout is told.
 FULL_COLUMNS = ("query_interval_start", "query_interval_end", "seen_at", "url", "has_sk", "has_samsung", "has_intel", "has_nvidia")
@@ -84,6 +85,31 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", text.alias("content")).select("name", text_title(F.col("content"), F.col("name")).alias("title"), "content")
 
 
+def documents(sources: DataFrame, fetched: DataFrame) -> DataFrame:
+    """sources(source_type, data binary, name, ...) with `title` and `content`, by type.
+
+    `url`: data is an address, whose page is looked up in fetched(url, html); null where it
+    hasn't been fetched. `file`: Word and PDF by the name's extension, anything else as UTF-8; its title
+    is its name. Anything else is text, trimmed: its title is its name, or its first 30 characters on
+    one line. Null data is empty; an empty name counts as none. Columns `title` and `content` of
+    sources are replaced. Of pages fetched twice one counts.
+    """
+    named = F.when(F.coalesce("name", F.lit("")) != "", F.col("name"))
+    address, text_of, is_url, is_file = (fresh(sources, x) for x in ("address", "text_of", "is_url", "is_file"))
+    decode = F.arrow_udf(_extract, returnType="string")
+    marked = sources.withColumns({is_url: F.coalesce(F.col("source_type") == "url", F.lit(False)), is_file: F.coalesce(F.col("source_type") == "file", F.lit(False))})
+    x = marked.withColumn(text_of, decode(F.coalesce("data", F.lit(b"")), F.when(F.col(is_file), F.coalesce(named, F.lit(""))).otherwise("")))
+    x = x.withColumn(address, F.when(F.col(is_url), strip(F.col(text_of))))
+    read = pages(fetched.dropDuplicates(["url"])).select(F.col("url").alias(address), F.col("title").alias(f"{address} title"), F.col("content").alias(f"{address} content"))
+    low = F.lower(F.coalesce(named, F.lit("")))
+    kind = F.when(low.endswith(".pdf"), "PDF Document").when(low.endswith(".docx"), "Word Document").otherwise("Text Document")
+    own = strip(F.col(text_of))
+    title = F.when(F.col(is_url), F.col(f"{address} title")).when(F.col(is_file), F.coalesce(named, kind)).otherwise(strip(F.translate(F.coalesce(named, F.substring(own, 1, 30)), "\n", " ")))
+    content = F.when(F.col(is_url), F.col(f"{address} content")).when(F.col(is_file), F.col(text_of)).otherwise(own)
+    out = x.join(read, address, "left").withColumns({"title": title, "content": content})
+    return out.drop(address, text_of, is_url, is_file, f"{address} title", f"{address} content")
+
+
 def body_shard(sha: Column) -> Column:
     return F.substring(sha, 1, 2)
 
