@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import growth_percent, strip
+from claimloom.operators.intake import merged_properties
 from claimloom.operators.order import fresh, row_numbers
 from claimloom.plans.scratch import materialize
 
@@ -160,9 +161,11 @@ def approved_payloads(documents: DataFrame, claims: DataFrame, entities: DataFra
     statement), entities(bundle, document, pos, item_id, name, classification, properties,
     refs array), relations(bundle, document, pos, item_id, source, target, relation, refs array).
     Item ids are unique over bundles. Claims get dense references in order of pos; entities of one
-    document and name become one, with all their references, the last properties winning; a
-    relation counts if both its ends are entities of the document that are there. References to
-    claims that weren't approved go.
+    document and name become one, with all their references, their properties merged as stored
+    ones are (`intake.merged_properties`), and the first existing_node_id (a column of entities
+    that may be lacking) of those approved. An entity without an item is there whatever is
+    approved, if its document is. A relation counts if both its ends are entities of the document
+    that are there. References to claims that weren't approved go.
     """
     at = ["bundle", "document"]
     on = materialize(effective_items(items, needs).withColumnRenamed("id", "item_id"), "approved")
@@ -171,17 +174,21 @@ def approved_payloads(documents: DataFrame, claims: DataFrame, entities: DataFra
     known = kept.select(*at, F.col("ref").alias("old"), "new_ref", F.col("nth").alias("ref_nth"))
     found = lambda rows, key: rows.select(*at, *key, F.explode("refs").alias("old")).join(known, [*at, "old"]).groupBy(*at, *key).agg(F.transform(F.array_sort(F.collect_set(F.struct("ref_nth", "new_ref"))), lambda x: x["new_ref"]).alias("claim_refs"))
     none = F.array().cast("array<string>")
-    live = entities.join(on, "item_id", "left_semi").withColumn("name", strip(F.col("name")))
-    one = live.groupBy(*at, "name").agg(F.min("pos").alias("pos"), F.min_by("classification", "pos").alias("classification"), F.max_by("properties", F.when(F.col("properties").isNotNull(), F.col("pos"))).alias("properties"))
+    if "existing_node_id" not in entities.columns:
+        entities = entities.withColumn("existing_node_id", F.lit(None).cast("bigint"))
+    live = entities.join(on, "item_id", "left_semi").unionByName(entities.where("item_id IS NULL").join(documents.select(*at).distinct(), at, "left_semi")).withColumn("name", strip(F.col("name")))
+    live = materialize(live.select(*at, "pos", "name", "classification", "properties", "existing_node_id", "refs"), "approved-mentions")
+    one = live.groupBy(*at, "name").agg(F.min("pos").alias("pos"), F.min_by("classification", "pos").alias("classification"), F.min_by("existing_node_id", F.when(F.col("existing_node_id").isNotNull(), F.col("pos"))).alias("existing_node_id"))
+    said = merged_properties(live.select(F.struct(*at, "name").alias("node_id"), "properties", F.lit(0).alias("seq"), "pos", F.lit(True).alias("creates")))
+    one = one.join(said.select("node_id.*", "properties"), [*at, "name"], "left")
     one = row_numbers(one, at, ["pos", "name"], "nth").withColumn("ref_id", F.concat(F.lit("n"), (F.col("nth") - 1).cast("string")))
     one = materialize(one.join(found(live, ["name"]), [*at, "name"], "left"), "approved-entities")
     edges = relations.join(on, "item_id", "left_semi")
     edges = edges.join(found(edges, ["pos"]), [*at, "pos"], "left")
     for end in ("source", "target"):
         edges = edges.withColumn(end, strip(F.col(end))).join(one.select(*at, F.col("name").alias(end), F.col("ref_id").alias(f"{end}_ref")), [*at, end])
-    nulls = lambda *kinds: [F.lit(None).cast(k) for k in kinds]
-    text, number = nulls("string", "bigint")
-    nodes_of = one.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("nth", F.struct("ref_id", "name", "classification", text.alias("description"), "properties", number.alias("existing_node_id"), text.alias("claim_ref"), F.coalesce("claim_refs", none).alias("claim_refs")).alias("n")))).alias("n")).select(*at, F.col("n.n").alias("nodes"))
+    text = F.lit(None).cast("string")
+    nodes_of = one.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("nth", F.struct("ref_id", "name", "classification", text.alias("description"), "properties", "existing_node_id", text.alias("claim_ref"), F.coalesce("claim_refs", none).alias("claim_refs")).alias("n")))).alias("n")).select(*at, F.col("n.n").alias("nodes"))
     edges_of = edges.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("source_ref", "target_ref", F.col("source").alias("source_name"), F.col("target").alias("target_name"), "relation", text.alias("claim_ref"), F.coalesce("claim_refs", none).alias("claim_refs")).alias("e")))).alias("e")).select(*at, F.col("e.e").alias("edges"))
     offset = F.lit(None).cast("int")
     claims_of = kept.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("nth", F.struct(F.col("new_ref").alias("ref_id"), "quote", F.col("statement").alias("claim_text"), offset.alias("start_offset"), offset.alias("end_offset")).alias("c")))).alias("c")).select(*at, F.col("c.c").alias("claims"))
@@ -240,11 +247,11 @@ def workbook_bundle(workbooks: DataFrame, cells: DataFrame, columns: DataFrame,
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     documents = good.select(F.col("workbook").alias("bundle"), F.lit("excel-snapshot").alias("document"), F.lit("excel").alias("source_project"), F.col("workbook").cast("string").alias("title"), F.concat(F.lit(f"{sheet}: {after}="), shown(F.col("now")), F.lit(f", {before}="), shown(F.col("was"))).alias("content"), F.lit(None).cast("string").alias("uri"), F.lit(True).alias("always"))
     rows = F.array(
-        F.struct(F.lit(0).alias("pos"), F.lit("e-c1").alias("ref"), F.lit("FACT").alias("modality"), F.concat(F.lit(f"{path} is "), shown(F.col("now"))).alias("statement"), F.lit(f"{sheet}!{after}").alias("quote")),
-        F.struct(F.lit(1).alias("pos"), F.lit("e-c2").alias("ref"), F.lit("DERIVED_FACT").alias("modality"), F.concat(F.lit(f"{path} grew by "), shown(growth), F.lit("%")).alias("statement"), F.lit(f"{sheet}!{before},{after}").alias("quote")),
+        F.struct(F.lit(0).alias("pos"), F.lit("e-c1").alias("ref"), F.lit("FACT").alias("modality"), F.concat(F.lit(f"{path} is "), shown(F.col("now"))).alias("statement"), F.lit(f"{sheet}!{after}").alias("quote"), F.col("now").alias("value")),
+        F.struct(F.lit(1).alias("pos"), F.lit("e-c2").alias("ref"), F.lit("DERIVED_FACT").alias("modality"), F.concat(F.lit(f"{path} grew by "), shown(growth), F.lit("%")).alias("statement"), F.lit(f"{sheet}!{before},{after}").alias("quote"), growth.cast("double").alias("value")),
     )
-    claims = good.withColumn("growth", growth).select(F.col("workbook").alias("bundle"), F.lit("excel-snapshot").alias("document"), "growth", F.explode(rows).alias("r")).where("r.pos = 0 OR growth IS NOT NULL")
-    claims = claims.select("bundle", "document", "r.pos", F.concat_ws(":", F.lit("excel"), F.col("bundle").cast("string"), F.col("r.pos").cast("string")).alias("item_id"), "r.ref", "r.quote", "r.statement", "r.modality")
+    claims = good.withColumn("growth", growth).select(F.col("workbook").alias("bundle"), F.lit("excel-snapshot").alias("document"), "now", "growth", F.explode(rows).alias("r")).where("r.pos = 0 OR growth IS NOT NULL")
+    claims = claims.select("bundle", "document", "r.pos", F.concat_ws(":", F.lit("excel"), F.col("bundle").cast("string"), F.col("r.pos").cast("string")).alias("item_id"), "r.ref", "r.quote", "r.statement", "r.modality", "r.value", F.col("now").alias("fact"))
     key = lambda c: good.select(F.lit(node).alias("node"), F.col("workbook").alias("node_id"), F.lit(path).alias("path"), F.col(c).alias("value")).drop("node")
     changed = changes(key("was"), key("now"), good.select(F.col("workbook").alias("node_id"), F.lit(path).alias("path"), F.lit("e-c1").alias("claim_ref"))).withColumn("node", F.lit(node))
     return documents, claims, changed, checked.where("error IS NOT NULL").select("workbook", "error")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
 from claimloom.functions import urls as U
-from claimloom.operators import adapters, corpus, graph, grounding, ingest, insights, intake, ranking, upkeep
+from claimloom.operators import adapters, corpus, graph, grounding, ingest, insights, intake, producers, ranking, upkeep
 from claimloom.operators.stored import GraphLedger
 from claimloom.plans import derived
 from claimloom.plans.derived import GRAPH_CTE, table
@@ -666,6 +666,96 @@ def e9_change_refs(spark, d):
     return adapters.comparison(changed, left_out).select("node_id", F.array_join("claim_refs", ",").alias("refs"), "kind")
 
 
+# From a producer's export over a review to the stored graph.
+
+
+def _stored_customers(spark, d) -> GraphLedger:
+    none = F.lit(None).cast("string")
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("name"), F.lit("CUSTOMER").alias("classification"), none.alias("description"), none.alias("properties"), F.array().cast("array<bigint>").alias("claim_ids"))
+    led = GraphLedger(spark, scratch_path(spark, "bundles"))
+    intake.ledger_of(intake.empty_tables(spark) | {"nodes": nodes}, led)
+    return led
+
+
+def _reviewed(spark, d, parts: tuple, graph_parts: tuple, items: DataFrame, needs: DataFrame | None = None) -> DataFrame:
+    """Approved parts folded into a ledger of customers, and its entities read back with their numbers of claims and relations."""
+    documents, claims = (materialize(p, "bundle") for p in parts)
+    needs = items.select("id", F.col("id").alias("parent")).where("false") if needs is None else needs
+    led = _stored_customers(spark, d)
+    intake.fold_into(materialize(adapters.approved_payloads(documents, claims, *graph_parts, items, needs), "payloads"), led)
+    n_claims = led.table("evidence").where("kind = 'node'").groupBy(F.col("owner_id").alias("id")).agg(F.count("*").alias("n_claims"))
+    n_edges = led.table("edges").select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("n_edges"))
+    none = F.lit(0).cast("bigint")
+    return led.table("nodes").join(n_claims, "id", "left").join(n_edges, "id", "left").select("name", "classification", "properties", F.coalesce("n_claims", none).alias("n_claims"), F.coalesce("n_edges", none).alias("n_edges"))
+
+
+@query(
+    "e12_news_to_graph",
+    """WITH p AS (SELECT conv_id AS c, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS pos FROM conversations), a AS (SELECT * FROM p WHERE c % 10 > 1 AND turn % 3 <> 2 AND pos < 2),
+n AS (SELECT c, pos, coalesce('C' || c_custkey, 'new ' || c) AS name, NULL AS r FROM a LEFT JOIN customer ON c_custkey = c + 1 WHERE pos = 0 UNION ALL SELECT c, pos, 'B' || c % 7, CASE WHEN pos = 1 THEN c END FROM a)
+SELECT name, CASE WHEN name LIKE 'C%' THEN 'CUSTOMER' ELSE 'COMPANY' END AS classification, coalesce('{"reports":{"news":{"of":' || max(r) || '}}}', '') AS properties, count(*) AS n_claims, count(*) FILTER (pos = 0) AS n_edges FROM n GROUP BY name""",
+)
+def e12_news_to_graph(spark, d):
+    """Articles with two actors: one that the reviewer ties to a stored customer (or a new one, where there is none), one that many share and that gets a report with the second point; the first point says that they are tied."""
+    c = F.col("id")
+    actor = lambda name, known, points, at, report: F.struct(name.alias("name"), F.lit("COMPANY").alias("classification"), known.cast("bigint").alias("existing_node_id"), points.alias("points"), at.cast("int").alias("report_point"), report.cast("string").alias("report"))
+    a = F.concat(F.lit("new "), c.cast("string"))
+    b = F.concat(F.lit("B"), (c % 7).cast("string"))
+    none = F.lit(None)
+    actors = F.array(actor(a, c + 1, F.array(F.lit(0), F.lit(0)), none, none), actor(b, none, F.array(F.lit(0), F.lit(1)), F.lit(1), F.concat(F.lit('{"of": '), c.cast("string"), F.lit("}"))))
+    ties = F.array(F.struct(a.alias("source"), b.alias("target"), F.lit("SUPPLIES").alias("relation"), F.lit(0).alias("point")))
+    items = materialize(_news(spark, d).withColumns({"bodyText": F.concat(F.lit("body "), c.cast("string")), "actors": actors, "ties": ties}), "articles")
+    documents, claims, _ = adapters.news_bundle(items)
+    chosen = claims.select(F.col("item_id").alias("id"), (F.regexp_extract("statement", r"([0-9]+)", 1).cast("int") % 3 != 2).alias("enabled"), F.lit(False).alias("blocked"))
+    out = _reviewed(spark, d, (documents, claims), producers.news_graph(items, claims), chosen)
+    return out.where("n_claims > 0").withColumn("properties", F.coalesce("properties", F.lit("")))
+
+
+@query(
+    "e16_notices_to_graph",
+    """WITH n AS (SELECT o_orderkey AS o, o_custkey AS c, o_orderkey % 2 = 0 AS fact FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT 'O' || c % 20 AS name, 'ORGANIZATION' AS classification, '' AS properties, count(*) AS n_claims, count(*) AS n_edges FROM n WHERE fact GROUP BY 1
+UNION ALL SELECT 'G' || o, 'PROGRAM', '{"budget":' || o || '}', 1 + fact::BIGINT, fact::BIGINT FROM n
+UNION ALL SELECT 'C' || c, 'CUSTOMER', '{"reports":{"gov":{"strategy":' || max(o) || '}}}', count(*), 0 FROM n GROUP BY c""",
+)
+def e16_notices_to_graph(spark, d):
+    """Notices of few organisers, a program each, and stored customers as subjects; reviewers left out the facts of every second notice, and rejected findings can't be chosen."""
+    o, k = F.col("id"), F.col("id").cast("string")
+    who = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    named = {
+        "local": F.concat(F.lit("local "), k), "snapshots": F.array().cast("array<struct<title: string, text: string>>"), "preparation": F.concat(F.lit('{"strategy":'), k, F.lit("}")),
+        "organiser": F.struct(F.concat(F.lit("O"), (F.col("o_custkey") % 20).cast("string")).alias("name"), F.lit(None).cast("bigint").alias("existing_node_id")),
+        "program": F.struct(F.concat(F.lit("G"), k).alias("name"), F.lit(None).cast("bigint").alias("existing_node_id"), F.concat(F.lit('{"budget":'), k, F.lit("}")).alias("properties")),
+        "subjects": F.array(F.struct(F.lit("chosen").alias("name"), F.col("o_custkey").alias("existing_node_id"))),
+    }
+    notices = materialize(_notices(spark, d).join(who, "id").withColumns(named), "notices")
+    documents, claims, _ = adapters.gov_bundle(notices)
+    chosen = claims.select(F.col("item_id").alias("id"), ((F.col("pos") != 0) | (F.col("bundle") % 2 == 0)).alias("enabled"), (F.col("destination") == "rejected").alias("blocked"))
+    out = _reviewed(spark, d, (documents, claims), producers.gov_graph(notices, claims), chosen)
+    return out.where("n_claims > 0").withColumn("properties", F.coalesce("properties", F.lit("")))
+
+
+@query(
+    "e17_workbooks_to_graph",
+    f"""WITH {_BOOK}, g AS (SELECT workbook AS w, now, CASE WHEN was <> 0 THEN trunc((now - was)::DOUBLE / was * 100) END AS growth, workbook % 3 <> 0 AS fact FROM b WHERE error IS NULL),
+v AS (SELECT w, coalesce('C' || c_custkey, 'W' || w) AS name, CASE WHEN fact THEN now END AS value, CASE WHEN fact AND w % 5 <> 0 THEN growth END AS growth FROM g LEFT JOIN customer ON c_custkey = w)
+SELECT name, value::DOUBLE AS value, value::DOUBLE AS told, growth::DOUBLE AS growth, (value IS NOT NULL)::BIGINT + (growth IS NOT NULL)::BIGINT AS n_claims, 0::BIGINT AS n_edges FROM v
+UNION ALL SELECT 'C' || c_custkey, NULL, NULL, NULL, 0, 0 FROM customer WHERE c_custkey NOT IN (SELECT w FROM v)""",
+)
+def e17_workbooks_to_graph(spark, d):
+    """An entity a workbook, stored already where there is a customer of that key. The growth needs the fact; an entity is there even if nothing is approved."""
+    documents, claims, _, _ = adapters.workbook_bundle(*_books(spark, d), "S", "C2", "B3", "C3", "Acme", "revenue")
+    claims = materialize(claims, "cells")
+    w = F.col("bundle")
+    subjects = documents.select("bundle", F.concat(F.lit("W"), w.cast("string")).alias("name"), F.lit("COMPANY").alias("classification"), w.cast("bigint").alias("existing_node_id"))
+    chosen = claims.select(F.col("item_id").alias("id"), F.when(F.col("ref") == "e-c1", w % 3 != 0).otherwise(w % 5 != 0).alias("enabled"), F.lit(False).alias("blocked"))
+    facts = claims.where("ref = 'e-c1'").select("bundle", F.col("item_id").alias("parent"))
+    needs = claims.where("ref = 'e-c2'").join(facts, "bundle").select(F.col("item_id").alias("id"), "parent")
+    out = _reviewed(spark, d, (documents, claims), producers.workbook_graph(claims, subjects, "revenue"), chosen, needs)
+    at = lambda path: F.get_json_object("properties", path).cast("double")
+    return out.select("name", at("$.metrics.revenue.value").alias("value"), at("$.reports.excel.facts.revenue.value").alias("told"), at("$.reports.excel.growth.revenue.value").alias("growth"), "n_claims", "n_edges")
+
+
 # Corpus.
 
 
