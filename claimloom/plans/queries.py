@@ -14,7 +14,7 @@ from claimloom.operators import adapters, corpus, grams, graph, grounding, inges
 from claimloom.plans import derived
 from claimloom.plans.derived import GRAPH_CTE, table
 from claimloom.plans.scratch import materialize, scratch_path
-from claimloom.streaming import extraction
+from claimloom.streaming import extraction, followups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -897,19 +897,37 @@ def g8_size_class(spark, d):
     return n.select("l_suppkey", "l_partkey", ranking.size_class(F.col("n")).alias("size"))
 
 
-@query(
-    "g10_ring_layout",
-    f"""{GRAPH_CTE}, {_WALK.format(center=CENTER, hops=2)}, n AS (SELECT count(*) AS n, least(250, greatest(145, round(count(*) * 56 / (2 * pi()))))::DOUBLE AS r FROM hops WHERE hop = 1),
+_RING = f"""{GRAPH_CTE}, {_WALK.format(center=CENTER, hops=2)}, n AS (SELECT count(*) AS n, least(250, greatest(145, round(count(*) * 56 / (2 * pi()))))::DOUBLE AS r FROM hops WHERE hop = 1),
 ring AS (SELECT id, -pi() / 2 + 2 * pi() * (row_number() OVER (ORDER BY id) - 1) / (SELECT n FROM n) AS angle FROM hops WHERE hop = 1),
 s AS (SELECT h.id, min({{'a': angle, 'p': ring.id}}) AS p FROM hops h JOIN ends e ON e.node = h.id JOIN ring ON ring.id = e.other WHERE hop = 2 GROUP BY 1),
-o AS (SELECT id, p.a + (row_number() OVER (PARTITION BY p.p ORDER BY id) - (count(*) OVER (PARTITION BY p.p) + 1) / 2.0::DOUBLE) * 0.18::DOUBLE AS angle FROM s)
-SELECT id, 1 AS hop, r AS radius, round(angle, 6) AS angle FROM ring, n UNION ALL SELECT id, 2, r + 110, round(angle, 6) FROM o, n UNION ALL SELECT {CENTER}, 0, 0, 0""",
+o AS (SELECT id, p.a + (row_number() OVER (PARTITION BY p.p ORDER BY id) - (count(*) OVER (PARTITION BY p.p) + 1) / 2.0::DOUBLE) * 0.18::DOUBLE AS angle FROM s),
+laid AS (SELECT id, 1 AS hop, r AS radius, angle FROM ring, n UNION ALL SELECT id, 2, r + 110, angle FROM o, n UNION ALL SELECT {CENTER}, 0, 0, 0)"""
+
+
+@query(
+    "g10_ring_layout",
+    f"{_RING} SELECT id, hop, radius, round(angle, 6) AS angle FROM laid",
 )
 def g10_ring_layout(spark, d):
     edges = derived.edges(spark, d)
     seen, _ = graph.reach(derived.nodes(spark, d), edges, CENTER, 2)
     return ranking.ring_layout(seen, edges).select("id", "hop", F.round("radius", 6).alias("radius"), F.round("angle", 6).alias("angle"))
 
+# The layout's places pushed apart, sixteen rounds over all pairs.
+_PUSHED = ", p0 AS MATERIALIZED (SELECT id, hop, radius * cos(angle) AS x, radius * sin(angle) AS y FROM laid)" + "".join(
+    f""", d{k} AS MATERIALIZED (SELECT a.id, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p{k} a JOIN p{k} b ON a.id <> b.id WHERE a.hop > 0 AND b.hop > 0),
+m{k} AS MATERIALIZED (SELECT id, sum(round(dx / dist * (80 - dist) * 0.225::DOUBLE * 1e9::DOUBLE)::BIGINT)::DOUBLE / 1e9::DOUBLE / count(*) AS mx, sum(round(dy / dist * (80 - dist) * 0.225::DOUBLE * 1e9::DOUBLE)::BIGINT)::DOUBLE / 1e9::DOUBLE / count(*) AS my FROM d{k} WHERE dist < 80 AND dist > 0.001::DOUBLE GROUP BY id),
+p{k + 1} AS MATERIALIZED (SELECT p.id, hop, x + coalesce(mx, 0) AS x, y + coalesce(my, 0) AS y FROM p{k} p LEFT JOIN m{k} m ON m.id = p.id)"""
+    for k in range(16)
+)
+
+
+@query("g10_relaxed_layout", f"{_RING}{_PUSHED} SELECT id, hop, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM p16")
+def g10_relaxed_layout(spark, d):
+    edges = derived.edges(spark, d)
+    seen, _ = graph.reach(derived.nodes(spark, d), edges, CENTER, 2)
+    return ranking.relaxed_layout(ranking.ring_layout(seen, edges)).select("id", "hop", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
+
 
 @query(
     "g11_largest_gap",
@@ -1084,3 +1102,19 @@ def s2_stream_retries(spark, d):
     attempts = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.when(F.col("event_type") == "click", "RETRY_PENDING").otherwise("FETCHED").alias("status"))
     outcomes = extraction.drain(extraction.retry_once(attempts), "append", scratch_path(spark, "stream"), scratch_path(spark, "stream-state"))
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    "s3_followup_queue",
+    """WITH a AS (SELECT user_id AS u, event_id AS seq, event_id % 40 AS id FROM events WHERE event_type <> 'purchase' AND user_id IS NOT NULL), f AS (SELECT u, id, min(seq) AS first_seq FROM a GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY first_seq) AS nth FROM f),
+t AS (SELECT user_id AS u, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL)
+SELECT 'u' || u AS queue, seq, id, CASE WHEN nth > 20 THEN 'FULL' WHEN seq = first_seq THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS outcome FROM a JOIN r USING (u, id)
+UNION ALL SELECT 'u' || t.u, t.seq + 1000000000000, coalesce(r.id, -1), CASE WHEN r.id IS NULL THEN 'EMPTY' ELSE 'TAKEN' END FROM t LEFT JOIN r ON r.u = t.u AND r.nth = t.nth AND r.nth <= 20""",
+)
+def s3_followup_queue(spark, d):
+    """Users' queues of at most twenty, filled by all events but purchases, each of which takes one afterwards."""
+    takes = F.col("event_type") == "purchase"
+    asked = _stream(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("queue"), (F.col("event_id") + F.when(takes, 10**12).otherwise(0)).alias("seq"), F.when(takes, "take").otherwise("ask").alias("kind"), (F.col("event_id") % 40).alias("id"))
+    with followups.rocksdb(spark):
+        out = extraction.drain(followups.outcomes(asked, limit=20), "append", scratch_path(spark, "queue"), scratch_path(spark, "queue-state"))
+    return out.select("queue", "seq", F.coalesce("id", F.lit(-1)).alias("id"), "outcome")
