@@ -95,7 +95,7 @@ DESTINATIONS = {"FACT": "graph", "DERIVED_FACT": "node_panel_only", "PLAN": "nod
 
 
 def route(statements: DataFrame) -> DataFrame:
-    """statements(modality, ...) with destination; an unknown modality is rejected with a reason."""
+    """statements(modality, ...) with destination and reason (columns of these names are replaced); an unknown or null modality is rejected with a reason."""
     table = F.create_map(*[F.lit(x) for kv in DESTINATIONS.items() for x in kv])
     to = table[F.col("modality")]
     return statements.withColumn("destination", F.coalesce(to, F.lit("rejected"))).withColumn("reason", F.when(to.isNull(), F.concat(F.lit("UNKNOWN_MODALITY:"), F.coalesce("modality", F.lit("")))))

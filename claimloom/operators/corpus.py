@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,28 +130,68 @@ def _without(rows: DataFrame, taken: DataFrame) -> DataFrame:
     return rows
 
 
+def _key_text(rows: DataFrame, column: str) -> Column:
+    """A key of any type as text, null apart from every value."""
+    value = F.hex(column) if rows.schema[column].dataType.simpleString() == "binary" else F.col(column).cast("string")
+    return F.coalesce(F.concat(F.lit("k"), value), F.lit("n"))
+
+
+def _quota_steps(need: int, ahead: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Decide the first rows of a run for its open slots, as far as all of them are known."""
+
+    def steps(rows: pd.DataFrame) -> pd.DataFrame:
+        of_slot = rows.groupby("k")["pos"].agg(["size", "max"])
+        horizon = of_slot.loc[of_slot["size"] == ahead, "max"].min()  # beyond it a slot may have rows that aren't here
+        counts, urls, bodies, out = list(rows["counts"].iloc[0]), set(), set(), []
+        for r in rows.drop_duplicates("pos").sort_values("pos").itertuples(index=False):
+            if r.pos > horizon:
+                break
+            open_ = [(n, k) for k, n in enumerate(counts) if r.has[k] and n < need]
+            if open_ and r.url not in urls and r.body not in bodies:
+                slot = min(open_)[1]
+                counts[slot] += 1
+                urls.add(r.url)
+                bodies.add(r.body)
+                out.append((r.of, r.pos, slot))
+        return pd.DataFrame(out, columns=["of", "pos", "slot"])
+
+    return steps
+
+
 def _quota_picks(rows: DataFrame, slots: list[str], need: int) -> DataFrame:
-    """(run, pos, url_key, body_key, slot): what each run selects until no slot needs more. One step for all runs finds the next row of each."""
+    """(run, pos, url_key, body_key, slot): what each run selects until no slot needs more.
+
+    A round looks at the first rows of each run and open slot, twice as many as a slot needs, and
+    decides them in order up to the first place where a slot might have further rows. So a round
+    holds a few rows a run whatever its size, and rounds are about as many as slots; each run
+    that can go on does. The helper columns are safe, since only run, pos, url_key, body_key and
+    has come in.
+    """
     schema = "run {}, pos bigint, url_key {}, body_key {}, slot string".format(*[rows.schema[c].dataType.simpleString() for c in ("run", "url_key", "body_key")])
     picks = rows.sparkSession.createDataFrame([], schema)
     if not slots or need <= 0:
         return picks
-    has = F.array(*[F.array_contains("tags", n) for n in slots])
-    some = rows.where(reduce(lambda x, y: x | y, [F.array_contains("tags", n) for n in slots])).withColumn("has", has)
+    has = F.array(*[F.coalesce(F.array_contains("tags", n), F.lit(False)) for n in slots])
+    some = rows.withColumn("has", has).where(F.exists("has", lambda x: x))
     some = materialize(some.groupBy("run", "url_key", "body_key", "has").agg(F.min("pos").alias("pos")), "quota-rows")
-    for _ in range(need * len(slots)):
+    ahead = 2 * need
+    while True:
         state = picks.groupBy(F.col("run").alias("_run")).agg(F.max("pos").alias("_last"), F.array(*[F.count_if(F.col("slot") == n) for n in slots]).alias("_counts"))
         left = _without(some, picks)
         left = left.join(state, left["run"].eqNullSafe(state["_run"]), "left").where("_last IS NULL OR pos > _last")
-        counts = [F.coalesce(F.col("_counts")[k], F.lit(0)) for k in range(len(slots))]
-        open_ = F.array_compact(F.array(*[F.when(F.col("has")[k] & (c < need), F.struct(c.alias("c"), F.lit(k).alias("k"))) for k, c in enumerate(counts)]))
-        slot = reduce(lambda out, k: F.when(F.array_min(open_)["k"] == k, slots[k]).otherwise(out), range(len(slots)), F.lit(None).cast("string"))
-        left = left.withColumn("slot", slot).where("slot IS NOT NULL")
-        more = materialize(left.groupBy("run").agg(F.min_by(F.struct("pos", "url_key", "body_key", "slot"), "pos").alias("r")).select("run", "r.*"), "quota-next")
-        if more.isEmpty():
-            break
+        counts = F.coalesce("_counts", F.array(*[F.lit(0).cast("bigint")] * len(slots)))
+        open_ = F.array_compact(F.array(*[F.when(F.col("has")[k] & (counts[k] < need), F.lit(k)) for k in range(len(slots))]))
+        each = left.select("run", "pos", "url_key", "body_key", "has", counts.alias("counts"), _key_text(rows, "run").alias("of"), _key_text(rows, "url_key").alias("url"), _key_text(rows, "body_key").alias("body"), F.explode(open_).alias("k"))
+        part = F.pmod(F.xxhash64("pos"), F.lit(64))
+        near = each.withColumn("part", part).withColumn("n", F.row_number().over(Window.partitionBy("of", "k", "part").orderBy("pos"))).where(F.col("n") <= ahead)
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("of", "k").orderBy("pos"))).where(F.col("n") <= ahead)
+        near = materialize(near, "quota-near")
+        if near.isEmpty():
+            return picks
+        decided = near.select("of", "pos", "has", "counts", "url", "body", "k").groupBy("of").applyInPandas(_quota_steps(need, ahead), "of string, pos bigint, slot int")
+        name = F.get(F.array(*[F.lit(n) for n in slots]), F.col("slot"))
+        more = near.dropDuplicates(["of", "pos"]).join(decided, ["of", "pos"]).select("run", "pos", "url_key", "body_key", name.alias("slot"))
         picks = materialize(picks.unionByName(more), "quota-picks")
-    return picks
 
 
 def _select_in_order(rows: DataFrame) -> DataFrame:
@@ -179,7 +221,7 @@ def select_with_quota(rows: DataFrame, slots: list[str], need: int, total: int |
     While a slot has fewer than `need`, a row must serve the emptiest slot among its tags that
     still needs one; later rows are selected without; `total`, if given, ends it. A row is a duplicate if it
     shares a key with a selected row before it. Null keys are equal. A run of any size is
-    decided by aggregates and joins over all runs at once, not by a task.
+    decided by aggregates and joins over all runs at once, and a few rows of it at a time in a task.
     """
     rows = materialize(rows.select("run", F.col("pos").cast("bigint").alias("pos"), "url_key", "body_key", "tags"), "quota-input")
     picks = _quota_picks(rows, slots, need)

@@ -129,7 +129,7 @@ def scan_with_class(nodes: DataFrame, classifications: DataFrame, where: Column
 
 
 def active_only(rows: DataFrame) -> DataFrame:
-    """Rows whose is_active is true; unknown counts as not."""
+    """Rows whose is_active is true; unknown counts as not, repeated rows stay."""
     return rows.where(F.coalesce("is_active", F.lit(False)))
 
 
@@ -174,7 +174,12 @@ def first_names(nodes: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def evidence(nodes: DataFrame, claims: DataFrame, documents: DataFrame, limit: int = 20, missing_title: str = "Untitled document") -> DataFrame:
-    """Newest claims of each node's claim_ids with their documents' titles: (node_id, claim_id, title, rank)."""
+    """Newest claims of each node's claim_ids with their documents' titles: (node_id, claim_id, title, rank), and the claims' other columns but those of these names.
+
+    A repeated reference counts once; references to no claim, and null lists, give nothing; a
+    claim without a document has missing_title.
+    """
+    claims = claims.drop("node_id", "claim_id", "title", "rank")
     wanted = nodes.select(F.col("id").alias("node_id"), F.explode(F.array_distinct(F.coalesce("claim_ids", F.array().cast("array<bigint>")))).alias("claim_id"))
     found = wanted.join(claims.withColumnRenamed("id", "claim_id"), "claim_id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("claim_id")))).where(F.col("rank") <= limit)

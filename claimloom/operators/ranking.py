@@ -13,7 +13,7 @@ from claimloom.plans.scratch import materialize
 
 
 def ranked_search(nodes: DataFrame, query: str, top: int = 6) -> DataFrame:
-    """Nodes by score: 15 for the classification, 10 for the name, 4 for the description; (id, name, score, reason). A blank query finds nothing."""
+    """Nodes by score: 15 for the classification, 10 for the name, 4 for the description; (id, name, score, reason). A blank query finds nothing; null texts count as empty; ties go to the newer id."""
     q = query.strip().lower()
     if not q:
         nodes = nodes.where("false")
@@ -27,7 +27,7 @@ def ranked_search(nodes: DataFrame, query: str, top: int = 6) -> DataFrame:
 
 
 def selection_lookup(nodes: DataFrame, text: str, top: int = 4) -> DataFrame:
-    """Up to 4 nodes for a marked text of 2 to 30 characters, with how they match."""
+    """Up to 4 nodes, newest first, for a marked text of 2 to 30 characters, with how they match; other texts find none, null texts of a node don't match."""
     q = text.strip().lower()
     if not 2 <= len(q) <= 30:
         return nodes.where("false").select("id", "name", F.lit(None).cast("string").alias("match"))
@@ -67,18 +67,22 @@ def preset_bounds(preset: str, today: Column) -> tuple[Column, Column]:
 
 
 def filtered_links(edges: DataFrame, matching: DataFrame) -> DataFrame:
-    """Edges with both ends among matching(id)."""
+    """Edges with both ends among matching(id), which may repeat; an edge with a null end goes."""
     ids = matching.select("id")
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
 def classify_links(edges: DataFrame, members: DataFrame, center: int, conflicting: tuple = (), undirected: tuple = ()) -> DataFrame:
-    """edges(id, source, target, relation, ...) among members with `kind`: backbone at the centre, cross between two direct neighbours, else outer; `conflict` and `directed` by relation; and `n_evidence`, the size of claim_ids where edges have them, else 0."""
-    hop = members.select("id", "hop")
-    e = edges.join(hop.withColumnsRenamed({"id": "source", "hop": "hop_s"}), "source").join(hop.withColumnsRenamed({"id": "target", "hop": "hop_t"}), "target")
-    kind = F.when((F.col("source") == center) | (F.col("target") == center), "backbone").when((F.col("hop_s") == 1) & (F.col("hop_t") == 1), "cross").otherwise("outer")
+    """edges(id, source, target, relation, ...) among members with `kind`: backbone at the centre, cross between two direct neighbours, else outer; `conflict` and `directed` by relation; and `n_evidence`, the size of claim_ids where edges have them, else 0.
+
+    Columns of these names are replaced. Members are unique; edges with an end that is null or no
+    member go; repeated edges stay. Without a relation `conflict` and `directed` are null.
+    """
+    hop, near, far = members.select("id", "hop"), fresh(edges, "hop_s"), fresh(edges, "hop_t")
+    e = edges.join(hop.withColumnsRenamed({"id": "source", "hop": near}), "source").join(hop.withColumnsRenamed({"id": "target", "hop": far}), "target")
+    kind = F.when((F.col("source") == center) | (F.col("target") == center), "backbone").when((F.col(near) == 1) & (F.col(far) == 1), "cross").otherwise("outer")
     n = F.coalesce(F.array_size("claim_ids"), F.lit(0)) if "claim_ids" in edges.columns else F.lit(0)
-    out = e.withColumn("kind", kind).withColumn("n_evidence", n)
+    out = e.withColumns({"kind": kind, "n_evidence": n}).drop(near, far)
     if "relation" in edges.columns:
         out = out.withColumn("conflict", F.col("relation").isin(*conflicting) if conflicting else F.lit(False)).withColumn("directed", ~F.col("relation").isin(*undirected) if undirected else F.lit(True))
     return out
@@ -98,7 +102,7 @@ def strand_count(n_evidence: Column) -> Column:
 
 
 def ring_layout(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, hop, radius, angle): direct neighbours evenly on a ring, the next ones around the parent's angle, all others evenly in the ring's widest gap.
+    """(id, hop, radius, angle) of members, each once: direct neighbours evenly on a ring, the next ones around the parent's angle, all others evenly in the ring's widest gap.
 
     members(id, hop). The first ring's radius grows with its count between fixed bounds; a node of
     the second ring stands near the least-angle parent of the first. Farther nodes share the
@@ -177,13 +181,15 @@ def largest_gap(angles: DataFrame, group: str, angle: str, full: float = 2 * mat
     """(group, start, gap): the widest empty arc of each group of angles in [0, full), around the circle; ties by the least start.
 
     Angles are cut into arcs of equal width; the widest gap within an arc is found there, and those
-    between arcs from their first and last angles, so no task orders a whole group.
+    between arcs from their first and last angles, so no task orders a whole group. Null angles
+    don't count, repeated ones once; a group of one angle has the whole circle. No angles, no rows.
     """
+    place, after = fresh(angles, "arc"), fresh(angles, "after")
     arc = F.floor(F.col(angle) * parts / full)
-    w = Window.partitionBy(group, "arc").orderBy(angle)
-    rows = angles.where(F.col(angle).isNotNull()).withColumn("arc", arc).withColumn("after", F.lead(angle).over(w))
-    inner = F.max(F.when(F.col("after").isNotNull(), F.struct((F.col("after") - F.col(angle)).alias("gap"), (-F.col(angle)).alias("m"))))
-    arcs = rows.groupBy(group, "arc").agg(F.min(angle).alias("low"), F.max(angle).alias("high"), inner.alias("inner"))
+    w = Window.partitionBy(group, place).orderBy(angle)
+    rows = angles.where(F.col(angle).isNotNull()).withColumn(place, arc).withColumn(after, F.lead(angle).over(w))
+    inner = F.max(F.when(F.col(after).isNotNull(), F.struct((F.col(after) - F.col(angle)).alias("gap"), (-F.col(angle)).alias("m"))))
+    arcs = rows.groupBy(group, F.col(place).alias("arc")).agg(F.min(angle).alias("low"), F.max(angle).alias("high"), inner.alias("inner"))
     around = Window.partitionBy(group).orderBy("arc")
     next_low = F.coalesce(F.lead("low").over(around), F.first("low").over(around) + full)
     ends = arcs.withColumn("between", F.struct((next_low - F.col("high")).alias("gap"), (-F.col("high")).alias("m")))

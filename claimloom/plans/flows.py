@@ -625,10 +625,16 @@ def e17_workbook_errors(spark, d):
     return adapters.workbook_bundle(*_books(spark, d), "S", "C2", "B3", "C3", "Acme", "revenue")[3]
 
 
-@query("e11_producers", "SELECT o_orderkey, 1::BIGINT AS rows_of FROM orders")
+@query(
+    "e11_producers",
+    f"WITH {_NOTICE} SELECT 'gov' AS kind, id, 2::BIGINT AS n FROM n WHERE error IS NULL UNION ALL SELECT 'news', conv_id, count(*) FROM conversations WHERE conv_id % 10 > 1 GROUP BY conv_id",
+)
 def e11_producers(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey")
-    return adapters.convert(" Excel", {"excel": lambda e: e.withColumn("rows_of", F.lit(1).cast("bigint"))}, rows)
+    """Exports by the names that their producers use, each converted by its own builder: claims of notices that may be shown, and of articles."""
+    per = lambda claims: claims.groupBy(F.col("bundle").alias("id")).agg(F.count("*").alias("n"))
+    builders = {"gov": lambda e: per(adapters.gov_bundle(e)[1].where("destination IN ('graph', 'node_panel_only')")), "news": lambda e: per(adapters.news_bundle(e)[1])}
+    found = [adapters.convert(name, builders, export).select(F.lit(kind).alias("kind"), "id", "n") for kind, name, export in (("gov", " Notice", _notices(spark, d)), ("news", "ARTICLE ", _news(spark, d)))]
+    return found[0].unionByName(found[1])
 
 
 @query(

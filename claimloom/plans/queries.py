@@ -755,7 +755,7 @@ def f20_duplicate_of(spark, d):
 
 @query(
     "f20_quota_selection",
-    """WITH RECURSIVE x AS (SELECT source AS run, doc_id AS pos, sha256(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS u, sha256(text) AS b, list_filter(['theon', 'ingth', 'erth'], lambda n: contains(lower(text), n)) AS tags, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE text IS NOT NULL),
+    """WITH RECURSIVE x AS (SELECT source AS run, doc_id AS pos, coalesce(sha256(regexp_replace(text, '[^A-Za-z]', '', 'g')), '') AS u, coalesce(sha256(text), '') AS b, list_filter(['theon', 'ingth', 'erth'], lambda n: contains(lower(coalesce(text, '')), n)) AS tags, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
 q AS (SELECT *, list_contains(tags, 'theon') AS t1, list_contains(tags, 'ingth') AS t2, list_contains(tags, 'erth') AS t3 FROM x),
 s AS (SELECT run, 0::BIGINT AS i, NULL::BIGINT AS pos, []::VARCHAR[] AS us, []::VARCHAR[] AS bs, 0 AS n1, 0 AS n2, 0 AS n3, NULL::VARCHAR AS status, NULL::VARCHAR AS slot FROM (SELECT DISTINCT run FROM q)
 UNION ALL SELECT run, i, pos, CASE WHEN status = 'SELECTED' THEN list_append(us, u) ELSE us END, CASE WHEN status = 'SELECTED' THEN list_append(bs, b) ELSE bs END,
@@ -766,10 +766,10 @@ FROM s JOIN q ON q.run IS NOT DISTINCT FROM s.run AND q.i = s.i + 1)))
 SELECT run, pos, status, slot FROM s WHERE i > 0""",
 )
 def f20_quota_selection(spark, d):
-    """Whole texts: their letters are the first key, all of them the second."""
+    """Whole texts: their letters are the first key, all of them the second; without a text both are null, and equal."""
     names = ["theon", "ingth", "erth"]
     letters = F.regexp_replace("text", "[^A-Za-z]", "")
-    rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("run"), F.col("doc_id").alias("pos"), F.sha2(letters, 256).alias("url_key"), F.sha2("text", 256).alias("body_key"), T.alias_tags(F.col("text"), {n: [n] for n in names}).alias("tags"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("run"), F.col("doc_id").alias("pos"), F.sha2(letters, 256).alias("url_key"), F.sha2("text", 256).alias("body_key"), T.alias_tags(F.col("text"), {n: [n] for n in names}).alias("tags"))
     return corpus.select_with_quota(rows, names, 3)
 
 
