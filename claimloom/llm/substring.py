@@ -225,7 +225,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     index = materialize(index, "passage-index")  # the joins below can split an anchor or window that many documents share only where both sides are shuffled for them
     hits = blocks.select("id", "anchor").join(index, "anchor").where("mixed OR id > first")
     reference = F.struct(F.col("anchor").alias("key"), F.col("first").alias("reference"), "place")
-    lists = hits.groupBy("id").agg(F.collect_set(F.when(F.col("mixed"), F.col("anchor"))).alias("mixed"), F.collect_list(F.when(~F.col("mixed"), reference)).alias("whole"))
+    lists = hits.groupBy("id").agg(F.collect_set(F.when(F.col("mixed"), F.col("anchor"))).alias("mixed"), F.collect_set(F.when(~F.col("mixed"), reference)).alias("whole"))
     lists = materialize(lists, "passage-blocks")
 
     at_edges = lists.where("size(mixed) > 0").select("id", "mixed")
