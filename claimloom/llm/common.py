@@ -12,11 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.operators.order import fresh
-from claimloom.plans.scratch import drop_table, materialize, release, scratch_path, shared_folder, write_table
+from claimloom.plans.scratch import drop_table, release, scratch_path, shared_folder, write_table
 
 __all__ = ["arrow_column", "bound_batches", "drop_table", "filter_bits", "fresh", "id_filter", "materialize", "release", "scratch_path", "shared_folder", "text_bytes", "write_table"]
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; lost executors then cost no recomputation."""
+    return write_table(df, label)[0]
+
+
 #: Most bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 

@@ -128,7 +128,7 @@ class GramIndex:
         spark = self.ledger.spark
         low = spark.createDataFrame(list(enumerate(parts)), "item_id int, quote string")
         found = self._candidates(_of_quotes(low)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(parts))
-        return self.ledger.lookup("texts", found.select("id")).where(held)
+        return self.ledger.lookup("texts", materialize(found.select("id"), "search-found")).where(held)
 
 
 def index_nodes(spark: SparkSession, nodes: DataFrame, path: str) -> GramIndex:
@@ -141,4 +141,4 @@ def index_nodes(spark: SparkSession, nodes: DataFrame, path: str) -> GramIndex:
 def search_nodes(index: GramIndex, nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """graph.search with an index: the newest nodes whose name or description holds the trimmed query, in any case."""
     found = index.like(query.strip()).select(F.floor(F.col("id") / 2).cast("bigint").alias("id")).distinct()
-    return nodes.join(found, "id", "left_semi").orderBy(F.desc("id")).limit(limit)
+    return materialize(nodes.join(found, "id", "left_semi").orderBy(F.desc("id")).limit(limit), "search-newest")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,31 @@ def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+_STATIC, _MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Jobs started within it broadcast a side of a join (without a hint) by what its shuffle has measured, not by the size of its files.
+
+    Ids and repeated names take a hundredth of their memory in Parquet files, so a side that looks
+    small there can be more than a driver holds. The session's limit stays the same, and so does the
+    session afterwards.
+    """
+    before = {key: spark.conf.get(key, None) for key in (_STATIC, _MEASURED)}
+    spark.conf.set(_MEASURED, before[_MEASURED] or spark.conf.get(_STATIC))
+    spark.conf.set(_STATIC, "-1")
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back; lost executors then cost no recomputation."""
-    return write_table(df, label)[0]
+    with measured_broadcasts(df.sparkSession):
+        return write_table(df, label)[0]
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
