@@ -5,6 +5,11 @@ edges of a hub (a node with more than HUB_EDGES) are dealt into parts, and a fro
 repeated for these, so that no task joins all of them. A hop reduces (centre, other) to the least edge
 before it is shuffled, and a limit keeps each centre's first nodes by bounded top-k, in parts first.
 
+With a limit, a hop reads only the head of each node's edges: of a node's neighbours by least edge,
+those behind the first limit + visited ones have as many unvisited ones before them as the limit
+lets through. So centres that share a hub don't list all of it each; only `omitted`, which counts
+what is left out and isn't computed before it is read, does.
+
 Defined results: centres that aren't nodes, and null centres, give no rows; repeated centres count
 once. Ties, limits, tiers and filling are those of `graph.reach`, `graph.ambient_fill` and
 `graph.induced_edges`, for each centre by itself.
@@ -53,18 +58,34 @@ def _around(frontier: DataFrame, at: Layout, few: bool) -> DataFrame:
     return at.ends.join(F.broadcast(f) if few else f, ["node", "part"]).select("center", "other", "edge")
 
 
+def heads(at: Layout, most: int) -> DataFrame:
+    """(node, other, edge): each node's first neighbours by least edge, `most` of them."""
+    least = at.ends.groupBy("node", "other").agg(F.min("edge").alias("edge"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("edge", "other"))
+    return materialize(least.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth"), "edge-heads")
+
+
 def reach(nodes: DataFrame, at: Layout, centers: DataFrame, max_hops: int, hop_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(center, id, hop) and (center, omitted) for centers(center), as graph.reach for each."""
     start = centers.select(F.col("center").cast("bigint").alias("id")).distinct().join(nodes.select("id"), "id", "left_semi")
     frontier = materialize(start.select(F.col("id").alias("center"), "id", F.lit(0).alias("hop")), "hop")
+    # A centre has visited itself and at most the limit a hop before.
+    first = None if hop_limit is None else heads(at, hop_limit * max_hops + 1)
     visited, omitted, size = frontier, frontier.select("center", F.lit(0).cast("bigint").alias("omitted")), frontier.count()
     for hop in range(1, max_hops + 1):
         if not size:
             break
-        found = _around(frontier, at, size <= ROWS_SENT).groupBy("center", F.col("other").alias("id")).agg(F.min("edge").alias("edge"))
-        new = materialize(found.join(visited.select("center", "id"), ["center", "id"], "left_anti"), "hop-all")
+        few, seen = size <= ROWS_SENT, visited.select("center", "id")
+        if first is None:
+            around = _around(frontier, at, few)
+        else:
+            f = frontier.select("center", F.col("id").alias("node"))
+            around = first.join(F.broadcast(f) if few else f, "node").select("center", "other", "edge")
+        found = around.groupBy("center", F.col("other").alias("id")).agg(F.min("edge").alias("edge"))
+        new = materialize(found.join(seen, ["center", "id"], "left_anti"), "hop-all")
         if hop_limit is not None:
-            beyond = new.groupBy("center").agg(F.greatest(F.count("*") - hop_limit, F.lit(0)).alias("omitted"))
+            every = _around(frontier, at, few).select("center", F.col("other").alias("id")).distinct().join(seen, ["center", "id"], "left_anti")
+            beyond = every.groupBy("center").agg(F.greatest(F.count("*") - hop_limit, F.lit(0)).alias("omitted"))
             omitted = omitted.unionByName(beyond)
             nth = F.row_number().over(Window.partitionBy("center").orderBy("edge", "id"))
             new = new.withColumn("nth", nth).where(F.col("nth") <= hop_limit)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.operators import graph, neighbourhoods
 
@@ -72,3 +73,19 @@ def test_one_centre_is_the_same_as_alone(spark, tables):
     assert many.omitted.where("center = 7").first()["omitted"] == alone.omitted
     assert neighbourhoods.subgraphs(nodes, table.where("false"), spark.createDataFrame([(7,)], "center long"), 2, 5, fill=False).nodes.count() == 1
     assert neighbourhoods.subgraphs(nodes, table, spark.createDataFrame([], "center long")).nodes.count() == 0
+
+
+def test_centres_at_a_hub_do_not_list_all_of_it(spark, monkeypatch):
+    """Three hundred centres around one hub: a hop writes the limit and what was visited for each, and the result is that of each centre alone."""
+    nodes = spark.range(301).select("id")
+    edges = spark.range(1, 301).select("id", F.col("id").alias("source"), F.lit(0).cast("bigint").alias("target"))
+    written = []
+    real = neighbourhoods.materialize
+    monkeypatch.setattr(neighbourhoods, "materialize", lambda df, label: written.append((label, real(df, label))) or written[-1][1])
+    at = neighbourhoods.layout(edges)
+    visited, omitted = neighbourhoods.reach(nodes, at, nodes.select(F.col("id").alias("center")), 2, 3)
+    assert max(df.count() for label, df in written if label == "hop-all") <= 301 * 7
+    for center in (0, 2, 300):
+        alone, left_out = graph.reach(nodes, edges, center, 2, 3)
+        assert {tuple(r) for r in visited.where(F.col("center") == center).select("id", "hop").collect()} == {tuple(r) for r in alone.collect()}
+        assert omitted.where(F.col("center") == center).first()["omitted"] == left_out
