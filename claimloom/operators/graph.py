@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.order import fresh, row_numbers
 from claimloom.plans.scratch import materialize
 
 #: Tier of a node by the hop at which it is first reached; farther ones are ambient.
@@ -252,6 +253,12 @@ def page_after(df: DataFrame, keys: list[str], values: list | None, size: int) -
     return df.orderBy(*keys).limit(size)
 
 
+def pages(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """df with `page`, from 0: all pages that page_after gives from cursor to cursor, at once. Keys are unique."""
+    nth = fresh(df, "nth")
+    return row_numbers(df, [], keys, nth).withColumn("page", F.floor((F.col(nth) - 1) / size).cast("bigint")).drop(nth)
+
+
 def prompt_text(inputs: DataFrame, claims: DataFrame, edges: DataFrame, reserved: list[str], most_claims: int = 30, most_edges: int = 20) -> DataFrame:
     """(id, prompt): name, description, shown properties, first claims and edges of each node, a line each.
 

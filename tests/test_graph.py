@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.operators import graph
 
@@ -68,3 +69,17 @@ def test_fingerprints_find_stale_work(spark, tiny):
     assert graph.stale(inputs, done).count() == 0
     assert rows(graph.stale(graph.insight_inputs(nodes, edges.where("id <> 6")), done), "id") == [(4,), (5,)]
     assert graph.accept_fresh(done, graph.insight_inputs(nodes, edges.where("id <> 6"))).count() == 6
+
+
+def test_all_pages_at_once_are_those_of_cursors(spark):
+    """Number of jobs and rows in the driver don't follow the pages: the result is the operator's own, over any number of rows."""
+    df = spark.range(95).select((F.col("id") % 3).cast("string").alias("code"), F.col("id"))
+    paged, values = {}, None
+    while True:
+        rows = graph.page_after(df, ["code", "id"], values, 10).collect()
+        number = max(paged.values(), default=-1) + 1
+        paged |= {r["id"]: number for r in rows}
+        if len(rows) < 10:
+            break
+        values = graph.decode_cursor(graph.encode_cursor("all", "x", list(rows[-1])), "all", "x", (str, int))
+    assert {r["id"]: r["page"] for r in graph.pages(df, ["code", "id"], 10).collect()} == paged
