@@ -189,9 +189,9 @@ def evidence(nodes: DataFrame, claims: DataFrame, documents: DataFrame, limit: i
 
 
 def incident_edges(edges: DataFrame, limit: int = 50) -> DataFrame:
-    """(node, edge, rank): the first edges of each node by id; a self-loop once."""
-    ends = undirected(edges).select("node", "edge").distinct()
-    return ends.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("edge"))).where(F.col("rank") <= limit)
+    """(node, edge, rank): the first edges of each node by id; a self-loop once. Lists are cut before repeats are taken out, so that no task gathers all ends."""
+    ends = undirected(edges).select("node", "edge")
+    return ends.withColumn("rank", F.dense_rank().over(Window.partitionBy("node").orderBy("edge"))).where(F.col("rank") <= limit).distinct()
 
 
 def insight_inputs(nodes: DataFrame, edges: DataFrame, most_claims: int = 100, most_edges: int = 50) -> DataFrame:

@@ -83,3 +83,12 @@ def test_all_pages_at_once_are_those_of_cursors(spark):
             break
         values = graph.decode_cursor(graph.encode_cursor("all", "x", list(rows[-1])), "all", "x", (str, int))
     assert {r["id"]: r["page"] for r in graph.pages(df, ["code", "id"], 10).collect()} == paged
+
+
+def test_first_edges_are_cut_before_repeats_go(spark):
+    """A self-loop and a repeated row count once, and what is gathered are the first edges only."""
+    edges = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (2, 1, 2), (3, 2, 1), (4, 1, 3)], "id long, source long, target long")
+    found = graph.incident_edges(edges, 2)
+    assert rows(found, "node", "edge", "rank") == [(1, 1, 1), (1, 2, 2), (2, 2, 1), (2, 3, 2), (3, 4, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Window")
