@@ -45,3 +45,11 @@ def test_numbers_over_all_rows_are_read_without_a_shuffle(spark):
     got = row_numbers(df, [], ["o"], "n")
     assert "hashpartitioning(span" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: r["n"] for r in got.collect()} == {i: 1000 - i for i in range(1000)}
+
+
+def test_reviewed_entities_are_joined_by_measured_sizes(spark):
+    from claimloom.plans import flows
+
+    got = flows.e16_notices_to_graph(spark, "/root/testdata/sf0.001")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # joined in materialize, not by sizes of files
+    assert got.where("classification = 'PROGRAM'").count() > 0
