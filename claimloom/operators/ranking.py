@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.functions.text import blank, strip
 from claimloom.operators.order import fresh, row_numbers
@@ -129,6 +133,45 @@ def ring_layout(members: DataFrame, edges: DataFrame) -> DataFrame:
     return center.unionByName(ring).unionByName(outer).unionByName(rest)
 
 
+#: Points of a block: two of them meet in one task.
+BLOCK = 4096
+_STRIP = 128
+
+
+def _strips(x: np.ndarray, y: np.ndarray, width: float) -> list[tuple]:
+    """(places, x, y, low x, high x, low y, high y) of up to _STRIP points each that lie close together."""
+    order = np.lexsort((y, np.floor(x / width)))
+    cut = [order[k : k + _STRIP] for k in range(0, len(order), _STRIP)]
+    return [(s, x[s], y[s], x[s].min(), x[s].max(), y[s].min(), y[s].max()) for s in cut]
+
+
+def _push_blocks(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, distance: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of two blocks' points (of one block's, if it is the same), what each point gets along x and along y (integers of 1e-9), and from how many."""
+    a, b = np.zeros((3, len(ax)), np.int64), np.zeros((3, len(bx)), np.int64)
+    left = _strips(ax, ay, distance / 4)
+    right = left if same else _strips(bx, by, distance / 4)
+    for i, (at, x, y, low_x, high_x, low_y, high_y) in enumerate(left):
+        for to, u, v, low_u, high_u, low_v, high_v in right[i:] if same else right:
+            if low_u - high_x >= distance or low_x - high_u >= distance or low_v - high_y >= distance or low_y - high_v >= distance:
+                continue
+            along = x[:, None] - u, y[:, None] - v
+            dist = np.sqrt(along[0] * along[0] + along[1] * along[1])
+            near = (dist < distance) & (dist > 0.001)
+            dist[~near] = distance  # lacks nothing, so pushes by 0
+            lack = distance - dist
+            alone = same and to is at
+            for k, d in enumerate(along):
+                push = d / dist * lack * 0.225 * 1e9
+                push = np.trunc(push + np.copysign(np.nextafter(0.5, 0.0), push))  # half away from zero, as SQL rounds
+                a[k, at] += push.sum(axis=1).astype(np.int64)
+                if not alone:
+                    b[k, to] -= push.sum(axis=0).astype(np.int64)
+            a[2, at] += near.sum(axis=1)
+            if not alone:
+                b[2, to] += near.sum(axis=0)
+    return a, b
+
+
 def relaxed(points: DataFrame, distance: float = 80.0, rounds: int = 16, by: tuple[str, ...] = ()) -> DataFrame:
     """points(id, x, y) with those nearer than distance pushed apart, round by round; the other columns stay.
 
@@ -136,32 +179,52 @@ def relaxed(points: DataFrame, distance: float = 80.0, rounds: int = 16, by: tup
     and a push is 0.225 of what the pair lacks in distance, along their line. (Pushing pair after
     pair depends on the order of all pairs; for a point with one near neighbour both are the
     same, and means keep crowds from overshooting.) Neighbours are looked for in a point's cell of
-    a grid and the eight around it, so no round compares all pairs; within a crowded cell it does,
-    dealt by cell, which adaptive execution splits. With `by`, points push within equal values
-    only: many layouts relax in one job. Pushes are summed as integers of 1e-9, so reruns agree.
+    a grid and the eight around it, so no round compares all pairs. Within a crowded cell it does:
+    cells are dealt into blocks of about BLOCK points, and each pair of blocks is looked at once,
+    for both sides, in tasks that are dealt by pairs of blocks however few bytes these take. With
+    `by`, points push within equal values only: many layouts relax in one job. Pushes are summed
+    as integers of 1e-9, so reruns agree.
 
     ids are unique within `by`. Points that (nearly) coincide don't push each other; null or NaN
     places, and rows with a null in `by`, neither push nor move. An empty table stays empty. Stops
     early once nothing moves.
     """
-    by_, names = list(by), {}
-    for name in ("cell_x", "cell_y", "other", "other_x", "other_y", "to_x", "to_y", "n_near"):
-        names[name] = fresh(points, name)
-    cx, cy, other, ox, oy, tx, ty, n = names.values()
-    now = materialize(points, "relax")
+    by_, spark = list(by), points.sparkSession
+    tx, ty, n = (fresh(points, name) for name in ("to_x", "to_y", "n_near"))
+    kept = [points.schema[c] for c in (*by_, "id")]
+    # Names of the helper tables' own columns: by and id by place, since any name may be among them.
+    keys = [f"by_{k}" for k in range(len(by_))]
+    result = T.StructType([*[T.StructField(k, f.dataType) for k, f in zip([*keys, "id"], kept, strict=True)], *[T.StructField(c, T.LongType()) for c in ("px", "py", "n")]])
+    pair = [*keys, "left_x", "left_y", "left_block", "right_x", "right_y", "right_block"]
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cell = lambda c: F.floor(F.col(c) / distance)
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    units = 1e9
+
+    def push(rows: pd.DataFrame) -> pd.DataFrame:
+        same = all(rows[f"left_{c}"].iat[0] == rows[f"right_{c}"].iat[0] for c in ("x", "y", "block"))
+        a, b = rows[rows["is_left"]], rows[~rows["is_left"]]
+        sums = _push_blocks(*(side[c].to_numpy() for side in (a, a if same else b) for c in ("x", "y")), distance, same)
+        sides = [(a, sums[0] + sums[1])] if same else [(a, sums[0]), (b, sums[1])]
+        out = [side[[*keys, "id"]].assign(px=s[0], py=s[1], n=s[2])[s[2] > 0] for side, s in sides]
+        return pd.concat(out, ignore_index=True)
+
+    now = materialize(points, "relax")
     for _ in range(rounds):
-        placed = now.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-        mine = placed.select(*by_, "id", "x", "y", cell("x").alias(cx), cell("y").alias(cy))
-        near = placed.select(*by_, F.col("id").alias(other), F.col("x").alias(ox), F.col("y").alias(oy), around.alias(n))
-        near = near.select(*by_, other, ox, oy, (cell(ox) + F.col(n)["i"]).alias(cx), (cell(oy) + F.col(n)["j"]).alias(cy))
-        dx, dy = F.col("x") - F.col(ox), F.col("y") - F.col(oy)
-        dist = F.sqrt(dx * dx + dy * dy)
-        pairs = mine.join(near, [*by_, cx, cy]).where((F.col("id") != F.col(other)) & (dist < distance) & (dist > 0.001))
-        push = lambda along: F.sum(F.round(along / dist * (distance - dist) * 0.225 * units).cast("bigint")).cast("double") / units / F.count("*")
-        moves = pairs.groupBy(*by_, "id").agg(push(dx).alias(tx), push(dy).alias(ty), F.count("*").alias(n))
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by_, "id")])
+        placed = now.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").where(known)
+        mine = placed.select(*[F.col(c).alias(k) for c, k in zip(by_, keys, strict=True)], "id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+        cells = mine.groupBy(*keys, "cx", "cy").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        cells = materialize(cells, "relax-cells")
+        dealt = mine.join(cells, [*keys, "cx", "cy"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+        met = dealt.select("*", around.alias("d")).withColumns({"ox": F.col("cx") + F.col("d.i"), "oy": F.col("cy") + F.col("d.j")})
+        met = met.join(cells.withColumnsRenamed({"cx": "ox", "cy": "oy"}), [*keys, "ox", "oy"])
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        mine_, theirs = F.struct("cx", "cy", F.col("block").alias("b")), F.struct(F.col("ox").alias("cx"), F.col("oy").alias("cy"), F.col("other").alias("b"))
+        met = met.withColumns({"is_left": mine_ <= theirs, "l": F.least(mine_, theirs), "r": F.greatest(mine_, theirs)})
+        met = met.select(*keys, *[F.col(f"{side[0]}.{c}").alias(f"{side}_{name}") for side in ("left", "right") for c, name in (("cx", "x"), ("cy", "y"), ("b", "block"))], "is_left", "id", "x", "y")
+        pushes = met.repartition(tasks, *pair).groupBy(*pair).applyInPandas(push, result)
+        mean = lambda c: F.sum(c).cast("double") / 1e9 / F.sum("n")
+        moves = pushes.groupBy(*keys, "id").agg(mean("px").alias(tx), mean("py").alias(ty), F.sum("n").alias(n)).withColumnsRenamed(dict(zip(keys, by_, strict=True)))
         shift = lambda c, by: F.col(c) + F.coalesce(by, F.lit(0.0))
         moved = materialize(now.join(moves, [*by_, "id"], "left").withColumns({"x": shift("x", tx), "y": shift("y", ty)}).drop(tx, ty), "relax")
         now = moved.select(*points.columns)

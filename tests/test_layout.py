@@ -39,3 +39,22 @@ def test_pairs_without_places_and_coinciding_ones(spark):
     assert (got[1].x, got[2].x, got[5].x) == (0.0, 0.0, None) and math.isnan(got[6].x)
     assert (got[3].x, got[4].x) == (491.0, 549.0)  # 0.225 of the 40 that they lack, each
     assert ranking.relaxed(spark.createDataFrame([], "id bigint, x double, y double")).count() == 0
+
+
+def test_blocks_of_a_crowd_meet_once_and_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", 40)
+    rng = random.Random(5)
+    rows = [(i, rng.uniform(-30, 30), rng.uniform(70, 130)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double")
+    got = {r.id: (r.x, r.y) for r in ranking.relaxed(df, rounds=3).collect()}
+    want = brute({i: (x, y) for i, x, y in rows}, 80.0, 3)
+    assert max(math.dist(got[i], p) for i, p in want.items()) < 1e-6
+    groups, apply = [], type(df.groupBy("id")).applyInPandas
+
+    def seen(grouped, *args):
+        groups.append(grouped._df.rdd.getNumPartitions())
+        return apply(grouped, *args)
+
+    monkeypatch.setattr(type(df.groupBy("id")), "applyInPandas", seen)
+    ranking.relaxed(df, rounds=1).collect()
+    assert min(groups) >= 4 * spark.sparkContext.defaultParallelism  # a few bytes, but not one task
