@@ -106,7 +106,10 @@ def documents(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     own = strip(F.col(text_of))
     title = F.when(F.col(is_url), F.col(f"{address} title")).when(F.col(is_file), F.coalesce(named, kind)).otherwise(strip(F.translate(F.coalesce(named, F.substring(own, 1, 30)), "\n", " ")))
     content = F.when(F.col(is_url), F.col(f"{address} content")).when(F.col(is_file), F.col(text_of)).otherwise(own)
-    out = x.join(read, address, "left").withColumns({"title": title, "content": content})
+    # Only addresses are joined: texts and files stay where they are, instead of all lying in the task of the null address.
+    found = x.where(F.col(is_url)).join(read, address, "left")
+    rest = x.where(~F.col(is_url)).withColumns({f"{address} {c}": F.lit(None).cast("string") for c in ("title", "content")})
+    out = found.unionByName(rest).withColumns({"title": title, "content": content})
     return out.drop(address, text_of, is_url, is_file, f"{address} title", f"{address} content")
 
 

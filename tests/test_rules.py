@@ -427,3 +427,19 @@ def test_columns_of_the_input_with_helpers_names_stay(spark):
     assert rows(sample, "id", "hash_", "picked_") == rows(plain, "id", "hash", "picked") and sample.where("picked_ = 'stratum'").count() == 2
     strata = kept(corpus.strata_sample(t, "id", [("host", 2, ["h0", "h1"])], 5, "salt"))
     assert rows(strata.groupBy("picked_").count(), "picked_", "count") == [("fill", 1), ("host", 4)]
+
+
+def test_texts_are_not_shuffled_to_the_task_of_no_address(spark, tmp_path):
+    path = str(tmp_path / "sources")
+    spark.range(300).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'text' END AS source_type", "CAST('p' || id AS BINARY) AS data", "'' AS name").write.parquet(path)
+    fetched = spark.range(0, 300, 6).selectExpr("'p' || id AS url", "'<p>x</p>' AS html")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = readers.documents(spark.read.parquet(path), fetched)
+        found = out.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.id, r.content) for r in found) == [(i, ("x" if i % 6 == 0 else None) if i % 3 == 0 else f"p{i}") for i in range(300)]
+    joined = {r.part for r in found if r.source_type == "url"}
+    assert all(r.part not in joined for r in found if r.source_type != "url")
