@@ -10,16 +10,21 @@ the counts of its grams, the postings of the rarest, and the buckets of the cand
 
 Defined results: null quotes and texts match nothing, and an empty quote is in no text. Quotes
 and texts are compared as they are, or both in lower case. Grams are taken by UTF-16 units: a
-character that takes two can only add candidates. Of rows that share an id in an addition, none may be.
+character that takes two can only add candidates. On the fly they are numbers, made of code points.
+Of rows that share an id in an addition, none may be.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.plans.scratch import materialize
 from claimloom.sources.ledger import Ledger, Table
@@ -27,6 +32,8 @@ from claimloom.sources.ledger import Ledger, Table
 LONGEST = 3
 #: Grams of a quote whose texts are joined.
 RAREST = 2
+#: Bits of a code point, plus one, in a gram's number, and rows of grams that are handed on at once.
+_BITS, _ROWS = 21, 200_000
 
 TABLES = {
     "texts": Table("id bigint, text string", ("id",), ("id",)),
@@ -50,6 +57,34 @@ def _of_quotes(quotes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _numbers(text: bytes, widths: list[int] | None) -> np.ndarray:
+    """Distinct runs of so many characters (without widths: of three, or the whole of a shorter text) as numbers, which tell their length, too."""
+    chars = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.int64) + 1
+    found = []
+    for k in [min(len(chars), LONGEST)] if widths is None else widths:
+        if 0 < k <= len(chars):
+            found.append(np.unique(sum(chars[j : len(chars) - k + 1 + j] << (_BITS * j) for j in range(k))))
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def _numbered(rows: DataFrame, key: str, text: str, widths: list[int] | None = None) -> DataFrame:
+    """(key, gram bigint) of rows(key, text), a row for each distinct gram of a text."""
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, n = [], [], 0
+            for i, value in enumerate(batch.column(1)):
+                at.append(i)
+                found.append(_numbers(value.as_py(), widths))
+                n += len(found[-1])
+                if n >= _ROWS or i == batch.num_rows - 1:
+                    ids = batch.column(0).take(pa.array(np.repeat(at, [len(x) for x in found])))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(found))], names=[key, "gram"])
+                    at, found, n = [], [], 0
+
+    return rows.select(key, F.col(text).cast("binary").alias("bytes")).where("bytes IS NOT NULL").mapInArrow(numbers, T.StructType([rows.schema[key], T.StructField("gram", T.LongType())]))
+
+
 def _rarest(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """(item_id, gram, chosen): of wanted(item_id, gram) each item's rarest grams by counts(gram, n), and their number; no row for an item with a gram that no text has."""
     known = wanted.join(counts, "gram", "left")
@@ -67,13 +102,13 @@ def _candidates(rarest: DataFrame, postings: DataFrame, key: str) -> DataFrame:
 
 def candidates(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(item_id, doc_id): pairs of quotes(item_id, quote) and texts(doc_id, text) that may match, all that do among them. Ids are unique."""
-    wanted = materialize(_of_quotes(quotes), "quote-grams")
+    wanted = materialize(_numbered(quotes, "item_id", "quote"), "quote-grams")
     needed = wanted.select("gram").distinct()
-    widths = sorted(r[0] for r in needed.select(F.length("gram")).distinct().collect())
+    width = F.when(F.col("gram") < 1 << _BITS, 1).when(F.col("gram") < 1 << (2 * _BITS), 2).otherwise(LONGEST)
+    widths = sorted(r[0] for r in needed.select(width).distinct().collect())
     if not widths:
         return texts.join(quotes, F.lit(False)).select("item_id", "doc_id")
-    every = F.flatten(F.array(*[runs(F.col("text"), k) for k in widths]))
-    seen = materialize(texts.select("doc_id", F.explode(every).alias("gram")).join(needed, "gram", "left_semi"), "text-grams")
+    seen = materialize(_numbered(texts, "doc_id", "text", widths).join(needed, "gram", "left_semi"), "text-grams")
     counts = materialize(seen.groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
     return _candidates(materialize(_rarest(wanted, counts), "rarest-grams"), seen, "doc_id")
 

@@ -46,3 +46,14 @@ def test_an_index_follows_changes(spark, tmp_path):
     for pattern in ("a_b", "a%ß", "%", "b"):
         expected = {x["id"] for x in frame(list(want.items())).where(f"text ILIKE '%{pattern}%'").collect()}
         assert {x["id"] for x in index.like(pattern).collect()} == expected, pattern
+
+
+def test_grams_on_the_fly_are_numbers_of_whole_characters(spark):
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefgh \u00df\U0001f600") for _ in range(20_000))
+    held = {grams._numbers(text[a : a + k].encode(), [k])[0] for k in (1, 3) for a in range(len(text) - k + 1)}
+    assert set(grams._numbers(text.encode(), [1, 3])) == held and len(grams._numbers(b"ab", None)) == 1 and not len(grams._numbers(b"", None))
+    docs = spark.range(1000).selectExpr("id AS doc_id", "concat(repeat('abcdefgh \u00df', 300), id, 'x') AS text")
+    quotes = spark.createDataFrame([(k, f"{k}x") for k in range(0, 10)] + [(100, "zz"), (101, None)], "item_id long, quote string")
+    got = {(x["item_id"], x["doc_id"]) for x in grams.candidates(quotes, docs).collect()}
+    assert got == {(k % 10, k) for k in range(1000)}
