@@ -17,11 +17,14 @@ seqs are taken by kind, then id. An empty stream gives nothing.
 
 A queue is serial: its events of one batch are sorted in one task. Queues that are too large are
 dealt into shards by id (`dealt`), which keeps ids single; the limit is a shard's then. Places are
-counted up, so an event costs a constant number of state reads however many wait.
+counted up, so an event costs a constant number of state reads however many wait. Entries of
+neighbouring ids, and of neighbouring places, share a row of state: a batch reads and writes each
+row once, since every call to the store costs more than an event does.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -60,31 +63,44 @@ def dealt(events: DataFrame, shards: int) -> DataFrame:
     return events.withColumn("queue", F.concat_ws("/", "queue", F.pmod(F.xxhash64(by), F.lit(shards)).cast("string")))
 
 
+#: Neighbouring numbers whose entries share a row of state.
+BLOCK = 64
+
+
 class _Map:
-    """A map state of which a batch reads each key once and writes each changed one once."""
+    """Entries by number in a map state of blocks (as JSON), of which a batch reads each once and writes each changed one once. empty: there is nothing to read."""
+
+    def __init__(self, state, empty: bool):
+        self.state, self.empty, self.now, self.was = state, empty, {}, {}
 
-    def __init__(self, state):
-        self.state, self.now, self.was = state, {}, {}
+    def _block(self, key: int) -> dict[str, list]:
+        at = key // BLOCK
+        if at not in self.now:
+            held = None if self.empty else self.state.getValue((at,))
+            self.was[at] = None if held is None else held[0]
+            self.now[at] = {} if held is None else json.loads(held[0])
+        return self.now[at]
 
-    def get(self, key: int) -> tuple | None:
-        if key not in self.now:
-            self.now[key] = self.was[key] = self.state.getValue((key,))
-        return self.now[key]
+    def get(self, key: int) -> list | None:
+        return self._block(key).get(str(key))
 
     def put(self, key: int, value: tuple | None) -> None:
-        self.get(key)
-        self.now[key] = value
+        if value is None:
+            self._block(key).pop(str(key), None)
+        else:
+            self._block(key)[str(key)] = list(value)
 
     def flush(self) -> None:
-        for key, value in self.now.items():
-            if value is None and self.was[key] is not None:
-                self.state.removeKey((key,))
-            elif value is not None and value != self.was[key]:
-                self.state.updateValue((key,), value)
+        for at, block in self.now.items():
+            text = json.dumps(block, sort_keys=True) if block else None
+            if text is None and self.was[at] is not None:
+                self.state.removeKey((at,))
+            elif text != self.was[at]:
+                self.state.updateValue((at,), (text,))
 
 
 class _Queue(StatefulProcessor):
-    """waiting: id -> (place, taken). places: place -> (id). running: id -> (taken, since)."""
+    """waiting: id -> (place, taken). places: place -> (id). running: id -> (taken, since). Each in blocks of numbers."""
 
     def __init__(self, limit: int | None, tries: int, lease: int | None):
         self.limit, self.tries, self.lease = limit, tries, lease
@@ -92,11 +108,12 @@ class _Queue(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ends = handle.getValueState("ends", "head bigint, tail bigint, n bigint")
-        self.states = [handle.getMapState("waiting", "id bigint", "place bigint, taken int"), handle.getMapState("places", "place bigint", "id bigint"), handle.getMapState("running", "id bigint", "taken int, since bigint")]
+        self.states = [handle.getMapState(name, "block bigint", "entries string") for name in ("waiting", "places", "running")]
 
     def _open(self) -> None:
-        self.waiting, self.places, self.running = (_Map(s) for s in self.states)
-        self.head, self.tail, self.n = (int(x) for x in self.ends.get()) if self.ends.exists() else (0, 0, 0)
+        ends = self.ends.get()
+        self.waiting, self.places, self.running = (_Map(s, ends is None) for s in self.states)
+        self.head, self.tail, self.n = (0, 0, 0) if ends is None else (int(x) for x in ends)
 
     def _close(self) -> None:
         for m in (self.waiting, self.places, self.running):
@@ -148,12 +165,12 @@ class _Queue(StatefulProcessor):
         return ("UNKNOWN", 0) if held is None else ("DONE", int(held[0]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seq", "kind", "id"], kind="stable")
+        batch = [(int(seq), kind, None if pd.isna(i) else int(i)) for part in rows for seq, kind, i in zip(part["seq"], part["kind"], part["id"], strict=True)]
+        batch.sort(key=lambda e: (*e[:2], e[2] is None, e[2] or 0))
         now = 0 if self.lease is None else timerValues.getCurrentProcessingTimeInMs()
         self._open()
         out = []
-        for seq, kind, i in zip(batch["seq"], batch["kind"], batch["id"], strict=True):
-            i = None if pd.isna(i) else int(i)
+        for seq, kind, i in batch:
             if kind == "take":
                 outcome, i, taken = self._take(now)
                 if i is not None and self.lease is not None:
@@ -162,14 +179,15 @@ class _Queue(StatefulProcessor):
                 outcome, taken = "UNKNOWN", 0
             else:
                 outcome, taken = {"ask": self._ask, "done": self._done, "failed": self._fail}[kind](i)
-            out.append((key[0], int(seq), kind, i, outcome, int(taken)))
+            out.append((key[0], seq, kind, i, outcome, int(taken)))
         self._close()
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """What has been worked on for longer than the lease fails, in order of start and id."""
         until = expiredTimerInfo.getExpiryTimeInMs() - self.lease
-        late = sorted((int(v[1]), int(k[0])) for k, v in self.states[2].iterator() if int(v[1]) <= until)
+        running = [(int(v[1]), int(i)) for _, block in self.states[2].iterator() for i, v in json.loads(block[0]).items()]
+        late = sorted((since, i) for since, i in running if since <= until)
         self._open()
         out = [(key[0], None, "expired", i, *self._fail(i)) for _, i in late]
         self._close()
@@ -180,8 +198,9 @@ class _Queue(StatefulProcessor):
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["queue", "seq", "kind", "id", "outcome", "taken"])
-    return out.astype({"seq": "Int64", "id": "Int64", "taken": "Int32"})
+    kinds = {"queue": "object", "seq": "Int64", "kind": "object", "id": "Int64", "outcome": "object", "taken": "Int32"}
+    columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
+    return pd.DataFrame({name: pd.array(list(values), dtype=kind) if kind != "object" else list(values) for (name, kind), values in zip(kinds.items(), columns, strict=True)})
 
 
 def outcomes(events: DataFrame, limit: int | None = None, tries: int = 1, lease_seconds: int | None = None) -> DataFrame:

@@ -76,3 +76,36 @@ def test_events_that_say_nothing_and_asks_of_a_commit(spark):
     assert sorted(r.id for r in followups.asks(affected, "q", 1, 2).collect()) == [3, 4]
     dealt = followups.dealt(spark.createDataFrame([("q", n, "ask", n % 5) for n in range(40)], followups.EVENT), 3)
     assert dealt.select("queue", "id").distinct().count() == 5
+
+
+class Counted(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+def test_neighbouring_entries_share_calls_to_the_store():
+    store = Counted()
+    first = followups._Map(store, True)
+    for i in range(-30, 90):
+        first.put(i, (i, 1))
+    first.flush()
+    assert store.calls == 3  # blocks from -64, 0 and 64; an empty state isn't read
+    second = followups._Map(store, False)
+    assert second.get(-30) == [-30, 1] and second.get(89) == [89, 1] and second.get(90) is None
+    for i in range(-30, 0):
+        second.put(i, None)
+    second.flush()
+    assert store.calls == 6 and set(store) == {(0,), (1,)}  # two read, one removed, the unchanged one left alone
