@@ -188,15 +188,43 @@ def evidence(nodes: DataFrame, claims: DataFrame, documents: DataFrame, limit: i
     return ranked.join(titles, "document_id", "left").withColumn("title", F.coalesce("title", F.lit(missing_title)))
 
 
-def incident_edges(edges: DataFrame, limit: int = 50) -> DataFrame:
-    """(node, edge, rank): the first edges of each node by id; a self-loop once. Lists are cut before repeats are taken out, so that no task gathers all ends."""
+#: Ends of edges that one task sorts, about 80 bytes each. Ids compress so well in a shuffle that its bytes say little of the memory that they take.
+ENDS_OF_TASK = 1_000_000
+#: Groups of nodes, by hash, whose ends are counted to find nodes with too many for a task.
+END_GROUPS = 1 << 16
+
+
+def incident_edges(edges: DataFrame, limit: int = 50, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, edge, rank): the first edges of each node by id; a self-loop once. nodes(id): of these at least; others may be left out.
+
+    Ends are dealt by node over as many tasks as their number asks for. Those of a node (and of
+    others of its hash) that has more than a task sorts are dealt by edge too, cut in each part,
+    and then as a whole. Lists are cut before repeats are taken out.
+    """
     ends = undirected(edges).select("node", "edge")
-    return ends.withColumn("rank", F.dense_rank().over(Window.partitionBy("node").orderBy("edge"))).where(F.col("rank") <= limit).distinct()
+    if nodes is not None:
+        wanted = materialize(nodes.select(F.col("id").alias("node")).distinct(), "ends-wanted")
+        if wanted.count() <= BROADCAST_FRONTIER:  # else all ends are cut, which says the same of these
+            ends = ends.join(F.broadcast(wanted), "node", "left_semi")
+    ends = materialize(ends, "ends")
+    group = F.pmod(F.xxhash64("node"), F.lit(END_GROUPS))
+    crowded = [r[0] for r in ends.groupBy(group.alias("g")).agg(F.count("*").alias("n")).where(F.col("n") > ENDS_OF_TASK).select("g").collect()]  # one per ENDS_OF_TASK rows at most
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-ends.count() // ENDS_OF_TASK))
+
+    def first(rows: DataFrame, by: list[str]) -> DataFrame:
+        ranked = rows.repartition(tasks, *by).withColumn("rank", F.dense_rank().over(Window.partitionBy(*by).orderBy("edge")))
+        return ranked.where(F.col("rank") <= limit).select("node", "edge", "rank").distinct()
+
+    if not crowded:
+        return first(ends, ["node"])
+    many = group.isin(crowded)
+    parts = first(ends.where(many).withColumn("part", F.pmod(F.xxhash64("edge"), F.lit(tasks))), ["node", "part"])
+    return first(ends.where(~many), ["node"]).unionByName(first(parts.drop("rank"), ["node"]))
 
 
 def insight_inputs(nodes: DataFrame, edges: DataFrame, most_claims: int = 100, most_edges: int = 50) -> DataFrame:
     """What an insight on a node is derived from: id, name, classification, description and properties as far as nodes have them, claim_ids, edge_ids, and a fingerprint of it all."""
-    own = incident_edges(edges, most_edges).groupBy(F.col("node").alias("id")).agg(F.array_sort(F.collect_list("edge")).alias("edge_ids"))
+    own = incident_edges(edges, most_edges, nodes).groupBy(F.col("node").alias("id")).agg(F.array_sort(F.collect_list("edge")).alias("edge_ids"))
     none = F.array().cast("array<bigint>")
     known = [c for c in ("id", "name", "classification", "description", "properties") if c in nodes.columns]
     rows = nodes.join(own, "id", "left").select(*known, F.slice(F.array_sort(F.coalesce("claim_ids", none)), 1, most_claims).alias("claim_ids"), F.coalesce("edge_ids", none).alias("edge_ids"))

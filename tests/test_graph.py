@@ -92,3 +92,17 @@ def test_first_edges_are_cut_before_repeats_go(spark):
     assert rows(found, "node", "edge", "rank") == [(1, 1, 1), (1, 2, 2), (2, 2, 1), (2, 3, 2), (3, 4, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Window")
+
+
+def test_first_edges_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks follow the number of ends, and a node with more than a task sorts is cut in parts; the first edges are those of a plain sort."""
+    monkeypatch.setattr(graph, "ENDS_OF_TASK", 100)
+    made = [(e, 7 if e % 3 else e % 11, e % 50) for e in range(1200)]
+    edges = spark.createDataFrame([*made, (7, 7, 7)], "id long, source long, target long")
+    found = graph.incident_edges(edges, 5)
+    ends = sorted({(n, e) for e, s, t in [*made, (7, 7, 7)] for n in (s, t)})
+    first = {n: [e for m, e in ends if m == n][:5] for n, _ in ends}
+    assert rows(found, "node", "edge", "rank") == sorted((n, e, k + 1) for n, es in first.items() for k, e in enumerate(es))
+    assert found.rdd.getNumPartitions() >= 2402 // 100
+    some = spark.createDataFrame([(7,), (3,), (99,), (None,)], "id long")
+    assert rows(graph.incident_edges(edges, 5, some), "node", "edge") == sorted((n, e) for n in (3, 7) for e in first[n])
