@@ -409,7 +409,7 @@ def _responses(spark, d) -> DataFrame:
     return docs.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("chat "), F.col("conv_id").cast("string")).alias("title"), "content", raw.alias("raw_response"))
 
 
-def _grounded(spark, d) -> dict[str, DataFrame]:
+def _grounded(spark, d) -> extraction.Grounded:
     return extraction.grounded(materialize(_responses(spark, d), "responses"), spark.createDataFrame([("KNOWN",)], "name string"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from datetime import date
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,30 +25,71 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(RESPONSES).json(path)
 
 
-def grounded(batch: DataFrame, known: DataFrame, most_content: int | None = None, most_entities: int | None = None) -> dict[str, DataFrame]:
-    """claims, entities and edges of a batch of responses, after all grounding rules, and rejected(doc_id, reason): contents longer than most_content (if given), and responses that are no JSON."""
+def decoded(batch: DataFrame, most_content: int | None = None) -> DataFrame:
+    """Responses with `extracted` and `reason`, null for those that are fit for grounding. Written, since decoding takes longer than all that follows from it."""
     long = F.lit(False) if most_content is None else grounding.too_long(F.col("content"), most_content)
-    decoded = grounding.decode_responses(batch)
+    rows = grounding.decode_responses(batch)
     reason = F.when(long, f"content longer than {most_content}").when(F.col("extracted").isNull(), "response is no JSON")
-    decoded = decoded.withColumn("reason", reason)
-    rejected = decoded.where("reason IS NOT NULL").select("doc_id", "reason")
-    decoded = decoded.where("reason IS NULL")
-    claims = grounding.claims_of(decoded)
-    named = decoded.select("doc_id", F.posexplode("extracted.nodes").alias("pos", "n")).select("doc_id", "pos", "n.name")
-    # A document without claims supports all its entities.
-    entities = grounding.ground_entities(named, claims, most_entities)
-    edges = decoded.select("doc_id", F.posexplode("extracted.edges").alias("pos", "e")).select("doc_id", "pos", "e.*")
-    return {"claims": claims, "entities": entities, "edges": grounding.attribute_edges(grounding.admit_edges(edges, entities, known), claims), "decoded": decoded, "rejected": rejected}
-
-
-def payloads(parts: dict[str, DataFrame], source_project: str = "agent-ingestion") -> DataFrame:
+    return materialize(rows.withColumn("reason", reason), "decoded")
+
+
+class Grounded(Mapping):
+    """claims, entities and edges of decoded responses, after all grounding rules, the responses that they are of (decoded), and rejected(doc_id, reason). Each is worked out once, when it is asked for."""
+
+    NAMES = ("claims", "entities", "edges", "decoded", "rejected")
+
+    def __init__(self, rows: DataFrame, known: DataFrame, most_entities: int | None = None):
+        self.rows, self.known, self.most_entities = rows, known, most_entities
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise KeyError(name)
+        return getattr(self, name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.NAMES)
+
+    def __len__(self) -> int:
+        return len(self.NAMES)
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.rows.where("reason IS NOT NULL").select("doc_id", "reason")
+
+    @property
+    def decoded(self) -> DataFrame:
+        return self.rows.where("reason IS NULL")
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return materialize(grounding.claims_of(self.decoded), "extracted-claims")
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        """A document without claims supports all its entities."""
+        named = self.decoded.select("doc_id", F.posexplode("extracted.nodes").alias("pos", "n")).select("doc_id", "pos", "n.name")
+        return materialize(grounding.ground_entities(named, self.claims, self.most_entities), "grounded-entities")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        told = self.decoded.select("doc_id", F.posexplode("extracted.edges").alias("pos", "e")).select("doc_id", "pos", "e.*")
+        admitted = materialize(grounding.admit_edges(told, self.entities, self.known), "admitted-edges")
+        return materialize(grounding.attribute_edges(admitted, self.claims), "grounded-edges")
+
+
+def grounded(batch: DataFrame, known: DataFrame, most_content: int | None = None, most_entities: int | None = None) -> Grounded:
+    """What a batch of responses says, after all grounding rules; rejected are contents longer than most_content (if given), and responses that are no JSON."""
+    return Grounded(decoded(batch, most_content), known, most_entities)
+
+
+def payloads(parts: Mapping[str, DataFrame], source_project: str = "agent-ingestion") -> DataFrame:
     """What grounded returns, as payloads for the write path, one per document, seq its doc_id.
 
     An entity carries its supporting claims; an edge its ends' references, where they are
     entities of the document, and its claim.
     """
     text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    decoded, claims, entities, edges = (materialize(parts[k], f"payload-{k}") for k in ("decoded", "claims", "entities", "edges"))
+    decoded, claims, entities, edges = (parts[k] for k in ("decoded", "claims", "entities", "edges"))
     as_list = lambda rows, item, name: rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("x")))), lambda p: p["x"]).alias(name))
     c = as_list(claims, F.struct(F.col("ref").alias("ref_id"), "quote", "claim_text", F.col("start").alias("start_offset"), F.col("end").alias("end_offset")), "claims")
     told = decoded.select("doc_id", F.posexplode("extracted.nodes").alias("pos", "n")).select("doc_id", "pos", "n.classification", "n.description", "n.properties")
@@ -60,7 +102,7 @@ def payloads(parts: dict[str, DataFrame], source_project: str = "agent-ingestion
     return out.select(F.col("doc_id").cast("bigint").alias("seq"), F.lit(source_project).alias("source_project"), F.col("title").alias("document_title"), F.col("content").alias("document_content"), text.alias("document_uri"), "nodes", "edges", "claims")
 
 
-def run(stream: DataFrame, known: Callable[[], DataFrame], commit: Callable[[dict[str, DataFrame], int], None], checkpoint: str) -> StreamingQuery:
+def run(stream: DataFrame, known: Callable[[], DataFrame], commit: Callable[[Mapping[str, DataFrame], int], None], checkpoint: str) -> StreamingQuery:
     """Ground each batch of new responses (one per doc_id in it) and hand the tables and the batch's number to commit, which skips numbers that it has."""
 
     def one(batch: DataFrame, number: int) -> None:
@@ -69,9 +111,9 @@ def run(stream: DataFrame, known: Callable[[], DataFrame], commit: Callable[[dic
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def end_names(batch: DataFrame) -> DataFrame:
-    """(name) of all ends of relations in a batch of responses."""
-    edges = grounding.decode_responses(batch).select(F.explode("extracted.edges").alias("e"))
+def end_names(rows: DataFrame) -> DataFrame:
+    """(name) of all ends of relations in decoded responses."""
+    edges = rows.where("reason IS NULL").select(F.explode("extracted.edges").alias("e"))
     return edges.select(F.explode(F.array("e.source_name", "e.target_name")).alias("name")).where("name IS NOT NULL").distinct()
 
 
@@ -81,9 +123,9 @@ def run_into(stream: DataFrame, ledger: GraphLedger, source: str, checkpoint: st
     def one(batch: DataFrame, number: int) -> None:
         if ledger.has(source, number):
             return
-        batch = materialize(batch.dropDuplicates(["doc_id"]), "responses")
-        known = materialize(ledger.known_names(materialize(end_names(batch), "end-names")), "known-names")
-        parts = grounded(batch, known, most_content, most_entities)
+        rows = decoded(batch.dropDuplicates(["doc_id"]), most_content)
+        known = materialize(ledger.known_names(materialize(end_names(rows), "end-names")), "known-names")
+        parts = Grounded(rows, known, most_entities)
         intake.fold_into(materialize(payloads(parts), "payloads"), ledger, source, number)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

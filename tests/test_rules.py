@@ -391,6 +391,21 @@ def test_streamed_responses_are_grounded_once(spark, tmp_path):
     assert [(e["source_name"], e["claim_ref"]) for e in seen[0]["edges"]] == [("acme", "c0")]
 
 
+def test_responses_are_decoded_once(spark):
+    """What is made of a batch of responses reads the decoded ones, and doesn't decode them again."""
+    raw = '{"nodes": [{"name": "Acme"}], "edges": [{"source_name": "acme", "target_name": "Known", "relation": "USES"}], "claims": [{"quote": "Acme grows"}]}'
+    batch = spark.createDataFrame([(1, "t", "x Acme grows", raw), (2, "t", "x", "no json"), (3, "t", "far too long", raw)], extraction.RESPONSES)
+    parts = extraction.grounded(batch, spark.createDataFrame([("Known",)], "name string"), most_content=11)
+    assert sorted(parts) == ["claims", "decoded", "edges", "entities", "rejected"]
+    assert rows(parts["rejected"], "doc_id") == [(1,), (2,), (3,)]
+    parts = extraction.grounded(batch, spark.createDataFrame([("Known",)], "name string"))
+    assert rows(parts["edges"], "doc_id", "claim_ref") == [(1, "c0"), (3, "c0")]
+    for df in (*parts.values(), extraction.payloads(parts)):
+        assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(KeyError):
+        parts["rows"]
+
+
 def test_period_gate_and_catalog(spark):
     books = spark.createDataFrame([("a", "1.0"), ("b", "1.0"), ("c", "1.0"), ("d", "2.0")], "workbook string, schema_version string")
     cells = spark.createDataFrame([("a", "S", "C2", "2024"), ("b", "S", "C2", None), ("c", "T", "C2", "x")], "workbook string, sheet string, address string, value string")
