@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import time
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 
 from claimloom.operators import grams
-from claimloom.plans.scratch import materialize, measured_broadcasts, scratch_path
+from claimloom.plans import flows
+from claimloom.plans.scratch import materialize, measured_broadcasts, passing_tables, scratch_path, shared_folder
 from claimloom.sources.ledger import Ledger, Table
 
 LONG = "x" * 200
@@ -45,3 +50,38 @@ def test_newer_folders_of_many_rows_are_not_broadcast(spark):
     found = led.table("t")
     assert found.where("text = 'new'").count() == 150_000
     assert "BroadcastHashJoin" not in plan_of(found)
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    before = _shuffle_files(spark)
+    kept = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_passing_tables_go_at_the_end(spark):
+    outside = materialize(spark.range(3), "outside")
+    with passing_tables(spark):
+        inside = materialize(spark.range(4), "inside")
+        with passing_tables(spark):
+            nested = materialize(spark.range(5), "nested")
+        assert inside.count() == 4
+    assert outside.count() == 3
+    assert [os.path.exists(urlparse(t.inputFiles()[0]).path if t.inputFiles() else "") for t in (inside, nested, outside)] == [False, False, True]
+
+
+def test_folds_leave_their_ledger_only(spark):
+    folder = urlparse(shared_folder(spark)).path
+    before = set(os.listdir(folder))
+    out = flows.c16_ledger_fold(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    assert sorted(name.split("-")[0] for name in set(os.listdir(folder)) - before) == ["folded", "ledger"]
