@@ -133,43 +133,66 @@ def ring_layout(members: DataFrame, edges: DataFrame) -> DataFrame:
     return center.unionByName(ring).unionByName(outer).unionByName(rest)
 
 
-#: Points of a block: two of them meet in one task.
-BLOCK = 4096
+#: Points of a block: two of them meet in one task. Larger blocks are sent fewer times.
+BLOCK = 16_384
 _STRIP = 128
+#: The largest double below a half: added away from zero, it makes trunc round as SQL does.
+_HALF = float(np.nextafter(0.5, 0.0))
 
 
-def _strips(x: np.ndarray, y: np.ndarray, width: float) -> list[tuple]:
-    """(places, x, y, low x, high x, low y, high y) of up to _STRIP points each that lie close together."""
+def _strips(x: np.ndarray, y: np.ndarray, width: float) -> tuple[np.ndarray, ...]:
+    """(order, x, y, starts, boxes): points in an order in which every _STRIP of them lie close together, and their (low x, high x, low y, high y)."""
     order = np.lexsort((y, np.floor(x / width)))
-    cut = [order[k : k + _STRIP] for k in range(0, len(order), _STRIP)]
-    return [(s, x[s], y[s], x[s].min(), x[s].max(), y[s].min(), y[s].max()) for s in cut]
+    x, y, starts = x[order], y[order], np.arange(0, len(order), _STRIP)
+    return order, x, y, starts, np.stack([f.reduceat(c, starts) for c in (x, y) for f in (np.minimum, np.maximum)])
 
 
 def _push_blocks(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, distance: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Of all pairs of two blocks' points (of one block's, if it is the same), what each point gets along x and along y (integers of 1e-9), and from how many."""
-    a, b = np.zeros((3, len(ax)), np.int64), np.zeros((3, len(bx)), np.int64)
     left = _strips(ax, ay, distance / 4)
     right = left if same else _strips(bx, by, distance / 4)
-    for i, (at, x, y, low_x, high_x, low_y, high_y) in enumerate(left):
-        for to, u, v, low_u, high_u, low_v, high_v in right[i:] if same else right:
-            if low_u - high_x >= distance or low_x - high_u >= distance or low_v - high_y >= distance or low_y - high_v >= distance:
-                continue
-            along = x[:, None] - u, y[:, None] - v
-            dist = np.sqrt(along[0] * along[0] + along[1] * along[1])
-            near = (dist < distance) & (dist > 0.001)
-            dist[~near] = distance  # lacks nothing, so pushes by 0
-            lack = distance - dist
-            alone = same and to is at
-            for k, d in enumerate(along):
-                push = d / dist * lack * 0.225 * 1e9
-                push = np.trunc(push + np.copysign(np.nextafter(0.5, 0.0), push))  # half away from zero, as SQL rounds
-                a[k, at] += push.sum(axis=1).astype(np.int64)
-                if not alone:
-                    b[k, to] -= push.sum(axis=0).astype(np.int64)
-            a[2, at] += near.sum(axis=1)
+    a, b = np.zeros((3, len(ax)), np.int64), np.zeros((3, len(bx)), np.int64)
+    # Of two boxes the gap between them along x and along y.
+    gaps = [np.maximum(np.maximum(right[4][k][None] - left[4][k + 1][:, None], left[4][k][:, None] - right[4][k + 1][None]), 0) for k in (0, 2)]
+    met = np.hypot(*gaps) < distance * (1 + 1e-9)
+    if same:
+        met = np.triu(met)
+    spans = [np.maximum(right[4][k + 1][None] - left[4][k][:, None], left[4][k + 1][:, None] - right[4][k][None]) for k in (0, 2)]
+    all_near = np.hypot(*spans) < distance * (1 - 1e-9)
+    # Differences and sums as products of matrices: products by 1 are exact, and so are sums of integers.
+    pairs = [(np.stack([p, np.ones_like(p)], axis=1), np.stack([np.ones_like(q), -q])) for p, q in ((left[1], right[1]), (left[2], right[2]))]
+    ones = np.ones(_STRIP)
+    room = np.empty((7, _STRIP * _STRIP))  # a strip's pairs stay in the processor's cache
+    for i, j in zip(*np.nonzero(met), strict=True):
+        at, to = (slice(s[3][k], s[3][k] + _STRIP) for s, k in ((left, i), (right, j)))
+        shape = len(left[1][at]), len(right[1][to])
+        dx, dy, dist, lack, push, half, more = (r[: shape[0] * shape[1]].reshape(shape) for r in room)
+        for d, (p, q) in zip((dx, dy), pairs, strict=True):
+            np.matmul(p[at], q[:, to], out=d)
+        np.multiply(dx, dx, out=dist)
+        np.multiply(dy, dy, out=more)
+        np.sqrt(np.add(dist, more, out=dist), out=dist)
+        every = all_near[i, j]
+        if dist.min() <= 0.001:
+            dist[dist <= 0.001], every = distance, False
+        np.subtract(distance, dist, out=lack)
+        if not every:
+            np.maximum(lack, 0, out=lack)  # who lacks nothing pushes by 0
+            near = lack > 0
+        alone = same and i == j
+        for k, d in enumerate((dx, dy)):
+            np.multiply(np.multiply(np.multiply(np.divide(d, dist, out=push), lack, out=push), 0.225, out=push), 1e9, out=push)
+            low, high, low_, high_ = *left[4][2 * k : 2 * k + 2, i], *right[4][2 * k : 2 * k + 2, j]
+            away = _HALF if low >= high_ else -_HALF if high <= low_ else np.copysign(_HALF, push, out=half)
+            np.trunc(np.add(push, away, out=push), out=push)
+            a[k, at] += (push @ ones[: shape[1]]).astype(np.int64)
             if not alone:
-                b[2, to] += near.sum(axis=0)
-    return a, b
+                b[k, to] -= (ones[: shape[0]] @ push).astype(np.int64)
+        a[2, at] += shape[1] if every else near.sum(axis=1, dtype=np.uint8)
+        if not alone:
+            b[2, to] += shape[0] if every else near.sum(axis=0, dtype=np.uint8)
+    back = lambda sums, order: sums[:, np.argsort(order)]
+    return back(a, left[0]), back(b, right[0])
 
 
 def relaxed(points: DataFrame, distance: float = 80.0, rounds: int = 16, by: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from claimloom.operators import ranking
 
 
@@ -58,3 +61,37 @@ def test_blocks_of_a_crowd_meet_once_and_are_dealt_over_tasks(spark, monkeypatch
     monkeypatch.setattr(type(df.groupBy("id")), "applyInPandas", seen)
     ranking.relaxed(df, rounds=1).collect()
     assert min(groups) >= 4 * spark.sparkContext.defaultParallelism  # a few bytes, but not one task
+
+
+def test_a_block_s_pairs_are_those_of_a_loop():
+    """Strips that are wholly near, partly near and far, and points that coincide."""
+    rng = np.random.default_rng(7)
+    a, b = (rng.uniform(0, 80, (2, n)).round(1) for n in (700, 300))
+    b[0] += 60
+
+    def plain(p, q):
+        dx, dy = (p[k][:, None] - q[k][None] for k in (0, 1))
+        dist = np.sqrt(dx * dx + dy * dy)
+        near = (dist < 80) & (dist > 0.001)
+        lack, dist = np.where(near, 80 - dist, 0), np.where(near, dist, 1)
+        x, y = (d / dist * lack * 0.225 * 1e9 for d in (dx, dy))
+        pushes = [np.where(v < 0, np.ceil(v - 0.5), np.floor(v + 0.5)).astype(np.int64).sum(axis=1) for v in (x, y)]
+        return np.stack([*pushes, near.sum(axis=1)])
+
+    got = ranking._push_blocks(*a, *b, 80.0, False)
+    assert (got[0] == plain(a, b)).all() and (got[1] == plain(b, a)).all()
+    got = ranking._push_blocks(*a, *a, 80.0, True)
+    assert (got[0] + got[1] == plain(a, a)).all()
+
+
+def test_a_crowd_of_twelve_thousand_points_is_sent_once(spark, monkeypatch):
+    sent, apply = [], type(spark.range(1).groupBy("id")).applyInPandas
+
+    def seen(grouped, *args):
+        sent.append(grouped._df.count())
+        return apply(grouped, *args)
+
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandas", seen)
+    crowd = spark.range(12_000).select("id", (F.col("id") % 79 + 0.5).alias("x"), (F.col("id") % 71 + 0.25).alias("y"))
+    assert ranking.relaxed(crowd, rounds=1).count() == 12_000
+    assert sent == [12_000]
