@@ -6,10 +6,11 @@ import os
 import time
 from urllib.parse import urlparse
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import grams
-from claimloom.plans import flows
+from claimloom.plans import flows, registry
 from claimloom.plans.scratch import materialize, measured_broadcasts, passing_tables, scratch_path, shared_folder
 from claimloom.sources.ledger import Ledger, Table
 
@@ -85,3 +86,20 @@ def test_folds_leave_their_ledger_only(spark):
     out = flows.c16_ledger_fold(spark, "/root/testdata/sf0.001")
     assert out.count() > 0
     assert sorted(name.split("-")[0] for name in set(os.listdir(folder)) - before) == ["folded", "ledger"]
+
+
+@pytest.mark.parametrize("name", ["c13_intake_edges", "c16_intake_evidence", "c17_primary_nodes", "c18_intake_counters", "c4_c6_write_limits"])
+def test_a_processed_batch_leaves_its_result_only(spark, name):
+    folder = urlparse(shared_folder(spark)).path
+    before = set(os.listdir(folder))
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    left = sorted(x.split("-")[0] for x in set(os.listdir(folder)) - before)
+    assert left == ["made"] + ["stored"] * (6 if name == "c18_intake_counters" else 0)
+
+
+def test_what_is_kept_stays(spark):
+    with passing_tables(spark):
+        with passing_tables(spark) as keep:
+            kept = keep(materialize(spark.range(4), "kept"))
+        assert kept.count() == 4
+    assert not os.path.exists(urlparse(kept.inputFiles()[0]).path)  # it went with the outer one
