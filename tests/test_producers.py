@@ -6,7 +6,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from claimloom.operators import adapters, producers
+from claimloom.operators import adapters, order, producers
+from claimloom.plans import flows
+from claimloom.plans.scratch import materialize
 
 ACTOR = "struct<name: string, classification: string, existing_node_id: bigint, points: array<int>, report_point: int, report: string>"
 TIE = "struct<source: string, target: string, relation: string, point: int>"
@@ -63,3 +65,11 @@ def test_recommendations_tie_nothing_and_rejected_findings_name_nobody(spark):
     got = sorted((r.bundle, r.document, r.item_id, r.name, r.existing_node_id, r.properties) for r in entities.collect())
     assert got == [(1, "gov-body", "1:0", "O", None, None), (1, "gov-body", "1:0", "P", 5, '{"b": 2}'), (1, "gov-body", "1:2", "P", 5, '{"b": 2}'), (1, "gov-report", "1:1", "S", 8, '{"reports":{"gov":{"a":1}}}'), (2, "gov-body", "2:0", "P", None, None), (2, "gov-body", "2:2", "P", None, None)]
     assert [(r.bundle, r.source, r.target, r.relation) for r in relations.collect()] == [(1, "O", "P", "ORGANIZES")]
+
+
+def test_parts_of_a_payload_are_numbered_without_ranges(spark, monkeypatch):
+    """Only payloads are numbered over all rows; their claims and entities end in one row each."""
+    made = []
+    monkeypatch.setattr(order, "materialize", lambda df, label: made.append(label) or materialize(df, label))
+    assert flows.e12_approved_payloads(spark, "/root/testdata/sf0.001").count() > 0
+    assert made == ["ranges"]
